@@ -16,6 +16,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 HOST_LIMIT = 0.5
+#: Hosts of fewer documents are never rejected: too little is known of them.
+HOST_DOCUMENTS = 20
 
 
 def _covered(hashes: Column, size: int) -> Column:
@@ -70,7 +72,8 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
     """(host, n_docs, n_failed, rate, rejected): failure rates shrunk by an empirical beta prior.
 
     The prior's mean and strength come from the spread of the hosts' raw rates (moments).
-    A host is rejected if its shrunken rate is at least the limit. A null host is a host.
+    A host is rejected if its shrunken rate is at least the limit and it has at least 20
+    documents. A null host is a host.
     """
     by_host = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     by_host = durable(by_host)
@@ -80,7 +83,7 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
     prior = prior.select((m * strength).alias("a"), ((1 - m) * strength).alias("b"))
     rate = (F.col("n_failed") + F.col("a")) / (F.col("n_docs") + F.col("a") + F.col("b"))
     # The prior is one row, whatever the input.
-    return by_host.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), (rate >= limit).alias("rejected"))
+    return by_host.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), ((rate >= limit) & (F.col("n_docs") >= HOST_DOCUMENTS)).alias("rejected"))
 
 
 def apply_rules(docs: DataFrame, name: str = "_figures", text: str = "text", host: str = "source") -> DataFrame:
@@ -126,7 +129,7 @@ judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
 hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM judged GROUP BY source),
 prior AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
 ab AS (SELECT m * s AS a, (1 - m) * s AS b FROM (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 1 END AS s FROM prior)),
-bad AS (SELECT source, (f + a) / (n + a + b) >= 0.5 AS rejected, (f + a) / (n + a + b) AS rate FROM hosts, ab)
+bad AS (SELECT source, n >= 20 AND (f + a) / (n + a + b) >= 0.5 AS rejected, (f + a) / (n + a + b) AS rate FROM hosts, ab)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged j JOIN bad ON j.source IS NOT DISTINCT FROM bad.source
 """

@@ -19,14 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable, partitions
+from terraloom.llm.common import durable, partitions, release
 from terraloom.llm.components import components
+from terraloom.llm.packed import exchange
+from terraloom.llm.word_dedup import WordHashes, rolling, word_hashes
 
 SHINGLE = 3
 MAX_BITS = 2
 #: Lists up to this long are compared pair by pair.
 SHORT_LIST = 48
 POSITIONS = 8
+#: Near copies share at least this much of their shingles of so many words; parts are of so many shingles on average.
+SIMILAR = 0.8
+WIDE = 5
+PART = 16
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
@@ -183,8 +189,94 @@ def fingerprint_text(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, one row of repeated ones."""
+def _part_prints(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Fingerprints of a text's parts: runs of shingles that end where a shingle's hash says so."""
+    known = _part_prints.known
+    for key, order, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        w = (text.as_py() or "").encode().lower().split()
+        h = rolling(word_hashes(w, known), min(WIDE, len(w))) if w else np.zeros(0, dtype=np.uint64)
+        if len(h):
+            yield key, order, *parts(h), None
+
+
+_part_prints.known = WordHashes()
+
+
+def parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, numbers) of the parts of a text, from the hashes of its shingles."""
+    starts = np.unique(np.append(np.flatnonzero(h[:-1] % np.uint64(PART) == 0) + 1, 0))
+    size = np.diff(np.append(starts, len(h)))
+    out = []
+    for i in range(0, len(starts), 1024):
+        a, z = starts[i], len(h) if i + 1024 >= len(starts) else starts[i + 1024]
+        bits = np.unpackbits(h[a:z].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts[i : i + 1024] - a, axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > size[i : i + 1024, None], axis=1, bitorder="little").view(np.uint64).ravel())
+    return np.concatenate(out), np.arange(len(starts), dtype=np.int32)
+
+
+def similarity(a: str | None, b: str | None, size: int = 5) -> float:
+    """The Jaccard similarity of two texts' sets of shingles; two texts without words are alike."""
+    x, y = set(shingles(a, size)), set(shingles(b, size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similarity(x.as_py(), y.as_py(), WIDE) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Edges (a, b) of doc_ids whose texts share at least `least` of their five-word shingles.
+
+    At a similarity of 0.8, fingerprints of whole texts differ in nine or ten of 64 bits, and no
+    byte of them is sure to agree. So texts are cut into parts of 16 shingles or so where their own
+    words say so, each part has a SimHash, and a pair that is alike shares about half of
+    its parts in all eight bytes. Parts are posted, each posting list is tied to four of its
+    documents (the least doc_id and three drawn by hash; all of up to four), shared parts are
+    tallied by pair, pairs below three tenths of the smaller text's parts are let go, and the
+    rest are verified by the exact similarity. doc_ids must be unique and not null.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("order"), F.col("text").cast("string").alias("text"))
+    shared = durable(exchange(slim.sortWithinPartitions("order", "row_key"), _part_prints, values=True).select("row_key", "names"))
+    release(docs.sparkSession)
+    posted = shared.mapInArrow(_postings, "doc long, part long, n int")
+    drawn = [F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"r{i}") for i in range(3)]
+    lists = posted.groupBy(F.col("part").alias("p")).agg(F.min("doc").alias("r"), F.max("doc").alias("top"), *drawn)
+    heads = lists.where("r < top").select("p", F.array_distinct(F.array("r", "r0", "r1", "r2", "top")).alias("heads"))
+    pairs = posted.join(heads, F.col("part") == F.col("p")).select("doc", "n", F.explode("heads").alias("head")).where("doc != head")
+    tally = pairs.groupBy(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).agg(F.count(F.lit(1)).alias("t"), F.min("n").alias("n"))
+    close = durable(tally.where(F.col("t") >= F.greatest(F.lit(1.0), 0.3 * F.col("n"))).select("a", "b"))
+    wanted = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    texts = durable(slim.select("row_key", "text").join(wanted.hint("shuffle_hash"), F.col("row_key") == F.col("k")).select("row_key", "text"))
+    release(docs.sparkSession)
+    one, two = (texts.select(F.col("row_key").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
+    return close.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_alike(least), "a long, b long")
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        prints = [np.unique(np.frombuffer(x, dtype=np.uint64)).view(np.int64) for x in b.column(1).to_pylist()]
+        sizes = np.array([len(p) for p in prints], dtype=np.int64)
+        if sizes.sum():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.concatenate(prints)), pa.array(np.repeat(sizes, sizes).astype(np.int32))], names=["doc", "part", "n"])
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, least: float | None = SIMILAR) -> DataFrame:
+    """The rows of docs that are first of their group: one row for each, with the columns of docs.
+
+    Groups are components of SimHash links; of what they leave, those of texts that share at least
+    `least` of their five-word shingles (None: no such groups). The least doc_id stays, and a
+    row with a null doc_id only if nothing else is like it.
+    """
     found = near_duplicates(docs, size=size, max_bits=max_bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    keep = durable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
+    if least is not None:
+        first = docs.select("doc_id", "text").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+        later = components(similar_pairs(first, least)).select("node")
+        keep = durable(keep.join(later, F.col("_keep") == F.col("node"), "left_anti"))
+    return docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])

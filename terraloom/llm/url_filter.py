@@ -24,6 +24,7 @@ TRAINING_ROWS = 20_000
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 UNWANTED = "casino bet bets pills cheap spam adult xxx porn ads track win free-bets lottery loan viagra malware phish warez torrent"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FEATURES = 23  # that _lexical() gives
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -66,7 +67,8 @@ def _lexical(url: str, suffixes: dict[str, tuple[float, float]]) -> list[float]:
 
 
 def features(urls: Sequence[str | None], suffixes: dict[str, tuple[float, float]]) -> np.ndarray:
-    return np.array([_lexical(u or "", suffixes) for u in urls], dtype=np.float64).reshape(len(urls), -1)
+    rows = [_lexical(u or "", suffixes) for u in urls]
+    return np.array(rows or np.zeros((0, FEATURES)), dtype=np.float64)
 
 
 def suffix_of(url: str) -> str:
