@@ -1,4 +1,54 @@
-"""Queries of the registry over the test tables."""
+"""Queries of the registry's kind over the test tables: customers, orders and lines as lineage."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from terraloom.plans.registry import ancestry
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    up = orders.select(tag("c", "o_custkey").alias("parent"), tag("o", "o_orderkey").alias("child"), F.lit("order").alias("operation"))
+    down = lines.select(tag("o", "l_orderkey").alias("parent"), tag("p", "l_partkey").alias("child"), F.lit("line").alias("operation"))
+    return up.unionByName(down).distinct()
+
+
+_EDGES = "e AS (SELECT DISTINCT 'c' || o_custkey AS parent, 'o' || o_orderkey AS child, 'order' AS operation FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, 'line' FROM lineitem)"
+
+
+def registry_full_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ancestry(_edges(spark, sf_dir), "p7")
+
+
+def registry_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir).where("child = 'p7'").select("parent", "operation")
+
+
+def registry_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest order of each customer: how upserts are read from an append-only log."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+def registry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+def registry_list_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.where("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100).select("o_orderkey", "o_orderpriority")
+
+
+QUERIES = {f.__name__: f for f in (registry_full_lineage, registry_parents, registry_latest, registry_stats, registry_list_runs)}
+ORACLES = {
+    "registry_full_lineage": f"WITH RECURSIVE {_EDGES}, up(parent, child, operation, depth) AS (SELECT parent, child, operation, 1 FROM e WHERE child = 'p7' UNION SELECT e.parent, e.child, e.operation, depth + 1 FROM e JOIN up ON e.child = up.parent) SELECT parent, child, operation, CAST(min(depth) AS INT) AS depth FROM up GROUP BY ALL",
+    "registry_parents": f"WITH {_EDGES} SELECT parent, operation FROM e WHERE child = 'p7'",
+    "registry_latest": "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
+    "registry_stats": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
+    "registry_list_runs": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
+}
