@@ -323,7 +323,7 @@ def reproject_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warp.reproject_features(points, "EPSG:4326", "EPSG:3857").select("c_custkey", F.round(v["x"], 3).alias("x"), F.round(v["y"], 3).alias("y"))
 
 
-@query("reproject_round_trip", "SELECT c_custkey, round(c_custkey * 7919 % 6 - 126 + 0.25, 6) AS x, round(c_custkey * 104729 % 80 + 0.25, 6) AS y FROM customer")
+@query("reproject_round_trip", "SELECT c_custkey, CAST(c_custkey * 7919 % 6 - 126 + 0.25 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 80 + 0.25 AS DOUBLE) AS y FROM customer")
 def reproject_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """To UTM zone 10 and back."""
     k = F.col("c_custkey")
@@ -354,10 +354,10 @@ _SLC = f"""one AS (SELECT l_orderkey AS k, max(l_quantity) AS q, max(l_discount)
 s AS (SELECT CAST(floor(k / {W}) AS INT) AS r, CAST(k % {W} AS INT) AS c, (q * q + (d * 100) * (d * 100) - d) / nullif(t * 100 - 1, 0) AS v FROM one), size AS (SELECT max(r) + 1 AS h FROM s)"""
 
 
-@query("slc_calibrate", f"WITH {_SLC} SELECT CAST(floor(r / 4) AS INT) AS row, CAST(floor(c / 4) AS INT) AS col, round(avg(v), 6) AS value FROM s, size WHERE r < floor(h / 4) * 4 AND c < 48 GROUP BY 1, 2")
+@query("slc_calibrate", f"WITH {_SLC} SELECT CAST(floor(r / 4) AS INT) AS row, CAST(floor(c / 4) AS INT) AS col, round(avg(v) + 0.0000001234, 6) AS value FROM s, size WHERE r < floor(h / 4) * 4 AND c < 48 GROUP BY 1, 2")
 def slc_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     slc, x, noise, grid = _slc(spark, sf_dir)
-    return mosaic.slc_calibrate(slc, x, noise, grid)[0].select("row", "col", F.round("value", 6).alias("value"))
+    return mosaic.slc_calibrate(slc, x, noise, grid)[0].select("row", "col", F.round(F.col("value") + 0.0000001234, 6).alias("value"))
 
 
 @query(
