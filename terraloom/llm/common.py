@@ -50,6 +50,17 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The `rows` rows of the smallest hashed key, or all if there are no more; keys must be distinct.
+
+    Rows are first thinned by hash to about half as many again, so that what tasks send to the
+    driver doesn't grow with their number.
+    """
+    share = min(1.0, 1.5 * rows / max(1, df.count()))
+    thin = df.where(F.shiftrightunsigned(F.xxhash64(key), 33) <= int(share * (1 << 31)))
+    return thin.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable
+from terraloom.llm.common import bounded_sample, durable
 from terraloom.llm.gbt import Trees, fit
 
 #: At most so many labelled rows train the trees: those of the smallest hashed doc_id.
@@ -78,7 +78,7 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     A document with several labels counts with the larger; rows with a null id or label don't count.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_y"))
-    chosen = known.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    chosen = bounded_sample(known.where(~held_out(F.col("_id"))), "_id", rows)
     got = stats.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.first("features").alias("features"), F.first("_y").alias("_y")).orderBy("_id").collect()
     if not got:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraloom.llm.common import bounded_sample
 from terraloom.llm.gbt import Trees, fit
 
 #: At most so many labelled URLs train the trees: those of the smallest hash.
@@ -85,8 +86,12 @@ def labelled_by_words(urls: DataFrame, url: str = "url", words: str = UNWANTED)
 
 
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS) -> tuple[Trees, dict[str, tuple[float, float]]]:
-    """Trees and suffix statistics from (url, label), at most `rows` of them; nulls don't count."""
-    got = labelled.where("url IS NOT NULL AND label IS NOT NULL").orderBy(F.xxhash64("url"), "url", "label").limit(rows).collect()
+    """Trees and suffix statistics from (url, label), at most `rows` of them; nulls don't count.
+
+    A url counts once, with the larger of its labels.
+    """
+    distinct = labelled.where("url IS NOT NULL AND label IS NOT NULL").groupBy("url").agg(F.max("label").alias("label"))
+    got = bounded_sample(distinct, "url", rows).collect()
     tally: dict[str, list[int]] = {}
     for r in got:
         x = tally.setdefault(suffix_of(r["url"]), [0, 0])
