@@ -28,3 +28,12 @@ def odd():
         (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, prose(5, 60)), (5, prose(5, 60)), (6, prose(5, 60)), (None, prose(6, 40)), (7, prose(7, 4000), None), (8, "é ü ß " * 30, "s2"),
         (9, prose(5, 59) + " end", "s2"), (10, "\x00 a\x00b | # $ % & < > *", "s3"), (11, "same same " * 50, "s3"), (12, "é" * 1000, "s1"), (13, "a" * 3000, "s1"),
     ]
+
+
+@pytest.fixture(autouse=True)
+def no_waiting(monkeypatch):
+    """Freeing disk takes seconds each time, and small tables need none."""
+    from terraloom.llm import byte_dedup, simhash, word_dedup
+
+    for module in (byte_dedup, simhash, word_dedup):
+        monkeypatch.setattr(module, "release", lambda spark: None)
