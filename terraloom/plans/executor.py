@@ -157,7 +157,9 @@ def materialize(spark: SparkSession, ref: SourceRef | str, router: Router | None
         from terraloom.sources.remote import read_duckdb
 
         return Dataset(T, raw, Backing("duckdb", raw), read_duckdb(spark, raw), lineage=lineage)
-    vectors = {"geojsonseq": vector.read_geojsonseq, "topojson": vector.read_topojson, "gpx": vector.read_gpx, "kmz": vector.read_kmz, "geopackage": vector.read_geopackage, "spatialite": vector.read_spatialite, "shapefile": vector.read_shapefile, "local_file": vector.read_geojson, "geoparquet": vector.read_geoparquet, "las": vector.read_las, "mbtiles": raster.read_mbtiles}
+    from terraloom.sources.flatgeobuf import read_flatgeobuf
+
+    vectors = {"flatgeobuf": read_flatgeobuf, "geojsonseq": vector.read_geojsonseq, "topojson": vector.read_topojson, "gpx": vector.read_gpx, "kmz": vector.read_kmz, "geopackage": vector.read_geopackage, "spatialite": vector.read_spatialite, "shapefile": vector.read_shapefile, "local_file": vector.read_geojson, "geoparquet": vector.read_geoparquet, "las": vector.read_las, "mbtiles": raster.read_mbtiles}
     if reader not in vectors:
         raise OperatorError(f"{reader} needs parameters of its own; see terraloom.sources.remote")
     df = vectors[reader](spark, raw)

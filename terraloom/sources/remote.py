@@ -97,11 +97,19 @@ def read_overture(spark: SparkSession, ref: str, base: str, release: str, bbox:
 # Asset names in order of preference, and Sentinel-2 bands as (asset, id, name, nanometres, metres).
 PREFERRED = ("data", "visual", "image", "default")
 SENTINEL2 = (
-    ("coastal", "B01", "Coastal aerosol", 443, 60), ("blue", "B02", "Blue", 490, 10), ("green", "B03", "Green", 560, 10), ("red", "B04", "Red", 665, 10), ("rededge1", "B05", "Red edge 1", 705, 20),
-    ("rededge2", "B06", "Red edge 2", 740, 20), ("rededge3", "B07", "Red edge 3", 783, 20), ("nir", "B08", "NIR", 842, 10), ("nir08", "B8A", "NIR narrow", 865, 20), ("nir09", "B09", "Water vapour", 945, 60), ("swir16", "B11", "SWIR 1", 1610, 20), ("swir22", "B12", "SWIR 2", 2190, 20),
+    ("coastal", "B01", "coastal", 443, 60), ("blue", "B02", "blue", 490, 10), ("green", "B03", "green", 560, 10), ("red", "B04", "red", 665, 10), ("rededge1", "B05", "rededge", 705, 20), ("rededge2", "B06", "rededge", 740, 20), ("rededge3", "B07", "rededge", 783, 20),
+    ("nir", "B08", "nir", 842, 10), ("nir08", "B8A", "nir08", 865, 20), ("nir09", "B09", "nir09", 945, 60), ("cirrus", "B10", "cirrus", 1375, 60), ("swir16", "B11", "swir16", 1610, 20), ("swir22", "B12", "swir22", 2190, 20), ("scl", "SCL", "scl", 0, 20),
 )
 
 
+def sentinel2_asset(band: str) -> str:
+    """The asset of a band given by asset or by id (red, B04)."""
+    for asset, code, *_ in SENTINEL2:
+        if band.lower() == asset or band.upper() == code:
+            return asset
+    raise ValueError(f"no band {band!r}")
+
+
 def stac_search(bbox: tuple[float, float, float, float] | None = None, datetime: str | None = None, collections: list[str] | None = None, query: dict | None = None, max_items: int = 20) -> dict:
     """The body of a search request."""
     given = {"bbox": list(bbox) if bbox else None, "datetime": datetime, "collections": collections, "query": query, "limit": max_items}

@@ -330,6 +330,113 @@ def test_stac_items(spark):
     page = json.dumps({"features": [{"id": "i", "collection": "c", "bbox": [0, 1, 2, 3], "properties": {"datetime": "2024-01-02T03:04:05Z"}, "assets": {"red": {"href": "h"}}}]})
     r = remote.stac_items(spark, [page]).collect()[0]
     assert (r["id"], r["xmax"], r["assets"]) == ("i", 2, {"red": "h"}) and r["datetime"].year == 2024
-    assert remote.sentinel2_bands(spark).count() == 12
+    assert remote.sentinel2_bands(spark).count() == 14 and remote.sentinel2_asset("b8a") == "nir08" and remote.sentinel2_asset("red") == "red"
 
 
+
+
+class Flat:
+    """A small writer of flat buffers: tables of (kind, value) by field number."""
+
+    def __init__(self):
+        self.out = bytearray()
+
+    def put(self, raw, align):
+        self.out += b"\0" * (-len(self.out) % align)
+        self.out += raw
+        return len(self.out) - len(raw)
+
+    def table(self, fields):
+        """The place of a table; what it refers to comes behind it."""
+        size = 4 + 2 * len(fields)
+        body, at = b"", {}
+        for k, (kind, value) in enumerate(fields):
+            if kind is None:
+                continue
+            raw = struct.pack("<I", 0) if kind in ("vector", "table", "tables") else struct.pack(f"<{kind}", value)
+            body += b"\0" * (-(4 + len(body)) % len(raw))
+            at[k] = 4 + len(body)
+            body += raw
+        vtable = struct.pack("<2H", size, 4 + len(body)) + b"".join(struct.pack("<H", at.get(k, 0)) for k in range(len(fields)))
+        self.out += b"\0" * (-(len(self.out) + len(vtable)) % 8)
+        v = self.put(vtable, 1)
+        here = self.put(struct.pack("<i", len(vtable)) + body, 1)
+        assert here - v == len(vtable)
+        for k, (kind, value) in enumerate(fields):
+            if kind == "vector":
+                letter, items = value
+                self.out += b"\0" * (-(len(self.out) + 4) % 8)
+                raw = items if isinstance(items, bytes) else struct.pack(f"<{len(items)}{letter}", *items)
+                there = self.put(struct.pack("<I", len(items)) + raw, 1)
+            elif kind == "table":
+                there = self.table(value)
+            elif kind == "tables":
+                there = self.put(struct.pack("<I", len(value)) + b"\0" * 4 * len(value), 4)
+                for i, t in enumerate(value):
+                    slot = there + 4 + 4 * i
+                    struct.pack_into("<I", self.out, slot, self.table(t) - slot)
+            else:
+                continue
+            struct.pack_into("<I", self.out, here + at[k], there - here - at[k])
+        return here
+
+
+def sized(fields):
+    f = Flat()
+    f.put(b"\0" * 4, 1)
+    struct.pack_into("<I", f.out, 0, f.table(fields))
+    return struct.pack("<I", len(f.out)) + bytes(f.out)
+
+
+def flatgeobuf(index):
+    text = lambda s: ("vector", ("B", s.encode()))
+    none = (None, None)
+    points = [(float(i), float(i % 7)) for i in range(40)]
+    features = []
+    for i, p in enumerate(points):
+        props = struct.pack("<Hi", 0, i) + struct.pack("<HI", 1, 2) + f"n{i % 10}".encode()
+        features.append(sized([("table", [none, ("vector", ("d", p))]), ("vector", ("B", props))]))
+    offsets = [sum(map(len, features[:i])) for i in range(len(features))]
+    tree = b""
+    if index:
+        level = [(x, y, x, y, o) for (x, y), o in zip(points, offsets, strict=True)]
+        levels = [level]
+        while len(level) > 1:
+            level = [(min(n[0] for n in g), min(n[1] for n in g), max(n[2] for n in g), max(n[3] for n in g), 0) for g in (level[i : i + 4] for i in range(0, len(level), 4))]
+            levels.append(level)
+        tree = b"".join(struct.pack("<4dQ", *n) for lv in reversed(levels) for n in lv)
+    columns = [[text("id"), ("B", 5)], [text("name"), ("B", 11)]]
+    head = sized([text("layer"), none, ("B", 1), none, none, none, none, ("tables", columns), ("Q", len(points)), ("H", 4 if index else 0), ("table", [text("EPSG"), ("i", 4326)])])
+    return b"fgb\x03fgb\x00" + head + tree + b"".join(features)
+
+
+@pytest.mark.parametrize("index", [True, False])
+def test_flatgeobuf(spark, tmp_path, index):
+    from terraloom.sources.flatgeobuf import crs_of, read_flatgeobuf
+
+    data = flatgeobuf(index)
+    (tmp_path / "a.fgb").write_bytes(data)
+    rows = read_flatgeobuf(spark, str(tmp_path / "a.fgb")).orderBy("fid").collect()
+    assert len(rows) == 40 and rows[12]["properties"] == {"id": "12", "name": "n2"} and shape_of(rows[12]["geom"]) == ("Point", [[[(12, 5)]]])
+    inside = read_flatgeobuf(spark, str(tmp_path / "a.fgb"), (10.0, 0.0, 20.0, 3.0)).collect()
+    assert sorted(int(r["properties"]["id"]) for r in inside) == [i for i in range(10, 21) if i % 7 <= 3]
+    assert crs_of(data) == "EPSG:4326"
+
+
+def test_swot(spark):
+    from terraloom.sources import swot
+
+    m = swot.metadata({"tile_name": b"t", "cycle_number": np.array([7]), "near_range": np.array([5.0]), "swath_side": np.bytes_(b"L")}, radar=True)
+    assert (m["tile_name"], m["cycle"], m["near_range_m"], m["swath_side"], m["pass_number"]) == ("t", 7, 5.0, "L", 0)
+    assert swot.slc_catalogue(spark).count() == 6 and swot.slc_catalogue(spark, ["slc/slc_plus_y"]).collect()[0]["role"] == "data"
+    with pytest.raises(ValueError):
+        swot.slc_catalogue(spark, [])
+    rows = [(0, 10.0, 40.0, 1.0, 2.0, 0.5, 4.0), (1, 10.05, 40.05, 5.0, 6.0, 0.6, 4.0), (2, 10.9, 40.9, 7.0, 8.0, 0.7, 3.0), (3, None, 40.0, 9.0, 9.0, 9.0, 9.0)]
+    cells, g = swot.cloud_cells(spark.createDataFrame(rows, "ordinal long, longitude double, latitude double, sig0 double, height double, water_frac double, classification double"), 0.1)
+    got = {(r["band"], r["row"], r["col"]): r["value"] for r in cells.collect()}
+    assert (g.width, g.height, g.bands) == (9, 9, 4) and got[1, 8, 0] == 5 and got[2, 0, 8] == 8 and len(got) == 8
+    names, bands = swot.stack_bands({"x": np.arange(3.0), "a": np.ones((2, 3)), "b": np.ones((4, 2, 3)), "y": np.arange(2.0)})
+    assert names == ["a", "b"] and bands.shape == (2, 2, 3)
+    assert swot.stack_grid({"lon": np.array([1.0, 3]), "lat": np.array([5.0, 6])}, bands).extent == (1, 5, 3, 6)
+    with pytest.raises(ValueError):
+        swot.stack_bands({"a": np.ones((2, 2))}, ["c"])
