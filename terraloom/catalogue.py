@@ -278,6 +278,27 @@ def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrology.hydrology_flow(cells, grid)[2].select("row", "col", "value")
 
 
+_CODES = f"""{PART}, o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) t(d, dr, dc)),
+s AS (SELECT k.r, k.c, d, dr, dc, (k.v - n.v) / CASE WHEN d % 2 = 1 THEN sqrt(2) ELSE 1 END AS slope FROM cells k, o JOIN cells n ON n.r = k.r + dr AND n.c = k.c + dc),
+best AS (SELECT r, c, d, dr, dc FROM s QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY slope DESC, d) = 1 AND slope > 0),
+codes AS (SELECT k.r, k.c, dr, dc, CAST(coalesce(d, CASE WHEN k.r = 0 OR k.c = 0 OR k.r = h - 1 OR k.c = {PW - 1} THEN 8 ELSE 9 END) AS INT) AS code FROM cells k CROSS JOIN size LEFT JOIN best USING (r, c))"""
+
+
+@query("d8_flow_direction", f"WITH {_CODES} SELECT r AS row, c AS col, code FROM codes")
+def d8_flow_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hydrology.d8_flow_direction(*small_dem(spark, sf_dir)).select("row", "col", F.col("value").cast("int").alias("code"))
+
+
+@query(
+    "flow_accumulation_unfilled",
+    f"""WITH RECURSIVE {_CODES}, trace(r, c) AS (SELECT r, c FROM codes UNION ALL SELECT t.r + dr, t.c + dc FROM trace t JOIN codes USING (r, c) WHERE code < 8)
+SELECT r AS row, c AS col, CAST(count(*) AS DOUBLE) AS value FROM trace GROUP BY r, c""",
+)
+def flow_accumulation_unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = small_dem(spark, sf_dir)
+    return hydrology.flow_accumulation(hydrology.d8_flow_direction(cells, grid), grid).select("row", "col", "value")
+
+
 @query("flow_conservation", "SELECT count(*) AS cells, CAST(count(*) AS DOUBLE) AS drained FROM part WHERE p_partkey % 13 <> 0")
 def flow_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reaches outlets and pits is the weight of all valid cells."""
@@ -341,6 +362,18 @@ def reproject_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warp.reproject_raster(cells, at, "EPSG:3857", "bilinear")[0].select("row", "col", "value")
 
 
+@query(
+    "reproject_raster_average",
+    f"""WITH {PART}, places AS (SELECT v, radians(-122 + (c + 0.5) / {PW}) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(38 - (r + 0.5) / h) / 2)) * 6378137.0 AS y FROM cells, size)
+SELECT CAST(floor((ln(tan(pi() / 4 + radians(38.0) / 2)) * 6378137.0 - y) / 5000) AS INT) AS row, CAST(floor((x - radians(-122.0) * 6378137.0) / 5000) AS INT) AS col, round(avg(v), 6) AS value FROM places GROUP BY 1, 2""",
+)
+def reproject_raster_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the part raster, over a degree square, in cells of 5 km in web Mercator."""
+    cells, grid = small_dem(spark, sf_dir)
+    at = Grid.from_bounds(-122, 37, -121, 38, grid.width, grid.height, crs="EPSG:4326")
+    return _value(warp.reproject_raster(cells, at, "EPSG:3857", "average", 5000.0)[0].where("value IS NOT NULL"))
+
+
 def _slc(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, Grid]:
     lines = read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
     k = F.col("l_orderkey")
@@ -406,10 +439,17 @@ def water_elevation_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mosaic.water_elevation_mosaic(freq, passes, grid, max_rounds=0)[0], 6, "wse")
 
 
-@query("water_elevation_filled")
+@query(
+    "water_elevation_filled",
+    """WITH RECURSIVE f AS (SELECT CAST(floor(o_orderkey / 30) AS INT) AS r, CAST(o_orderkey % 30 AS INT) AS c, o_orderkey * 37 % 100 / 100 >= 0.3 AS m FROM orders WHERE o_orderkey < 900),
+p AS (SELECT CAST(floor(event_id * 7919 % 900 / 30) AS INT) AS r, CAST(event_id * 7919 % 30 AS INT) AS c, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1, 2),
+w(i, r, c, m, v) AS (SELECT 0, f.r, f.c, m, CASE WHEN m THEN v END FROM f LEFT JOIN p ON f.r = p.r AND f.c = p.c
+  UNION ALL SELECT i + 1, r, c, m, v FROM (SELECT a.i, a.r, a.c, a.m, CASE WHEN a.m THEN coalesce(a.v, avg(b.v)) END AS v FROM w a LEFT JOIN w b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.i < 30 GROUP BY a.i, a.r, a.c, a.m, a.v))
+SELECT r AS row, c AS col, round(last.v, 6) AS wse, CAST(CASE WHEN m AND p.v IS NOT NULL THEN 1 ELSE 0 END AS INT) AS confidence, CAST(m AS INT) AS mask FROM (SELECT r, c, m, w.v FROM w WHERE i = 30) AS last LEFT JOIN p USING (r, c)""",
+)
 def water_elevation_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq, passes, grid = _passes(spark, sf_dir)
-    return mosaic.water_elevation_mosaic(freq, passes.where("raster_id = 'click'"), grid)[0]
+    return _rounded(mosaic.water_elevation_mosaic(freq, passes.where("raster_id = 'click'"), grid)[0], 6, "wse")
 
 
 @query("scatter_last", "SELECT CAST(least(19, floor(event_id * 31 % 500 / 25)) AS INT) AS row, CAST(event_id * 17 % 25 AS INT) AS col, max_by(value, event_id) AS value FROM events GROUP BY 1, 2")
