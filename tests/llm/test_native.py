@@ -154,3 +154,54 @@ def test_leaks_of_odd_rows(make, items, odd, spark):
     kept = decontaminate.without_leaks(make([*odd, (50, prose(77, 30, 10**5))]), items)
     assert kept.count() == len(odd) and kept.columns == make(odd).columns
     assert decontaminate.without_leaks(make(odd), items.limit(0)).count() == len(odd)
+
+
+def brute_place(key, weights, rack_shards=4, region_racks=2):
+    import math
+
+    import xxhash
+
+    def draw(level, node, weight):
+        h = xxhash.xxh64_intdigest(str(key).encode(), 42)
+        for part in (level, node):
+            h = xxhash.xxh64_intdigest(part.to_bytes(4, "little"), h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    racks = [list(range(i, min(i + rack_shards, len(weights)))) for i in range(0, len(weights), rack_shards)]
+    regions = [list(range(i, min(i + region_racks, len(racks)))) for i in range(0, len(racks), region_racks)]
+    rack_weight = [sum(weights[s] for s in r) for r in racks]
+    region = min(range(len(regions)), key=lambda r: draw(0, r, sum(rack_weight[k] for k in regions[r])))
+    rack = min(regions[region], key=lambda k: draw(1, k, rack_weight[k]))
+    return min(racks[rack], key=lambda s: draw(2, s, weights[s]))
+
+
+def test_places_against_brute_force(make):
+    got = sharding.shard(make([(i * 7919, f"t{i}") for i in range(300)])).collect()
+    for r in got:
+        assert r["shard"] == brute_place(r["doc_id"], [1.0] * 40) and r["grown_shard"] == brute_place(r["doc_id"], [1.0] * 41)
+
+
+def test_mixture_against_brute_force(make, monkeypatch):
+    """In each source, rows are drawn block by block while the tokens before them are below the quota."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    rows = [(i, prose(i, 10 + i % 7), "a" if i % 3 else "b") for i in range(200)] + [(900 + i, prose(i, 9), "c") for i in range(12)]
+    size = {i: len(t.split()) for i, t, _ in rows}
+    source = {i: s for i, _, s in rows}
+    got = mixing.draws(make(rows)).collect()
+    total = sum(size.values())
+    for s in "abc":
+        mine = sorted((r for r in got if r["source"] == s), key=lambda r: (r["epoch"], r["at"], r["doc_id"]))
+        tokens = sum(size[i] for i in size if source[i] == s)
+        quota = mine[0]["weight"] * total
+        before = 0
+        for epoch in range(max(r["epoch"] for r in mine) + 1):
+            part = [r for r in mine if r["epoch"] == epoch]
+            # What was drawn stands without gaps from the start of the epoch.
+            before = epoch * tokens
+            blocks = []
+            for r in part:
+                assert r["at"] == before < quota
+                before += size[r["doc_id"]]
+                blocks.append(r["block"])
+            assert len([b for b, c in zip(blocks, [None, *blocks], strict=False) if b != c]) == len(set(blocks))
+        assert before >= quota or before % tokens == 0
