@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable, release
+from terraloom.llm.common import dealt_anew, durable, release
 from terraloom.llm.packed import exchange, mix
 from terraloom.llm.word_dedup import _keyed
 
@@ -173,11 +173,9 @@ def removed(size: int, whole: list[dict] | None, starts: bytes | None) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """docs keyed by row, and (row_key, whole, starts): repeated stretches and window starts."""
-    spark = docs.sparkSession
-    keyed = _keyed(docs, doc_id, text)
-    scan = keyed.select("row_key", "order", "text")
+def _chains(scan: DataFrame) -> DataFrame:
+    """(row_key, spots, names): anchors whose next four anchors are as those of another, by prefix doubling."""
+    spark = scan.sparkSession
     chains = exchange(scan.sortWithinPartitions("order", "row_key"), _first_names, values=True)
     steps = 1
     while steps < STEPS:
@@ -185,25 +183,43 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
         release(spark)
         rows = chains.select("row_key", F.lit(0).cast("long").alias("order"), "spots", "names").dropDuplicates(["row_key"])
         chains, steps = exchange(rows.sortWithinPartitions("row_key"), _doubled, values=True), 2 * steps
-    chains = durable(chains)
-    release(spark)
+    return durable(chains)
+
+
+def _packed_stretches(scan: DataFrame) -> DataFrame:
+    chains = _chains(scan)
+    release(scan.sparkSession)
     found = scan.join(chains.hint("shuffle_hash"), "row_key").select("row_key", "text", "spots", "names")
-    packed = durable(found.mapInArrow(_stretches, "row_key long, first array<int>, last array<int>, chain array<long>, stretch array<long>"))
-    release(spark)
+    return durable(found.mapInArrow(_stretches, "row_key long, first array<int>, last array<int>, chain array<long>, stretch array<long>"))
+
+
+def _marked(scan: DataFrame) -> DataFrame:
+    """(row_key, whole, edges): stretches that are found twice or more, and those whose starts must be compared."""
+    packed = _packed_stretches(scan)
+    release(scan.sparkSession)
     found = packed.select("row_key", F.inline(F.arrays_zip("first", "last", "chain", "stretch")))
     # How often each stretch is found, and whether its chain has stretches that are found once.
     counts = found.groupBy("chain", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "first")).alias("one"))
     single = counts.groupBy(F.col("chain").alias("c")).agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("lone"))
-    known = counts.join(single, F.col("chain") == F.col("c")).where("n > 1 OR kinds > 1").select(F.col("chain").alias("c"), F.col("stretch").alias("s"), "n", "lone", "one")
+    single = single.select(dealt_anew("c").alias("c"), "kinds", "lone")
+    known = counts.join(single, F.col("chain") == F.col("c")).where("n > 1 OR kinds > 1").select(dealt_anew("chain").alias("c"), dealt_anew("stretch").alias("s"), "n", "lone", "one")
     marked = found.join(known, (F.col("chain") == F.col("c")) & (F.col("stretch") == F.col("s")))
     span = F.struct("first", "last")
     is_one = (F.col("one.row_key") == F.col("row_key")) & (F.col("one.first") == F.col("first"))
-    by_row = marked.groupBy("row_key").agg(
-        F.collect_list(F.when(F.col("n") > 1, span)).alias("whole"),
-        F.collect_list(F.when((F.col("n") == 1) | (F.col("lone") > 0) & is_one, span)).alias("edges"),
+    return durable(
+        marked.groupBy("row_key").agg(
+            F.collect_list(F.when(F.col("n") > 1, span)).alias("whole"),
+            F.collect_list(F.when((F.col("n") == 1) | (F.col("lone") > 0) & is_one, span)).alias("edges"),
+        )
     )
-    by_row = durable(by_row)
-    release(spark)
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """docs keyed by row, and (row_key, whole, starts): repeated stretches and window starts."""
+    keyed = _keyed(docs, doc_id, text)
+    scan = keyed.select("row_key", "order", "text")
+    by_row = _marked(scan)
+    release(docs.sparkSession)
     edges = scan.join(by_row.where(F.size("edges") > 0).select("row_key", "edges").hint("shuffle_hash"), "row_key")
     starts = exchange(edges.sortWithinPartitions("order", "row_key"), _edge_windows)
     starts = starts.groupBy(F.col("row_key").alias("k")).agg(F.max("spots").alias("starts"))

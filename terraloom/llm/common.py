@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,9 +41,15 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files and checkpoints of finished steps that nothing refers to any more.
+
+    What Python has let go is passed on to the JVM within a second; plans go in a first
+    collection there, the shuffles that they held in the next.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        spark.sparkContext._jvm.System.gc()
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -61,6 +68,15 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return thin.orderBy(F.xxhash64(key), key).limit(rows)
 
 
+def dealt_anew(key: str) -> Column:
+    """A key for one side of a join that was grouped by it before.
+
+    As an expression of its own it doesn't stand for the old dealing, so both sides are shuffled
+    for the join, and adaptive execution can split a key that is hot in one of them.
+    """
+    return F.coalesce(F.col(key), F.lit(0).cast("long"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
