@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from terraloom.llm.common import partitions
 
-#: Entries in a chunk, about; a chunk ends with a row.
+#: Entries in a chunk, about, and for each bucket; a chunk ends with a row. With very many buckets
+#: chunks grow (eightfold at most), so that what a chunk sends to a bucket stays worth a row.
 CHUNK = 1 << 21
-#: Buckets for each shuffle partition, so that their sizes even out.
-BUCKETS = 4
+ENTRIES = 64
 
 #: From a batch of rows to (key, order, hashes, positions, flags) for each: positions rise.
 Extract = Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]]
@@ -41,6 +41,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def bucket_keys(n: int) -> np.ndarray:
+    """For each of n partitions a long that Spark's hash partitioning deals to it."""
+    x = np.arange(40 * n + 100, dtype=np.int64)
+    rotate = lambda v, k: v << np.uint32(k) | v >> np.uint32(32 - k)
+    h = np.full(len(x), 42, dtype=np.uint32)
+    for word in ((x & 0xFFFFFFFF).astype(np.uint32), (x >> 32).astype(np.uint32)):
+        k = rotate(word * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = rotate(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(by)
+    dealt = h.view(np.int32) % n
+    out = np.arange(n, dtype=np.int64)
+    found, first = np.unique(dealt, return_index=True)
+    out[found] = x[first]
+    return out
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join([np.array([len(arrays), *(x for a in arrays for x in (a.itemsize * 10 + (a.dtype.kind == "i"), len(a)))], dtype=np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
 
@@ -63,6 +81,9 @@ def _gaps(rising: np.ndarray) -> np.ndarray:
 
 
 def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values: bool):
+    keys_of = bucket_keys(buckets)
+    most = min(8 * CHUNK, max(CHUNK, ENTRIES * buckets))
+
     def flush(rows: list, chunk: int) -> pa.RecordBatch:
         ids = np.array([r[0] for r in rows], dtype=np.int64)
         orders = np.array([r[1] for r in rows], dtype=np.int64)
@@ -91,7 +112,7 @@ def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values
         raised = None if raised is None else raised[by]
         keys = hashes[sent] if key_bytes == 8 else (hashes[sent] // np.uint64(buckets)).astype(np.uint32)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, dtype=np.int64)
-        dest, kind, data = [int(chunk % buckets)], [0], [_pack(ids, base, at[settled], *([hashes[settled]] if values else []))]
+        dest, kind, data = [int(keys_of[chunk % buckets])], [0], [_pack(ids, base, at[settled], *([hashes[settled]] if values else []))]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             m, k, where = many[a:b], keys[a:b], at[sent[a:b]]
             if later:
@@ -101,7 +122,7 @@ def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values
             else:
                 f = None if raised is None else raised[a:b].astype(np.uint8)
                 data.append(_pack(k[~m], _gaps(where[~m]), k[m], *(() if f is None else (np.packbits(f[~m]), np.packbits(f[m])))))
-            dest.append(int(bucket[a]))
+            dest.append(int(keys_of[bucket[a]]))
             kind.append(1)
         return pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(kind, pa.int32()), pa.array([chunk] * len(dest), pa.int64()), pa.array(data, pa.binary())], names=["dest", "kind", "chunk", "data"])
 
@@ -117,7 +138,7 @@ def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values
                     continue
                 rows.append(r)
                 size += len(r[2])
-                if size >= CHUNK:
+                if size >= most:
                     yield flush(rows, chunk)
                     rows, size, chunk = [], 0, chunk + 1
         if rows:
@@ -182,15 +203,22 @@ def _comparing(later: bool, values: bool, flagged: bool):
                 yield chunk, _pack(w[mine].astype(np.uint32), *([keys[at : at + size][mine]] if values else []))
             at += size
 
+    def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        c, k, d = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], names=["chunk", "kind", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back: dict[int, list[bytes]] = {}
         for rows in _grouped(batches, 0):
-            out = [(chunk, 0, data) for _, kind, chunk, data in rows if kind == 0]
-            blobs = [(chunk, data) for _, kind, chunk, data in rows if kind == 1]
-            if blobs:
-                out += [(chunk, 1, data) for chunk, data in replies(blobs)]
-            if out:
-                c, k, d = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], names=["chunk", "kind", "data"])
+            if out := [(chunk, 0, data) for _, kind, chunk, data in rows if kind == 0]:
+                yield batch(out)
+            if blobs := [(chunk, data) for _, kind, chunk, data in rows if kind == 1]:
+                for chunk, data in replies(blobs):
+                    back.setdefault(chunk, []).append(data)
+        # A row for each chunk, whatever number of buckets this task had.
+        whole = [(chunk, 1, parts[0] if len(parts) == 1 else _pack(*map(np.concatenate, zip(*map(_unpack, parts), strict=True)))) for chunk, parts in back.items()]
+        for i in range(0, len(whole), 1000):
+            yield batch(whole[i : i + 1000])
 
     return run
 
@@ -229,7 +257,7 @@ def exchange(rows: DataFrame, extract: Extract, *, later: bool = False, key_byte
     that lies in several partitions may have several result rows.
     """
     n = partitions(rows)
-    blobs = rows.mapInArrow(_packing(extract, n * BUCKETS, key_bytes, later, values), "dest long, kind int, chunk long, data binary")
+    blobs = rows.mapInArrow(_packing(extract, n, key_bytes, later, values), "dest long, kind int, chunk long, data binary")
     dealt = blobs.repartition(n, "dest").sortWithinPartitions("dest", "kind")
     back = dealt.mapInArrow(_comparing(later, values, flagged), "chunk long, kind int, data binary")
     home = back.repartition(n, "chunk").sortWithinPartitions("chunk", "kind")

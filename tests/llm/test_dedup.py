@@ -124,3 +124,12 @@ def test_packing_round_trip():
     arrays = [np.arange(5, dtype=np.uint16), np.array([], dtype=np.int64), np.array([-1, 7], dtype=np.int32), np.array([2**63], dtype=np.uint64)]
     for a, b in zip(arrays, packed._unpack(packed._pack(*arrays)), strict=True):
         assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def test_bucket_keys_are_dealt_one_to_a_partition(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 7, 211):
+        keys = packed.bucket_keys(n)
+        df = spark.createDataFrame([(int(k),) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(n)).alias("p"))
+        assert [r["p"] for r in df.collect()] == list(range(n))
