@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable, partitions, release
+from terraloom.llm.common import dealt_anew, durable, partitions, release
 from terraloom.llm.components import components
 from terraloom.llm.packed import exchange
 from terraloom.llm.word_dedup import WordHashes, rolling, word_hashes
@@ -247,14 +247,14 @@ def similar_pairs(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     posted = shared.mapInArrow(_postings, "doc long, part long, n int")
     drawn = [F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"r{i}") for i in range(3)]
     lists = posted.groupBy(F.col("part").alias("p")).agg(F.min("doc").alias("r"), F.max("doc").alias("top"), *drawn)
-    heads = lists.where("r < top").select("p", F.array_distinct(F.array("r", "r0", "r1", "r2", "top")).alias("heads"))
+    heads = lists.where("r < top").select(dealt_anew("p").alias("p"), F.array_distinct(F.array("r", "r0", "r1", "r2", "top")).alias("heads"))
     pairs = posted.join(heads, F.col("part") == F.col("p")).select("doc", "n", F.explode("heads").alias("head")).where("doc != head")
     tally = pairs.groupBy(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).agg(F.count(F.lit(1)).alias("t"), F.min("n").alias("n"))
     close = durable(tally.where(F.col("t") >= F.greatest(F.lit(1.0), 0.3 * F.col("n"))).select("a", "b"))
     wanted = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     texts = durable(slim.select("row_key", "text").join(wanted.hint("shuffle_hash"), F.col("row_key") == F.col("k")).select("row_key", "text"))
     release(docs.sparkSession)
-    one, two = (texts.select(F.col("row_key").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
+    one, two = (texts.select(dealt_anew("row_key").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
     return close.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_alike(least), "a long, b long")
 
 
@@ -270,8 +270,8 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS,
     """The rows of docs that are first of their group: one row for each, with the columns of docs.
 
     Groups are components of SimHash links; of what they leave, those of texts that share at least
-    `least` of their five-word shingles (None: no such groups). The least doc_id stays, and a
-    row with a null doc_id only if nothing else is like it.
+    `least` of their five-word shingles (None: no such groups). The least doc_id stays; of repeated
+    rows one does. Rows with a null doc_id stay, one for each text, if any of them is like no other.
     """
     found = near_duplicates(docs, size=size, max_bits=max_bits)
     keep = durable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
@@ -279,4 +279,5 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS,
         first = docs.select("doc_id", "text").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
         later = components(similar_pairs(first, least)).select("node")
         keep = durable(keep.join(later, F.col("_keep") == F.col("node"), "left_anti"))
-    return docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
