@@ -10,6 +10,7 @@ make pairs: they are linked through the values one bit away, which finds the sam
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,7 +30,7 @@ MAX_BITS = 2
 #: Lists up to this long are compared pair by pair.
 SHORT_LIST = 48
 POSITIONS = 8
-#: Near copies share at least this much of their shingles of so many words; parts are of so many shingles on average.
+#: Near copies share at least this much of their shingles of so many words; parts() are of so many shingles on average.
 SIMILAR = 0.8
 WIDE = 5
 PART = 16
@@ -189,21 +190,65 @@ def fingerprint_text(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _part_prints(b: pa.RecordBatch) -> Iterator[tuple]:
-    """Fingerprints of a text's parts: runs of shingles that end where a shingle's hash says so."""
-    known = _part_prints.known
-    for key, order, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-        w = (text.as_py() or "").encode().lower().split()
-        h = rolling(word_hashes(w, known), min(WIDE, len(w))) if w else np.zeros(0, dtype=np.uint64)
-        if len(h):
-            yield key, order, *parts(h), None
+def _need(n: int, least: float) -> int:
+    """How many of its n shingles a text must share with any text that is at least so like it."""
+    return max(1, math.ceil(least * n - 1e-9))
 
 
-_part_prints.known = WordHashes()
+def _shingle_set(text: str | None, known: WordHashes) -> np.ndarray:
+    """The distinct hashes of a text's shingles, rising; none without words."""
+    w = (text or "").encode().lower().split()
+    return np.unique(rolling(word_hashes(w, known), min(WIDE, len(w)))) if w else np.zeros(0, dtype=np.uint64)
+
+
+def _spare(n: int) -> int:
+    """So many hashes beyond the one that a shared prefix needs are sent too, to let more texts go."""
+    return n // 5
+
+
+def _prefixes(least: float):
+    """The least hashes of a text: alike texts share 1 + _spare() of them, by the smaller text's count, at least."""
+
+    def extract(b: pa.RecordBatch) -> Iterator[tuple]:
+        for key, order, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            h = _shingle_set(text.as_py(), extract.known)
+            if len(h):
+                h = h[: len(h) - _need(len(h), least) + 1 + _spare(len(h))]
+                yield key, order, h, np.arange(len(h), dtype=np.int32), None
+
+    extract.known = WordHashes()
+    return extract
+
+
+def _sets(least: float):
+    """From (doc, text, hits): the shingles of texts that share enough of their prefix with others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            rows = []
+            for doc, text, hits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                h = _shingle_set(text.as_py(), known)
+                if len(h) and hits > _spare(_need(len(h), least)):
+                    rows.append((doc, len(h), h.tobytes()))
+            if rows:
+                doc, n, names = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(names, pa.binary())], names=["doc", "n", "names"])
+
+    return run
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = b.column(1).to_numpy()
+        for i in range(0, b.num_rows, 256):
+            m = n[i : i + 256]
+            token = np.frombuffer(b"".join(b.column(2)[i : i + 256].to_pylist()), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy()[i : i + 256], m)), pa.array(np.repeat(m, m)), pa.array(token)], names=["doc", "n", "token"])
 
 
 def parts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, numbers) of the parts of a text, from the hashes of its shingles."""
+    """(fingerprints, numbers) of the parts of a text, from the hashes of its shingles; the search for pairs doesn't use them."""
     starts = np.unique(np.append(np.flatnonzero(h[:-1] % np.uint64(PART) == 0) + 1, 0))
     size = np.diff(np.append(starts, len(h)))
     out = []
@@ -224,46 +269,79 @@ def similarity(a: str | None, b: str | None, size: int = 5) -> float:
 def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [similarity(x.as_py(), y.as_py(), WIDE) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= _need(max(len(x), len(y)), least) else 0
+                good.append(both / (len(x) + len(y) - both) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    one, two = (sets.select(dealt_anew("doc").alias(k), F.col("names").alias(f"s{k}")) for k in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long")
+
+
+def _rare(sets: DataFrame, least: float) -> DataFrame:
+    """(doc, n, weight, at, token): each text's prefix, its rarest shingles, with their places.
+
+    Shingles are in order of the texts that have them, then of their hashes, and the prefix is one
+    longer than what a text needn't share; two alike texts have a shingle in both prefixes. Those
+    that one text alone has come first and aren't given, nor are texts that have too many of them.
+    """
+    tokens = sets.mapInArrow(_tokens, "doc long, n int, token long")
+    known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(dealt_anew("token").alias("t"), "c")
+    held = tokens.join(known, F.col("token") == F.col("t")).groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"), F.sum("c").alias("s"))
+    alone = F.col("n") - F.size("held")
+    longest = F.col("n") - F.greatest(F.lit(1), F.ceil(least * F.col("n") - 1e-9)).cast("int") + 1
+    begun = held.select("doc", "n", (F.col("s") / F.col("n")).alias("weight"), alone.alias("alone"), F.slice("held", 1, F.greatest(F.lit(0), longest - alone)).alias("held"))
+    return begun.select("doc", "n", "weight", "alone", F.posexplode("held").alias("i", "x")).select("doc", "n", "weight", (F.col("alone") + F.col("i")).alias("at"), "x.token")
+
+
+def _to_heads(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text with six of every posting list that it is in."""
+    drawn = [F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"r{i}") for i in range(3)]
+    lists = posts.groupBy(F.col("token").alias("p")).agg(F.min("doc").alias("r"), F.max("doc").alias("top"), F.max_by("doc", F.struct("weight", "doc")).alias("mid"), *drawn)
+    heads = lists.where("r < top").select(dealt_anew("p").alias("p"), F.array_distinct(F.array("r", "r0", "r1", "r2", "top", "mid")).alias("heads"))
+    pairs = posts.join(heads, F.col("token") == F.col("p")).select("doc", F.explode("heads").alias("head")).where("doc != head")
+    return pairs.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
+
+
+def _across(posts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Every pair (a, b) that may be alike, by size and places, of two components."""
+    tagged = posts.join(roots, F.col("doc") == F.col("node"), "left").select("doc", "n", "at", "token", F.coalesce("root", "doc").alias("root"))
+    tagged = durable(tagged)
+    apart = tagged.groupBy(F.col("token").alias("p")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(dealt_anew("p").alias("p"))
+    left = durable(tagged.join(apart, F.col("token") == F.col("p")).select("doc", "n", "at", "token", "root"))
+    one = left.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"), dealt_anew("token").alias("t"))
+    two = left.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), dealt_anew("token").alias("u"))
+    # At their first common shingle, no more than what follows it in either can be common.
+    may = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6
+    return one.join(two, (F.col("t") == F.col("u")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may).select("a", "b").distinct()
+
+
 def similar_pairs(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """Edges (a, b) of doc_ids whose texts share at least `least` of their five-word shingles.
 
-    At a similarity of 0.8, fingerprints of whole texts differ in nine or ten of 64 bits, and no
-    byte of them is sure to agree. So texts are cut into parts of 16 shingles or so where their own
-    words say so, each part has a SimHash, and a pair that is alike shares about half of
-    its parts in all eight bytes. Parts are posted, each posting list is tied to four of its
-    documents (the least doc_id and three drawn by hash; all of up to four), shared parts are
-    tallied by pair, pairs below three tenths of the smaller text's parts are let go, and the
-    rest are verified by the exact similarity. doc_ids must be unique and not null.
+    They are enough for every component: no two texts that are so alike are in two of them.
+    Texts that don't share enough of their least shingle hashes with others can't be like any and
+    go first. Of those that stay, each is posted under its rarest shingles (an exact prefix filter).
+    Each posting list is tied to six of its documents; then all pairs that this leaves in two
+    components are compared, by lists that span several. Pairs are verified by the exact
+    similarity, where shingles are equal if their 64-bit hashes are. doc_ids must be unique and
+    not null.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("order"), F.col("text").cast("string").alias("text"))
-    shared = durable(exchange(slim.sortWithinPartitions("order", "row_key"), _part_prints, values=True).select("row_key", "names"))
+    hits = durable(exchange(slim.sortWithinPartitions("order", "row_key"), _prefixes(least), key_bytes=4).select(F.col("row_key").alias("k"), (F.length("spots") / 4).cast("int").alias("hits")))
     release(docs.sparkSession)
-    posted = shared.mapInArrow(_postings, "doc long, part long, n int")
-    drawn = [F.min_by("doc", F.xxhash64("doc", F.lit(i))).alias(f"r{i}") for i in range(3)]
-    lists = posted.groupBy(F.col("part").alias("p")).agg(F.min("doc").alias("r"), F.max("doc").alias("top"), *drawn)
-    heads = lists.where("r < top").select(dealt_anew("p").alias("p"), F.array_distinct(F.array("r", "r0", "r1", "r2", "top")).alias("heads"))
-    pairs = posted.join(heads, F.col("part") == F.col("p")).select("doc", "n", F.explode("heads").alias("head")).where("doc != head")
-    tally = pairs.groupBy(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).agg(F.count(F.lit(1)).alias("t"), F.min("n").alias("n"))
-    close = durable(tally.where(F.col("t") >= F.greatest(F.lit(1.0), 0.3 * F.col("n"))).select("a", "b"))
-    wanted = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    texts = durable(slim.select("row_key", "text").join(wanted.hint("shuffle_hash"), F.col("row_key") == F.col("k")).select("row_key", "text"))
+    held = slim.select("row_key", "text").join(hits.hint("shuffle_hash"), F.col("row_key") == F.col("k")).select("row_key", "text", "hits")
+    sets = durable(held.mapInArrow(_sets(least), "doc long, n int, names binary"))
+    posts = durable(_rare(sets, least))
     release(docs.sparkSession)
-    one, two = (texts.select(dealt_anew("row_key").alias(k), F.col("text").alias(f"t{k}")) for k in ("a", "b"))
-    return close.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(_alike(least), "a long, b long")
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        prints = [np.unique(np.frombuffer(x, dtype=np.uint64)).view(np.int64) for x in b.column(1).to_pylist()]
-        sizes = np.array([len(p) for p in prints], dtype=np.int64)
-        if sizes.sum():
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.concatenate(prints)), pa.array(np.repeat(sizes, sizes).astype(np.int32))], names=["doc", "part", "n"])
+    near = durable(_verified(_to_heads(posts), sets, least))
+    return near.union(_verified(durable(_across(posts, components(near), least)), sets, least))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, least: float | None = SIMILAR) -> DataFrame:

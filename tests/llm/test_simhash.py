@@ -119,3 +119,43 @@ def test_part_prints_follow_the_text():
     a, b = prose(1, 3000, 10**6), prose(2, 40, 10**6)
     one, two = (set(simhash.parts(rolling(word_hashes(t.encode().split(), known), 5))[0].tolist()) for t in (a, b + " " + a))
     assert len(one - two) <= 1 and 100 < len(one) < 300
+
+
+def brute_kept(rows, least=0.8):
+    """doc_ids that are the least of their component, by exact similarity of all pairs."""
+    text = dict(rows)
+    root = {i: i for i in text}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    sets = {i: set(simhash.shingles(t, 5)) for i, t in rows}
+    for a in text:
+        for b in text:
+            if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in text if find(i) == i}
+
+
+def linked(make, rows):
+    found = components(simhash.similar_pairs(make(rows))).collect()
+    return set(dict(rows)) - {r["node"] for r in found}
+
+
+def test_copies_that_are_alike_only_through_a_document_in_the_middle(make):
+    rows = []
+    for g in range(4):
+        base = prose(70 + g, 300, 10**6)
+        rows += [(1000 * g + i, edited(base, 1000 * g + i, 5) if i != 37 else base) for i in range(80)]
+    assert brute_kept(rows) == {0, 1000, 2000, 3000}
+    assert linked(make, rows) == brute_kept(rows)
+
+
+def test_links_that_no_head_makes(make, monkeypatch):
+    """Whatever the heads of posting lists leave in two components is found."""
+    rows = [(i, edited(prose(i // 6, 120, 10**6), i, 1)) for i in range(60)]
+    monkeypatch.setattr(simhash, "_to_heads", lambda posts: posts.selectExpr("doc AS a", "doc AS b").where("false"))
+    assert len(brute_kept(rows)) < 60 and linked(make, rows) == brute_kept(rows)
