@@ -159,3 +159,17 @@ def test_links_that_no_head_makes(make, monkeypatch):
     rows = [(i, edited(prose(i // 6, 120, 10**6), i, 1)) for i in range(60)]
     monkeypatch.setattr(simhash, "_to_heads", lambda posts: posts.selectExpr("doc AS a", "doc AS b").where("false"))
     assert len(brute_kept(rows)) < 60 and linked(make, rows) == brute_kept(rows)
+
+
+def test_short_texts_with_one_edit(make):
+    rows = []
+    for i in range(160):
+        size = 20 + i // 4
+        text = prose(400 + i, size, 10**6)
+        # A word near an end changes one or two shingles.
+        w = text.split()
+        w[(-1, -2, 0, random.Random(i).randrange(size))[i % 4]] = f"new{i}"
+        rows += [(2 * i, text), (2 * i + 1, " ".join(w))]
+    want = brute_kept(rows)
+    assert 160 <= len(want) < 250
+    assert linked(make, rows) == want
