@@ -1,11 +1,12 @@
 """Operator 5: benchmark items in documents, also with other numbers, names and units.
 
 Words are canonicalised: lower case, no punctuation, and typed placeholders for numbers, names
-and units. Documents are cut into non-overlapping template windows, the benchmark into every
-rolling one, and the two are hash-joined; a hit fixes where the item would begin. The item's
-whole template is then compared with the document at that place, and each slot value of the
-item has to stand for one value throughout. Only DataFrame functions are used. The benchmark
-is broadcast where its windows are few enough, by count; otherwise windows are shuffled.
+and units. An item that may have e words changed is cut into e + 1 template windows, one of which
+is unbroken wherever the item stands; documents have every rolling window of those lengths, and
+the two are hash-joined; a hit fixes where the item would begin. The item's whole template is then
+compared with the document at that place, and each slot value of the item has to stand for one
+value throughout. Only DataFrame functions are used. The benchmark is broadcast where its windows
+are few enough, by count; otherwise windows are shuffled.
 """
 
 from __future__ import annotations
@@ -13,9 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable, let, words
+from terraloom.llm.common import durable, words
 
-WINDOW = 6
 MIN_MATCH = 0.8
 MIN_WORDS = 8
 #: Windows of the benchmark that may be broadcast: 16 bytes or so each.
@@ -44,63 +44,80 @@ def templates(text: Column) -> Column:
     return F.filter(words(F.lower(units)), lambda w: w != "")
 
 
-def _hash(t: Column, start: Column, window: int) -> Column:
+def _hash(t: Column, start: Column, window: Column) -> Column:
     return F.xxhash64(F.slice(t, start + 1, window))
 
 
-def rolling(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """(h, item, item_at, item_template, item_words) for every window of every item."""
+def probing(items: DataFrame, item_id: str, text: str, min_match: float) -> DataFrame:
+    """(h, item, item_at, window, item_template, item_words): windows of every item that don't overlap.
+
+    There is one more than words that a match may miss, so that one at least is found unbroken.
+    """
     rows = items.select(F.col(item_id).alias("item"), templates(F.col(text)).alias("item_template"), raw_words(F.col(text)).alias("item_words"))
-    rows = rows.where(F.size("item_template") >= F.lit(max(window, MIN_WORDS))).dropDuplicates()
-    at = F.explode(F.sequence(F.lit(0), F.size("item_template") - window)).alias("item_at")
-    return rows.select("*", at).withColumn("h", _hash(F.col("item_template"), F.col("item_at"), window))
+    size = F.size("item_template")
+    rows = rows.where(size >= MIN_WORDS).dropDuplicates()
+    rows = rows.withColumn("_parts", F.least(size, F.floor(size * (1 - min_match) + 1e-9).cast("int") + 1))
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: F.floor(k * size / F.col("_parts")).cast("int"))).alias("item_at")
+    rows = rows.select("*", F.floor(size / F.col("_parts")).cast("int").alias("window"), at).drop("_parts")
+    return rows.withColumn("h", _hash(F.col("item_template"), F.col("item_at"), F.col("window")))
 
 
-def _agrees(b: Column, d: Column, raw_b: Column, raw_d: Column) -> Column:
-    """Share of equal template words, and whether each slot value of b has one value in d."""
-    same = F.size(F.filter(F.zip_with(b, d, lambda x, y: x == y), lambda x: x)) / F.size(b)
+def _match(b: Column, d: Column) -> Column:
+    """Share of the template words of b that d has at their places."""
+    return F.size(F.filter(F.zip_with(b, d, lambda x, y: x == y), lambda x: x)) / F.size(b)
+
+
+def _slots(b: Column, raw_b: Column, raw_d: Column) -> Column:
+    """Whether each slot value of b has one value in d, and whether any is another."""
     slots = F.filter(F.arrays_zip(b.alias("t"), raw_b.alias("x"), raw_d.alias("y")), lambda s: s["t"].startswith("\x01"))
     pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(F.lower(s["x"]).alias("x"), F.lower(s["y"]).alias("y"))))
     values = F.array_distinct(F.transform(slots, lambda s: F.lower(s["x"])))
-    return F.struct(same.alias("match"), (F.size(pairs) == F.size(values)).alias("consistent"), F.exists(slots, lambda s: F.lower(s["x"]) != F.lower(s["y"])).alias("reparameterised"))
+    return F.struct((F.size(pairs) == F.size(values)).alias("consistent"), F.exists(slots, lambda s: F.lower(s["x"]) != F.lower(s["y"])).alias("reparameterised"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, min_match: float = MIN_MATCH) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: float = MIN_MATCH) -> DataFrame:
     """(doc_id, item_id, word_at, match, reparameterised): where a document holds an item.
 
-    One row per document and item, at its best place (the first of the best). An item of at
-    least 2 * window - 1 words that stands unbroken in a document holds one of its windows, so
-    it is found whatever stands around it. Null texts and items of fewer than 8 words hold
-    nothing; repeated rows give one row; empty tables give none.
+    One row per document and item, at its best place (the first of the best). Every place that
+    agrees with an item in `min_match` of its words is found, whatever stands around it. Null
+    texts and items of fewer than 8 words hold nothing; repeated rows give one row; empty tables
+    give none.
     """
     docs = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    probes = durable(rolling(items.select(F.col(item_id), F.col(item_text)), item_id, item_text, window))
+    probes = durable(probing(items.select(F.col(item_id), F.col(item_text)), item_id, item_text, min_match))
     n = probes.count()
+    # Lengths of windows: two at a match of 0.8, whatever the items.
+    lengths = sorted(r["window"] for r in probes.select("window").distinct().collect())
 
     def cut(t: Column) -> Column:
-        starts = F.when(F.size(t) >= window, F.sequence(F.lit(0), F.size(t) - window, F.lit(window))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.struct(s.alias("at"), _hash(t, s, window).alias("h")))
+        def of(window: int) -> Column:
+            starts = F.when(F.size(t) >= window, F.sequence(F.lit(0), F.size(t) - window)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda s: F.struct(s.alias("at"), _hash(t, s, F.lit(window)).alias("h")))
+
+        return F.concat(*map(of, lengths)) if lengths else F.array().cast("array<struct<at:int,h:bigint>>")
 
-    hashed = docs.select("_doc", "_text", F.explode(let(templates(F.col("_text")), cut)).alias("_block"))
+    keys = probes.select("h", "item", "item_at")
+    whole = probes.where("item_at = 0").select(F.col("item").alias("i"), "item_template", "item_words")
+    begin = (F.col("_block.at") - F.col("item_at")).alias("begin")
+    cols = ["_doc", "_text", "_t", "item", "begin"]
+    hashed = docs.withColumn("_t", templates(F.col("_text")))
     if n <= BROADCAST_WINDOWS:
-        keys = F.broadcast(probes.select("h", "item", "item_at"))
-        hits = hashed.join(keys, F.col("_block.h") == F.col("h")).select("_doc", "_text", "item", (F.col("_block.at") - F.col("item_at")).alias("begin"))
-        whole = F.broadcast(probes.where("item_at = 0").select(F.col("item").alias("i"), "item_template", "item_words"))
+        hashed = hashed.select("_doc", "_text", "_t", F.explode(cut(F.col("_t"))).alias("_block"))
+        hits = hashed.join(F.broadcast(keys), F.col("_block.h") == F.col("h")).select("_doc", "_text", "_t", "item", begin)
+        whole = F.broadcast(whole)
     else:
         # One row for a document, an item and a place, before texts come in again.
-        hits = hashed.select("_doc", "_block").join(probes.select("h", "item", "item_at"), F.col("_block.h") == F.col("h"))
-        hits = hits.select("_doc", "item", (F.col("_block.at") - F.col("item_at")).alias("begin")).distinct().join(docs, "_doc")
-        whole = probes.where("item_at = 0").select(F.col("item").alias("i"), "item_template", "item_words")
-    placed = hits.where("begin >= 0").dropDuplicates(["_doc", "item", "begin"]) if n > BROADCAST_WINDOWS else hits.where("begin >= 0")
-    placed = placed.join(whole, F.col("item").eqNullSafe(F.col("i")))
+        hashed = hashed.select("_doc", F.explode(cut(F.col("_t"))).alias("_block"))
+        hits = hashed.join(keys, F.col("_block.h") == F.col("h")).select("_doc", "item", begin).distinct()
+        hits = hits.join(docs.withColumn("_t", templates(F.col("_text"))), "_doc").select(*cols)
+    placed = hits.where("begin >= 0").join(whole, F.col("item").eqNullSafe(F.col("i")))
     size = F.size("item_template")
-    found = let(
-        F.struct(templates(F.col("_text")).alias("t"), raw_words(F.col("_text")).alias("w")),
-        lambda x: _agrees(F.col("item_template"), F.slice(x["t"], F.col("begin") + 1, size), F.col("item_words"), F.slice(x["w"], F.col("begin") + 1, size)),
-    )
-    best = placed.select("_doc", "item", "begin", found.alias("f")).where((F.col("f.match") >= min_match) & F.col("f.consistent"))
-    best = best.groupBy("_doc", "item").agg(F.max_by("f", F.struct(F.col("f.match"), -F.col("begin"))).alias("f"), F.max_by("begin", F.struct(F.col("f.match"), -F.col("begin"))).alias("begin"))
-    return best.select(F.col("_doc").alias(doc_id), F.col("item").alias(item_id), F.col("begin").alias("word_at"), F.col("f.match").alias("match"), F.col("f.reparameterised").alias("reparameterised"))
+    placed = placed.withColumn("_match", _match(F.col("item_template"), F.slice("_t", F.col("begin") + 1, size))).where(F.col("_match") >= min_match)
+    slots = _slots(F.col("item_template"), F.col("item_words"), F.slice(raw_words(F.col("_text")), F.col("begin") + 1, size))
+    best = placed.select("_doc", "item", "begin", "_match", slots.alias("s")).where("s.consistent")
+    first = F.struct(F.col("_match"), -F.col("begin"))
+    best = best.groupBy("_doc", "item").agg(F.max("_match").alias("match"), F.max_by("s", first).alias("s"), F.max_by("begin", first).alias("begin"))
+    return best.select(F.col("_doc").alias(doc_id), F.col("item").alias(item_id), F.col("begin").alias("word_at"), "match", F.col("s.reparameterised").alias("reparameterised"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

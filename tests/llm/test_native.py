@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -156,6 +157,27 @@ def test_leaks_of_odd_rows(make, items, odd, spark):
     assert decontaminate.without_leaks(make(odd), items.limit(0)).count() == len(odd)
 
 
+def test_changed_words_and_short_items_are_found(make, spark):
+    """Every item of 8 to 60 words, verbatim and with as many words changed as a match may miss, at any alignment."""
+    r = random.Random(5)
+    texts = {m: [f"q{m}x{k}" for k in range(m)] for m in [*range(8, 32), 45, 60]}
+    items = spark.createDataFrame([(m, " ".join(w)) for m, w in texts.items()], "item_id long, text string")
+    rows, want = [], set()
+    for m, w in texts.items():
+        for k in range(6):
+            at = prose(m * 10 + k, k)
+            rows.append((m * 100 + k, f"{at} {' '.join(w)} {prose(k, 9)}".strip()))
+            want.add((m * 100 + k, m))
+            for more in (0, 1):
+                changed = list(w)
+                for i in r.sample(range(m), m // 5 + more):
+                    changed[i] = "other"
+                rows.append((m * 100 + 10 + 10 * more + k, f"{at} {' '.join(changed)} {prose(k, 9)}".strip()))
+                if not more:
+                    want.add((m * 100 + 10 + k, m))
+    assert set(leaks(make, items, rows)) == want
+
+
 def brute_place(key, weights, rack_shards=4, region_racks=2):
     import math
 
