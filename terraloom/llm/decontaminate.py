@@ -44,12 +44,8 @@ def templates(text: Column) -> Column:
     return F.filter(words(F.lower(units)), lambda w: w != "")
 
 
-def _hash(t: Column, start: Column, window: Column) -> Column:
-    return F.xxhash64(F.slice(t, start + 1, window))
-
-
 def probing(items: DataFrame, item_id: str, text: str, min_match: float) -> DataFrame:
-    """(h, item, item_at, window, item_template, item_words): windows of every item that don't overlap.
+    """(item, item_at, window, item_template, item_words): windows of every item that don't overlap.
 
     There is one more than words that a match may miss, so that one at least is found unbroken.
     """
@@ -58,8 +54,7 @@ def probing(items: DataFrame, item_id: str, text: str, min_match: float) -> Data
     rows = rows.where(size >= MIN_WORDS).dropDuplicates()
     rows = rows.withColumn("_parts", F.least(size, F.floor(size * (1 - min_match) + 1e-9).cast("int") + 1))
     at = F.explode(F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda k: F.floor(k * size / F.col("_parts")).cast("int"))).alias("item_at")
-    rows = rows.select("*", F.floor(size / F.col("_parts")).cast("int").alias("window"), at).drop("_parts")
-    return rows.withColumn("h", _hash(F.col("item_template"), F.col("item_at"), F.col("window")))
+    return rows.select("*", F.floor(size / F.col("_parts")).cast("int").alias("window"), at).drop("_parts")
 
 
 def _match(b: Column, d: Column) -> Column:
@@ -83,33 +78,30 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     texts and items of fewer than 8 words hold nothing; repeated rows give one row; empty tables
     give none.
     """
-    docs = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
+    # A row is known by a hash of all it holds: doc_ids may be null or repeated.
+    docs = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.lit("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
     probes = durable(probing(items.select(F.col(item_id), F.col(item_text)), item_id, item_text, min_match))
-    n = probes.count()
-    # Lengths of windows: two at a match of 0.8, whatever the items.
-    lengths = sorted(r["window"] for r in probes.select("window").distinct().collect())
-
-    def cut(t: Column) -> Column:
-        def of(window: int) -> Column:
-            starts = F.when(F.size(t) >= window, F.sequence(F.lit(0), F.size(t) - window)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda s: F.struct(s.alias("at"), _hash(t, s, F.lit(window)).alias("h")))
-
-        return F.concat(*map(of, lengths)) if lengths else F.array().cast("array<struct<at:int,h:bigint>>")
-
-    keys = probes.select("h", "item", "item_at")
+    n, least = probes.agg(F.count(F.lit(1)), F.coalesce(F.min("window"), F.lit(1))).collect()[0]
+    # Windows are looked up by the first words, as many as the shortest has, and the next one of a longer window.
+    first_words = F.xxhash64(*[F.get("item_template", F.col("item_at") + i) for i in range(least)])
+    next_word = F.when(F.col("window") > least, F.xxhash64(F.get("item_template", F.col("item_at") + least)))
+    keys = probes.select(first_words.alias("h"), next_word.alias("next"), "item", "item_at")
     whole = probes.where("item_at = 0").select(F.col("item").alias("i"), "item_template", "item_words")
-    begin = (F.col("_block.at") - F.col("item_at")).alias("begin")
-    cols = ["_doc", "_text", "_t", "item", "begin"]
-    hashed = docs.withColumn("_t", templates(F.col("_text")))
+    fits = (F.col("_h") == F.col("h")) & (F.col("next").isNull() | (F.col("next") == F.xxhash64(f"_w.w{least}")))
+    begin = (F.col("_at") - F.col("item_at")).alias("begin")
+    # Words side by side with those behind them: exploding is compiled, functions over arrays aren't.
+    rolling = F.posexplode(F.arrays_zip(*[F.slice("_t", i + 1, F.size("_t")).alias(f"w{i}") for i in range(least + 1)])).alias("_at", "_w")
+    hashed = docs.withColumn("_t", templates(F.col("_text"))).where(F.size("_t") >= least)
+    h = F.xxhash64(*[f"_w.w{i}" for i in range(least)]).alias("_h")
     if n <= BROADCAST_WINDOWS:
-        hashed = hashed.select("_doc", "_text", "_t", F.explode(cut(F.col("_t"))).alias("_block"))
-        hits = hashed.join(F.broadcast(keys), F.col("_block.h") == F.col("h")).select("_doc", "_text", "_t", "item", begin)
+        hashed = hashed.select("_doc", "_text", "_t", rolling).select("*", h)
+        hits = hashed.join(F.broadcast(keys), fits).select("_doc", "_text", "_t", "item", begin)
         whole = F.broadcast(whole)
     else:
-        # One row for a document, an item and a place, before texts come in again.
-        hashed = hashed.select("_doc", F.explode(cut(F.col("_t"))).alias("_block"))
-        hits = hashed.join(keys, F.col("_block.h") == F.col("h")).select("_doc", "item", begin).distinct()
-        hits = hits.join(docs.withColumn("_t", templates(F.col("_text"))), "_doc").select(*cols)
+        # One row for a row of docs, an item and a place, before texts come in again.
+        hashed = hashed.select("_row", rolling).select("*", h)
+        hits = hashed.join(keys, fits).select(F.col("_row").alias("_hit"), "item", begin).distinct()
+        hits = hits.join(docs, F.col("_hit") == F.col("_row")).withColumn("_t", templates(F.col("_text"))).select("_doc", "_text", "_t", "item", "begin")
     placed = hits.where("begin >= 0").join(whole, F.col("item").eqNullSafe(F.col("i")))
     size = F.size("item_template")
     placed = placed.withColumn("_match", _match(F.col("item_template"), F.slice("_t", F.col("begin") + 1, size))).where(F.col("_match") >= min_match)

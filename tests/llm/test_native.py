@@ -157,6 +157,16 @@ def test_leaks_of_odd_rows(make, items, odd, spark):
     assert decontaminate.without_leaks(make(odd), items.limit(0)).count() == len(odd)
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_leaks_in_null_and_repeated_doc_ids(make, items, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    leak = prose(3, 7) + " " + prose(77, 30, 10**5)
+    rows = [(None, leak), (None, prose(4, 60)), (None, None), (5, prose(5, 60)), (5, leak + " end"), (5, leak + " end"), (6, prose(6, 60))]
+    assert leaks(make, items, rows) == {(None, 2): False, (5, 2): False}
+    kept = [r["text"] for r in decontaminate.without_leaks(make(rows), items).collect()]
+    assert prose(6, 60) in kept and not any(t and leak in t for t in kept)
+
+
 def test_changed_words_and_short_items_are_found(make, spark):
     """Every item of 8 to 60 words, verbatim and with as many words changed as a match may miss, at any alignment."""
     r = random.Random(5)
