@@ -2,7 +2,8 @@
 
 Trees are trained on labelled URLs: a bounded sample that is labelled by words in the host
 (public lists of unwanted hosts are full of them). They never see a word: only lengths, depth,
-digit and hyphen shares, entropy, counts of parameters and figures of the suffix.
+digit and hyphen shares, entropy, counts of parameters and figures of the suffix, which are
+tallied over all labelled URLs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import bounded_sample
+from terraloom.llm.common import bounded_broadcast, bounded_sample, durable
 from terraloom.llm.gbt import Trees, fit
 
 #: At most so many labelled URLs train the trees: those of the smallest hash.
@@ -25,6 +26,8 @@ TRAINING_ROWS = 20_000
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 UNWANTED = "casino bet bets pills cheap spam adult xxx porn ads track win free-bets lottery loan viagra malware phish warez torrent"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The share and the log count of a suffix that no labelled URL has.
+UNSEEN = (0.5, 0.0)
 FEATURES = 23  # that _lexical() gives
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -52,14 +55,13 @@ def _entropy(s: str) -> float:
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values()) if s else 0.0
 
 
-def _lexical(url: str, suffixes: dict[str, tuple[float, float]]) -> list[float]:
+def _lexical(url: str, share: float, seen: float) -> list[float]:
     before, sep, rest = url.partition("://")
     end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest)) if sep else 0
     host, tail = rest[:end].lower() if sep else "", rest[end:] if sep else url
     path, _, query = tail.partition("#")[0].partition("?")
     labels = host.split(".")
     size = max(1, len(url))
-    share, seen = suffixes.get(".".join(labels[-2:]), (0.5, 0.0))
     main = max(labels, key=len, default="")
     return [
         len(url), len(host), len(path), len(query), len(labels), path.count("/"), sum(c.isdigit() for c in url) / size, sum(c.isdigit() for c in host) / max(1, len(host)), host.count("-"), path.count("-"),
@@ -68,14 +70,24 @@ def _lexical(url: str, suffixes: dict[str, tuple[float, float]]) -> list[float]:
 
 
 def features(urls: Sequence[str | None], suffixes: dict[str, tuple[float, float]]) -> np.ndarray:
-    rows = [_lexical(u or "", suffixes) for u in urls]
+    return _features(urls, [suffixes.get(suffix_of(u or ""), UNSEEN) for u in urls])
+
+
+def _features(urls: Sequence[str | None], of_suffix: Sequence[tuple[float, float]]) -> np.ndarray:
+    rows = [_lexical(u or "", *x) for u, x in zip(urls, of_suffix, strict=True)]
     return np.array(rows or np.zeros((0, FEATURES)), dtype=np.float64)
 
 
 def suffix_of(url: str) -> str:
+    """The last two labels of the host, A-Z in lower case."""
     rest = url.partition("://")[2]
     end = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
-    return ".".join(rest[:end].lower().split(".")[-2:])
+    return ".".join(rest[:end].translate(str.maketrans(_UPPER, _LOWER)).split(".")[-2:])
+
+
+def suffix(url: Column) -> Column:
+    """suffix_of() as a column."""
+    return F.substring_index(host_of(url), ".", -2)
 
 
 def labelled_by_words(urls: DataFrame, url: str = "url", words: str = UNWANTED) -> DataFrame:
@@ -85,31 +97,46 @@ def labelled_by_words(urls: DataFrame, url: str = "url", words: str = UNWANTED)
     return urls.select(F.col(url).alias("url"), F.arrays_overlap(parts, F.array(*[F.lit(w) for w in words.split()])).cast("int").alias("label"))
 
 
-def train(labelled: DataFrame, rows: int = TRAINING_ROWS) -> tuple[Trees, dict[str, tuple[float, float]]]:
-    """Trees and suffix statistics from (url, label), at most `rows` of them; nulls don't count.
+def _distinct(labelled: DataFrame) -> DataFrame:
+    """Each url once, with the larger of its labels; nulls don't count."""
+    return labelled.where("url IS NOT NULL AND label IS NOT NULL").groupBy("url").agg(F.max("label").alias("label"))
+
+
+def statistics(labelled: DataFrame) -> DataFrame:
+    """(suffix, share, seen) for every suffix of (url, label): the smoothed share of unwanted urls, and the log of 1 + their count."""
+    by_suffix = _distinct(labelled).groupBy(suffix(F.col("url")).alias("suffix")).agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
+    return by_suffix.select("suffix", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("share"), F.log1p("n").alias("seen"))
+
+
+def _with_statistics(urls: DataFrame, suffixes: DataFrame, url: str) -> DataFrame:
+    """urls plus _share and _seen of each one's suffix."""
+    known = suffixes.select(F.coalesce("suffix", F.lit("")).alias("_known"), F.col("share").alias("_s"), F.col("seen").alias("_n"))
+    joined = urls.join(bounded_broadcast(known, suffixes.count()), suffix(F.col(url)) == F.col("_known"), "left")
+    return joined.withColumn("_share", F.coalesce("_s", F.lit(UNSEEN[0]))).withColumn("_seen", F.coalesce("_n", F.lit(UNSEEN[1]))).drop("_known", "_s", "_n")
+
+
+def train(labelled: DataFrame, rows: int = TRAINING_ROWS, suffixes: DataFrame | None = None) -> tuple[Trees, dict[str, tuple[float, float]]]:
+    """Trees from (url, label), at most `rows` of them, and the suffix statistics of those rows.
 
-    A url counts once, with the larger of its labels.
+    The statistics are tallied over all labelled rows, or given. A url counts once, with the
+    larger of its labels; nulls don't count.
     """
-    distinct = labelled.where("url IS NOT NULL AND label IS NOT NULL").groupBy("url").agg(F.max("label").alias("label"))
-    got = bounded_sample(distinct, "url", rows).collect()
-    tally: dict[str, list[int]] = {}
-    for r in got:
-        x = tally.setdefault(suffix_of(r["url"]), [0, 0])
-        x[0] += r["label"]
-        x[1] += 1
-    suffixes = {k: ((a + 1) / (n + 2), math.log1p(n)) for k, (a, n) in tally.items()}
-    return fit(features([r["url"] for r in got], suffixes), np.array([float(r["label"]) for r in got]), trees=40, depth=4), suffixes
+    if suffixes is None:
+        suffixes = durable(statistics(labelled))
+    got = _with_statistics(bounded_sample(_distinct(labelled), "url", rows), suffixes, "url").orderBy(F.xxhash64("url"), "url").collect()
+    known = {suffix_of(r["url"]): (r["_share"], r["_seen"]) for r in got}
+    return fit(features([r["url"] for r in got], known), np.array([float(r["label"]) for r in got]), trees=40, depth=4), known
 
 
-def score_urls(urls: DataFrame, model: Trees, suffixes: dict[str, tuple[float, float]], url: str = "url", name: str = "_score") -> DataFrame:
-    """urls plus the probability that each is unwanted; null and empty urls have one too."""
+def score_urls(urls: DataFrame, model: Trees, suffixes: DataFrame, url: str = "url", name: str = "_score") -> DataFrame:
+    """urls plus the probability that each is unwanted; null and empty urls have one too. suffixes: statistics()."""
 
     @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series(model.score(features([x if isinstance(x, str) else "" for x in s], suffixes)))
+    def score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, share, seen in parts:
+            yield pd.Series(model.score(_features([x if isinstance(x, str) else "" for x in s], list(zip(share, seen, strict=True)))))
 
-    return urls.withColumn(name, score(F.col(url)))
+    return _with_statistics(urls, suffixes, url).withColumn(name, score(F.col(url), F.col("_share"), F.col("_seen"))).drop("_share", "_seen")
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -120,7 +147,9 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[t
     labelled urls, those of pages are labelled by the words in their hosts.
     """
     slim = pages.select(F.col(key), F.col(url).cast("string").alias("url"))
-    model, suffixes = train(labelled_by_words(slim) if labelled is None else labelled)
+    labelled = labelled_by_words(slim) if labelled is None else labelled
+    suffixes = durable(statistics(labelled))
+    model, _ = train(labelled, suffixes=suffixes)
     parts = slim.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     judged = score_urls(parts, model, suffixes).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when((F.col("host") != "") & (F.col("_score") >= 0.5), "block").otherwise("allow")

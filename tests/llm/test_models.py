@@ -83,6 +83,20 @@ def test_trees_find_unwanted_hosts(spark):
     assert gbt.auc(np.array([r["label"] for r in held]), s) > 0.95
 
 
+def test_suffix_statistics_are_of_all_urls(spark):
+    rows = [(f"http://{'casino' if i % 4 == 0 else 'shop'}{'-' if i % 4 == 0 else ''}x{i}.S{i % 50}.org/{i}",) for i in range(2000)] * 2 + [(None,), ("no scheme",)]
+    labelled = url_filter.labelled_by_words(spark.createDataFrame(rows, "url string"))
+    tally = {}
+    for u, label in {(r["url"], r["label"]) for r in labelled.collect() if r["url"] is not None}:
+        n, bad = tally.get(url_filter.suffix_of(u), (0, 0))
+        tally[url_filter.suffix_of(u)] = n + 1, bad + label
+    want = {k: pytest.approx(((bad + 1) / (n + 2), np.log1p(n))) for k, (n, bad) in tally.items()}
+    assert {r["suffix"]: (r["share"], r["seen"]) for r in url_filter.statistics(labelled).collect()} == want
+    # A small sample of rows to fit to has the figures of all.
+    _, known = url_filter.train(labelled, 20)
+    assert 5 < len(known) <= 20 and all(known[k] == want[k] for k in known)
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<article><p>no</p></article>";</script></head><body class="home"><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a><li><a href="/b">B</a></ul></nav><div class="cookie-notice">We use cookies on this site, many of them, all of the time.</div>
 <div class="content-{n}"><h1>Head&nbsp;line &amp; more</h1><p>First   paragraph with <b>bo</b>ld text,
