@@ -417,16 +417,19 @@ def normalize_interferogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _passes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Grid]:
-    events = read(spark, sf_dir, "events")
-    k = F.col("event_id")
-    cells = events.select(F.col("event_type").alias("raster_id"), F.lit(2).alias("band"), F.floor(k * 7919 % 900 / 30).cast("int").alias("row"), (k * 7919 % 30).cast("int").alias("col"), F.col("value"))
+    """How often each cell is water, from all orders, and a pass for each type of event, from all events."""
+    orders, events = read(spark, sf_dir, "orders"), read(spark, sf_dir, "events")
+    h, k = _height(orders, "o_orderkey", W), F.col("o_orderkey")
+    at = F.col("event_id") * 7919 % (h * W)
+    cells = events.select(F.col("event_type").alias("raster_id"), F.lit(2).alias("band"), F.floor(at / W).cast("int").alias("row"), (at % W).cast("int").alias("col"), F.col("value"))
     one = cells.groupBy("raster_id", "band", "row", "col").agg(F.max("value").alias("value"))
-    freq = read(spark, sf_dir, "orders").where("o_orderkey < 900").select(F.lit(1).alias("band"), F.floor(F.col("o_orderkey") / 30).cast("int").alias("row"), (F.col("o_orderkey") % 30).cast("int").alias("col"), (F.col("o_orderkey") * 37 % 100 / 100).alias("value"))
-    return freq, one, Grid(30, 30)
+    freq = orders.select(F.lit(1).alias("band"), F.floor(k / W).cast("int").alias("row"), (k % W).cast("int").alias("col"), (k * 37 % 100 / 100).alias("value"))
+    return freq, one, Grid(W, h)
 
 
-_PASSES = """f AS (SELECT CAST(floor(o_orderkey / 30) AS INT) AS r, CAST(o_orderkey % 30 AS INT) AS c, o_orderkey * 37 % 100 / 100 >= 0.3 AS m FROM orders WHERE o_orderkey < 900),
-p AS (SELECT event_type, CAST(floor(event_id * 7919 % 900 / 30) AS INT) AS r, CAST(event_id * 7919 % 30 AS INT) AS c, max(value) AS v FROM events GROUP BY 1, 2, 3),
+_PASSES = f"""size AS (SELECT CAST(max(floor(o_orderkey / {W})) AS BIGINT) + 1 AS h FROM orders),
+f AS (SELECT CAST(floor(o_orderkey / {W}) AS INT) AS r, CAST(o_orderkey % {W} AS INT) AS c, o_orderkey * 37 % 100 / 100 >= 0.3 AS m FROM orders),
+p AS (SELECT event_type, CAST(floor(event_id * 7919 % (h * {W}) / {W}) AS INT) AS r, CAST(event_id * 7919 % (h * {W}) % {W} AS INT) AS c, max(value) AS v FROM events, size GROUP BY 1, 2, 3),
 a AS (SELECT r, c, median(v) AS v, count(v) AS n FROM p GROUP BY r, c)"""
 
 
@@ -441,15 +444,15 @@ def water_elevation_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "water_elevation_filled",
-    """WITH RECURSIVE f AS (SELECT CAST(floor(o_orderkey / 30) AS INT) AS r, CAST(o_orderkey % 30 AS INT) AS c, o_orderkey * 37 % 100 / 100 >= 0.3 AS m FROM orders WHERE o_orderkey < 900),
-p AS (SELECT CAST(floor(event_id * 7919 % 900 / 30) AS INT) AS r, CAST(event_id * 7919 % 30 AS INT) AS c, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1, 2),
-w(i, r, c, m, v) AS (SELECT 0, f.r, f.c, m, CASE WHEN m THEN v END FROM f LEFT JOIN p ON f.r = p.r AND f.c = p.c
-  UNION ALL SELECT i + 1, r, c, m, v FROM (SELECT a.i, a.r, a.c, a.m, CASE WHEN a.m THEN coalesce(a.v, avg(b.v)) END AS v FROM w a LEFT JOIN w b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE a.i < 30 GROUP BY a.i, a.r, a.c, a.m, a.v))
-SELECT r AS row, c AS col, round(last.v, 6) AS wse, CAST(CASE WHEN m AND p.v IS NOT NULL THEN 1 ELSE 0 END AS INT) AS confidence, CAST(m AS INT) AS mask FROM (SELECT r, c, m, w.v FROM w WHERE i = 30) AS last LEFT JOIN p USING (r, c)""",
+    f"""WITH RECURSIVE {_PASSES},
+w(i, r, c, m, v) AS (SELECT 0, f.r, f.c, m, CASE WHEN m THEN v END FROM f LEFT JOIN a ON f.r = a.r AND f.c = a.c
+  UNION ALL SELECT i + 1, r, c, m, CASE WHEN m THEN coalesce(v, near) END FROM (SELECT x.i, x.r, x.c, x.m, x.v, avg(y.v) AS near FROM w x
+    LEFT JOIN (SELECT r + dr AS r, c + dc AS c, v FROM w, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) AS step(dr, dc)) y ON x.r = y.r AND x.c = y.c WHERE x.i < 40 GROUP BY ALL))
+SELECT r AS row, c AS col, round(w.v, 6) AS wse, CAST(CASE WHEN m THEN coalesce(n, 0) ELSE 0 END AS INT) AS confidence, CAST(m AS INT) AS mask FROM w LEFT JOIN (SELECT r, c, n FROM a) USING (r, c) WHERE i = 40""",
 )
 def water_elevation_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     freq, passes, grid = _passes(spark, sf_dir)
-    return _rounded(mosaic.water_elevation_mosaic(freq, passes.where("raster_id = 'click'"), grid)[0], 6, "wse")
+    return _rounded(mosaic.water_elevation_mosaic(freq, passes, grid)[0], 6, "wse")
 
 
 @query("scatter_last", "SELECT CAST(least(19, floor(event_id * 31 % 500 / 25)) AS INT) AS row, CAST(event_id * 17 % 25 AS INT) AS col, max_by(value, event_id) AS value FROM events GROUP BY 1, 2")

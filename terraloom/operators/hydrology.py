@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.raster import Grid, valid, with_neighbours
-from terraloom.plans.session import ensure_checkpoint_dir
+from terraloom.plans.session import cut
 
 TILE = 256
 # D8 codes 0 to 7 as (row step, column step), from east clockwise.
@@ -26,11 +26,6 @@ OUTLET, PIT, NODATA = 8, 9, -1
 _NAMES = ("e", "se", "s", "sw", "w", "nw", "n", "ne")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _by_tile(cells: DataFrame, solve: Callable[[dict[str, np.ndarray]], np.ndarray], names: tuple[str, ...], out: str, tile: int) -> DataFrame:
     """cells with column `out` as solved in each tile with a margin of one cell.
 
@@ -84,7 +79,7 @@ def _spread(cost: Callable[[float, float], float], base: str, value: str) -> Cal
 def _settle(cells: DataFrame, solve: Callable, names: tuple[str, ...], out: str, tile: int, one: bool) -> DataFrame:
     mark = None
     while True:
-        cells = _cut(_by_tile(cells, solve, names, out, tile))
+        cells = cut(_by_tile(cells, solve, names, out, tile))
         if one:
             return cells
         known = F.col(out) < math.inf
@@ -147,7 +142,7 @@ def d8_flow_direction(cells: DataFrame, grid: Grid, nodata: float | None = None)
         code = F.when(F.coalesce(d == most, F.lit(False)), F.lit(i)).otherwise(code)
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == grid.height - 1) | (F.col("col") == grid.width - 1)
     first = F.when(F.col("z").isNull(), NODATA).when(most > 0, code).when(edge, OUTLET).otherwise(PIT)
-    coded = _cut(near.select("raster_id", "band", "row", "col", "z", first.cast("int").alias("code")))
+    coded = cut(near.select("raster_id", "band", "row", "col", "z", first.cast("int").alias("code")))
     pits = coded.where(F.col("code") == PIT)
     if not pits.take(1):
         return coded.select("raster_id", "band", "row", "col", F.col("code").cast("double").alias("value"))
@@ -226,7 +221,7 @@ def flow_accumulation(directions: DataFrame, grid: Grid, weight: float = 1.0, ti
     keys = ["raster_id", "band", "row", "col"]
     code = F.col("code")
     cells = directions.select(*keys, F.when(F.col("value").between(0, PIT), F.col("value")).otherwise(-1.0).alias("code"))
-    valid_cells = _cut(cells.withColumn("own", F.when(code >= 0, F.lit(float(weight)))))
+    valid_cells = cut(cells.withColumn("own", F.when(code >= 0, F.lit(float(weight)))))
     total = float(weight) * (valid_cells.where(code >= 0).count() + 1)
     tile_of = lambda c: F.floor(F.col(c) / tile).cast("int")
     step = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in STEPS]), code.cast("int") + 1)
@@ -239,7 +234,7 @@ def flow_accumulation(directions: DataFrame, grid: Grid, weight: float = 1.0, ti
         out = out.where((F.floor(F.col("_fr") / tile) != F.floor(F.col("row") / tile)) | (F.floor(F.col("_fc") / tile) != F.floor(F.col("col") / tile)))
         if grid.width <= tile and grid.height <= tile:
             break
-        inflow = _cut(out.groupBy(*keys).agg(F.sum("_in").alias("_in")))
+        inflow = cut(out.groupBy(*keys).agg(F.sum("_in").alias("_in")))
         new = inflow.agg(F.count(F.lit(1)), F.sum(F.col("_in").cast("decimal(38,6)")), F.max("_in")).collect()[0]
         if new[2] is not None and new[2] > total * (1 + 1e-9):
             raise ValueError("flow directions run in a circle")
@@ -260,7 +255,7 @@ def _solve_tiles(cells: DataFrame, tile: int) -> DataFrame:
         return pdf[["raster_id", "band", "row", "col", "code", "own"]]
 
     dealt = cells.withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile))
-    return _cut(dealt.groupBy("raster_id", "band", "_tr", "_tc").applyInPandas(run, "raster_id string, band int, row int, col int, code double, own double"))
+    return cut(dealt.groupBy("raster_id", "band", "_tr", "_tc").applyInPandas(run, "raster_id string, band int, row int, col int, code double, own double"))
 
 
 def hydrology_flow(cells: DataFrame, grid: Grid, nodata: float | None = None, apply_gradient: bool = True, epsilon: float = 1e-5, weight: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.raster import Grid, valid, with_neighbours
+from terraloom.plans.session import cut
 
 FILL_LIMIT = 1e20
 RESAMPLING = ("nearest", "bilinear", "cubic", "average", "mode")
@@ -96,7 +97,7 @@ def water_elevation_mosaic(frequency: DataFrame, passes: DataFrame, grid: Grid,
     f = {"median": F.median, "mean": F.avg, "max": F.max}[aggregation]
     seen = heights.groupBy("row", "col").agg(f(v).alias("wse"), F.count(v).cast("int").alias("confidence"))
     now = mask.join(seen, ["row", "col"], "left").select(F.lit("0").alias("raster_id"), F.lit(1).alias("band"), "row", "col", "mask", F.when(F.col("mask"), F.col("wse")).alias("wse"), F.when(F.col("mask"), F.coalesce("confidence", F.lit(0))).otherwise(0).alias("confidence"))
-    now = now.checkpoint() if _has_checkpoint(now) else now
+    now = cut(now)
     left = None
     for _ in range(max_rounds if max_rounds is not None else max(size)):
         todo = now.where(F.col("mask") & F.col("wse").isNull()).count()
@@ -107,16 +108,10 @@ def water_elevation_mosaic(frequency: DataFrame, passes: DataFrame, grid: Grid,
         sides = F.array_compact(F.array("n", "s", "w", "e"))
         mean = F.aggregate(sides, F.lit(0.0), lambda a, x: a + x) / F.size(sides)
         now = near.withColumn("wse", F.when(F.col("mask") & F.col("wse").isNull() & (F.size(sides) > 0), mean).otherwise(F.col("wse"))).drop("n", "s", "w", "e")
-        now = now.checkpoint() if _has_checkpoint(now) else now
+        now = cut(now)
     return now.select("row", "col", "wse", "confidence", F.col("mask").cast("int").alias("mask")), Grid.from_bounds(*grid.extent, grid.width, grid.height, crs="EPSG:4326", bands=3)
 
 
-def _has_checkpoint(df: DataFrame) -> bool:
-    from terraloom.plans.session import ensure_checkpoint_dir
-
-    return ensure_checkpoint_dir(df.sparkSession)
-
-
 def overview_factors(height: int, width: int, blocksize: int) -> list[int]:
     """2, 4, 8, ... while the shorter side over the factor is a block or more; [2] if only the side itself is."""
     out, f = [], 2

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from terraloom import checks
 from terraloom.functions.raster import Grid, valid
-from terraloom.model import Backing, CheckResult, Dataset, Kind, Lineage, Spatial, State, now
+from terraloom.model import DUCKDB, FILE, HANDLE, Dataset, Kind, State, Verdict, now
 from terraloom.operators import hydrology, mosaic, spatial, terrain, warp
 from terraloom.plans.registry import Registry, Run
-from terraloom.plans.route import Router, SourceRef, default_router
+from terraloom.plans.route import RefKind, Router, SourceRef, default_router, extension
 from terraloom.sources import raster, vector
+from terraloom.sources.remote import read_duckdb, store_path
 
 
 class OperatorError(RuntimeError):
@@ -136,34 +137,40 @@ def build_params(spec: Spec, texts: Mapping[str, str]) -> Any:
 
 
 def raster_dataset(name: str, df: DataFrame, grid: Grid, **kw: Any) -> Dataset:
-    kw.setdefault("backing", Backing("lazy_handle", name))
-    return Dataset(R, name, df=df, grid=grid, spatial=Spatial(grid.crs, tuple(map(float, grid.extent)), tuple(map(float, grid.resolution)), None, grid.bands), **kw)
+    return Dataset(R, name, df=df, grid=grid, crs=grid.crs, extent=tuple(map(float, grid.extent)), resolution=tuple(map(float, grid.resolution)), band_count=grid.bands, **kw)
 
 
 def materialize(spark: SparkSession, ref: SourceRef | str, router: Router | None = None) -> Dataset:
     """A dataset from a reference, by the reader that the router selects. Rows stay lazy."""
-    raw = ref.raw if isinstance(ref, SourceRef) else ref
-    reader = (router or default_router()).select_one(ref)
-    backing = Backing("local_file", vector.split(raw)[0])
-    lineage = Lineage("materialize", (), {"reader": reader, "ref": raw})
-    if reader in ("cog", "netcdf", "zarr", "hdf5") or reader == "local_file" and raw.lower().endswith(".hgt"):
-        read = {"cog": raster.read_geotiff, "netcdf": raster.read_netcdf, "zarr": raster.read_zarr, "hdf5": raster.read_hdf5, "local_file": raster.read_hgt}[reader]
-        return raster_dataset(raw, *read(spark, raw), backing=backing, lineage=lineage)
+    known = SourceRef.infer(ref) if isinstance(ref, str) else ref
+    raw, remote = known.raw, known.kind == RefKind.REMOTE_URI
+    reader = (router or default_router()).select_one(known)
+    at = store_path(raw) if remote else raw
+    if reader == "object_store":
+        # An object is read by what its extension says that it is; only where it lies is another matter.
+        reader = (router or default_router()).select_one(SourceRef(raw, RefKind.LOCAL_PATH))
+    origin = {"operation": "materialize", "params": {"reader": reader, "ref": raw}}
+    where = {"store": HANDLE if remote else FILE, "uri": vector.split(raw)[0]}
+    rasters = {"cog": raster.read_geotiff, "netcdf": raster.read_netcdf, "zarr": raster.read_zarr, "hdf5": raster.read_hdf5}
+    if reader == "local_file" and extension(raw) == "hgt":
+        return raster_dataset(raw, *raster.read_hgt(spark, at), **where, **origin)
+    if reader in rasters:
+        return raster_dataset(raw, *rasters[reader](spark, at), **where, **origin)
     tables = {"csv_xy": vector.read_csv_xy, "excel_xy": vector.read_excel_xy}
     if reader in tables:
-        df, crs = tables[reader](spark, raw)
-        return Dataset(V if crs else T, raw, backing, df, spatial=Spatial(crs), lineage=lineage)
+        df, crs = tables[reader](spark, at)
+        return Dataset(V if crs else T, raw, df=df, crs=crs, **where, **origin)
     if reader == "duckdb":
-        from terraloom.sources.remote import read_duckdb
-
-        return Dataset(T, raw, Backing("duckdb", raw), read_duckdb(spark, raw), lineage=lineage)
+        return Dataset(T, raw, DUCKDB, raw, df=read_duckdb(spark, raw), **origin)
     from terraloom.sources.flatgeobuf import read_flatgeobuf
 
     vectors = {"flatgeobuf": read_flatgeobuf, "geojsonseq": vector.read_geojsonseq, "topojson": vector.read_topojson, "gpx": vector.read_gpx, "kmz": vector.read_kmz, "geopackage": vector.read_geopackage, "spatialite": vector.read_spatialite, "shapefile": vector.read_shapefile, "local_file": vector.read_geojson, "geoparquet": vector.read_geoparquet, "las": vector.read_las, "mbtiles": raster.read_mbtiles}
     if reader not in vectors:
         raise OperatorError(f"{reader} needs parameters of its own; see terraloom.sources.remote")
-    df = vectors[reader](spark, raw)
-    return Dataset(V if "geom" in df.columns else T, raw, backing, df, spatial=Spatial("EPSG:4326"), lineage=lineage)
+    df = vectors[reader](spark, at)
+    if "geom" not in df.columns:
+        return Dataset(T, raw, df=df, **where, **origin)
+    return Dataset(V, raw, df=df, crs=vector.source_crs(spark, reader, at), **where, **origin)
 
 
 class Executor:
@@ -181,7 +188,7 @@ class Executor:
         run = Run(name, tuple(d.id for d in inputs), {k: repr(v) for k, v in values.items()}, started_at=now())
         try:
             out = self._execute(spec, inputs, values)
-            run = replace(run, status="completed", output=out, checks=out.checks, finished_at=now())
+            run = replace(run, status="completed", output=out, checks=out.verdicts, finished_at=now())
         except Exception as e:
             run = replace(run, status="failed", error=f"{type(e).__name__}: {e}", finished_at=now())
         self.runs[run.id] = run
@@ -201,7 +208,7 @@ class Executor:
         for d, kind in zip(inputs, spec.inputs, strict=False):
             if d.kind != kind and kind != T:
                 raise OperatorError(f"{spec.name} takes a {kind} where {d.name} is a {d.kind}")
-        named = [d.spatial.crs for d in inputs if d.spatial.crs]
+        named = [d.crs for d in inputs if d.crs]
         if spec.name == "spatial_join" and len(set(named)) > 1:
             raise OperatorError(f"CRSs differ: {named}")
         hints = get_type_hints(spec.function)
@@ -216,19 +223,16 @@ class Executor:
         df, grid = got if isinstance(got, tuple) else (got, inputs[0].grid if spec.output == R else None)
         if isinstance(got, tuple) and spec.output != R:
             df = got[0]
-        lineage = Lineage(spec.name, tuple(d.id for d in inputs), {k: repr(v) for k, v in values.items()})
-        if spec.output == R:
-            out = raster_dataset(spec.name, df, grid, lineage=lineage)
-        else:
-            out = Dataset(spec.output, spec.name, Backing("lazy_handle", spec.name), df, spatial=Spatial(inputs[0].spatial.crs), lineage=lineage)
-        return replace(out, checks=tuple(self._checks(spec, inputs, out, values)))
+        origin = {"operation": spec.name, "inputs": [d.id for d in inputs], "params": {k: repr(v) for k, v in values.items()}}
+        out = raster_dataset(spec.name, df, grid, **origin) if spec.output == R else Dataset(spec.output, spec.name, df=df, crs=inputs[0].crs, **origin)
+        return out.with_verdict(*self._checks(spec, inputs, out, values))
 
     @staticmethod
-    def _checks(spec: Spec, inputs: list[Dataset], out: Dataset, values: dict[str, Any]) -> list[CheckResult]:
+    def _checks(spec: Spec, inputs: list[Dataset], out: Dataset, values: dict[str, Any]) -> list[Verdict]:
         """The operator's checks; those of rows run jobs."""
         first, n = inputs[0], spec.name
         nodata = values.get("nodata", first.grid.nodata if first.grid else None)
-        found: list[CheckResult] = []
+        found: list[Verdict] = []
         if n in ("clip_raster", "reproject", "zonal_stats", "sample_raster", "spatial_join", "rasterize_vector", "water_elevation_mosaic", "geocode_slc"):
             found.append(checks.crs_valid(out))
         if n in ("reproject", "water_elevation_mosaic", "geocode_slc"):

@@ -16,11 +16,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terraloom.model import Backing, CheckResult, Dataset, Kind, Lineage, Spatial, State, now, to_json
+from terraloom.model import RECORD, Dataset, State, Verdict, now, to_json
+from terraloom.plans.session import cut
 
 SCHEMAS = {
-    "datasets": "id string, kind string, name string, backing_kind string, uri string, size_bytes long, content_hash string, crs string, xmin double, ymin double, xmax double, ymax double, res_x double, res_y double, feature_count long, band_count int, start timestamp, end timestamp, operation string, inputs array<string>, params string, metadata string, created_at timestamp, version long",
+    "datasets": T.StructType([*RECORD.fields, T.StructField("version", T.LongType())]),
     "runs": "id string, operator string, status string, inputs array<string>, output string, params string, error string, submitted_at timestamp, started_at timestamp, finished_at timestamp, version long",
     "checks": "owner string, owner_kind string, name string, state string, message string, checked_at timestamp, version long",
     "lineage": "parent string, child string, operation string, created_at timestamp, version long",
@@ -36,7 +38,7 @@ class Run:
     params: dict[str, Any] = field(default_factory=dict)
     status: str = "pending"
     output: Dataset | None = None
-    checks: tuple[CheckResult, ...] = ()
+    checks: tuple[Verdict, ...] = ()
     error: str | None = None
     submitted_at: datetime = field(default_factory=now)
     started_at: datetime | None = None
@@ -56,14 +58,21 @@ class Registry:
 
     # Files.
 
-    def _commit(self, rows: dict[str, list[tuple]]) -> None:
+    def _commit(self, rows: dict[str, list[tuple] | DataFrame]) -> None:
         version = time.time_ns()
         name = f"{version:020d}-{uuid.uuid4().hex}"
         files = {}
         for table, values in rows.items():
-            if values:
-                files[table] = f"{table}/{name}"
-                self.spark.createDataFrame([(*v, version) for v in values], SCHEMAS[table]).coalesce(1).write.parquet(f"{self.path}/{files[table]}")
+            if isinstance(values, DataFrame):
+                columns = self.spark.createDataFrame([], SCHEMAS[table]).schema
+                given = {f.name: F.col(f.name).cast(f.dataType) if f.name in values.columns else F.lit(None).cast(f.dataType) for f in columns}
+                frame = values.select(*[c.alias(n) for n, c in (given | {"version": F.lit(version)}).items()])
+            elif values:
+                frame = self.spark.createDataFrame([(*v, version) for v in values], SCHEMAS[table]).coalesce(1)
+            else:
+                continue
+            files[table] = f"{table}/{name}"
+            frame.write.parquet(f"{self.path}/{files[table]}")
         staged = self._path(f"{self.path}/manifests/.{name}")
         out = self._fs.create(staged)
         out.write(bytearray(json.dumps(files).encode()))
@@ -71,15 +80,18 @@ class Registry:
         if not self._fs.rename(staged, self._path(f"{self.path}/manifests/{name}.json")):
             raise OSError(f"{name} couldn't be committed")
 
+    def save_frames(self, **tables: DataFrame) -> None:
+        """Many rows at once, all or nothing: tables by name, of which columns that aren't given are null. Nothing goes through the driver."""
+        self._commit(tables)
+
     def table(self, name: str) -> DataFrame:
         """All committed rows of a table."""
-        empty = self.spark.createDataFrame([], SCHEMAS[name])
         found = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/manifests"))]
         if not any(x.endswith(".json") for x in found):
-            return empty
+            return self.spark.createDataFrame([], SCHEMAS[name])
         manifests = self.spark.read.schema(", ".join(f"{t} string" for t in SCHEMAS)).json(f"{self.path}/manifests/*.json")
         paths = [f"{self.path}/{r[0]}" for r in manifests.where(F.col(name).isNotNull()).select(name).collect()]
-        return empty.unionByName(self.spark.read.parquet(*paths), allowMissingColumns=True) if paths else empty
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _latest(self, name: str, *keys: str) -> DataFrame:
         w = Window.partitionBy(*(keys or ("id",))).orderBy(F.desc("version"))
@@ -88,37 +100,27 @@ class Registry:
     # Datasets.
 
     @staticmethod
-    def _row(d: Dataset) -> tuple:
-        s, e, r, t, lin = d.spatial, d.spatial.extent or (None,) * 4, d.spatial.resolution or (None,) * 2, d.temporal, d.lineage
-        return (d.id, str(d.kind), d.name, d.backing.kind, d.backing.uri, d.backing.size_bytes, d.backing.content_hash, s.crs, *(None if x is None else float(x) for x in (*e, *r)), s.feature_count, s.band_count, t and t.start, t and t.end, lin and lin.operation, list(lin.inputs) if lin else [], to_json(lin.params) if lin else None, to_json(d.metadata), d.created_at)
-
-    @staticmethod
-    def _checks(owner: str, kind: str, checks: tuple[CheckResult, ...]) -> list[tuple]:
-        return [(owner, kind, c.name, c.state.name, c.message, c.timestamp) for c in checks]
+    def _checks(owner: str, kind: str, checks: tuple[Verdict, ...]) -> list[tuple]:
+        return [(owner, kind, c.check, c.state.name, c.note, c.at or now()) for c in checks]
 
     @staticmethod
     def _edges(d: Dataset) -> list[tuple]:
-        return [(p, d.id, d.lineage.operation, d.lineage.timestamp) for p in d.lineage.inputs] if d.lineage else []
+        return [(p, d.id, d.operation, d.made_at) for p in d.inputs] if d.operation else []
 
     def save_dataset(self, d: Dataset) -> None:
-        self._commit({"datasets": [self._row(d)], "checks": self._checks(d.id, "dataset", d.checks), "lineage": self._edges(d)})
+        self._commit({"datasets": [d.row()], "checks": self._checks(d.id, "dataset", d.verdicts), "lineage": self._edges(d)})
 
-    def datasets(self, kind: str | None = None, limit: int = 100) -> DataFrame:
+    def datasets(self, kind: str | None = None, limit: int | None = 100) -> DataFrame:
+        """The latest row of each dataset, the newest datasets first. limit None: all, in no order."""
         rows = self._latest("datasets")
-        return (rows.where(F.col("kind") == kind) if kind else rows).orderBy(F.desc("created_at"), "id").limit(limit)
+        rows = rows.where(F.col("kind") == kind) if kind else rows
+        return rows if limit is None else rows.orderBy(F.desc("created_at"), "id").limit(limit)
 
     def get_dataset(self, dataset_id: str) -> Dataset | None:
         found = self._latest("datasets").where(F.col("id") == dataset_id).collect()
         if not found:
             return None
-        r = found[0]
-        extent = (r["xmin"], r["ymin"], r["xmax"], r["ymax"])
-        return Dataset(
-            Kind(r["kind"]), r["name"], Backing(r["backing_kind"], r["uri"], r["size_bytes"], r["content_hash"]),
-            spatial=Spatial(r["crs"], None if None in extent else extent, None if r["res_x"] is None else (r["res_x"], r["res_y"]), r["feature_count"], r["band_count"]),
-            lineage=Lineage(r["operation"], tuple(r["inputs"]), json.loads(r["params"] or "{}")) if r["operation"] else None,
-            checks=tuple(CheckResult(c["name"], State[c["state"]], c["message"]) for c in self.checks(dataset_id).collect()), metadata=json.loads(r["metadata"] or "{}"), id=r["id"], created_at=r["created_at"],
-        )
+        return Dataset.of(found[0], [Verdict(c["name"], State[c["state"]], c["message"], c["checked_at"]) for c in self.checks(dataset_id).collect()])
 
     # Runs.
 
@@ -130,8 +132,8 @@ class Registry:
             "checks": self._checks(run.id, "run", run.checks),
         }
         if out is not None:
-            rows |= {"datasets": [self._row(out)], "lineage": self._edges(out)}
-            rows["checks"] = rows["checks"] + self._checks(out.id, "dataset", out.checks)
+            rows |= {"datasets": [out.row()], "lineage": self._edges(out)}
+            rows["checks"] = rows["checks"] + self._checks(out.id, "dataset", out.verdicts)
         self._commit(rows)
 
     def runs(self, status: str | None = None, limit: int = 100) -> DataFrame:
@@ -143,7 +145,7 @@ class Registry:
 
     # Checks and lineage.
 
-    def save_check(self, owner: str, check: CheckResult, owner_kind: str = "dataset") -> None:
+    def save_check(self, owner: str, check: Verdict, owner_kind: str = "dataset") -> None:
         self._commit({"checks": self._checks(owner, owner_kind, (check,))})
 
     def checks(self, owner: str) -> DataFrame:
@@ -171,25 +173,37 @@ class Registry:
         """(parent, child, operation, depth): every edge above a dataset once, at its least depth."""
         return ancestry(self.lineage(), dataset_id)
 
+    def counts(self) -> DataFrame:
+        """(what, of, n): datasets by kind, runs by status, verdicts by state, edges by operation."""
+        parts = (("datasets", self._latest("datasets"), "kind"), ("runs", self._latest("runs"), "status"), ("checks", self.table("checks"), "state"), ("edges", self.lineage(), "operation"))
+        tally = [df.groupBy(F.col(key).alias("of")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "of", "n") for what, df, key in parts]
+        return tally[0].unionByName(tally[1]).unionByName(tally[2]).unionByName(tally[3])
+
     def stats(self) -> dict[str, Any]:
-        counts = lambda df, key: {r[0]: r[1] for r in df.groupBy(key).count().collect()}
-        kinds, runs = counts(self._latest("datasets"), "kind"), counts(self._latest("runs"), "status")
-        return {"datasets": sum(kinds.values()), "by_kind": kinds, "runs": sum(runs.values()), "by_status": runs, "checks": self.table("checks").count(), "edges": self.lineage().count()}
+        found: dict[str, dict[str, int]] = {"datasets": {}, "runs": {}, "checks": {}, "edges": {}}
+        for r in self.counts().collect():
+            found[r["what"]][r["of"]] = r["n"]
+        return {k: sum(v.values()) for k, v in found.items()} | {"by_kind": found["datasets"], "by_status": found["runs"]}
 
 
-def ancestry(edges: DataFrame, node: object, max_depth: int = 400) -> DataFrame:
-    """(parent, child, operation, depth) of every edge above a node; circles come to an end.
+def ancestry(edges: DataFrame, node: object) -> DataFrame:
+    """(parent, child, operation, depth) of every edge above a node, each at its least depth; circles come to an end.
 
-    A recursive query over (parent, child, operation), level by level, each node visited once a level.
+    Level by level, to the last however deep; each node is visited once. A level's edges are written
+    to the checkpoint folder, so plans don't grow from level to level and nothing is kept in memory.
     """
-    frontier = edges.sparkSession.createDataFrame([(node,)], f"node {dict(edges.dtypes)['child']}")
-    seen, out, depth = frontier, None, 0
-    while depth < max_depth:
-        depth += 1
-        step = edges.join(frontier, F.col("child") == F.col("node")).select("parent", "child", "operation", F.lit(depth).alias("depth")).distinct().cache()
+    spark = edges.sparkSession
+    edges = cut(edges.select("parent", "child", "operation").distinct())
+    frontier = spark.createDataFrame([(node,)], f"node {dict(edges.dtypes)['child']}")
+    seen, levels = frontier, []
+    while True:
+        step = cut(edges.join(frontier, F.col("child") == F.col("node"), "left_semi").withColumn("depth", F.lit(len(levels) + 1)))
         if not step.take(1):
             break
-        out = step if out is None else out.unionByName(step)
-        frontier = step.select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti").cache()
-        seen = seen.unionByName(frontier).distinct()
-    return out if out is not None else edges.select("parent", "child", "operation", F.lit(0).alias("depth")).limit(0)
+        levels.append(step)
+        frontier = cut(step.select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = seen.unionByName(frontier)
+    out = edges.withColumn("depth", F.lit(0)).limit(0)
+    for step in levels:
+        out = out.unionByName(step)
+    return out

@@ -1,12 +1,15 @@
-"""What a source reference is, and which reader takes it."""
+"""What a source reference is, and which reader takes it: two tables, of shapes and of readers.
+
+SHAPES says which texts are which kind of reference, first match first. READERS says what each
+reader takes. Both are data, so another shape or reader is another line.
+"""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
 from enum import StrEnum
-from types import MappingProxyType
-from typing import Any
+from typing import NamedTuple
 
 
 class RefKind(StrEnum):
@@ -21,36 +24,63 @@ class RefKind(StrEnum):
     UNKNOWN = "unknown"
 
 
-# File extensions by what they hold.
-RASTER = frozenset("tif tiff geotiff jp2 nc nc4 vrt hgt h5 hdf5 hdf he5 zarr mbtiles".split())
-VECTOR = frozenset("shp geojson gpkg kml kmz gml fgb gpx parquet geoparquet topojson geojsonl geojsonseq ndjson las laz sqlite spatialite".split())
-TABLE = frozenset("csv tsv xls xlsx".split())
-OTHER = frozenset("json xml txt pdf png jpg".split())
-REMOTE = frozenset("http https s3 gs az ftp".split())
+# File extensions by what they hold, and schemes of remote references.
+EXTENSIONS = {
+    RefKind.LOCAL_RASTER: "tif tiff geotiff jp2 nc nc4 vrt hgt h5 hdf5 hdf he5 zarr mbtiles",
+    RefKind.LOCAL_VECTOR: "shp geojson gpkg kml kmz gml fgb gpx parquet geoparquet topojson geojsonl geojsonseq ndjson las laz sqlite spatialite",
+    RefKind.LOCAL_TABLE: "csv tsv xls xlsx",
+    RefKind.LOCAL_PATH: "json xml txt pdf png jpg",
+}
+REMOTE = "http https s3 gs az ftp"
+
+#: The kind of a file by its extension.
+_HOLDS = {e: kind for kind, names in EXTENSIONS.items() for e in names.split()}
+_KNOWN = "|".join(e for e, kind in _HOLDS.items() if kind != RefKind.LOCAL_PATH)
+_OTHER = EXTENSIONS[RefKind.LOCAL_PATH].replace(" ", "|")
+
+#: (kind, pattern of the whole text); named groups are the reference's parts. A local path gets its kind by its extension.
+SHAPES: tuple[tuple[RefKind, re.Pattern[str]], ...] = tuple(
+    (kind, re.compile(pattern, re.S | re.I))
+    for kind, pattern in (
+        (RefKind.REMOTE_URI, rf"(?P<url>(?P<scheme>{REMOTE.replace(' ', '|')})://.*)"),
+        (RefKind.DATABASE, r"(?P<query>select\s.*)"),
+        (RefKind.DUCKDB, r"(?P<db_path>.*?\.(?:duckdb|db))::(?P<query>\s*select\s.*)"),
+        (RefKind.DUCKDB, r"(?P<db_path>.*?\.(?:duckdb|db))::(?P<table>.*)"),
+        (RefKind.LOCAL_PATH, r"(?P<path>(?:/|\.\.?/).*)"),
+        # A folder and a file with a dot in its name; not what a scheme or a service stands before.
+        (RefKind.LOCAL_PATH, r"(?P<path>(?!(?:wms|wfs)::)(?!.*://).*/[^/]*\.[^/]*)"),
+        (RefKind.CATALOG_ITEM, r"(?P<collection>(?!.*://)[^/]*)/(?P<item>.*)::(?P<asset>.*)"),
+        (RefKind.CATALOG_ITEM, r"(?P<collection>[^/]*)/(?P<item>.*)"),
+        (RefKind.LOCAL_PATH, rf"(?P<path>.*\.(?:{_KNOWN})(?:::.*|\?.*)?)"),
+        (RefKind.DATABASE, rf"(?!.*\.(?:{_OTHER})(?:::.*|\?.*)?$)(?P<schema>[^.]*)\.(?P<table>.*)"),
+    )
+)
 
 
 def extension(ref: str) -> str:
     """The extension of a path or URL in lower case, without what stands behind :: or ?."""
-    scheme, sep, rest = ref.partition("://")
-    tail = (rest if sep else ref).split("::")[0].split("?")[0].rstrip("/").rsplit("/", 1)[-1]
-    return tail.rsplit(".", 1)[-1].lower() if "." in tail else ""
+    tail = re.sub(r"^\w[\w+.-]*://", "", ref.strip())
+    m = re.search(r"\.([^./]*)/*$", re.split(r"::|\?", tail)[0])
+    return m[1].lower() if m else ""
 
 
-def _local(ref: str) -> RefKind:
-    e = extension(ref)
-    return RefKind.LOCAL_RASTER if e in RASTER else RefKind.LOCAL_VECTOR if e in VECTOR else RefKind.LOCAL_TABLE if e in TABLE else RefKind.LOCAL_PATH
+class SourceRef:
+    """A reference as it was given, its kind and its parts by name; equal if all three are."""
 
+    __slots__ = ("raw", "kind", "params")
 
-@dataclass(frozen=True)
-class SourceRef:
-    """A reference as it was given, its kind and parts."""
+    def __init__(self, raw: str, kind: RefKind = RefKind.UNKNOWN, params: Iterable[tuple[str, str]] | dict[str, str] = ()) -> None:
+        for slot, value in (("raw", raw), ("kind", kind), ("params", tuple(sorted(dict(params).items())))):
+            object.__setattr__(self, slot, value)
 
-    raw: str
-    kind: RefKind = RefKind.UNKNOWN
-    params: Any = field(default_factory=dict)
+    def __setattr__(self, name: str, value: object) -> None:
+        raise AttributeError(f"{name} can't be changed")
 
-    def __post_init__(self) -> None:
-        object.__setattr__(self, "params", MappingProxyType(dict(self.params)))
+    def _all(self) -> tuple:
+        return self.raw, self.kind, self.params
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, SourceRef) and self._all() == other._all()
 
     def __hash__(self) -> int:
         return hash((self.raw, self.kind))
@@ -58,59 +88,67 @@ class SourceRef:
     def __fspath__(self) -> str:
         return self.raw
 
+    def __repr__(self) -> str:
+        return f"SourceRef{self._all()}"
+
+    def part(self, name: str) -> str | None:
+        return dict(self.params).get(name)
+
     @classmethod
     def infer(cls, raw: str) -> SourceRef:
-        """URLs, then queries, DuckDB files, paths, catalogue items, tables; else unknown. Files of known extensions are paths."""
-        s = raw.strip()
-        scheme, sep, _ = s.partition("://")
-        if sep and scheme.lower() in REMOTE:
-            return cls(raw, RefKind.REMOTE_URI, {"scheme": scheme.lower(), "url": s})
-        if re.match(r"select\s", s, re.I):
-            return cls(raw, RefKind.DATABASE, {"query": s})
-        head, colons, rest = s.partition("::")
-        if colons and head.lower().endswith((".duckdb", ".db")):
-            return cls(raw, RefKind.DUCKDB, {"db_path": head, ("query" if re.match(r"\s*select\s", rest, re.I) else "table"): rest})
-        if s.startswith(("/", "./", "../")) or "/" in s and "." in s.rsplit("/", 1)[-1] and not sep and not re.match(r"(wms|wfs)::", s):
-            return cls(raw, _local(s), {"path": s})
-        if "/" in s:
-            first, _, item = s.partition("/")
-            asset = None
-            if "::" in item and not sep:
-                item, asset = item.rsplit("::", 1)
-            return cls(raw, RefKind.CATALOG_ITEM, {"collection": first, "item": item} | ({"asset": asset} if asset else {}))
-        e = extension(s)
-        if e in RASTER | VECTOR | TABLE:
-            return cls(raw, _local(s), {"path": s})
-        if "." in s and e not in OTHER:
-            schema, _, table = s.partition(".")
-            return cls(raw, RefKind.DATABASE, {"schema": schema, "table": table})
+        """The first of SHAPES that fits; unknown if none does."""
+        for kind, shape in SHAPES:
+            if m := shape.fullmatch(raw.strip()):
+                parts = {k: v.lower() if k == "scheme" else v for k, v in m.groupdict().items() if v is not None}
+                return cls(raw, _HOLDS.get(extension(raw), kind) if kind == RefKind.LOCAL_PATH else kind, parts)
         return cls(raw)
 
 
-@dataclass(frozen=True)
-class Route:
-    """A reader by name, and what it takes; the least priority comes first."""
+class Reader(NamedTuple):
+    """A reader by name, the kinds that it takes, and what it asks of their texts (empty: nothing)."""
 
-    reader: str
+    name: str
     kinds: frozenset[RefKind]
     extensions: frozenset[str] = frozenset()
     schemes: frozenset[str] = frozenset()
-    prefixes: tuple[str, ...] = ()
-    priority: int = 0
-    fallback: bool = False
+    prefix: str = ""
+    #: The least comes first; those that are only there for want of others come behind all.
+    order: int = 0
+    last_resort: bool = False
 
     def takes(self, ref: SourceRef) -> bool:
-        s = ref.raw.strip()
-        return (
-            ref.kind in self.kinds
-            and (not self.extensions or extension(s) in self.extensions)
-            and (not self.schemes or s.partition("://")[0].lower() in self.schemes)
-            and (not self.prefixes or s.lower().startswith(self.prefixes))
-        )
+        text = ref.raw.strip().lower()
+        asked = ((self.extensions, extension(text)), (self.schemes, text.partition("://")[0]))
+        return ref.kind in self.kinds and text.startswith(self.prefix) and all(not allowed or value in allowed for allowed, value in asked)
+
+
+_FILES = frozenset(k for k in RefKind if k.startswith("local_"))
+_SCHEMED = frozenset(RefKind) - {RefKind.DUCKDB}
+
+
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
 
-    @property
-    def rank(self) -> int:
-        return self.priority + 1000 * self.fallback
+_OBJECTS = _words(REMOTE) - {"ftp"}
+#: Files by extension first, then services by prefix, then object stores and catalogues, then any file.
+READERS: tuple[Reader, ...] = (
+    *(
+        Reader(name, _FILES, _words(extensions))
+        for name, extensions in {
+            "cog": "tif tiff geotiff", "flatgeobuf": "fgb", "shapefile": "shp", "geopackage": "gpkg", "geoparquet": "parquet geoparquet", "gpx": "gpx", "kmz": "kmz", "las": "las laz", "spatialite": "sqlite spatialite",
+            "topojson": "topojson", "csv_xy": "csv tsv", "excel_xy": "xls xlsx", "geojsonseq": "geojsonl geojsonseq ndjson", "hdf5": "h5 hdf5 hdf he5", "netcdf": "nc nc4", "mbtiles": "mbtiles", "zarr": "zarr",
+        }.items()
+    ),
+    Reader("cog", frozenset({RefKind.REMOTE_URI}), _words("tif tiff geotiff"), _OBJECTS),
+    Reader("flatgeobuf", frozenset({RefKind.REMOTE_URI}), _words("fgb"), _words("http https")),
+    *(Reader(name, _SCHEMED, prefix=prefix) for prefix, name in {"wms::": "ogc", "wfs::": "ogc", "overture://": "overture", "opentopo://": "opentopography"}.items()),
+    Reader("object_store", frozenset({RefKind.REMOTE_URI}), schemes=_OBJECTS, order=50),
+    Reader("stac", frozenset({RefKind.CATALOG_ITEM}), order=50),
+    Reader("postgis", frozenset({RefKind.DATABASE})),
+    Reader("duckdb", frozenset({RefKind.DUCKDB})),
+    Reader("local_file", _FILES, order=100),
+)
 
 
 class NoRouteError(LookupError):
@@ -118,37 +156,26 @@ class NoRouteError(LookupError):
 
 
 class Router:
-    def __init__(self, routes: tuple[Route, ...] = ()) -> None:
-        self.routes = list(routes)
+    def __init__(self, readers: Iterable[Reader] = ()) -> None:
+        self.readers = list(readers)
 
-    def register(self, route: Route) -> None:
-        self.routes.append(route)
+    def register(self, reader: Reader) -> None:
+        self.readers.append(reader)
 
     def select(self, ref: SourceRef | str) -> list[str]:
-        """Readers that take a reference, best first; of equals the one registered first."""
-        ref = SourceRef.infer(ref) if isinstance(ref, str) else ref
-        return list(dict.fromkeys(r.reader for r in sorted((r for r in self.routes if r.takes(ref)), key=lambda r: r.rank)))
+        """Names of the readers that take a reference, best first; of equals the one registered first."""
+        known = SourceRef.infer(ref) if isinstance(ref, str) else ref
+        names: dict[str, None] = {}
+        for reader in sorted(self.readers, key=lambda r: (r.last_resort, r.order)):
+            if reader.takes(known):
+                names.setdefault(reader.name)
+        return list(names)
 
     def select_one(self, ref: SourceRef | str) -> str:
-        found = self.select(ref)
-        if not found:
-            raise NoRouteError(f"no reader for {ref.raw if isinstance(ref, SourceRef) else ref!r}")
-        return found[0]
+        for name in self.select(ref):
+            return name
+        raise NoRouteError(f"no reader for {ref!r}")
 
 
 def default_router() -> Router:
-    """Readers by extension first, then object stores and catalogues, then plain local files."""
-    k = RefKind
-    local = frozenset({k.LOCAL_PATH, k.LOCAL_RASTER, k.LOCAL_VECTOR, k.LOCAL_TABLE})
-    anything = frozenset({k.CATALOG_ITEM, k.UNKNOWN, k.LOCAL_PATH, k.LOCAL_RASTER, k.LOCAL_VECTOR, k.LOCAL_TABLE, k.DATABASE, k.REMOTE_URI})
-    by_extension = {
-        "cog": "tif tiff geotiff", "flatgeobuf": "fgb", "shapefile": "shp", "geopackage": "gpkg", "geoparquet": "parquet geoparquet", "gpx": "gpx", "kmz": "kmz", "las": "las laz", "spatialite": "sqlite spatialite",
-        "topojson": "topojson", "csv_xy": "csv tsv", "excel_xy": "xls xlsx", "geojsonseq": "geojsonl geojsonseq ndjson", "hdf5": "h5 hdf5 hdf he5", "netcdf": "nc nc4", "mbtiles": "mbtiles", "zarr": "zarr",
-    }
-    routes = [Route(n, local, frozenset(e.split())) for n, e in by_extension.items()]
-    remote = frozenset({k.REMOTE_URI})
-    routes += [Route("cog", remote, frozenset("tif tiff geotiff".split()), frozenset("http https s3 gs az".split())), Route("flatgeobuf", remote, frozenset({"fgb"}), frozenset({"http", "https"}))]
-    routes += [Route("ogc", anything, prefixes=("wms::", "wfs::")), Route("overture", anything, prefixes=("overture://",)), Route("opentopography", anything, prefixes=("opentopo://",))]
-    routes += [Route("object_store", remote, schemes=frozenset("http https s3 gs az".split()), priority=50), Route("stac", frozenset({k.CATALOG_ITEM}), priority=50)]
-    routes += [Route("postgis", frozenset({k.DATABASE})), Route("duckdb", frozenset({k.DUCKDB})), Route("local_file", local, priority=100)]
-    return Router(tuple(routes))
+    return Router(READERS)

@@ -1,15 +1,49 @@
-"""The session's folders."""
+"""The session's shared folder, and cuts of lineage that leave nothing behind in shuffles."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Spark deletes a query's shuffle files when it has ended, where this is set.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> bool:
-    """Sees to it that checkpoint() has a folder: the session's own, or a temporary one where none is set."""
+    """Sees to it that checkpoint() has a folder: the session's own; a temporary one only where driver and executors are one process."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here take their shuffle files with them; the session's setting comes back."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that plans stay short and lost executors cost nothing."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with tidy_shuffles(df.sparkSession):
+        return df.checkpoint()

@@ -354,6 +354,58 @@ def read_shapefile(spark: SparkSession, ref: str) -> DataFrame:
     return sets.mapInPandas(run, FEATURES)
 
 
+def wkt_crs(wkt: str) -> str | None:
+    """EPSG text of a .prj: its own code, or one of the names for WGS84, its UTM zones and web Mercator; None for others."""
+    codes = re.findall(r'(?:AUTHORITY\["EPSG",\s*"?|ID\["EPSG",\s*)(\d+)"?\]\s*\]\s*$', wkt.strip())
+    if codes:
+        return f"EPSG:{codes[-1]}"
+    name = re.match(r'\s*\w+\["([^"]*)"', wkt)
+    name = re.sub(r"[^a-z0-9]+", " ", name[1].lower()).strip() if name else ""
+    if zone := re.search(r"wgs (?:19)?84 utm zone (\d+) ?([ns])", name):
+        return f"EPSG:{(32600 if zone[2] == 'n' else 32700) + int(zone[1])}"
+    return "EPSG:3857" if "web mercator" in name or "pseudo mercator" in name else "EPSG:4326" if re.fullmatch(r"(?:gcs )?wgs (?:19)?84", name) else None
+
+
+def _first(spark: SparkSession, path: str, read: Callable[[bytes], str | None]) -> str | None:
+    """What read() says of the first file at a path; the file is read by a task, and only the answer is sent."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"path": f["path"], "said": [read(bytes(x)) for x in f["content"]]})
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, said string").orderBy("path").take(1)
+    return rows[0]["said"] if rows else None
+
+
+def _sqlite_crs(layer: str | None, query: str) -> Callable[[bytes], str | None]:
+    def read(data: bytes) -> str | None:
+        found = {name: (authority, code) for name, authority, code in opened(data).execute(query)}
+        authority, code = found.get(layer) or next(iter(found.values()), (None, None))
+        return f"{str(authority).upper()}:{code}" if authority and code and int(code) > 0 else None
+
+    return read
+
+
+def source_crs(spark: SparkSession, reader: str, ref: str) -> str | None:
+    """The CRS of a vector source as its file says; None where the file doesn't say. Formats that are always in degrees need no look."""
+    path, layer = split(ref)
+    if reader == "shapefile":
+        prj = f"{path[:-4] if path.lower().endswith('.shp') else path}.prj"
+        return _first(spark, prj, lambda data: wkt_crs(data.decode("utf-8", "replace"))) if _exists(spark, prj) else None
+    if reader == "geopackage":
+        return _first(spark, path, _sqlite_crs(layer, "SELECT g.table_name, s.organization, s.organization_coordsys_id FROM gpkg_geometry_columns g JOIN gpkg_spatial_ref_sys s USING (srs_id) ORDER BY g.rowid"))
+    if reader == "spatialite":
+        return _first(spark, path, _sqlite_crs(layer, "SELECT f_table_name, 'EPSG', srid FROM geometry_columns ORDER BY rowid"))
+    if reader == "flatgeobuf":
+        from terraloom.sources.flatgeobuf import crs_of
+
+        return _first(spark, path, crs_of)
+    if reader == "geoparquet":
+        meta = geo_metadata(spark, path)
+        return geoparquet_crs(meta) if meta else "EPSG:4326"
+    return None if reader == "las" else "EPSG:4326"
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)

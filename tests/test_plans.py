@@ -6,27 +6,34 @@ import pytest
 
 from terraloom import checks, cli
 from terraloom.functions.raster import Grid
-from terraloom.model import Backing, CheckResult, Dataset, Kind, Lineage, Spatial, State, Temporal, overall
+from terraloom.model import FILE, Dataset, Kind, State, Verdict, overall
 from terraloom.plans.executor import OPERATORS, Executor, build_params, coerce, exit_code, get_operator, hydrology_run, materialize, raster_dataset
 from terraloom.plans.registry import Registry, Run, ancestry
-from terraloom.plans.route import NoRouteError, RefKind, Route, Router, SourceRef, default_router
+from terraloom.plans.route import NoRouteError, Reader, RefKind, Router, SourceRef, default_router
 from terraloom.sources.raster import write_tiff
 from tests.test_operators import cells, grid, zones
 
 
 def dataset(name="d", **kw):
-    return Dataset(Kind.TABLE, name, Backing("local_file", "/x"), **kw)
+    return Dataset(Kind.TABLE, name, FILE, "/x", **kw)
 
 
 def test_model():
-    d = dataset(metadata={"crs": "x", "extent": 1, "mine": {"a": [1, 2]}})
-    assert dict(d.metadata) == {"mine": {"a": (1, 2)}} and d.state == State.UNCHECKED and d.is_materialized
-    t = Temporal(datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 2, tzinfo=UTC), timedelta(days=1), 2)
-    checked = dataset(temporal=t).with_check(CheckResult("a", State.VALID)).with_check(CheckResult("b", State.WARN))
-    assert checked.temporal == t and checked.state == State.WARN and overall([CheckResult("x", State.INVALID), CheckResult("y", State.WARN)]) == State.INVALID
-    for bad in ({"start": datetime(2024, 1, 1)}, {"start": datetime(2024, 1, 1), "end": datetime(2024, 1, 2)}, {"resolution": timedelta(0)}, {"observation_count": 0}, {"start": datetime(2024, 1, 2, tzinfo=UTC), "end": datetime(2024, 1, 1, tzinfo=UTC)}):
+    d = dataset(metadata={"crs": "x", "extent": 1, "bounds": 2, "temporal_start": 3, "mine": {"a": [1, 2]}})
+    assert json.loads(d.metadata) == {"mine": {"a": [1, 2]}} and d.state == State.UNCHECKED and d.is_materialized
+    t = {"temporal_start": datetime(2024, 1, 1, tzinfo=UTC), "temporal_end": datetime(2024, 1, 2, tzinfo=UTC), "temporal_resolution": timedelta(days=1), "temporal_observation_count": 2}
+    checked = dataset(**t).with_verdict(Verdict("a", State.VALID)).with_verdict(Verdict("b", State.WARN))
+    assert checked.temporal_end == t["temporal_end"] and checked.state == State.WARN and overall([Verdict("x", State.INVALID), Verdict("y", State.WARN)]) == State.INVALID
+    assert checked.id == checked.but(name="e").id and checked.but(name="e").name == "e" and checked.name == "d"
+    with pytest.raises(AttributeError):
+        d.name = "x"
+    with pytest.raises(AttributeError):
+        d.nothing  # noqa: B018
+    for bad in ({"temporal_start": datetime(2024, 1, 1)}, {"temporal_start": datetime(2024, 1, 1), "temporal_end": datetime(2024, 1, 2)}, {"temporal_resolution": timedelta(0)}, {"temporal_observation_count": 0}, {"temporal_start": datetime(2024, 1, 2, tzinfo=UTC), "temporal_end": datetime(2024, 1, 1, tzinfo=UTC)}, {"extent": (1, 2)}):
         with pytest.raises(ValueError):
-            Temporal(**bad)
+            dataset(**bad)
+    with pytest.raises(TypeError):
+        dataset(colour="red")
 
 
 @pytest.mark.parametrize(
@@ -44,7 +51,7 @@ def test_routes(raw, kind, reader):
 
 
 def test_router_order():
-    r = Router((Route("late", frozenset({RefKind.UNKNOWN}), fallback=True), Route("b", frozenset({RefKind.UNKNOWN}), priority=5), Route("a", frozenset({RefKind.UNKNOWN}), priority=5)))
+    r = Router((Reader("late", frozenset({RefKind.UNKNOWN}), last_resort=True), Reader("b", frozenset({RefKind.UNKNOWN}), order=5), Reader("a", frozenset({RefKind.UNKNOWN}), order=5)))
     assert r.select("word") == ["b", "a", "late"]
     with pytest.raises(NoRouteError):
         default_router().select_one("word")
@@ -71,13 +78,13 @@ def registry(spark, tmp_path):
 
 def test_registry(registry):
     assert registry.datasets().count() == 0 and registry.stats()["datasets"] == 0
-    a = dataset("a", spatial=Spatial("EPSG:4326", (0.0, 1.0, 2.0, 3.0), (1.0, 1.0), 5), metadata={"k": [1]})
-    b = dataset("b", lineage=Lineage("slope", (a.id,), {"u": 1})).with_check(CheckResult("c", State.WARN, "m"))
+    a = dataset("a", crs="EPSG:4326", extent=(0.0, 1.0, 2.0, 3.0), resolution=(1.0, 1.0), feature_count=5, metadata={"k": [1]}, temporal_start=datetime(2024, 1, 1, tzinfo=UTC), temporal_end=datetime(2024, 1, 1, tzinfo=UTC), temporal_resolution=timedelta(hours=1))
+    b = dataset("b", operation="slope", inputs=[a.id], params={"u": 1}).with_verdict(Verdict("c", State.WARN, "m"))
     registry.save_dataset(a)
-    registry.save_run(Run("slope", (a.id,), {"u": 1}, "completed", b, b.checks))
+    registry.save_run(Run("slope", (a.id,), {"u": 1}, "completed", b, b.verdicts))
     got = registry.get_dataset(a.id)
-    assert (got.spatial, dict(got.metadata), got.kind) == (a.spatial, {"k": (1,)}, a.kind) and registry.get_dataset("none") is None
-    assert registry.get_dataset(b.id).checks[0].state == State.WARN and registry.get_dataset(b.id).lineage.inputs == (a.id,)
+    assert got.row() == a.row() and got.kind == Kind.TABLE and registry.get_dataset("none") is None
+    assert registry.get_dataset(b.id).verdicts[0].state == State.WARN and registry.get_dataset(b.id).inputs == (a.id,)
     assert [r["id"] for r in registry.parents(b.id).collect()] == [a.id] and [r["id"] for r in registry.children(a.id).collect()] == [b.id]
     registry.save_dataset(dataset("a2", id=a.id))
     assert registry.datasets().count() == 2 and registry.get_dataset(a.id).name == "a2"
@@ -85,7 +92,7 @@ def test_registry(registry):
     assert registry.lineage().count() == 1
     s = registry.stats()
     assert (s["datasets"], s["runs"], s["by_status"], s["edges"]) == (2, 1, {"completed": 1}, 1)
-    registry.save_check(a.id, CheckResult("x", State.VALID))
+    registry.save_check(a.id, Verdict("x", State.VALID))
     assert registry.checks(a.id).count() == 1 and registry.runs("failed").count() == 0 and registry.runs().count() == 1
 
 
@@ -110,19 +117,19 @@ def test_executor_and_checks(spark, registry):
     ex = Executor(registry)
     runs = hydrology_run(ex, dem)
     assert [r.status for r in runs] == ["completed"] * 3 and [exit_code(r) for r in runs] == [0, 0, 0]
-    names = {c.name: c.state for r in runs for c in r.checks}
+    names = {c.check: c.state for r in runs for c in r.checks}
     assert names["no_interior_pits"] == names["elevation_only_raised"] == names["conservation"] == names["valid_code_set"] == names["all_valid_assigned"] == State.VALID
     assert ex.status(runs[0].id) == "completed" and ex.wait(runs[0].id) is runs[0]
     assert registry.full_lineage(runs[2].output.id).count() == 3
     bad = ex.submit("slope", [dem], {"units": "nope"})
     assert bad.status == "failed" and "units" in bad.error and exit_code(bad) == 1
     assert ex.submit("slope", []).status == "failed" and ex.submit("zonal_stats", [dem, dem]).status == "failed"
-    z = Dataset(Kind.VECTOR, "z", Backing("lazy_handle", "z"), zones(spark, [(0, 0, 2, 2), (2, 2, 4, 4)]), spatial=Spatial("EPSG:32610"))
+    z = Dataset(Kind.VECTOR, "z", df=zones(spark, [(0, 0, 2, 2), (2, 2, 4, 4)]), crs="EPSG:32610")
     got = ex.submit("zonal_stats", [dem, z])
     assert got.status == "completed" and got.output.df.count() == 2 and all(c.state == State.VALID for c in got.checks)
     clip = ex.submit("clip_raster", [dem], {"bounds": (0, 0, 2, 2)})
     assert clip.status == "completed" and clip.output.grid.width == 2 and ex.submit("clip_raster", [dem, z]).status == "completed"
-    other = Dataset(Kind.VECTOR, "o", Backing("lazy_handle", "o"), z.df, spatial=Spatial("EPSG:4326"))
+    other = Dataset(Kind.VECTOR, "o", df=z.df, crs="EPSG:4326")
     assert "CRS" in ex.submit("spatial_join", [z, other]).error
     for name, params in (("aspect", {}), ("hillshade", {}), ("build_cog", {"blocksize": 16})):
         assert ex.submit(name, [dem], params).status == "completed"
@@ -130,16 +137,16 @@ def test_executor_and_checks(spark, registry):
 
 
 def test_descriptor_checks(spark, tmp_path):
-    d = lambda crs, e: dataset(spatial=Spatial(crs, e))
+    d = lambda crs, e: dataset(crs=crs, extent=e)
     assert checks.crs_valid(d(None, None)).state == State.INVALID and checks.crs_valid(d("EPSG:4326", None)).state == State.VALID
     assert checks.extent_sane(d("EPSG:4326", (0, 0, 500, 1))).state == State.WARN and checks.extent_sane(d("EPSG:3857", (0, 0, 500, 1))).state == State.VALID
     assert checks.extent_sane(d(None, (1, 0, 1, 1))).state == State.INVALID and checks.extent_sane(d(None, None)).state == State.INVALID
     path = str(tmp_path / "t")
     df = spark.range(3)
     df.write.parquet(path)
-    at = lambda p: Dataset(Kind.TABLE, "t", Backing("local_file", p), df)
+    at = lambda p: Dataset(Kind.TABLE, "t", FILE, p, df=df)
     assert checks.backing_accessible(at(path)).state == State.VALID and checks.backing_accessible(at(path + "x")).state == State.INVALID
-    assert checks.backing_accessible(Dataset(Kind.TABLE, "t", Backing("lazy_handle", "x"), df)).state == State.WARN
+    assert checks.backing_accessible(Dataset(Kind.TABLE, "t", df=df)).state == State.WARN
     one = cells(spark, [[1.0, 2.0]])
     assert [c.state for c in checks.sigma0_checks(one)] == [State.VALID, State.VALID]
     assert checks.internal_outlets(cells(spark, [[0.0, -1.0]])) == 1
