@@ -3,9 +3,9 @@
 A full suffix array has a position for every byte. Here suffixes are those that begin at
 anchors: for each place x, the position of the least hash of 16 bytes within the next w. An
 anchor, and the anchors after it, depend only on what stands to their right, so equal strings
-have equal chains of anchors. Prefix doubling names the string from an anchor to the next, then
-over two and over four of them, by pairing names at growing offsets and comparing all pairs in
-Spark; positions whose name is unique are dropped in each round. With w = (400 - 16) / 5, four
+have equal chains of anchors. Prefix doubling ranks the strings from an anchor over one, two and
+four of the anchors behind it: Spark sorts the pairs of ranks at growing offsets, the order gives
+new ranks, and positions whose pair is unique go. With w = (400 - 16) / 5, four
 steps end within any 400 bytes that begin up to w before the anchor, so nothing is lost.
 
 What is left is made exact. Each anchor stands for an interval of starts; where the whole
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import dealt_anew, durable, release
+from terraloom.llm.common import Scratch, dealt_anew, durable, partitions
 from terraloom.llm.packed import exchange, mix
 from terraloom.llm.word_dedup import _keyed
 
@@ -85,15 +85,49 @@ def _first_names(b: pa.RecordBatch) -> Iterator[tuple]:
             yield key, order, names(h, at), at[:-1].astype(np.int32), None
 
 
-def _doubled(b: pa.RecordBatch) -> Iterator[tuple]:
-    for key, spots, named in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-        at, name = np.frombuffer(spots, dtype=np.int32), np.frombuffer(named, dtype=np.uint64)
-        span = name & _SPAN
-        goal = at + span.astype(np.int32)
-        j = np.minimum(np.searchsorted(at, goal), len(at) - 1)
-        ok = at[j] == goal
-        pair = (mix(name * _A + (name[j] >> np.uint64(9)) * _C) & ~_SPAN) | (span + (name[j] & _SPAN))
-        yield key, 0, pair[ok], at[ok], None
+def _lists(column: pa.ListArray) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of each list of structs."""
+    cuts = column.offsets.to_numpy()
+    flat = column.flatten()
+    fields = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+    for x, y in zip((cuts[:-1] - cuts[0]).tolist(), (cuts[1:] - cuts[0]).tolist(), strict=True):
+        yield {k: v[x:y] for k, v in fields.items()}
+
+
+def _paired(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(row_key, at, next, one, two): each place with its rank and that of the place where it ends."""
+    for key, at, end, rank in rows:
+        if not len(at):
+            continue
+        j = np.minimum(np.searchsorted(at, end), len(at) - 1)
+        ok = at[j] == end
+        if ok.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(int(ok.sum()), key, dtype=np.int64)), pa.array(at[ok]), pa.array(end[j][ok]), pa.array(rank[ok]), pa.array(rank[j][ok])],
+                names=["row_key", "at", "next", "one", "two"],
+            )
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        for key, spots, named in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            at, name = np.frombuffer(spots, dtype=np.int32), np.frombuffer(named, dtype=np.uint64)
+            yield key, at, at + (name & _SPAN).astype(np.int32), name.view(np.int64)
+
+    for b in batches:
+        yield from _whole(_paired(rows(b)))
+
+
+def _next_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from _whole(_paired((key, x["at"], x["next"], x["rank"]) for key, x in zip(b.column(0).to_pylist(), _lists(b.column(1)), strict=True)))
+
+
+def _whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of many small batches in one."""
+    found = list(parts)
+    if found:
+        yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
 
 
 @cache
@@ -128,12 +162,12 @@ class Hasher:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (row_key, text, spots, names): arrays of (first, last, chain, stretch), one item per anchor."""
+    """From (row_key, text, places): arrays of (first, last, chain, stretch), one item per anchor."""
     seen: set[int] = set()
     for b in batches:
         keys: list[int] = []
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for key, text, spots, named in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for key, text, places in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), strict=True):
             if key in seen:  # a repeated row is the same document
                 continue
             seen.add(key)
@@ -141,12 +175,12 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, first = anchors(grams(raw))
             end = len(raw) - LENGTH
             last = np.minimum(np.append(first[1:], len(raw)) - 1, end)
-            i = np.searchsorted(at, np.frombuffer(spots, dtype=np.int32))
+            i = np.searchsorted(at, places["at"])
             ok = first[i] <= end
-            i, chain = i[ok], np.frombuffer(named, dtype=np.uint64)[ok]
+            i, chain = i[ok], places["rank"][ok]
             stretch = Hasher(raw).of(first[i], last[i] + LENGTH)
             keys.append(key)
-            for x, y in zip(out, (first[i].astype(np.int32), last[i].astype(np.int32), chain.view(np.int64), stretch.view(np.int64)), strict=True):
+            for x, y in zip(out, (first[i].astype(np.int32), last[i].astype(np.int32), chain, stretch.view(np.int64)), strict=True):
                 x.append(y)
         if keys:
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out[0]])]).astype(np.int32))
@@ -173,58 +207,79 @@ def removed(size: int, whole: list[dict] | None, starts: bytes | None) -> np.nda
     return np.cumsum(edge[:-1]) > 0
 
 
-def _chains(scan: DataFrame) -> DataFrame:
-    """(row_key, spots, names): anchors whose next four anchors are as those of another, by prefix doubling."""
-    spark = scan.sparkSession
-    chains = exchange(scan.sortWithinPartitions("order", "row_key"), _first_names, values=True)
-    steps = 1
-    while steps < STEPS:
-        chains = durable(chains)
-        release(spark)
-        rows = chains.select("row_key", F.lit(0).cast("long").alias("order"), "spots", "names").dropDuplicates(["row_key"])
-        chains, steps = exchange(rows.sortWithinPartitions("row_key"), _doubled, values=True), 2 * steps
-    return durable(chains)
+def _reranked(pairs: DataFrame, steps: Scratch) -> DataFrame:
+    """(one, two, rank) for the pairs of ranks that are found twice or more: their places in the order that Spark sorts them into.
 
+    Equal pairs are counted before they are shuffled and sorted, so a pair that a third of all places have is one row.
+    """
+    seen = steps.keep(pairs.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one", "two"))
+    order = seen.repartitionByRange(partitions(pairs), "one", "two").sortWithinPartitions("one", "two")
+    ranks = steps.keep(order.select(dealt_anew("one").alias("o"), dealt_anew("two").alias("t"), F.monotonically_increasing_id().alias("rank")))
+    steps.drop(seen)
+    return ranks
 
-def _packed_stretches(scan: DataFrame) -> DataFrame:
-    chains = _chains(scan)
-    release(scan.sparkSession)
-    found = scan.join(chains.hint("shuffle_hash"), "row_key").select("row_key", "text", "spots", "names")
-    return durable(found.mapInArrow(_stretches, "row_key long, first array<int>, last array<int>, chain array<long>, stretch array<long>"))
 
+def _chains(scan: DataFrame, steps: Scratch) -> DataFrame:
+    """(row_key, places): anchors whose next four anchors are as those of another, by prefix doubling.
 
-def _marked(scan: DataFrame) -> DataFrame:
+    The first rank of an anchor is the name of the bytes from it to 16 past the next one. In each
+    round Spark sorts the pairs of an anchor's rank and that of the anchor where its string ends, at
+    twice the offset of the round before, and places in that order are the new ranks. Anchors whose
+    pair is unique go. Rounds end where no anchor is left, or strings of four steps have been told
+    apart: they are as long as what any 400 bytes are sure to hold.
+    """
+    names_of = exchange(scan.sortWithinPartitions("order", "row_key"), _first_names, values=True)
+    rows = steps.keep(names_of.dropDuplicates(["row_key"]))
+    reach, schema = 1, "row_key long, at int, next int, one long, two long"
+    while reach < STEPS:
+        pairs = steps.keep(rows.mapInArrow(_first_pairs if reach == 1 else _next_pairs, schema))
+        steps.drop(rows)
+        ranks = _reranked(pairs, steps)
+        known = pairs.join(ranks, (F.col("one") == F.col("o")) & (F.col("two") == F.col("t")))
+        rows = steps.keep(known.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("at", "next", "rank"))).alias("places")))
+        steps.drop(pairs, ranks)
+        reach *= 2
+    return rows
+
+
+def _marked(scan: DataFrame, steps: Scratch) -> DataFrame:
     """(row_key, whole, edges): stretches that are found twice or more, and those whose starts must be compared."""
-    packed = _packed_stretches(scan)
-    release(scan.sparkSession)
+    chains = _chains(scan, steps)
+    held = scan.join(chains.hint("shuffle_hash"), "row_key").select("row_key", "text", "places")
+    packed = steps.keep(held.mapInArrow(_stretches, "row_key long, first array<int>, last array<int>, chain array<long>, stretch array<long>"))
+    steps.drop(chains)
     found = packed.select("row_key", F.inline(F.arrays_zip("first", "last", "chain", "stretch")))
     # How often each stretch is found, and whether its chain has stretches that are found once.
-    counts = found.groupBy("chain", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "first")).alias("one"))
+    counts = steps.keep(found.groupBy("chain", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "first")).alias("one")))
     single = counts.groupBy(F.col("chain").alias("c")).agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("lone"))
     single = single.select(dealt_anew("c").alias("c"), "kinds", "lone")
     known = counts.join(single, F.col("chain") == F.col("c")).where("n > 1 OR kinds > 1").select(dealt_anew("chain").alias("c"), dealt_anew("stretch").alias("s"), "n", "lone", "one")
     marked = found.join(known, (F.col("chain") == F.col("c")) & (F.col("stretch") == F.col("s")))
     span = F.struct("first", "last")
     is_one = (F.col("one.row_key") == F.col("row_key")) & (F.col("one.first") == F.col("first"))
-    return durable(
+    out = steps.keep(
         marked.groupBy("row_key").agg(
             F.collect_list(F.when(F.col("n") > 1, span)).alias("whole"),
             F.collect_list(F.when((F.col("n") == 1) | (F.col("lone") > 0) & is_one, span)).alias("edges"),
         )
     )
+    steps.drop(packed, counts)
+    return out
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """docs keyed by row, and (row_key, whole, starts): repeated stretches and window starts."""
     keyed = _keyed(docs, doc_id, text)
     scan = keyed.select("row_key", "order", "text")
-    by_row = _marked(scan)
-    release(docs.sparkSession)
+    steps = Scratch(docs.sparkSession)
+    by_row = _marked(scan, steps)
     edges = scan.join(by_row.where(F.size("edges") > 0).select("row_key", "edges").hint("shuffle_hash"), "row_key")
     starts = exchange(edges.sortWithinPartitions("order", "row_key"), _edge_windows)
-    starts = starts.groupBy(F.col("row_key").alias("k")).agg(F.max("spots").alias("starts"))
+    starts = steps.keep(starts.groupBy(F.col("row_key").alias("k")).agg(F.max("spots").alias("starts")))
     out = by_row.join(starts, F.col("row_key") == F.col("k"), "left").select("row_key", "whole", "starts")
-    return keyed, durable(out.where(F.col("starts").isNotNull() | (F.size("whole") > 0)))
+    found = durable(out.where(F.col("starts").isNotNull() | (F.size("whole") > 0)))
+    steps.close()
+    return keyed, found
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +311,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     keyed, found = repeats(docs, doc_id, text)
-    release(docs.sparkSession)
     return keyed.join(found.hint("shuffle_hash"), "row_key", "left").select("doc_id", "text", "whole", "starts")
 
 

@@ -1,19 +1,22 @@
-"""What the operators share: words, let-bindings, durable cuts of lineage."""
+"""What the operators share: words, let-bindings, durable cuts of lineage, names that clash with none."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.plans.session import cut as durable
+from terraloom.plans.session import shared_dir, tidy_shuffles
+
+__all__ = ["BROADCAST_BYTES", "SPACE", "Scratch", "bounded_broadcast", "bounded_sample", "dealt_anew", "durable", "let", "packed_rows", "partitions", "shared_dir", "table", "unpacked", "words"]
+
 #: A word is a run of anything but these characters.
 SPACE = r"[\x20\x09-\x0D]+"
-#: A side of a join is broadcast only if it was counted and has at most so many rows.
-BROADCAST_ROWS = 20_000
+#: A side of a join is broadcast only if its rows were counted and its bytes summed, and are within this.
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -26,35 +29,52 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's, or one of our own where none is set."""
-    sc = spark.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+def packed_rows(df: DataFrame, **more: Column) -> DataFrame:
+    """(row, ...): every row of df as one struct, beside columns made from it. No column of df can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, so that lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that packed_rows() packed, with the columns that they had."""
+    return df.select(*[F.col("row")[c].alias(c) for c in columns])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files and checkpoints of finished steps that nothing refers to any more.
+class Scratch:
+    """Tables of an operator's steps, as Parquet in the shared folder; each can be dropped once it isn't read any more.
 
-    What Python has let go is passed on to the JVM within a second; plans go in a first
-    collection there, the shuffles that they held in the next.
+    The shuffle files of a step go when its table is written.
     """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1.2)
-        spark.sparkContext._jvm.System.gc()
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.at = spark, f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        with tidy_shuffles(self.spark):
+            df.write.parquet(f"{self.at}/{self.n}")
+        kept = self.spark.read.schema(df.schema).parquet(f"{self.at}/{self.n}")
+        kept._steps_path = f"{self.at}/{self.n}"
+        return kept
+
+    def _delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+    def drop(self, *kept: DataFrame) -> None:
+        for df in kept:
+            self._delete(df._steps_path)
+
+    def close(self) -> None:
+        """Drops all that is left; results must have been made durable before."""
+        self._delete(self.at)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint where its counted rows are within the limit, else as it is."""
-    return F.broadcast(df) if rows <= limit else df
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint where its counted bytes are within the limit, else as it is. df must be durable."""
+    held = F.octet_length(F.to_json(F.struct("*")))
+    n = df.agg(F.sum(held + 16)).collect()[0][0] or 0
+    return F.broadcast(df) if n <= limit else df
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

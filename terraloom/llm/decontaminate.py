@@ -2,11 +2,12 @@
 
 Words are canonicalised: lower case, no punctuation, and typed placeholders for numbers, names
 and units. An item that may have e words changed is cut into e + 1 template windows, one of which
-is unbroken wherever the item stands; documents have every rolling window of those lengths, and
-the two are hash-joined; a hit fixes where the item would begin. The item's whole template is then
-compared with the document at that place, and each slot value of the item has to stand for one
-value throughout. Only DataFrame functions are used. The benchmark is broadcast where its windows
-are few enough, by count; otherwise windows are shuffled.
+is unbroken wherever the item stands; rolling windows of documents are hash-joined with them, and a
+hit fixes where the item would begin. The item's whole template is then compared with the document
+at that place, and each slot value of the item has to stand for one value throughout. Only
+DataFrame functions are used. Where the benchmark's windows are few enough to be broadcast, by
+count, a document's window is hashed only around words that some window of the benchmark is known
+by; otherwise all windows are hashed and shuffled. Both find the same.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable, words
+from terraloom.llm.common import bounded_broadcast, durable, packed_rows, unpacked, words
 
 MIN_MATCH = 0.8
 MIN_WORDS = 8
@@ -70,39 +71,54 @@ def _slots(b: Column, raw_b: Column, raw_d: Column) -> Column:
     return F.struct((F.size(pairs) == F.size(values)).alias("consistent"), F.exists(slots, lambda s: F.lower(s["x"]) != F.lower(s["y"])).alias("reparameterised"))
 
 
+def _anchored(probes: DataFrame) -> DataFrame:
+    """(item, item_at, window, window_hash, offset, anchor): each window with the word that documents are searched for.
+
+    That is the word that the fewest windows of the benchmark have, of equals the longest; placeholders
+    come last. Documents that hold the window hold that word, at that offset.
+    """
+    words_of = probes.select("item", "item_at", "window", "item_template", F.posexplode(F.slice("item_template", F.col("item_at") + 1, F.col("window"))).alias("offset", "word"))
+    common = words_of.groupBy(F.col("word").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("word").startswith("\x01"), F.col("n"), -F.length("word"), F.col("offset"))
+    chosen = words_of.join(common, F.col("word") == F.col("w")).groupBy("item", "item_at", "window", "item_template").agg(F.min_by(F.struct("offset", "word"), order).alias("x"))
+    window_hash = F.xxhash64(F.slice("item_template", F.col("item_at") + 1, F.col("window")))
+    return chosen.select("item", "item_at", "window", window_hash.alias("window_hash"), F.col("x.offset").alias("offset"), F.xxhash64("x.word").alias("anchor"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: float = MIN_MATCH) -> DataFrame:
     """(doc_id, item_id, word_at, match, reparameterised): where a document holds an item.
 
     One row per document and item, at its best place (the first of the best). Every place that
     agrees with an item in `min_match` of its words is found, whatever stands around it. Null
     texts and items of fewer than 8 words hold nothing; repeated rows give one row; empty tables
-    give none.
+    give none. Names of other columns don't matter.
     """
     # A row is known by a hash of all it holds: doc_ids may be null or repeated.
-    docs = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.lit("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit(""))).alias("_row"))
+    row = F.xxhash64(F.lit("row"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit("")))
+    docs = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"), row.alias("_row"))
     probes = durable(probing(items.select(F.col(item_id), F.col(item_text)), item_id, item_text, min_match))
+    whole = durable(probes.where("item_at = 0").select(F.col("item").alias("i"), "item_template", "item_words"))
     n, least = probes.agg(F.count(F.lit(1)), F.coalesce(F.min("window"), F.lit(1))).collect()[0]
-    # Windows are looked up by the first words, as many as the shortest has, and the next one of a longer window.
-    first_words = F.xxhash64(*[F.get("item_template", F.col("item_at") + i) for i in range(least)])
-    next_word = F.when(F.col("window") > least, F.xxhash64(F.get("item_template", F.col("item_at") + least)))
-    keys = probes.select(first_words.alias("h"), next_word.alias("next"), "item", "item_at")
-    whole = probes.where("item_at = 0").select(F.col("item").alias("i"), "item_template", "item_words")
-    fits = (F.col("_h") == F.col("h")) & (F.col("next").isNull() | (F.col("next") == F.xxhash64(f"_w.w{least}")))
+    hashed = docs.withColumn("_t", templates(F.col("_text")))
     begin = (F.col("_at") - F.col("item_at")).alias("begin")
-    # Words side by side with those behind them: exploding is compiled, functions over arrays aren't.
-    rolling = F.posexplode(F.arrays_zip(*[F.slice("_t", i + 1, F.size("_t")).alias(f"w{i}") for i in range(least + 1)])).alias("_at", "_w")
-    hashed = docs.withColumn("_t", templates(F.col("_text"))).where(F.size("_t") >= least)
-    h = F.xxhash64(*[f"_w.w{i}" for i in range(least)]).alias("_h")
     if n <= BROADCAST_WINDOWS:
-        hashed = hashed.select("_doc", "_text", "_t", rolling).select("*", h)
-        hits = hashed.join(F.broadcast(keys), fits).select("_doc", "_text", "_t", "item", begin)
-        whole = F.broadcast(whole)
+        # Only words are exploded, and only those that are some window's anchor look at the words around them.
+        keys = F.broadcast(durable(_anchored(probes)))
+        spots = hashed.select("_doc", "_text", "_t", F.posexplode("_t").alias("_spot", "_word")).withColumn("_h", F.xxhash64("_word"))
+        near = spots.join(keys, (F.col("_h") == F.col("anchor")) & (F.col("_spot") >= F.col("offset"))).withColumn("_at", F.col("_spot") - F.col("offset"))
+        hits = near.where(F.xxhash64(F.slice("_t", F.col("_at") + 1, F.col("window"))) == F.col("window_hash")).select("_doc", "_text", "_t", "item", begin)
     else:
+        # Windows are looked up by the first words, as many as the shortest has, and the next one of a longer window.
+        first_words = F.xxhash64(*[F.get("item_template", F.col("item_at") + i) for i in range(least)])
+        next_word = F.when(F.col("window") > least, F.xxhash64(F.get("item_template", F.col("item_at") + least)))
+        keys = probes.select(first_words.alias("h"), next_word.alias("next"), "item", "item_at")
+        fits = (F.col("_h") == F.col("h")) & (F.col("next").isNull() | (F.col("next") == F.xxhash64(f"_w.w{least}")))
+        rolling = F.posexplode(F.arrays_zip(*[F.slice("_t", i + 1, F.size("_t")).alias(f"w{i}") for i in range(least + 1)])).alias("_at", "_w")
         # One row for a row of docs, an item and a place, before texts come in again.
-        hashed = hashed.select("_row", rolling).select("*", h)
-        hits = hashed.join(keys, fits).select(F.col("_row").alias("_hit"), "item", begin).distinct()
+        spots = hashed.select("_row", rolling).select("*", F.xxhash64(*[f"_w.w{i}" for i in range(least)]).alias("_h"))
+        hits = spots.join(keys, fits).select(F.col("_row").alias("_hit"), "item", begin).distinct()
         hits = hits.join(docs, F.col("_hit") == F.col("_row")).withColumn("_t", templates(F.col("_text"))).select("_doc", "_text", "_t", "item", "begin")
-    placed = hits.where("begin >= 0").join(whole, F.col("item").eqNullSafe(F.col("i")))
+    placed = hits.where("begin >= 0").join(bounded_broadcast(whole), F.col("item").eqNullSafe(F.col("i")))
     size = F.size("item_template")
     placed = placed.withColumn("_match", _match(F.col("item_template"), F.slice("_t", F.col("begin") + 1, size))).where(F.col("_match") >= min_match)
     slots = _slots(F.col("item_template"), F.col("item_words"), F.slice(raw_words(F.col("_text")), F.col("begin") + 1, size))
@@ -114,8 +130,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with the columns of docs."""
-    bad = durable(leaks(docs, items).select(F.col("doc_id").alias("_bad")).distinct())
-    n = bad.count()
-    if n <= 200_000:
-        bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = durable(leaks(docs, items).select(F.col("doc_id").alias("bad")).distinct())
+    rows = packed_rows(docs, key=F.col("doc_id"))
+    return unpacked(rows.join(bounded_broadcast(bad), F.col("key").eqNullSafe(F.col("bad")), "left_anti"), docs.columns)

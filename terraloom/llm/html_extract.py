@@ -11,9 +11,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache as cache
+from functools import reduce
+from itertools import pairwise
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,99 +32,227 @@ SKIPPED = frozenset("head script style noscript template iframe object svg nav f
 CONTAINER = frozenset("article main section div td body blockquote".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
-#: Parts of a class or id that mark what isn't the main text.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|comment\w*|repl(?:y|ies)|disqus\w*|respond|discussion|sidebar|side|widget\w*|share|sharing|social\w*|related|recommend\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|masthead|site-header|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|pagination|pager|toolbar|skip|byline-links|tags)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+LISTED = frozenset("li dt dd td th tr option ul ol dl table select".split())
+FENCES = frozenset("ul ol dl table select".split())
+# Parts of a class or id that mark what isn't the main text, and those that only say how a page is laid out.
+NOISE = re.compile(r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|comment\w*|repl(?:y|ies)|disqus\w*|respond|discussion|sidebar|side|widget\w*|share|sharing|social\w*|related|recommend\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|pagination|pager|toolbar|skip|tags)")
+NOISE_PAIRS = frozenset(("site header", "byline links"))
+LAYOUT = frozenset("has with without no not layout open opened closed collapsed expanded visible hidden active enabled disabled template theme grid columns col".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.A)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+END_OF = {tag: re.compile(rf"</{tag}", re.I | re.A) for tag in RAW}
+CONTENT = re.compile(r"article|content|post|entry|story|main")
+
+
+@cache(maxsize=65536)
+def is_noise(name: str) -> bool:
+    """Whether a class or id, in lower case, marks what isn't the main text; `has-sidebar` and the like only say how a page is laid out."""
+    for token in name.split():
+        parts = [x for x in re.split(r"[_-]+", token) if x]
+        if not LAYOUT.intersection(parts) and (any(NOISE.fullmatch(x) for x in parts) or any(f"{x} {y}" in NOISE_PAIRS for x, y in pairwise(parts))):
+            return True
+    return False
 
 
 class Node:
-    """An element: tag, class, children (nodes and strings), and what it weighs."""
+    """An element: tag, class, children (nodes and strings), where it stands, and what it weighs.
+
+    mark is a hash of the generalised path; block and listed are the nearest elements, itself
+    included, that are blocks and that list items close up to. noise can be lifted, skip can't.
+    """
 
-    __slots__ = ("tag", "name", "kids", "parent", "skip", "chars", "links", "paras")
+    __slots__ = ("tag", "name", "kids", "parent", "skip", "noise", "depth", "mark", "block", "listed", "chars", "links", "paras", "heads")
 
-    def __init__(self, tag: str, name: str, parent: Node | None, skip: bool) -> None:
-        self.tag, self.name, self.parent, self.skip = tag, name, parent, skip
+    def __init__(self, tag: str, name: str, parent: Node | None, skip: bool, noise: bool = False) -> None:
+        self.tag, self.name, self.parent, self.skip, self.noise = tag, name, parent, skip, noise
         self.kids: list[Node | str] = []
-        self.chars = self.links = self.paras = 0
+        self.chars = self.links = self.paras = self.heads = 0
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.mark = marked(parent.mark, step(self)) if parent is not None else 0
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.listed = self if tag in LISTED or parent is None else parent.listed
+
+
+def step(node: Node) -> str:
+    """A node's part of a path: its tag and the first word of its class, digits left out; empty for what all pages have."""
+    if node.tag in ("html", "body", "#root"):
+        return ""
+    first = re.sub(r"\d+", "#", node.name.split()[0]).replace("/", "|") if node.name else ""
+    return f"{node.tag}.{first}" if first else node.tag
+
+
+def marked(above: int, part: str) -> int:
+    return xxhash.xxh64_intdigest(part, above) if part else above
+
+
+class Tags:
+    """Where tags end, in time that grows with the page alone, however broken its quotes are."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = page.rfind(">")
+        #: Opening quotes from which the rest of the page has no end of a tag.
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The > that ends a tag, quotes observed, or else the first one; -1 if there is none."""
+        if at > self.last:
+            return -1
+        i, seen = at, []
+        while m := STOP.search(self.page, i):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            i = self.page.find(m[0], m.end()) + 1
+            if not i:
+                break
+        self.dead.update(seen)
+        return self.page.find(">", at)
 
 
 def parse(page: str) -> Node:
     """The tree of a page, however broken: unclosed elements end with their parent."""
     root = at = Node("#root", "", None, False)
-    pos, n = 0, len(page)
-    lower = None
+    pos, n, tags = 0, len(page), Tags(page)
+    open_tags: Counter[str] = Counter()
+    last_cdata = page.rfind("]]>")
+
+    def close(to: Node) -> Node:
+        """Back to a node that is open, from where the page is."""
+        here = at
+        while here is not to:
+            open_tags[here.tag] -= 1
+            here = here.parent
+        return to
+
     while pos < n:
-        m = TOKEN.match(page, pos)
-        if m is None:  # a tag that never ends
-            at.kids.append(page[pos])
-            pos += 1
+        start = page.find("<", pos)
+        if start != pos:
+            at.kids.append(page[pos : start if start >= 0 else n])
+            if start < 0:
+                break
+            pos = start
+        if page.startswith("<!--", pos):
+            end = page.find("-->", pos + 4)
+            pos = n if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", pos) and pos < last_cdata:
+            end = page.find("]]>", pos)
+            at.kids.append(page[pos + 9 : end])
+            pos = end + 3
             continue
-        pos = m.end()
-        text = m[4]
-        if text is not None:
-            at.kids.append(text)
+        m = TAG.match(page, pos)
+        other = m is None and page[pos + 1 : pos + 2] in ("!", "?")
+        end = (page.find(">", pos) if other else tags.end(m.end())) if pos < tags.last and (m or other) else -1
+        if end < 0:  # a < that begins no tag, or one that never ends
+            at.kids.append("<")
+            pos += 1
             continue
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                at.kids.append(m[0][9:-3])
+        pos = end + 1
+        if other:
             continue
-        tag = tag.lower()
+        tag, rest = m[2].lower(), page[m.end() : end]
         if m[1]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+            if open_tags[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = close(up.parent)
             elif tag == "p" or tag == "br":
-                at.kids.append(Node(tag, "", at, False))
+                at.kids.append(Node(tag, "", at, at.skip))
             continue
-        rest = m[3]
         name, role, hidden = "", "", False
-        if rest and "=" in rest or "hidden" in rest:
+        if "=" in rest or "hidden" in rest:
             for a in ATTRIBUTE.finditer(rest):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                     hidden = True
                 elif key == "role":
                     role = value.lower()
-                else:
+                elif key in ("class", "id"):
                     name += f" {value.lower()}"
-        if tag in BLOCK and tag != "br":
-            p = at
-            while p.parent is not None and p.tag not in BLOCK:
-                p = p.parent
-            if p.tag == "p":
-                at = p.parent
+        if tag in BLOCK and tag != "br" and at.block.tag == "p":
+            at = close(at.block.parent)
         if closes := CLOSED_BY.get(tag):
-            p = at
-            while p.parent is not None and p.tag not in closes and p.tag not in ("ul", "ol", "dl", "table", "select"):
-                p = p.parent
+            p = at.listed
+            while p.parent is not None and p.tag not in closes and p.tag not in FENCES:
+                p = p.parent.listed
             if p.tag in closes:
-                at = p.parent
-        skip = at.skip or tag in SKIPPED or hidden or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert") or tag == "header" and at.tag in ("body", "#root", "html") or bool(name and tag not in ("html", "body", "article", "main") and NOISE.search(name))
-        node = Node(tag, name.strip(), at, skip)
+                at = close(p.parent)
+        skip = at.skip or tag in SKIPPED or hidden or role in ROLES or tag == "header" and at.tag in ("body", "#root", "html")
+        name = name.strip()
+        node = Node(tag, name, at, skip, bool(name) and tag not in ("html", "body", "article", "main") and is_noise(name))
         at.kids.append(node)
         if tag in RAW:
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{tag}", pos)
-            end = n if end < 0 or len(lower) != n else end
+            found = END_OF[tag].search(page, pos)
+            end = found.start() if found else n
             node.kids.append(page[pos:end])
             pos = end
             at = node
+            open_tags[tag] += 1
         elif tag not in VOID and not rest.endswith("/"):
             at = node
+            open_tags[tag] += 1
+    _settle_noise(root)
     return root
 
 
+def _inside(root: Node) -> list[Node]:
+    """All nodes that aren't skipped, in page order."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.skip)
+    return order
+
+
+def _weigh(order: list[Node]) -> None:
+    for node in reversed(order):
+        kids = [k for k in node.kids if isinstance(k, Node) and not k.skip]
+        node.chars = sum(len(k.strip()) for k in node.kids if isinstance(k, str)) + sum(k.chars for k in kids)
+        node.links = node.chars if node.tag == "a" else sum(k.links for k in kids)
+        node.paras = (node.chars - node.links if node.tag in ("p", "pre", "h1", "h2", "h3", "blockquote") else 0) or sum(k.paras for k in kids)
+        node.heads = (node.tag in ("h1", "main")) + sum(k.heads for k in kids)
+
+
+def _settle_noise(root: Node) -> None:
+    """Noise is skipped, unless it holds most of the page's paragraphs and its headline: then its name says something else.
+
+    If nothing is left but for noise, the noise that holds most of the paragraphs is what there is.
+    """
+    order = _inside(root)
+    noisy = [x for x in order if x.noise]
+    if not noisy:
+        return
+    _weigh(order)
+    total = root.paras
+    most = {id(x) for x in noisy if total and 2 * x.paras > total}
+    lifted = {i for x in noisy if (i := id(x)) in most and x.heads == root.heads > 0}
+    # Paragraphs outside of all noise that stays.
+    within, outside, stack = [], 0, [root]
+    while stack:
+        node = stack.pop()
+        if node.noise and id(node) not in lifted:
+            within.append(node)
+            continue
+        kids = [k for k in node.kids if isinstance(k, Node) and not k.skip]
+        outside += node.paras if not any(k.paras for k in kids) else 0
+        stack.extend(kids)
+    for node in noisy:
+        node.skip = id(node) not in lifted and not (total and not outside and id(node) in most)
+
+
 def generalised(node: Node) -> str:
-    """The path from the root: tags with the first word of their class, digits left out."""
+    """The path from the root: the steps of all elements on the way, digits left out."""
     parts = []
     while node is not None and node.parent is not None:
-        if node.tag not in ("html", "body", "#root"):
-            first = re.sub(r"\d+", "#", node.name.split()[0]) if node.name else ""
-            parts.append(f"{node.tag}.{first}" if first else node.tag)
+        if part := step(node):
+            parts.append(part)
         node = node.parent
     return "/".join(reversed(parts))
 
@@ -127,28 +260,15 @@ def generalised(node: Node) -> str:
 def containers(root: Node) -> list[tuple[float, int, Node]]:
     """(score, order, node) for every container with text outside of what is skipped."""
     out: list[tuple[float, int, Node]] = []
-    order: list[Node] = []
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.skip)
-    for node in reversed(order):
-        text = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
-        kids = [k for k in node.kids if isinstance(k, Node) and not k.skip]
-        node.chars = text + sum(k.chars for k in kids)
-        node.links = node.chars if node.tag == "a" else sum(k.links for k in kids)
-        node.paras = (node.chars - node.links if node.tag in ("p", "pre", "h1", "h2", "h3", "blockquote") else 0) or sum(k.paras for k in kids)
+    order = _inside(root)
+    _weigh(order)
     for i, node in enumerate(order):
         if node.tag in CONTAINER and node.chars:
             density = 1 - node.links / node.chars
-            bonus = 2.0 if node.tag == "article" else 1.5 if node.tag == "main" or re.search(r"article|content|post|entry|story|main", node.name) else 1.0
+            bonus = 2.0 if node.tag == "article" else 1.5 if node.tag == "main" or CONTENT.search(node.name) else 1.0
             loose = node.chars - node.links - node.paras
             # What an inner container holds counts for the outer too, but less the farther out.
-            depth, up = 0, node
-            while up.parent is not None:
-                depth, up = depth + 1, up.parent
-            out.append(((node.paras + 0.5 * max(0, loose)) * density * density * bonus * (1 + 0.01 * min(depth, 20)), i, node))
+            out.append(((node.paras + 0.5 * max(0, loose)) * density * density * bonus * (1 + 0.01 * min(node.depth, 20)), i, node))
     return out
 
 
@@ -180,10 +300,11 @@ def extract(page: str | None, path: str | None) -> str:
         return ""
     root = parse(page)
     if path is not None:
+        goal = reduce(marked, path.split("/") if path else (), 0)
         found, stack = [], [root]
         while stack:
             node = stack.pop()
-            if node.tag in CONTAINER and not node.skip and generalised(node) == path:
+            if node.tag in CONTAINER and node.mark == goal and generalised(node) == path:
                 found.append(node)
                 continue
             stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.skip)
@@ -219,10 +340,11 @@ def winning_paths(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
-    Null and empty html give an empty text. Pages without a host vote together, as one host.
+    Null and empty html give an empty text. Pages without a host vote together, as one host. Pages
+    may be as long, as deep and as broken as they like: time grows with their length. Repeated rows
+    each have their result; other columns don't matter.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    winners = durable(winning_paths(slim).select(F.col("host").alias("_host"), F.col("path").alias("_path")))
-    winners = bounded_broadcast(winners, winners.count())
-    joined = slim.join(winners, host_of(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "_path")
+    winners = bounded_broadcast(durable(winning_paths(slim)))
+    joined = slim.join(winners, host_of(F.col("url")) == F.col("host"), "left").select("page_id", "url", "html", "path")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -2,7 +2,9 @@
 
 Source shares of tokens are raised to an exponent between 0 and 1 and normalised; the exponent
 is bisected until the mixture has the target entropy or stays within the repetition limit,
-whichever is nearer to the natural shares. The weights are then realised as block permutations:
+whichever is nearer to the natural shares. Two sums over the sources are all that a step of the
+bisection needs, so sources may be as many as hosts: few are summed here, many in Spark, a
+grid of exponents in one job. The weights are then realised as block permutations:
 the rows of a source lie in hashed blocks, blocks are in a permuted order for each epoch, and
 running token totals by block, then inside a block, decide which rows the budget still covers.
 No source is sorted or gathered as a whole, so a source with a third of all rows is no hot spot.
@@ -11,118 +13,144 @@ No source is sorted or gathered as a whole, so a source with a third of all rows
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import BROADCAST_ROWS, bounded_broadcast, durable, words
+from terraloom.llm.common import bounded_broadcast, durable, packed_rows, unpacked, words
 
 MAX_REPETITION = 4.0
 ENTROPY_SHARE = 0.9
 BLOCK_ROWS = 2048
-BISECTIONS = 60
+#: Sources up to so many are summed on the driver, more by Spark.
+FEW_SOURCES = 20_000
+#: Exponents tried at a time, and how often the interval between two of them is taken anew.
+GRID, ROUNDS = 32, 12
 
+#: For exponents x: the sums over sources of share ** x, and of share ** x * log(share).
+Sums = Callable[[Sequence[float]], list[tuple[float, float]]]
 
-def tempered(tokens: list[float], exponent: float) -> list[float]:
-    """Normalised weights: token shares to the power of the exponent."""
-    total = sum(tokens)
-    raw = [(t / total) ** exponent if t > 0 else 0.0 for t in tokens]
-    return [x / sum(raw) for x in raw]
 
+def sums_of(tokens: Sequence[float]) -> Sums:
+    shares = [t / sum(tokens) for t in tokens if t > 0]
+    return lambda xs: [(math.fsum(p**x for p in shares), math.fsum(p**x * math.log(p) for p in shares)) for x in xs]
 
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
 
+def sums_in_spark(sources: DataFrame, total: float) -> Sums:
+    share = F.col("tokens") / total
 
-def _bisect(good: Callable[[float], bool]) -> float:
+    def run(xs: Sequence[float]) -> list[tuple[float, float]]:
+        powers = [F.pow(share, F.lit(float(x))) for x in xs]
+        row = sources.where("tokens > 0").agg(*[F.sum(p) for p in powers], *[F.sum(p * F.log(share)) for p in powers]).collect()[0]
+        return [(row[i], row[len(xs) + i]) for i in range(len(xs))]
+
+    return run
+
+
+def _least(good: Callable[[float, tuple[float, float]], bool], sums: Sums) -> float:
     """The exponent nearest to 0 for which good holds; good holds from some point up to 1."""
     low, high = 0.0, 1.0
-    if good(low):
+    if good(low, sums([low])[0]):
         return low
-    for _ in range(BISECTIONS):
-        mid = (low + high) / 2
-        low, high = (low, mid) if good(mid) else (mid, high)
+    for _ in range(ROUNDS):
+        tried = [low + (high - low) * k / GRID for k in range(1, GRID)]
+        held = [good(x, s) for x, s in zip(tried, sums(tried), strict=True)]
+        first = held.index(True) if True in held else len(held)
+        low, high = (tried[first - 1] if first else low), (tried[first] if first < len(held) else high)
     return high
 
 
-def solve(tokens: list[float], budget: float | None, entropy_share: float | None, max_repetition: float) -> tuple[float, list[float], float]:
-    """(exponent, weights, budget) for source token counts.
+def solve(total: float, least: float, most: float, n: int, sums: Sums, budget: float | None, entropy_share: float | None, max_repetition: float) -> tuple[float, float, float]:
+    """(exponent, sum of powers, budget) for n sources that have tokens, least to most of them, of a total.
 
     entropy_share: the target entropy, as a share of that of equal weights (None: the limit on
-    repetition alone decides). budget None: the least budget that covers every source once.
+    repetition alone decides). budget None: the least budget that covers every source once. A
+    source's weight is its share to the power of the exponent, over the sum of powers.
     """
-    live = [t for t in tokens if t > 0]
-    if not live:
-        return 1.0, [0.0] * len(tokens), 0.0
+    if not n:
+        return 1.0, 1.0, 0.0
+    small, large = least / total, most / total
 
-    def need(w: list[float]) -> float:
-        return budget if budget is not None else max(t / x for t, x in zip(tokens, w, strict=True) if t > 0)
+    def need(x: float, z: float) -> float:
+        """The budget: shares over weights are largest for the largest source."""
+        return budget if budget is not None else total * z * large ** (1 - x)
 
-    def fits(exponent: float) -> bool:
-        w = tempered(tokens, exponent)
-        return all(need(w) * x <= max_repetition * t * (1 + 1e-12) for t, x in zip(tokens, w, strict=True) if t > 0)
+    def fits(x: float, s: tuple[float, float]) -> bool:
+        """Repetition is largest for the smallest source."""
+        return need(x, s[0]) * small ** (x - 1) <= max_repetition * total * s[0] * (1 + 1e-12)
 
-    exponent = _bisect(fits)
+    def flat(x: float, s: tuple[float, float]) -> bool:
+        """Whether the mixture of exponent 1 - x has the target entropy: entropy falls as the exponent rises."""
+        return math.log(s[0]) - (1 - x) * s[1] / s[0] >= (entropy_share or 0.0) * math.log(n) * (1 if n > 1 else 0) - 1e-12
+
+    exponent = _least(fits, sums)
     if entropy_share is not None:
-        target = entropy_share * math.log(len(live)) if len(live) > 1 else 0.0
-        # Entropy falls as the exponent rises: the largest exponent that still reaches the target.
-        exponent = max(exponent, 1.0 - _bisect(lambda x: entropy(tempered(tokens, 1.0 - x)) >= target))
-    weights = tempered(tokens, exponent)
-    return exponent, weights, need(weights)
+        exponent = max(exponent, 1.0 - _least(flat, lambda xs: sums([1.0 - x for x in xs])))
+    z = sums([exponent])[0][0]
+    return exponent, z, need(exponent, z)
 
 
-def source_tokens(docs: DataFrame, source: str = "source") -> DataFrame:
+def _sources(rows: DataFrame) -> DataFrame:
     """(source, n_docs, tokens): pre-aggregated before the shuffle. A null source is a source."""
-    return docs.groupBy(source).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("_tokens").cast("long").alias("tokens"))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").cast("long").alias("tokens"))
+
+
+def quotas(sources: DataFrame, budget_share: float | None, entropy_share: float | None, max_repetition: float, few: int = FEW_SOURCES) -> DataFrame:
+    """(of, weight, quota, total, blocks, epochs) for every source; sources must be durable."""
+    r = sources.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"), F.min(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("least"), F.max("tokens").alias("most"), F.count(F.when(F.col("tokens") > 0, 1)).alias("n")).collect()[0]
+    total = float(r["total"])
+    sums = sums_of([x["tokens"] for x in sources.select("tokens").collect()]) if r["n"] <= few and total else sums_in_spark(sources, total or 1.0)
+    exponent, z, budget = solve(total, float(r["least"] or 0), float(r["most"] or 0), r["n"], sums, None if budget_share is None else budget_share * total, entropy_share, max_repetition)
+    some = F.col("tokens") > 0
+    weight = F.when(some, F.pow(F.col("tokens") / (total or 1.0), F.lit(exponent)) / z).otherwise(0.0)
+    quota = F.when(some, weight * budget).otherwise(1.0)
+    epochs = F.when(some, F.greatest(F.lit(0), F.ceil(F.try_divide(weight * budget, F.col("tokens")) - 1e-9).cast("int") - 1)).otherwise(0)
+    return sources.select(F.col("source").alias("of"), weight.alias("weight"), quota.alias("quota"), F.col("tokens").alias("total"), F.ceil(F.col("n_docs") / BLOCK_ROWS).cast("int").alias("blocks"), epochs.alias("epochs"))
 
 
-def mixture(docs: DataFrame, source: str = "source", text: str = "text", budget_share: float | None = 1.0, entropy_share: float | None = ENTROPY_SHARE, max_repetition: float = MAX_REPETITION, max_sources: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with a column _draw for each time that a row is drawn.
+def mixture(docs: DataFrame, source: str = "source", text: str = "text", budget_share: float | None = 1.0, entropy_share: float | None = ENTROPY_SHARE, max_repetition: float = MAX_REPETITION, keys_only: bool = False, few: int = FEW_SOURCES) -> DataFrame:
+    """(row, draw): a row of docs as a struct (keys_only: of doc_id and source alone), for each time that it is drawn.
 
-    _draw: tokens, weight, epoch (0 at first), block, at (the tokens of its source drawn before
+    draw: tokens, weight, epoch (0 at first), block, at (the tokens of its source drawn before
     it, over all epochs). A row is drawn in an epoch while `at` is below its source's quota, the
     weight's share of the budget. budget_share: the budget over all tokens of the corpus; None:
     the least that draws every row at least once. Rows without words are drawn with the rows
-    beside them, at no cost. Null texts have no tokens. The table of sources is what is
-    collected; more than max_sources are refused. An empty table gives an empty result.
+    beside them, at no cost. Null texts have no tokens; repeated rows are drawn each by itself.
+    An empty table gives an empty result. Columns of any name are carried as they are.
     """
-    rows = docs.withColumn("_tokens", F.size(words(F.col(text))).cast("long"))
-    sources = durable(source_tokens(rows.select(source, "_tokens"), source))
-    if sources.count() > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    found = sorted(sources.collect(), key=lambda r: (r[0] is not None, str(r[0])))
-    tokens = [float(r["tokens"]) for r in found]
-    _, weights, budget = solve(tokens, None if budget_share is None else budget_share * sum(tokens), entropy_share, max_repetition)
-    plan = [
-        (r[0], w, w * budget if t else 1.0, int(t), max(1, -(-int(r["n_docs"]) // BLOCK_ROWS)), max(0, math.ceil(w * budget / t - 1e-9) - 1) if t else 0)
-        for r, t, w in zip(found, tokens, weights, strict=True)
-    ]
-    kind = dict(docs.dtypes)[source]
-    quotas = docs.sparkSession.createDataFrame(plan, f"_source {kind}, _weight double, _quota double, _total long, _blocks int, _epochs int")
-    rows = rows.join(bounded_broadcast(quotas, len(plan)), F.col(source).eqNullSafe(F.col("_source")), "left")
-    # Which rows share a block depends on the row, not on the epoch; the order of blocks does on both.
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), F.col("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")))), F.col("_blocks")).cast("int"))
-    slim = rows.select("_source", "_block", "_tokens", "_weight", "_quota", "_total", "_epochs")
-    by_block = slim.groupBy("_source", "_block").agg(F.sum("_tokens").alias("_n"), F.first("_quota").alias("_quota"), F.first("_total").alias("_total"), F.first("_epochs").alias("_epochs"))
-    by_block = by_block.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_epochs"))))
-    order = Window.partitionBy("_source", "_epoch").orderBy(F.xxhash64(F.lit("order"), "_block", "_epoch"), "_block")
-    starts = by_block.withColumn("_start", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") + F.col("_epoch") * F.col("_total"))
-    starts = starts.where(F.col("_start") < F.col("_quota")).groupBy(F.col("_source").alias("_s"), F.col("_block").alias("_b")).agg(F.collect_list(F.struct("_epoch", "_start")).alias("_starts"))
-    inside = Window.partitionBy("_source", "_block").orderBy(F.xxhash64(F.lit("row"), "doc_id", F.col("_tokens")), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_before", F.sum("_tokens").over(inside) - F.col("_tokens"))
-    drawn = rows.join(starts, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b"))).withColumn("_at", F.explode("_starts"))
-    at = F.col("_at._start") + F.col("_before")
-    draw = F.struct(F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_at._epoch").alias("epoch"), F.col("_block").alias("block"), at.alias("at"))
-    return drawn.where(at < F.col("_quota")).withColumn("_draw", draw).select(*[F.col(f"`{c}`") for c in docs.columns], "_draw")
+    known = {
+        "source": F.col(source),
+        "id": F.col("doc_id"),
+        "tokens": F.size(words(F.col(text))).cast("long"),
+        "key": F.xxhash64(F.lit("block"), F.col("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")))),
+    }
+    slim = durable(docs.select(*[c.alias(k) for k, c in known.items()]))
+    plan = bounded_broadcast(durable(quotas(durable(_sources(slim)), budget_share, entropy_share, max_repetition, few)))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Which rows share a block depends on the row, not on the epoch; the order of blocks does on both."""
+        return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int"))
+
+    by_block = dealt(slim).groupBy("of", "block").agg(F.sum("tokens").alias("n"), F.first("quota").alias("quota"), F.first("total").alias("total"), F.first("epochs").alias("epochs"))
+    by_block = by_block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
+    order = Window.partitionBy("of", "epoch").orderBy(F.xxhash64(F.lit("order"), "block", "epoch"), "block")
+    starts = by_block.withColumn("start", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") + F.col("epoch") * F.col("total"))
+    starts = starts.where(F.col("start") < F.col("quota")).groupBy(F.col("of").alias("s"), F.col("block").alias("b")).agg(F.collect_list(F.struct("epoch", "start")).alias("starts"))
+    inside = Window.partitionBy("of", "block").orderBy(F.xxhash64(F.lit("row"), "id", F.col("tokens")), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = slim.select(F.struct(F.col("id").alias("doc_id"), F.col("source").alias(source)).alias("row"), "*") if keys_only else packed_rows(docs, **known)
+    rows = dealt(rows).withColumn("before", F.sum("tokens").over(inside) - F.col("tokens"))
+    drawn = rows.join(starts, F.col("of").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("one", F.explode("starts"))
+    at = F.col("one.start") + F.col("before")
+    draw = F.struct("tokens", "weight", F.col("one.epoch").alias("epoch"), "block", at.alias("at"))
+    return drawn.where(at < F.col("quota")).select("row", draw.alias("draw"))
 
 
 def draws(docs: DataFrame) -> DataFrame:
     """(doc_id, source, tokens, weight, epoch, block, at): each draw of the tempered mixture."""
-    slim = docs.select("doc_id", "source", F.col("text"))
-    return mixture(slim).select("doc_id", "source", "_draw.*")
+    return mixture(docs, keys_only=True).select("row.*", "draw.*")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs, each row at least once, small sources repeated up to a quarter more often."""
-    return mixture(docs, budget_share=None, entropy_share=None, max_repetition=1.25).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(mixture(docs, budget_share=None, entropy_share=None, max_repetition=1.25), docs.columns)

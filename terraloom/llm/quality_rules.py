@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import SPACE, bounded_broadcast, durable, let, words
+from terraloom.llm.common import SPACE, bounded_broadcast, durable, let, unpacked, words
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-HOST_LIMIT = 0.5
-#: Hosts of fewer documents are never rejected: too little is known of them.
-HOST_DOCUMENTS = 20
+#: A host goes if its failure rate is surely at least this: by so many standard deviations of its posterior.
+HOST_LIMIT = 0.3
+SURE = 2.0
+#: The prior weighs as much as so many documents at most, which is where hosts differ by no more than chance.
+MAX_STRENGTH = 1e6
 
 
 def _covered(hashes: Column, size: int) -> Column:
@@ -60,60 +62,67 @@ def document_figures(text: Column) -> Column:
     return let(words(text), of_words)
 
 
-def with_figures(docs: DataFrame, name: str = "_figures", text: str = "text") -> DataFrame:
-    """docs plus one struct column of figures and base_failed; a column of that name is replaced."""
-    figures = docs.withColumn(name, document_figures(F.col(text)))
-    f = F.col(name)
-    failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"])
-    return figures.withColumn(name, f.withField("base_failed", failed))
+def base_failed(figures: Column) -> Column:
+    """Whether a document fails by its own figures."""
+    return (figures["n_words"] < MIN_WORDS) | (100 * figures["n_repeat_words"] > MAX_REPEAT_PERCENT * figures["n_words"])
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_failed", limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, n_docs, n_failed, rate, rejected): failure rates shrunk by an empirical beta prior.
+    """(host, n_docs, n_failed, rate, sure, rejected): failure rates shrunk by an empirical beta prior.
 
-    The prior's mean and strength come from the spread of the hosts' raw rates (moments).
-    A host is rejected if its shrunken rate is at least the limit and it has at least 20
-    documents. A null host is a host.
+    The prior's mean is the rate of all documents, and its strength comes from how far the hosts'
+    rates lie apart beyond chance, each host weighing as its documents (moments of the beta-binomial).
+    rate is the posterior's mean, sure that less two of its standard deviations; a host is rejected
+    if sure is at least the limit. A null host is a host.
     """
     by_host = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     by_host = durable(by_host)
-    prior = by_host.agg(F.avg(F.col("n_failed") / F.col("n_docs")).alias("m"), F.var_pop(F.col("n_failed") / F.col("n_docs")).alias("v"))
-    m, v = F.col("m"), F.col("v")
-    strength = F.when((v > 0) & (m * (1 - m) > v), m * (1 - m) / v - 1).otherwise(F.lit(1.0))
-    prior = prior.select((m * strength).alias("a"), ((1 - m) * strength).alias("b"))
-    rate = (F.col("n_failed") + F.col("a")) / (F.col("n_docs") + F.col("a") + F.col("b"))
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    total = by_host.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff"), F.count(F.lit(1)).alias("k"))
+    m = F.try_divide("f", "n")
+    # Spread of rates between hosts over that of single documents, less what chance alone gives.
+    freedom = F.col("n") - F.try_divide("nn", "n") - (F.col("k") - 1)
+    share = F.try_divide(F.try_divide(F.col("ff") - F.col("f") * m - (F.col("k") - 1) * m * (1 - m), freedom), m * (1 - m))
+    strength = F.when((freedom > 0) & (share > 1 / (MAX_STRENGTH + 1)), F.greatest(F.try_divide(F.lit(1.0), share) - 1, F.lit(1e-3))).otherwise(F.lit(MAX_STRENGTH))
+    prior = total.select((F.coalesce(m, F.lit(0.0)) * strength).alias("a"), strength.alias("s"))
+    weight = n + F.col("s")
+    rate = (f + F.col("a")) / weight
+    sure = rate - SURE * F.sqrt(rate * (1 - rate) / (weight + 1))
     # The prior is one row, whatever the input.
-    return by_host.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), ((rate >= limit) & (F.col("n_docs") >= HOST_DOCUMENTS)).alias("rejected"))
+    return by_host.crossJoin(F.broadcast(prior)).select("host", "n_docs", "n_failed", rate.alias("rate"), sure.alias("sure"), (sure >= limit).alias("rejected"))
 
 
-def apply_rules(docs: DataFrame, name: str = "_figures", text: str = "text", host: str = "source") -> DataFrame:
-    """Every row of docs with a struct column: the figures, base_failed, host_rate and kept.
-
-    kept is false if the document fails the base rules or its host is rejected. Empty tables
-    give empty results; repeated rows are judged each by itself.
-    """
-    judged = with_figures(docs, name, text)
-    return _join_hosts(judged, host_verdicts(judged.select(F.col(host), F.col(f"{name}.base_failed").alias("base_failed")), host), name, host)
+def _judged(rows: DataFrame, host: str) -> DataFrame:
+    """rows (host, figures, base_failed, ...) plus host_rate and kept; rows must be durable, for they are read twice."""
+    hosts = durable(host_verdicts(rows, host).select(F.col("host").alias("judged_host"), F.col("rate").alias("host_rate"), "rejected"))
+    joined = rows.join(bounded_broadcast(hosts), F.col(host).eqNullSafe(F.col("judged_host")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False)))
 
 
-def _join_hosts(judged: DataFrame, hosts: DataFrame, name: str, host: str) -> DataFrame:
-    hosts = durable(hosts.select(F.col("host").alias("_host"), F.col("rate").alias("_rate"), F.col("rejected").alias("_rejected")))
-    joined = judged.join(bounded_broadcast(hosts, hosts.count()), F.col(host).eqNullSafe(F.col("_host")), "left")
-    f = F.col(name)
-    kept = ~f["base_failed"] & ~F.coalesce(F.col("_rejected"), F.lit(False))
-    return joined.withColumn(name, f.withField("host_rate", F.col("_rate")).withField("kept", kept)).drop("_host", "_rate", "_rejected")
+def _figures_of(docs: DataFrame, **more: Column) -> DataFrame:
+    rows = docs.select(document_figures(F.col("text")).alias("figures"), F.col("source").alias("host"), *[c.alias(k) for k, c in more.items()])
+    return rows.withColumn("base_failed", base_failed(F.col("figures")))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, figures, base_failed, host_rate, kept): one pass over the texts."""
-    figures = durable(with_figures(docs.select("doc_id", "text", "source")).select("doc_id", "source", "_figures"))
-    hosts = host_verdicts(figures.select("source", F.col("_figures.base_failed").alias("base_failed")))
-    return _join_hosts(figures, hosts, "_figures", "source").select("doc_id", "_figures.*")
+    """(doc_id, figures, base_failed, host_rate, kept): one pass over the texts.
+
+    kept is false if the document fails the base rules or its host is rejected. Null and empty texts
+    have no words and fail; empty tables give empty results; repeated rows are judged each by itself.
+    """
+    rows = durable(_figures_of(docs, doc_id=F.col("doc_id")))
+    return _judged(rows, "host").select("doc_id", "figures.*", "base_failed", "host_rate", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    return apply_rules(docs).where(F.col("_figures.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the rules keep, with the columns of docs, whatever their names.
+
+    Texts are judged once: rows that pass by themselves are written beside the verdicts on all,
+    and those of rejected hosts go when they are read again.
+    """
+    judged = _figures_of(docs, row=F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = durable(judged.select("host", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")))
+    return unpacked(_judged(rows, "host").where("kept"), docs.columns)
 
 
 ORACLE = """
@@ -126,10 +135,12 @@ fig AS (SELECT b.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM base) b LEFT JOIN cov c USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM fig),
-hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM judged GROUP BY source),
-prior AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
-ab AS (SELECT m * s AS a, (1 - m) * s AS b FROM (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 1 END AS s FROM prior)),
-bad AS (SELECT source, n >= 20 AND (f + a) / (n + a + b) >= 0.5 AS rejected, (f + a) / (n + a + b) AS rate FROM hosts, ab)
+hosts AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS DOUBLE) AS f FROM judged GROUP BY source),
+total AS (SELECT sum(n) AS n, sum(f) AS f, sum(f) / sum(n) AS m, sum(n * n) AS nn, sum(f * f / n) AS ff, count(*) AS k FROM hosts),
+spread AS (SELECT *, CASE WHEN n - nn / n > k - 1 AND m > 0 AND m < 1 THEN (ff - f * m - (k - 1) * m * (1 - m)) / (n - nn / n - (k - 1)) / (m * (1 - m)) ELSE 0 END AS apart FROM total),
+prior AS (SELECT coalesce(m, 0) AS m, CASE WHEN apart > 1 / (1e6 + 1) THEN greatest(1 / apart - 1, 1e-3) ELSE 1e6 END AS s FROM spread),
+shrunk AS (SELECT source, n + s AS w, (f + m * s) / (n + s) AS rate FROM hosts, prior),
+bad AS (SELECT source, rate - 2 * sqrt(rate * (1 - rate) / (w + 1)) >= 0.3 AS rejected FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM judged j JOIN bad ON j.source IS NOT DISTINCT FROM bad.source
 """

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import let
+from terraloom.llm.common import durable, let
 
 SHARDS = 40
 RACK_SHARDS = 4
@@ -81,16 +81,17 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     grown = Tree((*tree.weights, 1.0))
     known = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
-        F.col(key),
+        F.col(key).alias("id"),
         (F.octet_length(known) + OVERHEAD_BYTES).cast("long").alias("size"),
         F.crc32(known).alias("text_crc32"),
         F.lit("key").alias("law"),
         place(F.col(key), tree).alias("shard"),
         place(F.col(key), grown).alias("grown_shard"),
     )
-    blocks = max(1, -(-docs.count() // (len(tree.weights) * BLOCK_ROWS)))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.col(key), F.col("text_crc32")), F.lit(blocks)).cast("int"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_block").orderBy(F.col(key), "text_crc32", "size")) - 1)
-    starts = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select("shard", "_block", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("_n")).alias("_start"))
-    return ranked.join(starts, ["shard", "_block"]).select(key, "size", "text_crc32", "law", "shard", (F.col("_start") + F.col("_rank")).cast("long").alias("slot"), "grown_shard")
+    rows = durable(rows)
+    blocks = max(1, -(-rows.count() // (len(tree.weights) * BLOCK_ROWS)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(blocks)).cast("int"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "text_crc32", "size")) - 1)
+    starts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("start"))
+    return ranked.join(starts, ["shard", "block"]).select(F.col("id").alias(key), "size", "text_crc32", "law", "shard", (F.col("start") + F.col("rank")).cast("long").alias("slot"), "grown_shard")

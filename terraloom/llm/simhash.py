@@ -1,11 +1,11 @@
-"""Operator 1: near-duplicates by SimHash.
-
-Fingerprints have eight positional bytes. If two differ in at most two bits, at least six bytes
-agree, so every fingerprint is posted under each choice of six of its positions; in a posting
-list, the bytes that a pair shares are tallied, pairs below six are let go, and the rest are
-verified bit by bit. Fingerprints are distinct by then, and two in one list differ in 16 bits at
-most, so no list has over 65,536 entries, however many documents there are. Long lists don't
-make pairs: they are linked through the values one bit away, which finds the same links.
+"""Operator 1: near-duplicates by SimHash, from an inverted index over byte positions with count filtering.
+
+Fingerprints have eight positional bytes. Lists of single bytes would be a 256th of all
+fingerprints long and their pairs grow with the square of the input, so the index is over pairs
+of byte positions, two at a time: 32 bits. Within a list, the positional bytes that two
+fingerprints share are tallied; linked ones share six at least, and those that reach that are
+verified bit by bit. Fingerprints are distinct by then, however many documents have them, and
+lists that are long all the same are dealt out once more, by two further bytes.
 """
 
 from __future__ import annotations
@@ -17,18 +17,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import dealt_anew, durable, partitions, release
+from terraloom.llm.common import Scratch, dealt_anew, durable, packed_rows, partitions, unpacked
 from terraloom.llm.components import components
 from terraloom.llm.packed import exchange
 from terraloom.llm.word_dedup import WordHashes, rolling, word_hashes
 
 SHINGLE = 3
 MAX_BITS = 2
-#: Lists up to this long are compared pair by pair.
-SHORT_LIST = 48
+#: Posting lists over this long are dealt out by two bytes more.
+LONG_LIST = 4096
 POSITIONS = 8
 #: Near copies share at least this much of their shingles of so many words; parts() are of so many shingles on average.
 SIMILAR = 0.8
@@ -74,99 +74,110 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return slim.mapInArrow(_fingerprints(size), "doc_id long, fp long")
 
 
-def _mask(positions: tuple[int, ...]) -> int:
-    m = sum(0xFF << 8 * p for p in positions)
-    return m - (1 << 64) if m >= 1 << 63 else m
+def _bytes_of(fp: Column, positions: tuple[int, ...]) -> Column:
+    """The bytes at these positions of a fingerprint, all others zero."""
+    mask = sum(0xFF << 8 * p for p in positions)
+    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
+
+
+def _posted(fps: DataFrame, groups: list[tuple[int, ...]], chosen: int, fixed: int = 0) -> DataFrame:
+    """(choice, key, fp): each fingerprint under every choice of `chosen` of the groups of byte positions.
+
+    fixed: the choice that rows have already, whose bytes stay part of the key.
+    """
+    posts = [F.struct(F.lit(i + fixed).cast("int").alias("choice"), _bytes_of(F.col("fp"), sum(c, ())).alias("key")) for i, c in enumerate(combinations(groups, chosen))]
+    return fps.select("fp", F.explode(F.array(*posts)).alias("p")).select("p.choice", "p.key", "fp")
+
+
+def _components_of_list(values: np.ndarray, max_bits: int, least: int) -> np.ndarray:
+    """For distinct fingerprints of one list, the place of the least one that each is linked to, directly or not.
+
+    For every pair the bytes that they share are tallied, pairs below `least` are let go, and the
+    rest are verified bit by bit. Pairs are made a block of rows at a time and not kept.
+    """
+    label = np.arange(len(values))
+    found = []
+    step = max(1, (1 << 20) // len(values))
+    for i in range(0, len(values), step):
+        x = values[i : i + step, None] ^ values[None, i:]
+        tally = (x.view(np.uint8).reshape(*x.shape, POSITIONS) == 0).sum(2, dtype=np.uint8)
+        r, c = np.nonzero(tally >= least)
+        near = (np.bitwise_count(x[r, c]) <= max_bits) & (c > r)
+        found.append((r[near] + i, c[near] + i))
+    one, two = (np.concatenate(v) for v in zip(*found, strict=True))
+    while len(one):
+        before = label.copy()
+        least_of = np.minimum(label[one], label[two])
+        np.minimum.at(label, one, least_of)
+        np.minimum.at(label, two, least_of)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
 
 
 def _links(max_bits: int, least: int):
     """From rows (choice, key, fp) sorted by choice and key: star edges (a, b) inside each list."""
 
-    def table(values: np.ndarray) -> np.ndarray:
-        """For a long list: each value's least value reachable by steps of max_bits or fewer bits."""
-        free = int(np.bitwise_or.reduce(values ^ values[0]))
-        bits = [np.uint64(1 << i) for i in range(64) if free >> i & 1]
-        label = np.arange(len(values))
-        while True:
-            before = label.copy()
-            if max_bits <= 1:
-                hops = [np.zeros(1, dtype=np.uint64), *bits[: len(bits) * max_bits]]
-            else:
-                hops = [np.uint64(0), *bits]
-            spread = np.concatenate([values ^ x for x in hops])
-            order = np.argsort(spread, kind="stable")
-            cuts = np.flatnonzero(np.diff(spread[order], prepend=~spread[order[:1]]))
-            owner = order % len(values)
-            least_of = np.minimum.reduceat(label[owner], cuts)
-            np.minimum.at(label, owner, np.repeat(least_of, np.diff(np.append(cuts, len(order)))))
-            label = label[label]
-            if (label == before).all():
-                return label
-
-    def pairs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = np.triu_indices(len(values), 1)
-        x = values[i] ^ values[j]
-        tally = (x.view(np.uint8).reshape(-1, POSITIONS) == 0).sum(1)
-        near = (tally >= least) & (np.bitwise_count(x) <= max_bits)
-        return values[j[near]], values[i[near]]
+    def edges(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+        out = []
+        for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            v = np.unique(values[cuts[k] : cuts[k + 1]])
+            if len(v) > 1:
+                label = _components_of_list(v, max_bits, least)
+                moved = label != np.arange(len(v))
+                out.append((v[moved], v[label[moved]]))
+        if not out:
+            return None
+        one, two = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
-        kept = None
-
-        def lists(keys: np.ndarray, values: np.ndarray, last: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            change = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            cuts = np.concatenate([[0], change, [len(keys)]])
-            end = len(cuts) - 1 if last else len(cuts) - 2
-            long = np.flatnonzero(np.diff(cuts[: end + 1]) > 1)
-            for k in long:
-                v = np.unique(values[cuts[k] : cuts[k + 1]])
-                if len(v) < 2:
-                    continue
-                if len(v) <= SHORT_LIST or max_bits != 2:
-                    yield pairs(v)
-                else:
-                    label = table(v)
-                    moved = label != np.arange(len(v))
-                    yield v[moved], v[label[moved]]
-
+        keys, values = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.uint64)
         for b in batches:
-            keys = np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()], axis=1)
-            values = b.column(2).to_numpy().view(np.uint64)
-            if kept is not None:
-                keys, values = np.concatenate([kept[0], keys]), np.concatenate([kept[1], values])
-            if not len(keys):
-                continue
-            rest = list(lists(keys, values, False))
-            tail = len(keys) - 1 - int(np.argmax((keys[::-1] != keys[-1]).any(1))) + 1 if (keys != keys[-1]).any() else 0
-            kept = keys[tail:], values[tail:]
-            if rest:
-                yield _edges(rest)
-        if kept is not None:
-            rest = list(lists(*kept, True))
-            if rest:
-                yield _edges(rest)
-
-    def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = (np.concatenate([x[k] for x in found]).view(np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            keys = np.concatenate([keys, np.stack([b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()], axis=1)])
+            values = np.concatenate([values, b.column(2).to_numpy().view(np.uint64)])
+            # All lists but the last are whole.
+            other = np.flatnonzero((keys != keys[-1:]).any(1))
+            whole = int(other[-1]) + 1 if len(other) else 0
+            if whole and (out := edges(keys[:whole], values[:whole])) is not None:
+                yield out
+            keys, values = keys[whole:], values[whole:]
+        if len(keys) and (out := edges(keys, values)) is not None:
+            yield out
 
     return run
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, long_list: int = LONG_LIST) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp), enough for every link's component.
 
-    max_bits is 0 to 7: at least 8 - max_bits bytes of a linked pair agree. Lists for max_bits
-    other than 2 are compared pair by pair however long they are.
+    max_bits is 0 to 2: fingerprints that differ in so few bits differ in two bytes at most, so of
+    the four pairs of neighbouring bytes two at least agree. Every fingerprint is posted under each
+    two of its four pairs; in a posting list, the bytes that any two share are tallied and pairs
+    that share fewer than 8 - max_bits go. Lists over `long_list` are dealt out again, in the same
+    way, under each two of their other four bytes, of which two must agree: such a list has 65,536
+    fingerprints at most, since no more differ in two bytes alone.
     """
-    least = POSITIONS - max_bits
-    choices = list(combinations(range(POSITIONS), least))
-    posts = F.array(*[F.struct(F.lit(i).cast("short").alias("choice"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("key")) for i, c in enumerate(choices)])
-    rows = fps.select("fp", F.explode(posts).alias("p")).select("p.choice", "p.key", "fp")
-    n = partitions(fps)
-    dealt = rows.repartition(n, "choice", "key").sortWithinPartitions("choice", "key")
-    return dealt.mapInArrow(_links(max_bits, least), "a long, b long").distinct()
+    if not 0 <= max_bits <= 2:
+        raise ValueError("max_bits must be 0, 1 or 2")
+    pairs = [(2 * i, 2 * i + 1) for i in range(POSITIONS // 2)]
+    posts = _posted(fps, pairs, 2)
+    sizes = posts.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > long_list)
+    long = durable(sizes.select(F.col("choice").alias("c"), F.col("key").alias("k")))
+    if long.take(1):
+        same = (F.col("choice") == F.col("c")) & (F.col("key") == F.col("k"))
+        short = posts.join(long, same, "left_anti")
+        crowded = durable(posts.join(long.select(F.col("c"), dealt_anew("k").alias("k")), same).select("choice", "fp"))
+        for i, chosen in enumerate(combinations(pairs, 2)):
+            rest = [(p,) for p in range(POSITIONS) if p not in sum(chosen, ())]
+            # The bytes that a list agrees on stay in the key.
+            again = _posted(crowded.where(F.col("choice") == i), [(*sum(chosen, ()), *two) for two in combinations(sum(rest, ()), 2)], 1, 6 * (i + 1))
+            short = short.unionByName(again)
+        posts = short
+    dealt = posts.repartition(partitions(fps), "choice", "key").sortWithinPartitions("choice", "key")
+    return dealt.mapInArrow(_links(max_bits, POSITIONS - max_bits), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -309,12 +320,13 @@ def _to_heads(posts: DataFrame) -> DataFrame:
     return pairs.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")).distinct()
 
 
-def _across(posts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def _across(posts: DataFrame, roots: DataFrame, least: float, steps: Scratch) -> DataFrame:
     """Every pair (a, b) that may be alike, by size and places, of two components."""
     tagged = posts.join(roots, F.col("doc") == F.col("node"), "left").select("doc", "n", "at", "token", F.coalesce("root", "doc").alias("root"))
-    tagged = durable(tagged)
+    tagged = steps.keep(tagged)
     apart = tagged.groupBy(F.col("token").alias("p")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(dealt_anew("p").alias("p"))
-    left = durable(tagged.join(apart, F.col("token") == F.col("p")).select("doc", "n", "at", "token", "root"))
+    left = steps.keep(tagged.join(apart, F.col("token") == F.col("p")).select("doc", "n", "at", "token", "root"))
+    steps.drop(tagged)
     one = left.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"), dealt_anew("token").alias("t"))
     two = left.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), dealt_anew("token").alias("u"))
     # At their first common shingle, no more than what follows it in either can be common.
@@ -333,15 +345,17 @@ def similar_pairs(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     similarity, where shingles are equal if their 64-bit hashes are. doc_ids must be unique and
     not null.
     """
+    steps = Scratch(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("order"), F.col("text").cast("string").alias("text"))
-    hits = durable(exchange(slim.sortWithinPartitions("order", "row_key"), _prefixes(least), key_bytes=4).select(F.col("row_key").alias("k"), (F.length("spots") / 4).cast("int").alias("hits")))
-    release(docs.sparkSession)
+    hits = steps.keep(exchange(slim.sortWithinPartitions("order", "row_key"), _prefixes(least), key_bytes=4).select(F.col("row_key").alias("k"), (F.length("spots") / 4).cast("int").alias("hits")))
     held = slim.select("row_key", "text").join(hits.hint("shuffle_hash"), F.col("row_key") == F.col("k")).select("row_key", "text", "hits")
-    sets = durable(held.mapInArrow(_sets(least), "doc long, n int, names binary"))
-    posts = durable(_rare(sets, least))
-    release(docs.sparkSession)
-    near = durable(_verified(_to_heads(posts), sets, least))
-    return near.union(_verified(durable(_across(posts, components(near), least)), sets, least))
+    sets = steps.keep(held.mapInArrow(_sets(least), "doc long, n int, names binary"))
+    steps.drop(hits)
+    posts = steps.keep(_rare(sets, least))
+    near = durable(_verified(steps.keep(_to_heads(posts)), sets, least))
+    rest = durable(_verified(steps.keep(_across(posts, components(near), least, steps)), sets, least))
+    steps.close()
+    return near.union(rest)
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS, least: float | None = SIMILAR) -> DataFrame:
@@ -350,12 +364,19 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS,
     Groups are components of SimHash links; of what they leave, those of texts that share at least
     `least` of their five-word shingles (None: no such groups). The least doc_id stays; of repeated
     rows one does. Rows with a null doc_id stay, one for each text, if any of them is like no other.
+    Columns of any name are kept as they are; an empty table gives an empty one.
     """
+    # A doc_id as text, where null is the empty one.
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     found = near_duplicates(docs, size=size, max_bits=max_bits)
-    keep = durable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct())
+    keep = durable(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known.alias("keep")).distinct())
+    steps = Scratch(docs.sparkSession)
     if least is not None:
-        first = docs.select("doc_id", "text").join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-        later = components(similar_pairs(first, least)).select("node")
-        keep = durable(keep.join(later, F.col("_keep") == F.col("node"), "left_anti"))
-    kept = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))).join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+        first = docs.select("doc_id", "text", known.alias("known")).where("doc_id IS NOT NULL").join(keep.hint("shuffle_hash"), F.col("known") == F.col("keep"), "left_semi")
+        first = steps.keep(first.dropDuplicates(["known"]).select("doc_id", "text"))
+        later = components(similar_pairs(first, least)).select(F.col("node").cast("string").alias("node"))
+        keep = durable(keep.join(later, F.col("keep") == F.col("node"), "left_anti"))
+    steps.close()
+    rows = packed_rows(docs, known=known, text=F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.join(keep.hint("shuffle_hash"), F.col("known") == F.col("keep"), "left_semi")
+    return unpacked(kept.dropDuplicates(["known", "text"]), docs.columns)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable, release
+from terraloom.llm.common import Scratch, durable
 from terraloom.llm.packed import exchange, mix
 
 WINDOW = 20
@@ -110,12 +110,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """docs keyed by row, and (row_key, starts): window starts (int32, packed) to take out."""
     keyed = _keyed(docs, doc_id, text)
     scan = keyed.select("row_key", "order", "text")
+    steps = Scratch(docs.sparkSession)
     anchors = exchange(scan.sortWithinPartitions("order", "row_key"), _blocks(), key_bytes=4, flagged=True)
-    hits = durable(anchors.groupBy("row_key").agg(F.max("spots").alias("spots")))
-    release(docs.sparkSession)
+    hits = steps.keep(anchors.groupBy("row_key").agg(F.max("spots").alias("spots")))
     near = keyed.join(hits.hint("shuffle_hash"), "row_key").select("row_key", "order", "text", "spots")
     starts = exchange(near.sortWithinPartitions("order", "row_key"), _windows(), later=True)
-    return keyed, durable(starts.select("row_key", F.col("spots").alias("starts")))
+    found = durable(starts.select("row_key", F.col("spots").alias("starts")))
+    steps.close()
+    return keyed, found
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +139,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _joined(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     keyed, starts = repeated_windows(docs, doc_id, text)
-    release(docs.sparkSession)
     return keyed.join(starts.hint("shuffle_hash"), "row_key", "left").select("doc_id", "text", "starts")
 
 

@@ -30,10 +30,13 @@ def odd():
     ]
 
 
-@pytest.fixture(autouse=True)
-def no_waiting(monkeypatch):
-    """Freeing disk takes seconds each time, and small tables need none."""
-    from terraloom.llm import byte_dedup, simhash, word_dedup
+#: Names that operators might use for columns of their own.
+CLASHES = "_rate _keep _text _source _tokens _figures _row _doc key row host keep known figures base_failed kept bad tokens block weight draw n at epoch id rank shard size slot law node root path url end share seen score".split()
 
-    for module in (byte_dedup, simhash, word_dedup):
-        monkeypatch.setattr(module, "release", lambda spark: None)
+
+@pytest.fixture(scope="session")
+def clashing(make):
+    """A documents table with a column of every such name, each holding that name."""
+    from pyspark.sql import functions as F
+
+    return lambda rows: make(rows).drop("kept").select("*", *[F.lit(c).alias(c) for c in CLASHES])

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -41,12 +42,77 @@ def test_bad_hosts_lose_good_documents(make):
     assert kept.columns == make(rows).columns and kept.count() == 51
 
 
+def test_small_hosts_are_judged_by_the_prior(make):
+    """Of a host with few documents, few failures say little; most failing of many say enough."""
+    good = lambda i: prose(i, 40, 10**5)
+    rows = [(1000 * h + i, good(1000 * h + i) if i % 20 else "short", f"h{h}") for h in range(6) for i in range(60)]
+    rows += [(9000, "short", "few"), (9001, good(1), "few")]
+    rows += [(9100 + i, "short" if i < 12 else good(9100 + i), "bad") for i in range(16)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_report(make(rows)).collect()}
+    assert got[9001]["kept"] and not any(got[9100 + i]["kept"] for i in range(16)) and all(got[1000 * h + 1]["kept"] for h in range(6))
+    judged = make(rows).select("source", (quality_rules.F.length("text") < 50).alias("failed"))
+    verdicts = {r["host"]: r for r in quality_rules.host_verdicts(judged, failed="failed").collect()}
+    want = brute_hosts([(s, len(t) < 50) for _, t, s in rows])
+    assert {h: (r["rate"], r["sure"], r["rejected"]) for h, r in verdicts.items()} == {h: (pytest.approx(x), pytest.approx(y), z) for h, (x, y, z) in want.items()}
+    assert want["bad"][2] and not want["few"][2]
+
+
+def brute_hosts(rows):
+    """(rate, sure, rejected) by host, from the moments of the beta-binomial."""
+    hosts = defaultdict(list)
+    for h, failed in rows:
+        hosts[h].append(failed)
+    n, m = len(rows), sum(f for _, f in rows) / len(rows)
+    between = sum(len(x) * (sum(x) / len(x) - m) ** 2 for x in hosts.values())
+    chance = (len(hosts) - 1) * m * (1 - m)
+    freedom = n - sum(len(x) ** 2 for x in hosts.values()) / n - (len(hosts) - 1)
+    share = (between - chance) / freedom / (m * (1 - m))
+    s = max(1 / share - 1, 1e-3) if share > 1e-6 else 1e6
+    out = {}
+    for h, x in hosts.items():
+        rate = (sum(x) + m * s) / (len(x) + s)
+        sure = rate - 2 * (rate * (1 - rate) / (len(x) + s + 1)) ** 0.5
+        out[h] = rate, sure, sure >= 0.3
+    return out
+
+
+def test_a_host_falls_in_sql_too(spark, make):
+    import duckdb
+
+    rows = [(i, prose(i, 40, 10**5), f"h{i % 5}") for i in range(200)] + [(300 + i, "short" if i < 45 else prose(i, 40, 10**5), "bad") for i in range(50)] + [(400, prose(9, 40), None)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    found = db.execute(quality_rules.ORACLE)
+    names = [d[0] for d in found.description]
+    want = {r[0]: r for r in found.fetchall()}
+    got = quality_rules.quality_report(make(rows)).select(*names).collect()
+    assert {r["doc_id"]: tuple(r) for r in got} == want
+    assert sum(not r["base_failed"] and not r["kept"] for r in got) == 5
+
+
 def test_quality_of_nothing(make):
     assert quality_rules.quality_report(make([])).count() == quality_rules.keep_good(make([])).count() == 0
 
 
 def test_null_host_is_a_host(make, odd):
-    assert quality_rules.apply_rules(make([(1, prose(1, 50), None), (2, prose(2, 50), None)])).where("_figures.kept").count() == 2
+    assert quality_rules.keep_good(make([(1, prose(1, 50), None), (2, prose(2, 50), None)])).count() == 2
+
+
+def test_clashing_names_are_kept(clashing, items):
+    from terraloom.llm import simhash
+
+    rows = [(i, prose(i, 60, 10**5), f"s{i % 2}") for i in range(6)]
+    docs = clashing(rows)
+    for stage in (quality_rules.keep_good, simhash.one_of_each, lambda d: decontaminate.without_leaks(d, items), mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {r["doc_id"] for r in got} == set(range(6))
+        assert all(r[c] == c for r in got for c in docs.columns[5:])
+    assert len(sharding.shard(docs).collect()) == 6
+    assert len(quality_rules.quality_report(docs).collect()) == len(mixing.draws(docs).select("doc_id").distinct().collect()) == 6
+    assert simhash.near_duplicates(docs).count() == 6 and decontaminate.leaks(docs, items).count() == 0
 
 
 def test_shards(make, odd):
@@ -97,18 +163,31 @@ def test_mixture(make, monkeypatch, block):
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == {r[0] for r in rows} and len(rows) < mixed.count() < 1.3 * len(rows)
 
 
+def solved(tokens, budget, entropy_share, max_repetition):
+    live = [t for t in tokens if t > 0]
+    x, z, b = mixing.solve(sum(live), min(live), max(live), len(live), mixing.sums_of(tokens), budget, entropy_share, max_repetition)
+    return x, [(t / sum(live)) ** x / z if t > 0 else 0.0 for t in tokens], b
+
+
 def test_exponent():
     tokens = [1000.0, 100.0, 10.0, 0.0]
     for share in (0.3, 0.6, 0.9):
-        x, w, _ = mixing.solve(tokens, 1110.0, share, 1e9)
-        assert abs(mixing.entropy(w) - share * 1.0986122886681098) < 1e-6 or x == 1.0
-    _, w, budget = mixing.solve(tokens, 1110.0, 1.0, 4.0)
-    assert max(w[i] * budget / tokens[i] for i in range(3)) <= 4.0 + 1e-6
-    assert mixing.solve([0.0], 5.0, 0.9, 4.0)[2] == 0.0 and mixing.solve([], None, None, 2.0)[1] == []
-    _, w, budget = mixing.solve(tokens, None, None, 1.25)
+        x, w, _ = solved(tokens, 1110.0, share, 1e9)
+        assert abs(-sum(v * math.log(v) for v in w if v) - share * math.log(3)) < 1e-6 or x == 1.0
+    _, w, budget = solved(tokens, 1110.0, 1.0, 4.0)
+    assert abs(sum(w) - 1) < 1e-9 and max(w[i] * budget / tokens[i] for i in range(3)) <= 4.0 + 1e-6
+    assert mixing.solve(0.0, 0.0, 0.0, 0, lambda xs: [], 5.0, 0.9, 4.0)[2] == 0.0
+    _, w, budget = solved(tokens, None, None, 1.25)
     assert min(w[i] * budget / tokens[i] for i in range(3)) > 1 - 1e-6 and max(w[i] * budget / tokens[i] for i in range(3)) <= 1.25 + 1e-6
 
 
+def test_many_sources_are_mixed_by_spark_alike(make):
+    """Above the number of sources that are summed on the driver, weights and draws are the same."""
+    rows = [(i, prose(i, 5 + i % 90), f"s{i % (1 + i % 40)}") for i in range(500)] + [(900, None, "none")]
+    one, two = ({(r["doc_id"], r["epoch"]): (r["weight"], r["at"]) for r in mixing.mixture(make(rows), keys_only=True, few=few).select("row.*", "draw.*").collect()} for few in (10**6, 0))
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
+
+
 def test_mixture_of_nothing(make, odd):
     assert mixing.draws(make([])).count() == 0
     assert {r["doc_id"] for r in mixing.mixed_documents(make(odd)).collect()} == {r[0] for r in odd}

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from terraloom.llm import simhash
@@ -48,18 +49,41 @@ def test_components_against_brute_force(make):
     assert got == {i: (fps[i], want[i]) for i in fps}
 
 
-def test_long_lists_give_the_same_components(spark):
+@pytest.mark.parametrize("long_list", [4096, 2])
+def test_long_lists_give_the_same_components(spark, long_list):
     r = random.Random(3)
     base = r.getrandbits(64)
     values = {base ^ (1 << r.randrange(16)) ^ (1 << r.randrange(16)) ^ (r.randrange(2) << r.randrange(16)) for _ in range(300)}
     values |= {r.getrandbits(64) for _ in range(200)} | {0, 1, 3, 7, 15, 31}
     df = spark.createDataFrame([(int(np.uint64(v).view(np.int64)),) for v in values], "fp long")
-    found = {x["node"] & (1 << 64) - 1: x["root"] & (1 << 64) - 1 for x in components(simhash.links(df)).collect()}
+    found = {x["node"] & (1 << 64) - 1: x["root"] & (1 << 64) - 1 for x in components(simhash.links(df, long_list=long_list)).collect()}
     signed = {int(np.uint64(v).view(np.int64)): v for v in values}
     want = brute_components(signed)
     assert {int(np.uint64(k).view(np.int64)): int(np.uint64(v).view(np.int64)) for k, v in found.items()} == {k: v for k, v in want.items() if k != v}
 
 
+def test_pairs_that_share_too_few_bytes_are_let_go():
+    """In one list, pairs that agree in four or five bytes don't come to be verified; those of six do, and only near ones link."""
+    base = 0x1122334455667788
+    values = np.unique(np.array([base, base ^ 0x01, base ^ 0x0101, base ^ 0x010101, base ^ 0x0F], dtype=np.uint64))
+    for bits in (0, 1, 2):
+        label = simhash._components_of_list(values, bits, 8 - bits)
+        want = brute_components({i: int(v) for i, v in enumerate(values)}, bits)
+        assert dict(enumerate(label.tolist())) == want
+
+
+def test_fewer_bits(spark):
+    r = random.Random(5)
+    values = {r.getrandbits(64) for _ in range(50)}
+    values |= {v ^ (1 << r.randrange(64)) for v in values} | {v ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for v in values}
+    signed = {int(np.uint64(v).view(np.int64)): v for v in values}
+    df = spark.createDataFrame([(k,) for k in signed], "fp long")
+    for bits in (0, 1, 2):
+        found = {x["node"]: x["root"] for x in components(simhash.links(df, bits)).collect()}
+        groups = lambda roots: {frozenset(k for k in signed if roots.get(k, k) == root) for root in {roots.get(k, k) for k in signed}}
+        assert groups(found) == groups(brute_components(signed, bits))
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
