@@ -58,6 +58,11 @@ def probing(items: DataFrame, item_id: str, text: str, min_match: float) -> Data
     return rows.select("*", F.floor(size / F.col("_parts")).cast("int").alias("window"), at).drop("_parts")
 
 
+def _from(words_of: Column, at: Column, n: Column) -> Column:
+    """n words from a place on. Spark may look before it has filtered, so a place before the first counts as the first."""
+    return F.slice(words_of, F.greatest(at, F.lit(0)) + 1, n)
+
+
 def _match(b: Column, d: Column) -> Column:
     """Share of the template words of b that d has at their places."""
     return F.size(F.filter(F.zip_with(b, d, lambda x, y: x == y), lambda x: x)) / F.size(b)
@@ -106,7 +111,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         keys = F.broadcast(durable(_anchored(probes)))
         spots = hashed.select("_doc", "_text", "_t", F.posexplode("_t").alias("_spot", "_word")).withColumn("_h", F.xxhash64("_word"))
         near = spots.join(keys, (F.col("_h") == F.col("anchor")) & (F.col("_spot") >= F.col("offset"))).withColumn("_at", F.col("_spot") - F.col("offset"))
-        hits = near.where(F.xxhash64(F.slice("_t", F.col("_at") + 1, F.col("window"))) == F.col("window_hash")).select("_doc", "_text", "_t", "item", begin)
+        hits = near.where(F.xxhash64(_from(F.col("_t"), F.col("_at"), F.col("window"))) == F.col("window_hash")).select("_doc", "_text", "_t", "item", begin)
     else:
         # Windows are looked up by the first words, as many as the shortest has, and the next one of a longer window.
         first_words = F.xxhash64(*[F.get("item_template", F.col("item_at") + i) for i in range(least)])
@@ -120,8 +125,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         hits = hits.join(docs, F.col("_hit") == F.col("_row")).withColumn("_t", templates(F.col("_text"))).select("_doc", "_text", "_t", "item", "begin")
     placed = hits.where("begin >= 0").join(bounded_broadcast(whole), F.col("item").eqNullSafe(F.col("i")))
     size = F.size("item_template")
-    placed = placed.withColumn("_match", _match(F.col("item_template"), F.slice("_t", F.col("begin") + 1, size))).where(F.col("_match") >= min_match)
-    slots = _slots(F.col("item_template"), F.col("item_words"), F.slice(raw_words(F.col("_text")), F.col("begin") + 1, size))
+    placed = placed.withColumn("_match", _match(F.col("item_template"), _from(F.col("_t"), F.col("begin"), size))).where(F.col("_match") >= min_match)
+    slots = _slots(F.col("item_template"), F.col("item_words"), _from(raw_words(F.col("_text")), F.col("begin"), size))
     best = placed.select("_doc", "item", "begin", "_match", slots.alias("s")).where("s.consistent")
     first = F.struct(F.col("_match"), -F.col("begin"))
     best = best.groupBy("_doc", "item").agg(F.max("_match").alias("match"), F.max_by("s", first).alias("s"), F.max_by("begin", first).alias("begin"))

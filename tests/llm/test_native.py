@@ -267,6 +267,34 @@ def test_changed_words_and_short_items_are_found(make, spark):
     assert set(leaks(make, items, rows)) == want
 
 
+def brute_leaks(docs, items):
+    """{(doc_id, item_id): (word_at, match, reparameterised)}, every item laid at every word of every document."""
+    out = {}
+    for d, template, raw in docs:
+        for i, want, own in items:
+            best = None
+            for k in range(len(template) if len(want) >= decontaminate.MIN_WORDS else 0):
+                match = sum(x == y for x, y in zip(want, template[k : k + len(want)], strict=False)) / len(want)
+                slots = [(x.lower(), y.lower()) for t, x, y in zip(want, own, raw[k : k + len(want)], strict=False) if t[0] == "\x01"]
+                if match >= decontaminate.MIN_MATCH and len(set(slots)) == len({x for x, _ in slots}) and (best is None or match > best[1]):
+                    best = k, match, any(x != y for x, y in slots)
+            if best:
+                out[d, i] = best
+    return out
+
+
+def test_leaks_of_a_whole_table_against_brute_force(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r["doc_id"], r["item_id"]): (r["word_at"], pytest.approx(r["match"]), r["reparameterised"]) for r in decontaminate.leaks(docs, items).collect()}
+    words_of = lambda df, key: [tuple(r) for r in df.select(key, decontaminate.templates(decontaminate.F.col("text")), decontaminate.raw_words(decontaminate.F.col("text"))).collect()]
+    want, known = {}, words_of(items, "item_id")
+    for doc in words_of(docs, "doc_id"):
+        # An item of which too few words are anywhere in a document isn't in it.
+        held = set(doc[1])
+        want |= brute_leaks([doc], [x for x in known if sum(w in held for w in x[1]) >= 0.8 * len(x[1])])
+    assert got == want and got
+
+
 def brute_place(key, weights, rack_shards=4, region_racks=2):
     import math
 
