@@ -272,16 +272,26 @@ def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _value(hydrology.fill_depressions(cells, grid, apply_gradient=False))
 
 
-@query("flow_accumulation")
-def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, grid = small_dem(spark, sf_dir, -9999.0)
-    return hydrology.hydrology_flow(cells, grid)[2].select("row", "col", "value")
+_WAYS = "o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) t(d, dr, dc))"
 
 
-_CODES = f"""{PART}, o AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) t(d, dr, dc)),
-s AS (SELECT k.r, k.c, d, dr, dc, (k.v - n.v) / CASE WHEN d % 2 = 1 THEN sqrt(2) ELSE 1 END AS slope FROM cells k, o JOIN cells n ON n.r = k.r + dr AND n.c = k.c + dc),
+def _pass_one(cells: str) -> str:
+    """SQL of directions by the steepest drop, among cells (r, c, v) that have a value; size has the height."""
+    return f"""{_WAYS}, s AS (SELECT k.r, k.c, d, dr, dc, (k.v - n.v) / CASE WHEN d % 2 = 1 THEN sqrt(2) ELSE 1 END AS slope FROM {cells} k, o JOIN {cells} n ON n.r = k.r + dr AND n.c = k.c + dc),
 best AS (SELECT r, c, d, dr, dc FROM s QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY slope DESC, d) = 1 AND slope > 0),
-codes AS (SELECT k.r, k.c, dr, dc, CAST(coalesce(d, CASE WHEN k.r = 0 OR k.c = 0 OR k.r = h - 1 OR k.c = {PW - 1} THEN 8 ELSE 9 END) AS INT) AS code FROM cells k CROSS JOIN size LEFT JOIN best USING (r, c))"""
+codes AS (SELECT k.r, k.c, k.v, dr, dc, CAST(coalesce(d, CASE WHEN k.r = 0 OR k.c = 0 OR k.r = h - 1 OR k.c = {PW - 1} THEN 8 ELSE 9 END) AS INT) AS code FROM {cells} k CROSS JOIN size LEFT JOIN best USING (r, c))"""
+
+
+#: SQL of the second pass over codes: pits one by one, row by row, in place, until a sweep changes nothing.
+_PASS_TWO = f"""dense AS (SELECT list(v ORDER BY i) AS zs, list(coalesce(code, -1) ORDER BY i) AS cs, any_value(h) AS h FROM (SELECT h, unnest(range(CAST(h * {PW} AS BIGINT))) AS i FROM size) LEFT JOIN (SELECT r * {PW} + c AS i, v, code FROM codes) USING (i)),
+pits AS (SELECT coalesce(list(r * {PW} + c ORDER BY r, c), []) AS ps FROM codes WHERE code = 9),
+ways AS (SELECT [0, 1, 1, 1, 0, -1, -1, -1] AS dr, [1, 1, 0, -1, -1, -1, 0, 1] AS dc),
+sweep(i, cs, changed, over) AS (SELECT 0, cs, false, len(ps) = 0 FROM dense, pits UNION ALL
+  SELECT (i + 1) % len(ps), CASE WHEN hit IS NULL THEN cs ELSE list_concat(list_concat(cs[:k], [CAST(hit AS INT)]), cs[k + 2:]) END, CASE WHEN i + 1 = len(ps) THEN false ELSE changed OR hit IS NOT NULL END, i + 1 = len(ps) AND NOT changed AND hit IS NULL
+  FROM (SELECT i, w.cs, changed, ps, k, CASE WHEN w.cs[k + 1] = 9 THEN list_filter([0, 1, 2, 3, 4, 5, 6, 7], lambda d: k // {PW} + dr[d + 1] BETWEEN 0 AND h - 1 AND k % {PW} + dc[d + 1] BETWEEN 0 AND {PW - 1} AND w.cs[k + 1 + dr[d + 1] * {PW} + dc[d + 1]] BETWEEN 0 AND 8 AND zs[k + 1 + dr[d + 1] * {PW} + dc[d + 1]] <= zs[k + 1])[1] END AS hit
+    FROM (SELECT s.*, ps, ps[s.i + 1] AS k FROM sweep s, pits WHERE NOT over) w, dense, ways)),
+solved AS (SELECT CAST(i // {PW} AS INT) AS r, CAST(i % {PW} AS INT) AS c, cs[i + 1] AS code FROM (SELECT cs, unnest(range(len(cs))) AS i FROM sweep WHERE over) WHERE cs[i + 1] >= 0)"""
+_CODES = f"{PART}, {_pass_one('cells')}"
 
 
 @query("d8_flow_direction", f"WITH {_CODES} SELECT r AS row, c AS col, code FROM codes")
@@ -289,6 +299,46 @@ def d8_flow_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hydrology.d8_flow_direction(*small_dem(spark, sf_dir)).select("row", "col", F.col("value").cast("int").alias("code"))
 
 
+_TERRACES = PART.replace("p_retailprice AS v", "floor(p_retailprice / 60) AS v")
+
+
+@query("d8_pass_two", f"WITH RECURSIVE {_TERRACES}, {_pass_one('cells')}, {_PASS_TWO} SELECT r AS row, c AS col, code FROM solved")
+def d8_pass_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions over terraces, most of whose cells have no lower neighbour."""
+    cells, grid = small_dem(spark, sf_dir)
+    steps = cells.withColumn("value", F.floor(F.col("value") / 60).cast("double"))
+    return hydrology.d8_flow_direction(steps, grid).select("row", "col", F.col("value").cast("int").alias("code"))
+
+
+_FILLED = f"""{PART.replace("FROM part)", "FROM part WHERE p_partkey % 13 <> 0)").replace("max(r) + 1 AS h FROM cells", f"CAST(max(floor(p_partkey / {PW})) AS INT) + 1 AS h FROM part")},
+n AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2, b.v AS v2 FROM cells a JOIN cells b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND (a.r <> b.r OR a.c <> b.c)),
+w(i, r, c, v) AS (SELECT 0, r, c, v FROM cells, size WHERE r = 0 OR c = 0 OR r = h - 1 OR c = {PW - 1} UNION ALL SELECT i + 1, r, c, min(v) FROM (SELECT w.i, n.r2 AS r, n.c2 AS c, greatest(w.v, n.v2) AS v FROM w JOIN n ON n.r = w.r AND n.c = w.c WHERE w.i < 60 UNION ALL SELECT i, r, c, v FROM w WHERE i < 60) GROUP BY i, r, c),
+flood AS (SELECT r, c, coalesce(f.v, k.v) AS v FROM cells k LEFT JOIN (SELECT r, c, min(v) AS v FROM w GROUP BY r, c) f USING (r, c)),
+flat AS (SELECT f.r, f.c, f.v FROM flood f, size WHERE f.r BETWEEN 1 AND h - 2 AND f.c BETWEEN 1 AND {PW - 2} AND NOT EXISTS (SELECT 1 FROM n JOIN flood g ON g.r = n.r2 AND g.c = n.c2 WHERE n.r = f.r AND n.c = f.c AND g.v < f.v)),
+far(r, c, steps) AS (SELECT f.r, f.c, 0 FROM flat f WHERE EXISTS (SELECT 1 FROM n WHERE n.r = f.r AND n.c = f.c AND NOT EXISTS (SELECT 1 FROM flat g WHERE g.r = n.r2 AND g.c = n.c2))
+  UNION SELECT f.r, f.c, steps + 1 FROM far JOIN n ON n.r = far.r AND n.c = far.c JOIN flat f ON f.r = n.r2 AND f.c = n.c2 WHERE steps < 30),
+raised AS (SELECT k.r, k.c, k.v + coalesce(steps, 0) * 1e-5 AS v FROM flood k LEFT JOIN (SELECT r, c, min(steps) AS steps FROM far GROUP BY r, c) USING (r, c))"""
+
+
+@query("fill_depressions_graded", f"WITH RECURSIVE {_FILLED} SELECT r AS row, c AS col, round(v, 6) AS value FROM raised")
+def fill_depressions_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flats of the filled raster rise away from where they end."""
+    cells, grid = small_dem(spark, sf_dir, -9999.0)
+    return _value(hydrology.fill_depressions(cells, grid)).where("value <> -9999")
+
+
+@query(
+    "flow_accumulation",
+    f"""WITH RECURSIVE {_FILLED}, {_pass_one("raised")}, {_PASS_TWO},
+trace(r, c) AS (SELECT r, c FROM solved UNION ALL SELECT t.r + dr, t.c + dc FROM trace t JOIN solved USING (r, c) JOIN o ON o.d = code JOIN solved there ON there.r = t.r + dr AND there.c = t.c + dc)
+SELECT r AS row, c AS col, CAST(coalesce(n, -1) AS DOUBLE) AS value FROM (SELECT CAST(floor(p_partkey / {PW}) AS INT) AS r, CAST(p_partkey % {PW} AS INT) AS c FROM part) LEFT JOIN (SELECT r, c, count(*) AS n FROM trace GROUP BY r, c) USING (r, c)""",
+)
+def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filled, with rising flats, directions by both passes, accumulated."""
+    cells, grid = small_dem(spark, sf_dir, -9999.0)
+    return hydrology.hydrology_flow(cells, grid)[2].select("row", "col", "value")
+
+
 @query(
     "flow_accumulation_unfilled",
     f"""WITH RECURSIVE {_CODES}, trace(r, c) AS (SELECT r, c FROM codes UNION ALL SELECT t.r + dr, t.c + dc FROM trace t JOIN codes USING (r, c) WHERE code < 8)
@@ -354,12 +404,27 @@ def reproject_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("c_custkey", x.alias("e"), y.alias("n")).select("c_custkey", F.round(a, 6).alias("x"), F.round(b, 6).alias("y"))
 
 
-@query("reproject_raster")
+def _bilinear(places: str) -> str:
+    """SQL of values at places (row, col, sr, sc) of the raster in cells: the four cells around, by nearness, where the place's own cell is there."""
+    return f"""near AS (SELECT row, col, sr, sc, CAST(floor(sr - 0.5) AS INT) + i AS r, CAST(floor(sc - 0.5) AS INT) + j AS c FROM {places}, (VALUES (0), (1)) AS di(i), (VALUES (0), (1)) AS dj(j)),
+weighed AS (SELECT row, col, v, (1 - abs(r + 0.5 - sr)) * (1 - abs(c + 0.5 - sc)) AS w, r = floor(sr) AND c = floor(sc) AS own FROM near JOIN cells USING (r, c) WHERE v IS NOT NULL),
+found AS (SELECT row, col, sum(v * w) / sum(w) AS value FROM weighed GROUP BY row, col HAVING bool_or(own))"""
+
+
+@query(
+    "reproject_raster",
+    f"""WITH {PART}, ends AS (SELECT radians(-122.0) * 6378137.0 AS x0, radians(-121.0) * 6378137.0 AS x1, ln(tan(pi() / 4 + radians(37.0) / 2)) * 6378137.0 AS y0, ln(tan(pi() / 4 + radians(38.0) / 2)) * 6378137.0 AS y1),
+sized AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / sqrt({PW}.0 ** 2 + h ** 2) AS res FROM ends, size),
+grid AS (SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, x0 + (j + 0.5) * res AS x, y1 - (i + 0.5) * res AS y, h FROM (SELECT *, unnest(range(CAST(ceil((y1 - y0) / res - 1e-9) AS BIGINT))) AS i FROM (SELECT *, unnest(range(CAST(ceil((x1 - x0) / res - 1e-9) AS BIGINT))) AS j FROM sized))),
+places AS (SELECT row, col, (38 - degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2)) * h AS sr, (degrees(x / 6378137.0) + 122) * {PW} AS sc FROM grid),
+{_bilinear("places")}
+SELECT row, col, round(value, 4) AS value FROM grid LEFT JOIN found USING (row, col)""",
+)
 def reproject_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part raster, over a degree square, in web Mercator."""
     cells, grid = small_dem(spark, sf_dir)
     at = Grid.from_bounds(-122, 37, -121, 38, grid.width, grid.height, crs="EPSG:4326")
-    return warp.reproject_raster(cells, at, "EPSG:3857", "bilinear")[0].select("row", "col", "value")
+    return _value(warp.reproject_raster(cells, at, "EPSG:3857", "bilinear")[0], 4)
 
 
 @query(
@@ -463,23 +528,31 @@ def scatter_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic.scatter(points, Grid.from_bounds(0, 0, 25, 20, 25, 20), "x", "y", ("value",), "event_id").select("row", "col", "value")
 
 
-@query("geocode_slc")
+@query(
+    "geocode_slc",
+    f"""WITH {PART}, ends AS (SELECT h, 4.0 / 111320 AS res, -122 - 8.0 / 111320 AS west, -122 + 0.0002 * {PW - 1} + 0.00003 * (h - 1) + 8.0 / 111320 AS east, 37 - 0.0002 * (h - 1) - 8.0 / 111320 AS south, 37 + 0.00002 * {PW - 1} + 8.0 / 111320 AS north FROM size),
+sized AS (SELECT *, CAST(ceil((east - west) / res) AS BIGINT) AS tw, CAST(ceil((north - south) / res) AS BIGINT) AS th FROM ends),
+grid AS (SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, h, west + (j + 0.5) * (east - west) / tw + 122 AS x, north - (i + 0.5) * (north - south) / th - 37 AS y FROM (SELECT *, unnest(range(th)) AS i FROM (SELECT *, unnest(range(tw)) AS j FROM sized))),
+places AS (SELECT * FROM (SELECT row, col, h, (0.00002 * x - 0.0002 * y) / (0.0002 * 0.0002 + 0.00003 * 0.00002) + 0.5 AS sr, (0.0002 * x + 0.00003 * y) / (0.0002 * 0.0002 + 0.00003 * 0.00002) + 0.5 AS sc FROM grid) WHERE sr >= 0 AND sr < h AND sc >= 0 AND sc < {PW}),
+{_bilinear("places")}
+SELECT row, col, round(value, 3) AS value FROM grid LEFT JOIN found USING (row, col)""",
+)
 def geocode_slc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part raster as a radar raster, geocoded by a slanted net of control points."""
+    """The part raster as a radar raster, geocoded by a slanted net of control points. Polynomials through a net without bends are straight."""
     cells, grid = small_dem(spark, sf_dir)
-    points = [(r * (grid.height - 1) / 4, c * (grid.width - 1) / 4, -122 + 0.0002 * c + 0.00003 * r, 37 - 0.0002 * r + 0.00002 * c) for r in range(5) for c in range(5)]
-    return warp.geocode(cells, grid, points, 4.0)[0].select("row", "col", "value")
+    points = [(r * (grid.height - 1) / 4, c * (grid.width - 1) / 4, -122 + 0.0002 * c * (grid.width - 1) / 4 + 0.00003 * r * (grid.height - 1) / 4, 37 - 0.0002 * r * (grid.height - 1) / 4 + 0.00002 * c * (grid.width - 1) / 4) for r in range(5) for c in range(5)]
+    return _value(warp.geocode(cells, grid, points, 4.0)[0], 3)
 
 
 def queries() -> dict[str, Query]:
+    from terraloom import source_queries
     from terraloom.plans import registry_queries
 
-    return _QUERIES | registry_queries.QUERIES
+    return _QUERIES | registry_queries.QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from terraloom import source_queries
     from terraloom.plans import registry_queries
 
-    return _ORACLES | registry_queries.ORACLES
-
-
+    return _ORACLES | registry_queries.ORACLES | source_queries.ORACLES

@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from terraloom.functions import geometry as G
 from terraloom.functions.raster import Grid, full_grid, valid
 
-BROADCAST_ROWS = 10_000
+#: A side is broadcast up to so many rows that take up to so many bytes as JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16 << 20
 #: Cells along the edge of a bucket.
 BUCKET = 64
 STATISTICS = ("count", "sum", "mean", "min", "max", "std")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows; counting stops at the limit."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `limit` rows of at most `most` bytes; measuring stops at the limit."""
+    n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).collect()[0]
+    return F.broadcast(df) if n <= limit and size <= most else df
 
 
 def _cell_buckets(zones: DataFrame, grid: Grid, geom: str = "geom", bucket: int = BUCKET) -> DataFrame:
@@ -44,12 +46,14 @@ def cells_in(cells: DataFrame, zones: DataFrame, grid: Grid, geom: str = "geom")
     return pairs.where(G.covers_place(F.col(geom), grid.x(F.col("col"), F.col("row")), grid.y(F.col("row"), F.col("col")))).drop("_br", "_bc")
 
 
-def zonal_stats(cells: DataFrame, zones: DataFrame, grid: Grid, band: int = 1, zone_id_field: str | None = None, nodata: float | None = None) -> DataFrame:
+def zonal_stats(cells: DataFrame, zones: DataFrame, grid: Grid, band: int = 1, zone_id_field: str | None = None, nodata: float | None = None, by_raster: bool = False) -> DataFrame:
     """(fid, zone_id, count, sum, mean, min, max, std) for each zone, std of the population.
 
     Zones without a valid cell have not-a-number everywhere, count included. zones has fid and
-    geom; zone_id is the named field as text, or fid.
+    geom; zone_id is the named field as text, or fid. cells are of one raster; with by_raster they
+    may be of several on the grid, and each has rows of its own, with raster_id first.
     """
+    one = ["raster_id"] if by_raster else []
     name = F.col(zone_id_field if zone_id_field else "fid").cast("string").alias("zone_id")
     zones = zones.select("fid", name, "geom")
     nodata = grid.nodata if nodata is None else nodata
@@ -57,23 +61,35 @@ def zonal_stats(cells: DataFrame, zones: DataFrame, grid: Grid, band: int = 1, z
     if nodata is not None:
         known = known.where(valid(F.col("value"), nodata))
     v = F.col("value")
-    found = cells_in(known, zones.select("fid", "geom"), grid).groupBy("fid").agg(F.count(v).cast("double").alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
-    return zones.select("fid", "zone_id").join(found, "fid", "left").select("fid", "zone_id", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in STATISTICS])
+    found = cells_in(known, zones.select("fid", "geom"), grid).groupBy(*one, "fid").agg(F.count(v).cast("double").alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
+    every = zones.select("fid", "zone_id")
+    if by_raster:
+        every = every.crossJoin(small(cells.select("raster_id").distinct()))
+    return every.join(found, [*one, "fid"], "left").select(*one, "fid", "zone_id", *[F.coalesce(c, F.lit(float("nan"))).alias(c) for c in STATISTICS])
 
 
-def sample_raster(cells: DataFrame, points: DataFrame, grid: Grid, bands: tuple[int, ...] = (), nodata: float | None = None, x: str = "x", y: str = "y", point_id: str = "point_id") -> DataFrame:
+def sample_raster(cells: DataFrame, points: DataFrame, grid: Grid, bands: tuple[int, ...] = (), nodata: float | None = None, x: str = "x", y: str = "y", point_id: str = "point_id", by_raster: bool = False) -> DataFrame:
     """points plus band_1, band_2, ...: the values of the cells they lie in.
 
     Not-a-number outside the extent, on its right and bottom edge, at no data, and for points
-    without coordinates. Points are never dropped.
+    without coordinates. Points are never dropped. cells are of one raster; with by_raster they may
+    be of several on the grid, and points have a row for each, with raster_id last.
     """
     nodata = grid.nodata if nodata is None else nodata
     which = bands or tuple(range(1, grid.bands + 1))
     col, row = F.floor(grid.column(F.col(x))).cast("int"), F.floor(grid.row(F.col(y))).cast("int")
-    keyed = points.withColumn("_row", row).withColumn("_col", col)
-    wide = cells.where(F.col("band").isin(*which)).where(valid(F.col("value"), nodata)).groupBy(F.col("row").alias("_r"), F.col("col").alias("_c")).agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(f"band_{b}") for b in which])
-    joined = keyed.join(wide, (F.col("_row") == F.col("_r")) & (F.col("_col") == F.col("_c")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in points.columns], *[F.coalesce(f"band_{b}", F.lit(float("nan"))).alias(f"band_{b}") for b in which])
+    one = ["raster_id"] if by_raster else []
+    keyed = points.select(F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("point"), row.alias("at_row"), col.alias("at_col"))
+    # Only cells that some point is in are looked at any further.
+    wanted = small(keyed.where("at_row IS NOT NULL AND at_col IS NOT NULL").select(F.col("at_row").alias("row"), F.col("at_col").alias("col")).distinct())
+    known = cells.where(F.col("band").isin(*which)).where(valid(F.col("value"), nodata)).join(wanted, ["row", "col"], "left_semi")
+    wide = known.groupBy(*one, F.col("row").alias("r"), F.col("col").alias("c")).agg(*[F.max(F.when(F.col("band") == b, F.col("value"))).alias(f"band_{b}") for b in which])
+    here = (F.col("at_row") == F.col("r")) & (F.col("at_col") == F.col("c"))
+    if by_raster:
+        keyed = keyed.crossJoin(small(cells.select(F.col("raster_id").alias("of")).distinct()))
+        here &= F.col("of") == F.col("raster_id")
+    got = [F.coalesce(f"band_{b}", F.lit(float("nan"))).alias(f"band_{b}") for b in which]
+    return keyed.join(wide, here, "left").select(*[F.col("point")[c].alias(c) for c in points.columns], *got, *([F.col("of").alias("raster_id")] if by_raster else []))
 
 
 def clip_bounds(cells: DataFrame, grid: Grid, xmin: float, ymin: float, xmax: float, ymax: float) -> tuple[DataFrame, Grid]:
@@ -88,7 +104,7 @@ def clip_bounds(cells: DataFrame, grid: Grid, xmin: float, ymin: float, xmax: fl
 
 
 def clip_mask(cells: DataFrame, grid: Grid, mask: DataFrame, crop: bool = True) -> tuple[DataFrame, Grid]:
-    """Cells outside all geometries of mask become null; with crop the grid shrinks to their box."""
+    """Cells outside all geometries of mask become null, in every raster on the grid; with crop the grid shrinks to their box."""
     area = mask.where(~G.is_empty(F.col("geom"))).select("geom")
     inside = cells_in(cells.select("row", "col").distinct(), area, grid).select("row", "col").distinct().withColumn("_in", F.lit(True))
     masked = cells.join(inside, ["row", "col"], "left").select("raster_id", "band", "row", "col", F.when(F.col("_in"), F.col("value")).alias("value"))

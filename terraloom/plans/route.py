@@ -47,8 +47,8 @@ SHAPES: tuple[tuple[RefKind, re.Pattern[str]], ...] = tuple(
         (RefKind.DUCKDB, r"(?P<db_path>.*?\.(?:duckdb|db))::(?P<query>\s*select\s.*)"),
         (RefKind.DUCKDB, r"(?P<db_path>.*?\.(?:duckdb|db))::(?P<table>.*)"),
         (RefKind.LOCAL_PATH, r"(?P<path>(?:/|\.\.?/).*)"),
-        # A folder and a file with a dot in its name; not what a scheme or a service stands before.
-        (RefKind.LOCAL_PATH, r"(?P<path>(?!(?:wms|wfs)::)(?!.*://).*/[^/]*\.[^/]*)"),
+        # A folder and a file with a dot in its name, and what is wanted of it; not what a scheme or a service stands before.
+        (RefKind.LOCAL_PATH, r"(?P<path>(?!(?:wms|wfs)::)(?!.*://)(?:file:)?[^:]*/[^/:]*\.[^/:]*(?:::.*)?)"),
         (RefKind.CATALOG_ITEM, r"(?P<collection>(?!.*://)[^/]*)/(?P<item>.*)::(?P<asset>.*)"),
         (RefKind.CATALOG_ITEM, r"(?P<collection>[^/]*)/(?P<item>.*)"),
         (RefKind.LOCAL_PATH, rf"(?P<path>.*\.(?:{_KNOWN})(?:::.*|\?.*)?)"),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import pickle
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions.raster import Grid
+from terraloom.sources import hdf5
 from terraloom.sources.vector import opened, quoted, split
 
 CELLS = "raster_id string, band int, row int, col int, value double"
@@ -214,21 +217,38 @@ def _null(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def read_geotiff(spark: SparkSession, ref: str, strict_cog: bool = False) -> tuple[DataFrame, Grid]:
-    """(cells, grid) of one or many GeoTIFF files of one grid; raster_id is the path."""
-    files = spark.read.format("binaryFile").load(split(ref)[0]).select("path", "content")
-    first = bytes(files.limit(1).collect()[0]["content"])
-    if strict_cog and not is_cog(first):
-        raise ValueError("not a cloud-optimised GeoTIFF")
-    grid = tiff_grid(tiff_directories(first)[1][0])
+def first_said(files: DataFrame, of: Callable[[bytes], object]) -> object:
+    """What a function says of one of the files. A task reads the file; only the answer goes to the driver."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for path, content in zip(f["path"], f["content"], strict=True):
-                g, bands = tiff_bands(bytes(content))
-                yield from cell_frames(path, bands, g.nodata)
+            yield pd.DataFrame({"said": [pickle.dumps(of(bytes(x))) for x in f["content"]]})
 
-    return _null(files.mapInPandas(run, CELLS)), grid
+    found = files.select("content").mapInPandas(run, "said binary").take(1)
+    if not found:
+        raise FileNotFoundError("no file")
+    return pickle.loads(bytes(found[0][0]))
+
+
+def _cells_of(spark: SparkSession, path: str, bands_of: Callable[[bytes], tuple[Grid, np.ndarray]], grid_of: Callable[[bytes], Grid] | None = None) -> tuple[DataFrame, Grid]:
+    """(cells, grid) of files of one grid, each read where it is; raster_id is the path."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, content in zip(f["path"], f["content"], strict=True):
+                g, bands = bands_of(bytes(content))
+                yield from cell_frames(name, bands, g.nodata)
+
+    return _null(files.mapInPandas(run, CELLS)), first_said(files, grid_of or (lambda data: bands_of(data)[0]))
+
+
+def read_geotiff(spark: SparkSession, ref: str, strict_cog: bool = False) -> tuple[DataFrame, Grid]:
+    """(cells, grid) of one or many GeoTIFF files of one grid; raster_id is the path."""
+    path = split(ref)[0]
+    if strict_cog and not first_said(spark.read.format("binaryFile").load(path), is_cog):
+        raise ValueError("not a cloud-optimised GeoTIFF")
+    return _cells_of(spark, path, tiff_bands, lambda data: tiff_grid(tiff_directories(data)[1][0]))
 
 
 def collect_bands(cells: DataFrame, grid: Grid, dtype: str = "float64") -> np.ndarray:
@@ -327,11 +347,12 @@ def axis_grid(x: np.ndarray, y: np.ndarray, bands: int, crs: str | None = "EPSG:
 
 
 def read_netcdf(spark: SparkSession, ref: str) -> tuple[DataFrame, Grid]:
-    """(cells, grid) of a variable (path::variable) of classic NetCDF files; the first extra axis is the band."""
+    """(cells, grid) of a variable (path::variable) of NetCDF files, classic ones or of version 4; the first extra axis is the band."""
     path, variable = split(ref)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def bands_of(data: bytes) -> tuple[Grid, np.ndarray]:
+        if not data.startswith(b"CDF"):  # NetCDF4 is HDF5
+            return hdf5_bands(data, variable)
         _, _, found = netcdf(data)
         v = found[pick_variable(found, variable)]
         a = v["data"].astype(float)
@@ -343,14 +364,7 @@ def read_netcdf(spark: SparkSession, ref: str) -> tuple[DataFrame, Grid]:
         axes = [found[d]["data"].astype(float) if d in found and found[d]["data"].ndim == 1 else np.arange(n) + 0.5 for d, n in zip(v["dims"][-2:], a.shape[-2:], strict=True)]
         return axis_grid(axes[1], axes[0], len(a)), a
 
-    grid, _ = bands_of(bytes(files.limit(1).collect()[0]["content"]))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p, content in zip(f["path"], f["content"], strict=True):
-                yield from cell_frames(p, bands_of(bytes(content))[1], None)
-
-    return _null(files.mapInPandas(run, CELLS)), grid
+    return _cells_of(spark, path, bands_of)
 
 
 # Zarr, version 2: one task per chunk.
@@ -420,7 +434,7 @@ def read_hgt(spark: SparkSession, ref: str) -> tuple[DataFrame, Grid]:
     """(cells, grid) of an SRTM tile; its name says where it is."""
     path = split(ref)[0]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    size = int(round((files.select(F.octet_length("content")).collect()[0][0] / 2) ** 0.5))
+    size = int(round((files.select(F.octet_length("content")).take(1)[0][0] / 2) ** 0.5))
     stem = path.rstrip("/").rsplit("/", 1)[-1][:7].upper()
     lat, lon = int(stem[1:3]) * (1 if stem[0] == "N" else -1), int(stem[4:7]) * (1 if stem[3] == "E" else -1)
     step = 1 / (size - 1)
@@ -464,33 +478,62 @@ def pick_dataset(shapes: dict[str, tuple[int, ...]], coordinates: frozenset[str]
     return min(flat, key=lambda k: (-flat[k], k))
 
 
-def read_hdf5(spark: SparkSession, ref: str) -> tuple[DataFrame, Grid]:
-    """(cells, grid) of a dataset (path::/name, or the largest) of HDF5 files; needs h5py.
+# Names of coordinate arrays.
+X_NAMES, Y_NAMES = frozenset("lon longitude x".split()), frozenset("lat latitude y".split())
 
-    An (H, W, 2) array of floats is two bands, real and imaginary.
-    """
-    import io
 
-    import h5py
+def _role(path: str, units: str) -> str | None:
+    """Whether an array is the coordinate of columns (x) or rows (y), by its name or its units."""
+    leaf = path.rsplit("/", 1)[-1].lower()
+    return "x" if leaf in X_NAMES or re.match(r"degrees?_?e", units) else "y" if leaf in Y_NAMES or re.match(r"degrees?_?n", units) else None
 
-    path, name = split(ref)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    def bands_of(data: bytes) -> np.ndarray:
-        with h5py.File(io.BytesIO(data), "r") as f:
-            shapes: dict[str, tuple[int, ...]] = {}
-            f.visititems(lambda k, v: shapes.update({k: v.shape}) if isinstance(v, h5py.Dataset) else None)
-            a = np.asarray(f[name or pick_dataset(shapes)])
-        if a.ndim == 3 and a.shape[-1] == 2 and a.dtype.kind == "f":
-            return a.transpose(2, 0, 1)
-        return a.reshape(-1, *a.shape[-2:])
+def _axes(arrays: dict[str, hdf5.Array], name: str, height: int, width: int) -> tuple[str | None, str | None]:
+    """The arrays of column and row coordinates of an array: those that it names, else its siblings, else those of the root, if their sizes fit."""
+    group = name.rpartition("/")[0]
+    named = [f"{group}/{n}" if group else n for n in str(arrays[name].attributes.get("coordinates", "")).split()]
+    beside = [k for k in arrays if k.rpartition("/")[0] == group]
+    found: dict[str, str] = {}
+    for candidates in (named, beside, [k for k in arrays if "/" not in k]):
+        for k in candidates:
+            role = _role(k, str(arrays[k].attributes.get("units", "")).lower()) if k in arrays and k != name else None
+            if role and arrays[k].shape in ((width,) if role == "x" else (height,), (height, width)):
+                found.setdefault(role, k)
+    return found.get("x"), found.get("y")
 
-    first = bands_of(bytes(files.limit(1).collect()[0]["content"]))
-    grid = Grid(first.shape[2], first.shape[1], bands=first.shape[0])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for p, content in zip(f["path"], f["content"], strict=True):
-                yield from cell_frames(p, bands_of(bytes(content)), None)
+def hdf5_bands(data: bytes, name: str | None = None) -> tuple[Grid, np.ndarray]:
+    """(grid, bands) of an array by path, or of the largest that isn't a coordinate.
 
-    return _null(files.mapInPandas(run, CELLS)), grid
+    An (H, W, 2) array of floats is two bands, real and imaginary; of others the first axes are bands.
+    Values at _FillValue are no data, scale_factor and add_offset are applied. Without coordinates
+    the grid is in cells.
+    """
+    arrays, groups = hdf5.opened(data)
+    coordinates = frozenset(k for k, v in arrays.items() if _role(k, str(v.attributes.get("units", "")).lower()))
+    path = (name or "").strip("/") or pick_dataset({k: v.shape for k, v in arrays.items() if v.dtype.kind in "iuf"}, coordinates)
+    if path not in arrays:
+        raise ValueError(f"no array {path!r}; there are {sorted(arrays)}")
+    given = arrays[path].attributes
+    raw = arrays[path].read()
+    a = raw.astype(float)
+    for gone in (given.get("_FillValue"), given.get("missing_value")):
+        if gone is not None:
+            a[raw == gone] = np.nan
+    a = a * given.get("scale_factor", 1) + given.get("add_offset", 0)
+    a = a.transpose(2, 0, 1) if a.ndim == 3 and a.shape[-1] == 2 and raw.dtype.kind == "f" else a.reshape(-1, *a.shape[-2:]) if a.ndim >= 2 else a.reshape(1, 1, -1)
+    x, y = _axes(arrays, path, *a.shape[1:])
+    if x is None or y is None:
+        return Grid(a.shape[2], a.shape[1], bands=len(a)), a
+    xs, ys = arrays[x].read().astype(float), arrays[y].read().astype(float)
+    said = next((str(v) for k in ("crs", "crs_wkt", "spatial_ref") for v in (given.get(k), groups.get("", {}).get(k)) if v), None)
+    degrees = any(str(arrays[k].attributes.get("units", "")).lower().startswith("degree") or k.rsplit("/", 1)[-1].lower() not in ("x", "y") for k in (x, y))
+    code = re.search(r"EPSG\D{0,4}(\d{4,6})", said) if said else None
+    crs = f"EPSG:{code[1]}" if code else "EPSG:4326" if degrees else None
+    return axis_grid(xs[0] if xs.ndim == 2 else xs, ys[:, 0] if ys.ndim == 2 else ys, len(a), crs), a
+
+
+def read_hdf5(spark: SparkSession, ref: str) -> tuple[DataFrame, Grid]:
+    """(cells, grid) of an array (path::/name, or the largest) of HDF5 files, as hdf5_bands() has them."""
+    path, name = split(ref)
+    return _cells_of(spark, path, lambda data: hdf5_bands(data, name))

@@ -1,12 +1,11 @@
 """Products of the SWOT mission: radar images, pixel clouds and stacks of water frequency.
 
-Parts that need h5py open files; all else works on mappings from names to arrays, and on
-DataFrames of points, so that it can be used and tested without it.
+Files are HDF5; all but the opening of them works on mappings from names to arrays, and on
+DataFrames of points.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator, Mapping
 from typing import Any
 
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 from terraloom.functions.raster import Grid
 from terraloom.operators.mosaic import scatter
-from terraloom.sources.raster import CELLS, cell_frames
+from terraloom.sources import hdf5
+from terraloom.sources.raster import CELLS, cell_frames, first_said
 from terraloom.sources.vector import split
 
 # Datasets of a radar image as name, path and role; values of a pixel cloud; attributes of products.
@@ -93,19 +93,18 @@ def stack_grid(arrays: Mapping[str, np.ndarray], bands: np.ndarray) -> Grid:
 
 
 def _arrays(data: bytes) -> dict[str, np.ndarray]:
-    import h5py
-
-    out: dict[str, np.ndarray] = {}
-    with h5py.File(io.BytesIO(data), "r") as f:
-        f.visititems(lambda k, v: out.update({k: v[()]}) if isinstance(v, h5py.Dataset) else None)
-    return out
+    return {k: v.read() for k, v in hdf5.opened(data)[0].items()}
 
 
 def read_stack(spark: SparkSession, ref: str, wanted: list[str] | None = None) -> tuple[DataFrame, Grid]:
-    """(cells, grid) of a stack file; needs h5py."""
+    """(cells, grid) of stack files of one grid."""
     files = spark.read.format("binaryFile").load(split(ref)[0]).select("path", "content")
-    arrays = _arrays(bytes(files.limit(1).collect()[0]["content"]))
-    grid = stack_grid(arrays, stack_bands(arrays, wanted)[1])
+
+    def grid_of(data: bytes) -> Grid:
+        arrays = _arrays(data)
+        return stack_grid(arrays, stack_bands(arrays, wanted)[1])
+
+    grid = first_said(files, grid_of)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -116,7 +115,7 @@ def read_stack(spark: SparkSession, ref: str, wanted: list[str] | None = None) -
 
 
 def read_cloud(spark: SparkSession, ref: str) -> DataFrame:
-    """(ordinal, longitude, latitude, sig0, height, water_frac, classification) of pixel-cloud files; needs h5py."""
+    """(ordinal, longitude, latitude, sig0, height, water_frac, classification) of pixel-cloud files."""
     names = ("longitude", "latitude", *CLOUD_VALUES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -422,3 +422,24 @@ def test_bucketed_join_is_the_nested_loop(spark):
     got = {(x["fid"], x["fid_right"]) for x in spatial.spatial_join(zones(spark, a), zones(spark, b), cell=3.0).collect() if x["fid_right"] is not None}
     want = {(i, j) for i, p in enumerate(a) for j, q in enumerate(b) if p[0] <= q[2] and p[2] >= q[0] and p[1] <= q[3] and p[3] >= q[1]}
     assert got == want
+
+
+def test_rasters_on_one_grid_are_told_apart(spark):
+    a = np.arange(12.0).reshape(3, 4)
+    both = cells(spark, a).unionByName(cells(spark, a * 10).withColumn("raster_id", F.lit("other")))
+    z = zones(spark, [(0, 0, 2, 3), (2, 0, 4, 3)])
+    got = {(r["raster_id"], r["zone_id"]): r["sum"] for r in spatial.zonal_stats(both, z, grid(a), by_raster=True).collect()}
+    names = sorted({k for k, _ in got})
+    assert len(got) == 4 and len(names) == 2
+    one = {r["zone_id"]: r["sum"] for r in spatial.zonal_stats(cells(spark, a), z, grid(a)).collect()}
+    assert all(got["other", k] == 10 * v for k, v in one.items())
+    points = spark.createDataFrame([("p", 0.5, 0.5, "x"), ("q", 3.5, 2.5, "y"), ("r", None, 1.0, "z")], "point_id string, x double, y double, at_row string")
+    rows = spatial.sample_raster(both, points, grid(a), by_raster=True).collect()
+    assert len(rows) == 6 and {(r["point_id"], r["raster_id"] == "other"): r["band_1"] for r in rows if r["point_id"] != "r"} == {("p", False): 8.0, ("p", True): 80.0, ("q", False): 3.0, ("q", True): 30.0}
+
+
+def test_large_geometries_are_not_broadcast(spark):
+    rows = zones(spark, [(0, 0, 1, 1)] * 5)
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in plan(spatial.small(rows)).lower()
+    assert "broadcast" not in plan(spatial.small(rows, most=10)).lower() and "broadcast" not in plan(spatial.small(rows, limit=2)).lower()

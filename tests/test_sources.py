@@ -440,3 +440,50 @@ def test_swot(spark):
     assert swot.stack_grid({"lon": np.array([1.0, 3]), "lat": np.array([5.0, 6])}, bands).extent == (1, 5, 3, 6)
     with pytest.raises(ValueError):
         swot.stack_bands({"a": np.ones((2, 2))}, ["c"])
+
+
+ARRAYS = {"x": np.arange(4.0) + 0.5, "y": 3 - np.arange(3.0) - 0.5, "g/data": np.arange(12, dtype="f4").reshape(3, 4), "g/deep/n": np.arange(24, dtype="i4").reshape(4, 6) - 7, "g/pairs": np.arange(24.0).reshape(3, 4, 2), "name": np.array([b"ab", b"c"])}
+
+
+@pytest.mark.parametrize("chunk", [0, 2])
+def test_hdf5(spark, tmp_path, chunk):
+    from terraloom.sources import hdf5, samples
+
+    data = samples.hdf5_file(ARRAYS, chunk, {"g/data": {"units": "m", "crs": "EPSG:32610"}, "": {"title": "all"}, "g": {"k": "v"}})
+    found, groups = hdf5.opened(data)
+    assert {k: v.read().tolist() for k, v in found.items()} == {k: v.tolist() for k, v in ARRAYS.items()}
+    assert found["g/data"].attributes == {"units": "m", "crs": "EPSG:32610"} and groups == {"": {"title": "all"}, "g": {"k": "v"}, "g/deep": {}}
+    (tmp_path / "a.h5").write_bytes(data)
+    cells, grid = raster.read_hdf5(spark, f"{tmp_path / 'a.h5'}::/g/data")
+    got = {(r["row"], r["col"]): r["value"] for r in cells.collect()}
+    assert (grid.width, grid.height, grid.crs, grid.extent) == (4, 3, "EPSG:32610", (0, 0, 4, 3)) and got[2, 3] == 11
+    # The largest array that isn't a coordinate; pairs are two bands.
+    cells, grid = raster.read_hdf5(spark, str(tmp_path / "a.h5"))
+    assert (grid.width, grid.height, grid.bands) == (6, 4, 1)
+    cells, grid = raster.read_hdf5(spark, f"{tmp_path / 'a.h5'}::g/pairs")
+    assert grid.bands == 2 and cells.where("band = 2 AND row = 0 AND col = 1").collect()[0]["value"] == 3
+    with pytest.raises(Exception, match="no array"):
+        raster.read_hdf5(spark, f"{tmp_path / 'a.h5'}::none")
+    with pytest.raises(ValueError):
+        hdf5.opened(b"not such a file")
+
+
+def test_netcdf_of_version_4_and_packed_values(spark, tmp_path):
+    from terraloom.sources import samples
+
+    v = np.array([[1, 2, -9], [4, 5, 6]], dtype="i2")
+    data = samples.hdf5_file({"t": v, "lon": np.array([10.0, 11, 12]), "lat": np.array([2.0, 1])}, 1)
+    (tmp_path / "a.nc").write_bytes(data)
+    cells, g = raster.read_netcdf(spark, f"{tmp_path / 'a.nc'}::t")
+    assert (g.width, g.height, g.a, g.e, g.c, g.f, g.crs) == (3, 2, 1, -1, 9.5, 2.5, "EPSG:4326") and cells.count() == 6
+
+
+@pytest.mark.parametrize(
+    ("wkt", "crs"),
+    [
+        ('PROJCS["x",GEOGCS["y",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","32633"]]', "EPSG:32633"), ('GEOGCS["GCS_WGS_1984",DATUM["D"]]', "EPSG:4326"), ('PROJCS["WGS_1984_UTM_Zone_5S",GEOGCS["z"]]', "EPSG:32705"),
+        ('PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",GEOGCS["z"]]', "EPSG:3857"), ('PROJCRS["x",ID["EPSG",2056]]', "EPSG:2056"), ('PROJCS["Somewhere",GEOGCS["z"]]', None), ("", None),
+    ],
+)
+def test_crs_of_prj(wkt, crs):
+    assert vector.wkt_crs(wkt) == crs
