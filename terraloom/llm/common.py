@@ -21,7 +21,7 @@ BROADCAST_BYTES = 16 << 20
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -26,9 +26,16 @@ BROADCAST_WINDOWS = 500_000
 UNITS = "mm cm km kg mg ml lb oz ft mph kmh usd eur gbp percent meters metres miles grams liters litres hours minutes seconds days weeks months years dollars euros pounds degrees"
 
 
+# Patterns look at the character itself first, at what stands around it only then: most characters are done with at once.
+_MARK = r"[^a-zA-Z\x20](?:(?<=[^{kept}\p{{L}}\p{{N}}.,'\x20\x09-\x0D])|(?<=[.,'])(?:(?![\p{{L}}\p{{N}}])|(?<![\p{{L}}\p{{N}}].)))"
+_NAME = r"\p{Lu}(?<=\p{Ll}[,;]?[\x20\x09-\x0D].)[\p{Ll}']+(?![\p{L}\p{N}])"
+_NUMBER = r"\p{N}(?<![^\x20\x09-\x0D].)[\p{N}.,']*(?![^\x20\x09-\x0D])"
+_UNIT = rf"(\x01num[\x20\x09-\x0D])(?i:{'|'.join(UNITS.split())})(?![^\x20\x09-\x0D])"
+
+
 def raw_words(text: Column) -> Column:
     """Words without punctuation at their ends, in the case they have; none are empty."""
-    return F.filter(words(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}.,'\x20\x09-\x0D]|[.,'](?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.,']", "")), lambda w: w != "")
+    return words(F.regexp_replace(F.coalesce(text, F.lit("")), _MARK.format(kept=""), ""))
 
 
 def templates(text: Column) -> Column:
@@ -37,12 +44,10 @@ def templates(text: Column) -> Column:
     #num for numbers, #unit for a unit right behind a number, #name for a capitalised word that
     stands behind a word in lower case with no full stop between them.
     """
-    known = F.coalesce(text, F.lit(""))
-    marked = F.regexp_replace(known, r"(?<=[\p{Ll}][,;]?[\x20\x09-\x0D])\p{Lu}[\p{Ll}']+(?![\p{L}\p{N}])", "\x01name")
-    clean = F.regexp_replace(marked, r"[^\x01\p{L}\p{N}.,'\x20\x09-\x0D]|[.,'](?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.,']", "")
-    numbers = F.regexp_replace(clean, r"(?<![^\x20\x09-\x0D])\p{N}[\p{N}.,']*(?![^\x20\x09-\x0D])", "\x01num")
-    units = F.regexp_replace(numbers, rf"(?<=\x01num[\x20\x09-\x0D])(?i:{'|'.join(UNITS.split())})(?![^\x20\x09-\x0D])", "\x01unit")
-    return F.filter(words(F.lower(units)), lambda w: w != "")
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, "\x01name")
+    clean = F.regexp_replace(marked, _MARK.format(kept=r"\x01"), "")
+    numbers = F.regexp_replace(clean, _NUMBER, "\x01num")
+    return words(F.lower(F.regexp_replace(numbers, _UNIT, "$1\x01unit")))
 
 
 def probing(items: DataFrame, item_id: str, text: str, min_match: float) -> DataFrame:
@@ -109,7 +114,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     if n <= BROADCAST_WINDOWS:
         # Only words are exploded, and only those that are some window's anchor look at the words around them.
         keys = F.broadcast(durable(_anchored(probes)))
-        spots = hashed.select("_doc", "_text", "_t", F.posexplode("_t").alias("_spot", "_word")).withColumn("_h", F.xxhash64("_word"))
+        # The outer form: of the plain one Spark infers a filter, for which all templates would be made once more.
+        spots = hashed.select("_doc", "_text", "_t", F.posexplode_outer("_t").alias("_spot", "_word")).withColumn("_h", F.xxhash64("_word"))
         near = spots.join(keys, (F.col("_h") == F.col("anchor")) & (F.col("_spot") >= F.col("offset"))).withColumn("_at", F.col("_spot") - F.col("offset"))
         hits = near.where(F.xxhash64(_from(F.col("_t"), F.col("_at"), F.col("window"))) == F.col("window_hash")).select("_doc", "_text", "_t", "item", begin)
     else:
@@ -118,7 +124,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         next_word = F.when(F.col("window") > least, F.xxhash64(F.get("item_template", F.col("item_at") + least)))
         keys = probes.select(first_words.alias("h"), next_word.alias("next"), "item", "item_at")
         fits = (F.col("_h") == F.col("h")) & (F.col("next").isNull() | (F.col("next") == F.xxhash64(f"_w.w{least}")))
-        rolling = F.posexplode(F.arrays_zip(*[F.slice("_t", i + 1, F.size("_t")).alias(f"w{i}") for i in range(least + 1)])).alias("_at", "_w")
+        rolling = F.posexplode_outer(F.arrays_zip(*[F.slice("_t", i + 1, F.size("_t")).alias(f"w{i}") for i in range(least + 1)])).alias("_at", "_w")
         # One row for a row of docs, an item and a place, before texts come in again.
         spots = hashed.select("_row", rolling).select("*", F.xxhash64(*[f"_w.w{i}" for i in range(least)]).alias("_h"))
         hits = spots.join(keys, fits).select(F.col("_row").alias("_hit"), "item", begin).distinct()

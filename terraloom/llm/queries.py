@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fixed_block_dedup": word_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+    return {"op3_sharding": sharding.ORACLE, "op4_fixed_block_dedup": word_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -296,15 +297,9 @@ def test_leaks_of_a_whole_table_against_brute_force(spark):
 
 
 def brute_place(key, weights, rack_shards=4, region_racks=2):
-    import math
-
-    import xxhash
-
     def draw(level, node, weight):
-        h = xxhash.xxh64_intdigest(str(key).encode(), 42)
-        for part in (level, node):
-            h = xxhash.xxh64_intdigest(part.to_bytes(4, "little"), h)
-        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+        h = int(hashlib.md5(f"{key}|{level}|{node}".encode()).hexdigest()[:13], 16)
+        return -math.log((h + 0.5) / 2**52) / weight
 
     racks = [list(range(i, min(i + rack_shards, len(weights)))) for i in range(0, len(weights), rack_shards)]
     regions = [list(range(i, min(i + region_racks, len(racks)))) for i in range(0, len(racks), region_racks)]
