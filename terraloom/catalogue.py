@@ -411,15 +411,13 @@ weighed AS (SELECT row, col, v, (1 - abs(r + 0.5 - sr)) * (1 - abs(c + 0.5 - sc)
 found AS (SELECT row, col, sum(v * w) / sum(w) AS value FROM weighed GROUP BY row, col HAVING bool_or(own))"""
 
 
-@query(
-    "reproject_raster",
-    f"""WITH {PART}, ends AS (SELECT radians(-122.0) * 6378137.0 AS x0, radians(-121.0) * 6378137.0 AS x1, ln(tan(pi() / 4 + radians(37.0) / 2)) * 6378137.0 AS y0, ln(tan(pi() / 4 + radians(38.0) / 2)) * 6378137.0 AS y1),
+_WARPED = f"""{PART}, ends AS (SELECT radians(-122.0) * 6378137.0 AS x0, radians(-121.0) * 6378137.0 AS x1, ln(tan(pi() / 4 + radians(37.0) / 2)) * 6378137.0 AS y0, ln(tan(pi() / 4 + radians(38.0) / 2)) * 6378137.0 AS y1),
 sized AS (SELECT *, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) / sqrt({PW}.0 ** 2 + h ** 2) AS res FROM ends, size),
 grid AS (SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, x0 + (j + 0.5) * res AS x, y1 - (i + 0.5) * res AS y, h FROM (SELECT *, unnest(range(CAST(ceil((y1 - y0) / res - 1e-9) AS BIGINT))) AS i FROM (SELECT *, unnest(range(CAST(ceil((x1 - x0) / res - 1e-9) AS BIGINT))) AS j FROM sized))),
-places AS (SELECT row, col, (38 - degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2)) * h AS sr, (degrees(x / 6378137.0) + 122) * {PW} AS sc FROM grid),
-{_bilinear("places")}
-SELECT row, col, round(value, 4) AS value FROM grid LEFT JOIN found USING (row, col)""",
-)
+places AS (SELECT row, col, (38 - degrees(2 * atan(exp(y / 6378137.0)) - pi() / 2)) * h AS sr, (degrees(x / 6378137.0) + 122) * {PW} AS sc FROM grid)"""
+
+
+@query("reproject_raster", f"WITH {_WARPED}, {_bilinear('places')} SELECT row, col, round(value, 4) AS value FROM grid LEFT JOIN found USING (row, col)")
 def reproject_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part raster, over a degree square, in web Mercator."""
     cells, grid = small_dem(spark, sf_dir)
@@ -427,11 +425,43 @@ def reproject_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _value(warp.reproject_raster(cells, at, "EPSG:3857", "bilinear")[0], 4)
 
 
+@query("reproject_raster_nearest", f"WITH {_WARPED} SELECT row, col, v AS value FROM places LEFT JOIN cells ON r = floor(sr) AND c = floor(sc)")
+def reproject_raster_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = small_dem(spark, sf_dir)
+    at = Grid.from_bounds(-122, 37, -121, 38, grid.width, grid.height, crs="EPSG:4326")
+    return warp.reproject_raster(cells, at, "EPSG:3857", "nearest")[0].select("row", "col", "value")
+
+
+_KEYS = "(CASE WHEN x <= 1 THEN 1.5 * x ** 3 - 2.5 * x ** 2 + 1 WHEN x < 2 THEN -0.5 * x ** 3 + 2.5 * x ** 2 - 4 * x + 2 ELSE 0 END)"
+
+
 @query(
-    "reproject_raster_average",
-    f"""WITH {PART}, places AS (SELECT v, radians(-122 + (c + 0.5) / {PW}) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(38 - (r + 0.5) / h) / 2)) * 6378137.0 AS y FROM cells, size)
-SELECT CAST(floor((ln(tan(pi() / 4 + radians(38.0) / 2)) * 6378137.0 - y) / 5000) AS INT) AS row, CAST(floor((x - radians(-122.0) * 6378137.0) / 5000) AS INT) AS col, round(avg(v), 6) AS value FROM places GROUP BY 1, 2""",
+    "reproject_raster_cubic",
+    f"""WITH {_WARPED}, near AS (SELECT row, col, sr, sc, CAST(floor(sr - 0.5) AS INT) + i AS r, CAST(floor(sc - 0.5) AS INT) + j AS c FROM places, (VALUES (-1), (0), (1), (2)) AS di(i), (VALUES (-1), (0), (1), (2)) AS dj(j)),
+weighed AS (SELECT row, col, v, {_KEYS.replace('x', 'abs(r + 0.5 - sr)')} * {_KEYS.replace('x', 'abs(c + 0.5 - sc)')} AS w, r = floor(sr) AND c = floor(sc) AS own FROM near JOIN cells USING (r, c)),
+found AS (SELECT row, col, sum(v * w) / sum(w) AS value FROM weighed GROUP BY row, col HAVING bool_or(own) AND abs(sum(w)) > 1e-12)
+SELECT row, col, round(value, 4) AS value FROM grid LEFT JOIN found USING (row, col)""",
 )
+def reproject_raster_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, grid = small_dem(spark, sf_dir)
+    at = Grid.from_bounds(-122, 37, -121, 38, grid.width, grid.height, crs="EPSG:4326")
+    return _value(warp.reproject_raster(cells, at, "EPSG:3857", "cubic")[0], 4)
+
+
+_MOVED = f"""{PART}, places AS (SELECT v, radians(-122 + (c + 0.5) / {PW}) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(38 - (r + 0.5) / h) / 2)) * 6378137.0 AS y FROM cells, size),
+moved AS (SELECT v, CAST(floor((ln(tan(pi() / 4 + radians(38.0) / 2)) * 6378137.0 - y) / 5000) AS INT) AS row, CAST(floor((x - radians(-122.0) * 6378137.0) / 5000) AS INT) AS col FROM places)"""
+
+
+@query("reproject_raster_mode", f"WITH {_MOVED}, n AS (SELECT row, col, floor(v / 100) AS value, count(*) AS n FROM moved GROUP BY ALL) SELECT row, col, value FROM n QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, value) = 1")
+def reproject_raster_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest hundred in cells of 5 km, the least of equals."""
+    cells, grid = small_dem(spark, sf_dir)
+    at = Grid.from_bounds(-122, 37, -121, 38, grid.width, grid.height, crs="EPSG:4326")
+    hundreds = cells.withColumn("value", F.floor(F.col("value") / 100).cast("double"))
+    return warp.reproject_raster(hundreds, at, "EPSG:3857", "mode", 5000.0)[0].where("value IS NOT NULL").select("row", "col", "value")
+
+
+@query("reproject_raster_average", f"WITH {_MOVED} SELECT row, col, round(avg(v), 6) AS value FROM moved GROUP BY 1, 2")
 def reproject_raster_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the part raster, over a degree square, in cells of 5 km in web Mercator."""
     cells, grid = small_dem(spark, sf_dir)

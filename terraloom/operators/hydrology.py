@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.raster import Grid, valid, with_neighbours
+from terraloom.operators.spatial import small
 from terraloom.plans.session import cut
 
 TILE = 256
@@ -26,16 +27,30 @@ OUTLET, PIT, NODATA = 8, 9, -1
 _NAMES = ("e", "se", "s", "sw", "w", "nw", "n", "ne")
 
 
-def _by_tile(cells: DataFrame, solve: Callable[[dict[str, np.ndarray]], np.ndarray], names: tuple[str, ...], out: str, tile: int) -> DataFrame:
-    """cells with column `out` as solved in each tile with a margin of one cell.
+KEYS = ("raster_id", "band", "row", "col")
+TILES = ("raster_id", "band", "_tr", "_tc")
+#: So many pits of a raster are swept in one task; more are dealt by the regions that they form.
+PITS_TOGETHER = 200_000
+
+
+def _tile_of(c: Column | str, tile: int) -> Column:
+    return F.floor((F.col(c) if isinstance(c, str) else c) / tile).cast("int")
+
+
+def _near_tiles(c: str, tile: int) -> Column:
+    """The tiles that a row or column belongs to, itself or as margin."""
+    return F.array_distinct(F.array(_tile_of(c, tile), _tile_of(F.col(c) - 1, tile), _tile_of(F.col(c) + 1, tile)))
+
+
+def _by_tile(cells: DataFrame, solve: Callable[[dict[str, np.ndarray]], np.ndarray], names: tuple[str, ...], out: str, tile: int, active: DataFrame | None = None) -> DataFrame:
+    """cells with column `out` as solved in each tile with a margin of one cell, and what it was before as `was`.
 
     solve gets dense arrays of the columns named, not-a-number where no cell is, and returns
-    the new values of `out`.
+    the new values of `out`. active: only the cells of these tiles.
     """
-    r, c = F.col("row"), F.col("col")
-    tr, tc = F.floor(r / tile).cast("int"), F.floor(c / tile).cast("int")
-    near = lambda x, t: F.array_distinct(F.array(t, F.floor((x - 1) / tile).cast("int"), F.floor((x + 1) / tile).cast("int")))
-    dealt = cells.select("raster_id", "band", "row", "col", *names).withColumn("_tr", F.explode(near(r, tr))).withColumn("_tc", F.explode(near(c, tc)))
+    dealt = cells.select(*KEYS, *names).withColumn("_tr", F.explode(_near_tiles("row", tile))).withColumn("_tc", F.explode(_near_tiles("col", tile)))
+    if active is not None:
+        dealt = dealt.join(small(active), list(TILES), "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(pdf["row"].min()), int(pdf["col"].min())
@@ -44,12 +59,13 @@ def _by_tile(cells: DataFrame, solve: Callable[[dict[str, np.ndarray]], np.ndarr
         for n in names:
             arrays[n] = np.full((i.max() + 1, j.max() + 1), np.nan)
             arrays[n][i, j] = pdf[n].to_numpy(dtype=float)
+        pdf["was"] = pdf[out]
         pdf[out] = solve(arrays)[i, j]
         own = (pdf["row"] // tile == pdf["_tr"]) & (pdf["col"] // tile == pdf["_tc"])
-        return pdf.loc[own, ["raster_id", "band", "row", "col", *names]]
+        return pdf.loc[own, [*KEYS, *names, "was"]]
 
-    schema = "raster_id string, band int, row int, col int, " + ", ".join(f"{n} double" for n in names)
-    return dealt.groupBy("raster_id", "band", "_tr", "_tc").applyInPandas(run, schema)
+    schema = "raster_id string, band int, row int, col int, " + ", ".join(f"{n} double" for n in names) + ", was double"
+    return dealt.groupBy(*TILES).applyInPandas(run, schema)
 
 
 def _spread(cost: Callable[[float, float], float], base: str, value: str) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
@@ -77,16 +93,22 @@ def _spread(cost: Callable[[float, float], float], base: str, value: str) -> Cal
 
 
 def _settle(cells: DataFrame, solve: Callable, names: tuple[str, ...], out: str, tile: int, one: bool) -> DataFrame:
-    mark = None
+    """cells with `out` solved in every tile until no margin changes; after the first round only tiles whose margin changed are solved again."""
+    rows, active = cells.select(*KEYS, *names), None
     while True:
-        cells = cut(_by_tile(cells, solve, names, out, tile))
+        solved = cut(_by_tile(rows, solve, names, out, tile, active))
+        if active is None:
+            rows = solved.drop("was")
+        else:
+            own = rows.withColumn("_tr", _tile_of("row", tile)).withColumn("_tc", _tile_of("col", tile))
+            rows = cut(own.join(small(active), list(TILES), "left_anti").select(*KEYS, *names).unionByName(solved.drop("was")))
         if one:
-            return cells
-        known = F.col(out) < math.inf
-        new = cells.agg(F.count(F.when(known, 1)), F.sum(F.when(known, F.col(out).cast("decimal(38,10)")))).collect()[0]
-        if new == mark:
-            return cells
-        mark = new
+            return rows
+        moved = solved.where(F.col(out) < F.col("was")).withColumn("_tr", F.explode(_near_tiles("row", tile))).withColumn("_tc", F.explode(_near_tiles("col", tile)))
+        beside = (F.col("_tr") != _tile_of("row", tile)) | (F.col("_tc") != _tile_of("col", tile))
+        active = cut(moved.where(beside).select(*TILES).distinct())
+        if not active.take(1):
+            return rows
 
 
 def fill_depressions(cells: DataFrame, grid: Grid, nodata: float | None = None, apply_gradient: bool = True, epsilon: float = 1e-5, tile: int = TILE) -> DataFrame:
@@ -123,14 +145,14 @@ def _graded(cells: DataFrame, grid: Grid, epsilon: float, tile: int, one: bool)
     return done.select("raster_id", "band", "row", "col", F.when(_number("value"), F.when(F.col("dist") < math.inf, F.col("value") + F.col("dist") * epsilon).otherwise(F.col("value"))).alias("value"))
 
 
-def d8_flow_direction(cells: DataFrame, grid: Grid, nodata: float | None = None) -> DataFrame:
+def d8_flow_direction(cells: DataFrame, grid: Grid, nodata: float | None = None, pits_together: int = PITS_TOGETHER) -> DataFrame:
     """Codes: 0 east, then clockwise to 7 north-east; 8 outlet, 9 pit, -1 no data.
 
     The steepest drop wins, the lower code of equals, with diagonals over the root of two and
     the cell size left out. Cells without a lower neighbour are outlets on the grid's edge,
     else pits; then pits take, row by row until nothing changes, the first neighbour that is
-    not higher and has a direction. That order matters, so it runs over the pits of a raster
-    and what lies beside them in one task; all else is column expressions.
+    not higher and has a direction. That order matters among pits that touch, so a region of them
+    is swept in one task, or all of a raster where they are few; all else is column expressions.
     """
     nodata = grid.nodata if nodata is None else nodata
     z = F.when(valid(F.col("value"), nodata), F.col("value"))
@@ -148,11 +170,39 @@ def d8_flow_direction(cells: DataFrame, grid: Grid, nodata: float | None = None)
         return coded.select("raster_id", "band", "row", "col", F.col("code").cast("double").alias("value"))
     ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     wanted = pits.select("raster_id", "band", "row", "col", F.inline(ring)).select("raster_id", "band", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).distinct()
-    keys = ["raster_id", "band", "row", "col"]
-    solved = coded.join(wanted, keys).groupBy("raster_id", "band").applyInPandas(_resolve_pits, "raster_id string, band int, row int, col int, new int")
+    keys = list(KEYS)
+    schema = "raster_id string, band int, row int, col int, new int"
+    if pits.groupBy("raster_id", "band").count().agg(F.max("count")).collect()[0][0] <= pits_together:
+        solved = coded.join(wanted, keys).groupBy("raster_id", "band").applyInPandas(_resolve_pits, schema)
+    else:
+        # Pits that don't touch don't matter to each other: each region is swept with the cells around it.
+        held = _regions(pits).select(*keys, "region")
+        around = held.select("raster_id", "band", "region", "row", "col", F.inline(ring)).select("raster_id", "band", "region", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).distinct()
+        solved = coded.join(around, keys).groupBy("raster_id", "band", "region").applyInPandas(_resolve_pits, schema)
     return coded.join(solved, keys, "left").select(*keys, F.coalesce("new", "code").cast("double").alias("value"))
 
 
+def _regions(pits: DataFrame) -> DataFrame:
+    """pits with region: the least place of all pits that are joined to one side by side or corner to corner.
+
+    Least places go from neighbour to neighbour, and from a place to the place that it names, until nothing changes.
+    """
+    place = F.struct("raster_id", "band", "row", "col")
+    now = cut(pits.select(*KEYS, place.alias("at"), place.alias("region")))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in STEPS])
+    there = now.select(F.col("at").alias("a"), "raster_id", "band", "row", "col", F.inline(steps)).select("a", F.struct("raster_id", "band", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).alias("b"))
+    edges = cut(there.join(now.select(F.col("at").alias("b")), "b"))
+    while True:
+        near = edges.join(now.select(F.col("at").alias("b"), F.col("region").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
+        least = now.join(near, F.col("at") == F.col("a"), "left").select(*KEYS, "at", F.col("region").alias("was"), F.least("region", F.coalesce("theirs", "region")).alias("region"))
+        least = cut(least)
+        jump = least.select(F.col("at").alias("of"), F.col("region").alias("further"))
+        new = cut(least.join(jump, F.col("region") == F.col("of"), "left").select(*KEYS, "at", "was", F.least("region", F.coalesce("further", "region")).alias("region")))
+        if not new.where("region != was").take(1):
+            return new.drop("was", "at")
+        now = new.drop("was")
+
+
 def _resolve_pits(pdf: pd.DataFrame) -> pd.DataFrame:
     """Directions for pits, swept row by row in place until a sweep changes nothing."""
     pdf = pdf.sort_values(["row", "col"])
@@ -215,33 +265,45 @@ def _drain(a: dict[str, np.ndarray]) -> np.ndarray:
 def flow_accumulation(directions: DataFrame, grid: Grid, weight: float = 1.0, tile: int = TILE) -> DataFrame:
     """The weight of each cell and all that drain through it; -1 where there is no direction.
 
-    Directions that run in a circle are an error. What leaves a tile is added to the cell it
-    enters in the next round.
+    Directions that run in a circle are an error. Every tile is solved once; what leaves it enters
+    the next one as a flow of its own, which goes down its way there and out again, round by round,
+    through the tiles that it reaches alone. Flows add up.
     """
-    keys = ["raster_id", "band", "row", "col"]
-    code = F.col("code")
+    keys, code = list(KEYS), F.col("code")
     cells = directions.select(*keys, F.when(F.col("value").between(0, PIT), F.col("value")).otherwise(-1.0).alias("code"))
     valid_cells = cut(cells.withColumn("own", F.when(code >= 0, F.lit(float(weight)))))
-    total = float(weight) * (valid_cells.where(code >= 0).count() + 1)
-    tile_of = lambda c: F.floor(F.col(c) / tile).cast("int")
+    total = abs(float(weight)) * (valid_cells.where(code >= 0).count() + 1)
     step = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in STEPS]), code.cast("int") + 1)
-    flow = (code >= 0) & (code < OUTLET)
-    inflow, mark = None, None
-    while True:
-        own = valid_cells if inflow is None else valid_cells.join(inflow, keys, "left").select(*keys, "code", (F.col("own") + F.coalesce("_in", F.lit(0.0))).alias("own"))
-        done = _solve_tiles(own, tile)
-        out = done.where(flow).select("raster_id", "band", (F.col("row") + step(0)).cast("int").alias("row"), (F.col("col") + step(1)).cast("int").alias("col"), F.col("own").alias("_in"), F.col("row").alias("_fr"), F.col("col").alias("_fc"))
-        out = out.where((F.floor(F.col("_fr") / tile) != F.floor(F.col("row") / tile)) | (F.floor(F.col("_fc") / tile) != F.floor(F.col("col") / tile)))
-        if grid.width <= tile and grid.height <= tile:
-            break
-        inflow = cut(out.groupBy(*keys).agg(F.sum("_in").alias("_in")))
-        new = inflow.agg(F.count(F.lit(1)), F.sum(F.col("_in").cast("decimal(38,6)")), F.max("_in")).collect()[0]
-        if new[2] is not None and new[2] > total * (1 + 1e-9):
+
+    def leaving(solved: DataFrame) -> DataFrame:
+        """What flows into cells of other tiles."""
+        there = solved.where((code >= 0) & (code < OUTLET) & (F.col("own") != 0)).select("raster_id", "band", (F.col("row") + step(0)).cast("int").alias("row"), (F.col("col") + step(1)).cast("int").alias("col"), "own", _tile_of("row", tile).alias("fr"), _tile_of("col", tile).alias("fc"))
+        out = there.where((F.col("fr") != _tile_of("row", tile)) | (F.col("fc") != _tile_of("col", tile)))
+        return cut(out.groupBy(*keys).agg(F.sum("own").alias("inflow")))
+
+    done = _solve_tiles(valid_cells, tile)
+    result = lambda rows: rows.select(*keys, F.when(code >= 0, F.col("own")).otherwise(-1.0).alias("value"))
+    if grid.width <= tile and grid.height <= tile:
+        return result(done)
+    flows, entered = [], None
+    inflow = leaving(done)
+    while inflow.take(1):
+        entered = inflow if entered is None else cut(entered.unionByName(inflow).groupBy(*keys).agg(F.sum("inflow").alias("inflow")))
+        if entered.agg(F.max(F.abs("inflow"))).collect()[0][0] > total * (1 + 1e-9):
             raise ValueError("flow directions run in a circle")
-        if new == mark:
-            break
-        mark = new
-    return done.select(*keys, F.when(code >= 0, F.col("own")).otherwise(-1.0).alias("value"))
+        tiles = small(cut(inflow.select("raster_id", "band", _tile_of("row", tile).alias("_tr"), _tile_of("col", tile).alias("_tc")).distinct()))
+        reached = valid_cells.withColumn("_tr", _tile_of("row", tile)).withColumn("_tc", _tile_of("col", tile)).join(tiles, list(TILES), "left_semi")
+        entering = reached.join(inflow, keys, "left").select(*keys, "code", F.coalesce("inflow", F.lit(0.0)).alias("own"))
+        moved = _solve_tiles(entering, tile).where("own != 0")
+        flows.append(moved.select(*keys, F.col("own").alias("more")))
+        inflow = leaving(moved)
+    if not flows:
+        return result(done)
+    more = flows[0]
+    for x in flows[1:]:
+        more = more.unionByName(x)
+    more = more.groupBy(*keys).agg(F.sum("more").alias("more"))
+    return result(done.join(more, keys, "left").select(*keys, "code", (F.col("own") + F.coalesce("more", F.lit(0.0))).alias("own")))
 
 
 def _solve_tiles(cells: DataFrame, tile: int) -> DataFrame:

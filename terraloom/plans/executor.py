@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import types
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields, is_dataclass, make_dataclass, replace
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 
 from terraloom import checks
 from terraloom.functions.raster import Grid, valid
-from terraloom.model import DUCKDB, FILE, HANDLE, Dataset, Kind, State, Verdict, now
+from terraloom.model import DUCKDB, FILE, HANDLE, POSTGIS, Dataset, Kind, State, Verdict, now
 from terraloom.operators import hydrology, mosaic, spatial, terrain, warp
 from terraloom.plans.registry import Registry, Run
 from terraloom.plans.route import RefKind, Router, SourceRef, default_router, extension
 from terraloom.sources import raster, vector
-from terraloom.sources.remote import read_duckdb, store_path
+from terraloom.sources.remote import read_duckdb, read_overture, read_postgis, store_path
+from terraloom.sources.services import Access, ogc_fetch, opentopography_fetch, stac_fetch
 
 
 class OperatorError(RuntimeError):
@@ -140,15 +142,42 @@ def raster_dataset(name: str, df: DataFrame, grid: Grid, **kw: Any) -> Dataset:
     return Dataset(R, name, df=df, grid=grid, crs=grid.crs, extent=tuple(map(float, grid.extent)), resolution=tuple(map(float, grid.resolution)), band_count=grid.bands, **kw)
 
 
-def materialize(spark: SparkSession, ref: SourceRef | str, router: Router | None = None) -> Dataset:
-    """A dataset from a reference, by the reader that the router selects. Rows stay lazy."""
+def _fetched(spark: SparkSession, reader: str, raw: str, access: Access, options: dict[str, Any]) -> tuple[str, dict[str, Any]]:
+    """(path, metadata) of what a service sent for a reference."""
+    if reader == "stac":
+        path, item = stac_fetch(spark, access, options["endpoint"], raw)
+        return path, {"item": item["id"], "collection": item.get("collection")}
+    if reader == "ogc":
+        return ogc_fetch(spark, access, raw, **options), {}
+    return opentopography_fetch(spark, access, raw, **options), {}
+
+
+def materialize(spark: SparkSession, ref: SourceRef | str, router: Router | None = None, access: Access | None = None, **options: Any) -> Dataset:
+    """A dataset from a reference, by the reader that the router selects. Rows stay lazy.
+
+    What comes over HTTP is fetched to the shared folder first, with the headers and keys of access.
+    options are those of the service: endpoint (STAC), bbox, width, height, crs, max_features (OGC),
+    base and release (Overture), url (PostGIS).
+    """
     known = SourceRef.infer(ref) if isinstance(ref, str) else ref
     raw, remote = known.raw, known.kind == RefKind.REMOTE_URI
     reader = (router or default_router()).select_one(known)
+    access = access or Access()
+    if reader in ("stac", "ogc", "opentopography"):
+        path, more = _fetched(spark, reader, raw, access, options)
+        got = materialize(spark, SourceRef.file(path), router)
+        return got.but(name=raw, params={"reader": reader, "ref": raw}, metadata=json.loads(got.metadata) | more)
+    if remote and raw.lower().startswith("http"):
+        path = access.fetch(spark, raw)
+        return materialize(spark, SourceRef.file(path), router).but(name=raw, params={"reader": reader, "ref": raw})
+    if reader == "overture":
+        return Dataset(V, raw, df=read_overture(spark, raw, **options), crs="EPSG:4326", operation="materialize", params={"reader": reader, "ref": raw})
+    if reader == "postgis":
+        return Dataset(T, raw, POSTGIS, raw, df=read_postgis(spark, options.pop("url"), raw, **options), operation="materialize", params={"reader": reader, "ref": raw})
     at = store_path(raw) if remote else raw
     if reader == "object_store":
         # An object is read by what its extension says that it is; only where it lies is another matter.
-        reader = (router or default_router()).select_one(SourceRef(raw, RefKind.LOCAL_PATH))
+        reader = (router or default_router()).select_one(SourceRef.file(raw))
     origin = {"operation": "materialize", "params": {"reader": reader, "ref": raw}}
     where = {"store": HANDLE if remote else FILE, "uri": vector.split(raw)[0]}
     rasters = {"cog": raster.read_geotiff, "netcdf": raster.read_netcdf, "zarr": raster.read_zarr, "hdf5": raster.read_hdf5}

@@ -94,6 +94,11 @@ class SourceRef:
     def part(self, name: str) -> str | None:
         return dict(self.params).get(name)
 
+    @classmethod
+    def file(cls, path: str) -> SourceRef:
+        """A file on any file system, whatever its path looks like; its extension says what it holds."""
+        return cls(path, _HOLDS.get(extension(path), RefKind.LOCAL_PATH), {"path": path})
+
     @classmethod
     def infer(cls, raw: str) -> SourceRef:
         """The first of SHAPES that fits; unknown if none does."""

@@ -55,8 +55,8 @@ def _nations(spark: SparkSession, sf_dir: str) -> list[samples.Feature]:
     return [({"name": r["n_name"]}, float(r["n_nationkey"] * 3 - 20), float(r["n_nationkey"] * 2 - 10)) for r in rows]
 
 
-NATIONS = "SELECT n_name AS name, n_nationkey * 3.0 - 20 AS x, n_nationkey * 2.0 - 10 AS y, 'EPSG:4326' AS crs FROM nation"
-SUPPLIERS = "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_suppkey % 360 - 179.5 AS x, s_suppkey % 170 - 84.5 AS y, 'EPSG:4326' AS crs FROM supplier"
+NATIONS = "SELECT n_name AS name, CAST(n_nationkey * 3 - 20 AS DOUBLE) AS x, CAST(n_nationkey * 2 - 10 AS DOUBLE) AS y, 'EPSG:4326' AS crs FROM nation"
+SUPPLIERS = "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, CAST(s_suppkey % 360 - 179.5 AS DOUBLE) AS x, CAST(s_suppkey % 170 - 84.5 AS DOUBLE) AS y, 'EPSG:4326' AS crs FROM supplier"
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def source_geojsonseq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, at, "id", "name")
 
 
-@query("SELECT s_name AS name, s_suppkey % 360 - 179.5 AS x, s_suppkey % 170 - 84.5 AS y, 'EPSG:4326' AS crs FROM supplier")
+@query("SELECT s_name AS name, CAST(s_suppkey % 360 - 179.5 AS DOUBLE) AS x, CAST(s_suppkey % 170 - 84.5 AS DOUBLE) AS y, 'EPSG:4326' AS crs FROM supplier")
 def source_csv_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _at(spark, "s.csv")
     _suppliers(spark, sf_dir).select("name", F.col("geom.parts")[0][0][0]["x"].alias("lon"), F.col("geom.parts")[0][0][0]["y"].alias("lat")).write.csv(at, header=True)
@@ -174,7 +174,7 @@ def source_geoparquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, _put(spark, "n.parquet", out.getvalue()), "name")
 
 
-@query("SELECT n_nationkey * 3.0 - 20 AS x, n_nationkey * 2.0 - 10 AS y, n_nationkey / 4.0 AS z, n_regionkey AS intensity FROM nation")
+@query("SELECT CAST(n_nationkey * 3 - 20 AS DOUBLE) AS x, CAST(n_nationkey * 2 - 10 AS DOUBLE) AS y, CAST(n_nationkey / 4.0 AS DOUBLE) AS z, n_regionkey AS intensity FROM nation")
 def source_las(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
     at = _put(spark, "n.las", samples.las([(k * 3.0 - 20, k * 2.0 - 10, k / 4, r) for k, r in rows]))
@@ -248,7 +248,7 @@ def source_fof_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where("value IS NOT NULL").select("band", "row", "col", "value")
 
 
-@query("SELECT n_nationkey AS ordinal, n_nationkey * 3.0 - 20 AS longitude, n_nationkey * 2.0 - 10 AS latitude, n_regionkey * 1.5 AS height FROM nation")
+@query("SELECT n_nationkey AS ordinal, CAST(n_nationkey * 3 - 20 AS DOUBLE) AS longitude, CAST(n_nationkey * 2 - 10 AS DOUBLE) AS latitude, CAST(n_regionkey * 1.5 AS DOUBLE) AS height FROM nation")
 def source_pixc(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = np.array(sorted(tuple(r) for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()), dtype=float)
     k, r = keys.T
@@ -286,7 +286,7 @@ def source_overture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remote.read_overture(spark, "overture://places/place", base, "2024-01-17.0", (20.0, 10.0, 200.0, 100.0), None).select("id")
 
 
-@query("SELECT r_name AS id, 'c' || r_regionkey AS collection, r_regionkey * 1.0 AS xmin, 'http://h/' || r_regionkey || '.tif' AS href FROM region")
+@query("SELECT r_name AS id, 'c' || r_regionkey AS collection, CAST(r_regionkey AS DOUBLE) AS xmin, 'http://h/' || r_regionkey || '.tif' AS href FROM region")
 def source_stac(spark: SparkSession, sf_dir: str) -> DataFrame:
     import json
 
@@ -342,7 +342,7 @@ def vector_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes.groupBy(F.col("n_regionkey").alias("region")).agg(F.min("b.xmin").alias("xmin"), F.max("b.xmax").alias("xmax"), F.min("b.ymin").alias("ymin"), F.max("b.ymax").alias("ymax"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_nationkey AS k, 'POINT (' || CAST(n_nationkey AS DOUBLE) || ' ' || n_regionkey * 0.5 || ')' AS wkt, CAST(n_nationkey AS DOUBLE) AS x, n_regionkey * 0.5 AS y FROM nation")
+@query("SELECT n_nationkey AS k, 'POINT (' || CAST(n_nationkey AS DOUBLE) || ' ' || CAST(n_regionkey * 0.5 AS DOUBLE) || ')' AS wkt, CAST(n_nationkey AS DOUBLE) AS x, CAST(n_regionkey * 0.5 AS DOUBLE) AS y FROM nation")
 def geometry_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points as WKT, through GeoJSON and WKB and back."""
     p = G.point(F.col("n_nationkey").cast("double"), F.col("n_regionkey") * 0.5)
@@ -351,7 +351,7 @@ def geometry_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return there.select("k", "wkt", first["x"].alias("x"), first["y"].alias("y"))
 
 
-@query(f"SELECT count(*) * 1.0 AS total FROM orders WHERE o_orderkey % 17 <> 0")  # noqa: F541
+@query(f"SELECT CAST(count(*) AS DOUBLE) AS total FROM orders WHERE o_orderkey % 17 <> 0")  # noqa: F541
 def accumulated_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reaches outlets and pits, of directions without filling, is the number of valid cells."""
     cells, grid = dem(spark, sf_dir)

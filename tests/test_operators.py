@@ -443,3 +443,31 @@ def test_large_geometries_are_not_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().analyzed().toString()
     assert "broadcast" in plan(spatial.small(rows)).lower()
     assert "broadcast" not in plan(spatial.small(rows, most=10)).lower() and "broadcast" not in plan(spatial.small(rows, limit=2)).lower()
+
+
+def test_pits_by_region_are_pits_together(spark):
+    a = np.floor(np.random.default_rng(3).random((24, 30)) * 4)
+    one, two = ({(r["row"], r["col"]): r["value"] for r in hydrology.d8_flow_direction(cells(spark, a), grid(a), pits_together=n).collect()} for n in (10**6, 0))
+    assert one == two and any(v < 8 for v in one.values())
+
+
+def test_regions(spark):
+    at = [(0, 0), (1, 1), (2, 2), (5, 5), (5, 6), (9, 0), (3, 1), (8, 9)]
+    pits = spark.createDataFrame([("r", 1, i, j) for i, j in at], "raster_id string, band int, row int, col int")
+    got = {(r["row"], r["col"]): (r["region"]["row"], r["region"]["col"]) for r in hydrology._regions(pits).collect()}
+    assert got == {(0, 0): (0, 0), (1, 1): (0, 0), (2, 2): (0, 0), (3, 1): (0, 0), (5, 5): (5, 5), (5, 6): (5, 5), (9, 0): (9, 0), (8, 9): (8, 9)}
+
+
+def test_flows_through_many_tiles(spark):
+    """A river that winds through all tiles, and one tile that is left alone."""
+    h, w = 9, 12
+    codes = np.full((h, w), 0.0)
+    for r in range(h):
+        codes[r, :] = 0 if r % 2 == 0 else 4
+        codes[r, -1 if r % 2 == 0 else 0] = 2
+    codes[-1, -1] = 8
+    got = {(r["row"], r["col"]): r["value"] for r in hydrology.flow_accumulation(cells(spark, codes), grid(codes), tile=4).collect()}
+    assert got[h - 1, w - 1] == h * w and got[0, 0] == 1 and got[0, 11] == 12 and got[1, 11] == 13
+    ring = np.array([[0.0, 0, 0, 2], [6, 8, 8, 2], [6, 8, 8, 2], [6, 4, 4, 4]])
+    with pytest.raises(ValueError, match="circle"):
+        hydrology.flow_accumulation(cells(spark, ring), grid(ring), tile=2).collect()

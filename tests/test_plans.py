@@ -10,6 +10,7 @@ from terraloom.model import FILE, Dataset, Kind, State, Verdict, overall
 from terraloom.plans.executor import OPERATORS, Executor, build_params, coerce, exit_code, get_operator, hydrology_run, materialize, raster_dataset
 from terraloom.plans.registry import Registry, Run, ancestry
 from terraloom.plans.route import NoRouteError, Reader, RefKind, Router, SourceRef, default_router
+from terraloom.plans.session import cut, ensure_checkpoint_dir, shared_dir, tidy_shuffles
 from terraloom.sources.raster import write_tiff
 from tests.test_operators import cells, grid, zones
 
@@ -176,3 +177,36 @@ def test_materialize_and_command_line(spark, tmp_path, capsys):
     assert cli.main([*base, "datasets", "list", "--kind", "raster"], spark) == 0
     assert cli.main([*base, "lineage", out[0]["output"]], spark) == 0 and cli.main([*base, "checks", out[0]["output"]], spark) == 0
     assert cli.main([*base, "stats"], spark) == 0 and cli.main([*base, "runs", "show", out[0]["id"]], spark) == 0 and cli.main([*base, "datasets", "show", "none"], spark) == 1
+
+
+class _Somewhere:
+    """As much of a session as is asked for the shared folder."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext, self.master, self.folder = self, master, folder
+
+    def getConf(self):  # noqa: N802
+        return {"spark.checkpoint.dir": self.folder} if self.folder else {}
+
+    def getCheckpointDir(self):  # noqa: N802
+        return None
+
+    def setCheckpointDir(self, folder):  # noqa: N802
+        self.folder = folder
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://h:7077", "k8s://https://h", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(_Somewhere(master))
+    assert ensure_checkpoint_dir(_Somewhere(master, "hdfs://h/c"))
+    assert shared_dir(_Somewhere(master, "hdfs://h/c")) == "hdfs://h/c"
+
+
+def test_shuffles_go_with_their_query(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with tidy_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+    assert spark.conf.get(key, None) == before
+    assert cut(spark.range(100).repartition(7)).count() == 100 and spark.conf.get(key, None) == before

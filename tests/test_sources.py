@@ -487,3 +487,105 @@ def test_netcdf_of_version_4_and_packed_values(spark, tmp_path):
 )
 def test_crs_of_prj(wkt, crs):
     assert vector.wkt_crs(wkt) == crs
+
+
+@pytest.fixture(scope="module")
+def service():
+    """A local server with a catalogue, features, maps, elevations and a file; it wants a key for the last."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    a = np.arange(12.0).reshape(1, 3, 4)
+    tiff = raster.write_tiff(Grid.from_bounds(0, 0, 4, 3, 4, 3, crs="EPSG:4326"), a)
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def send(self, data, kind="application/json", code=200):
+            self.send_response(code)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(data if isinstance(data, bytes) else json.dumps(data).encode())
+
+        def item(self, k):
+            return {"id": f"i{k}", "collection": "c", "bbox": [k, 0, k + 1, 1], "properties": {"datetime": "2024-01-02T03:04:05Z"}, "assets": {"red": {"href": f"{base}/a.tif", "type": "image/tiff"}, "other": {"href": "x"}}}
+
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            k = body.get("page", 0)
+            asked.append(body)
+            self.send({"features": [self.item(2 * k), self.item(2 * k + 1)], "links": [{"rel": "next", "method": "POST", "href": f"{base}/search", "body": {"page": k + 1}}]})
+
+        def do_GET(self):  # noqa: N802
+            parts = urlsplit(self.path)
+            q = {k.upper(): v[0] for k, v in parse_qs(parts.query).items()}
+            if parts.path == "/a.tif":
+                return self.send(tiff, "image/tiff")
+            if parts.path.startswith("/collections/"):
+                return self.send(self.item(7)) if parts.path.endswith("/i7") else self.send({}, code=404)
+            if q.get("REQUEST") == "GetCapabilities":
+                xml = "<W xmlns='http://x'><Capability><Request><GetMap><Format>image/png</Format><Format>image/tiff</Format></GetMap></Request><Layer><Title>all</Title><Layer><Name>l</Name><Title>L</Title></Layer></Layer></Capability></W>" if q["SERVICE"] == "WMS" else "<F xmlns='http://x' xmlns:o='http://o'><o:Operation name='GetFeature'><o:Parameter name='outputFormat'><o:AllowedValues><o:Value>GML</o:Value><o:Value>application/json</o:Value></o:AllowedValues></o:Parameter></o:Operation><FeatureType><Name>l</Name><Title>L</Title></FeatureType></F>"
+                return self.send(xml.encode(), "text/xml")
+            if q.get("REQUEST") == "GetMap":
+                asked.append(q)
+                return self.send(tiff, "image/tiff")
+            if q.get("REQUEST") == "GetFeature":
+                asked.append(q)
+                return self.send({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"n": "a"}, "geometry": {"type": "Point", "coordinates": [1, 2]}}]})
+            if parts.path == "/dem":
+                asked.append(q)
+                return self.send(tiff, "application/octet-stream") if q.get("API_KEY") == "secret" else self.send({}, code=401)
+            return self.send({}, code=404)
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    base = f"http://127.0.0.1:{server.server_port}"
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield base, asked
+    server.shutdown()
+
+
+def test_services(spark, service):
+    from terraloom.plans.executor import materialize
+    from terraloom.sources import services
+
+    base, asked = service
+    access = services.Access()
+    total = lambda d: d.df.agg({"value": "sum"}).collect()[0][0]
+    got = materialize(spark, f"{base}/a.tif")
+    assert got.is_materialized and got.name == f"{base}/a.tif" and total(got) == 66
+    found = services.stac_find(spark, access, base, (0.0, 0.0, 1.0, 1.0), collections=["c"], max_items=5)
+    assert sorted(r["id"] for r in found.collect()) == ["i0", "i1", "i2", "i3", "i4"] and asked[0]["limit"] == 5
+    item = materialize(spark, "c/i7::B04", endpoint=base)
+    assert total(item) == 66 and json.loads(item.metadata)["item"] == "i7" and item.crs == "EPSG:4326"
+    with pytest.raises(services.ServiceError, match="404"):
+        materialize(spark, "c/none", endpoint=base)
+    shown = materialize(spark, f"wms::{base}/ows::l", bbox=(0, 0, 4, 3), width=8192, height=4096)
+    assert total(shown) == 66 and asked[-1]["FORMAT"] == "image/tiff" and (asked[-1]["WIDTH"], asked[-1]["HEIGHT"]) == ("4096", "2048")
+    with pytest.raises(services.ServiceError, match="no layer"):
+        materialize(spark, f"wms::{base}/ows::none", bbox=(0, 0, 4, 3))
+    features = materialize(spark, f"wfs::{base}/ows::l", bbox=(0.0, 0.0, 5.0, 5.0), max_features=7)
+    assert features.df.count() == 1 and asked[-1]["OUTPUTFORMAT"] == "application/json" and asked[-1]["COUNT"] == "7"
+    assert [tuple(r) for r in services.discover_layers(spark, access, f"wfs::{base}/ows").collect()] == [("l", "L")]
+    with pytest.raises(services.ServiceError, match="401"):
+        materialize(spark, "opentopo://COP30?0&0&4&3", base=f"{base}/dem")
+    access.authenticate("opentopography", "secret")
+    tile = materialize(spark, "opentopo://COP30?0&0&4&3", access=access, base=f"{base}/dem")
+    assert total(tile) == 66 and "secret" not in repr(tile.row()) and "secret" not in repr(access)
+
+
+def test_discovery(spark, tmp_path):
+    import duckdb
+
+    from terraloom.sources import services
+
+    (tmp_path / "d").mkdir()
+    for name in ("a.tif", "b.csv", "d/c.gpkg", "n.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["kind"], r["reader"], r["size"]) for r in services.discover_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.tif": ("local_raster", "cog", 1), "b.csv": ("local_table", "csv_xy", 1), "c.gpkg": ("local_vector", "geopackage", 1)}
+    with duckdb.connect(str(tmp_path / "d.duckdb")) as db:
+        db.execute("CREATE TABLE t AS SELECT 1 AS x")
+    assert [tuple(r) for r in services.discover_duckdb(spark, str(tmp_path / "d.duckdb")).collect()] == [("main", "t", 1)]
