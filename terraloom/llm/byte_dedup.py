@@ -10,7 +10,7 @@ steps end within any 400 bytes that begin up to w before the anchor, so nothing
 
 What is left is made exact. Each anchor stands for an interval of starts; where the whole
 stretch of an interval repeats, all its starts do. The starts at the edges of repeats, and one
-copy of each stretch that they could match, are compared by hashes of their 400 bytes.
+copy of each stretch that they could match, are compared by 96 bits of two hashes of their 400 bytes.
 """
 
 from __future__ import annotations
@@ -156,17 +156,19 @@ class Hasher:
         b = np.frombuffer(raw, dtype=np.uint8)
         self.sums = [np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_table(k)[b] * up[:n], dtype=np.uint64)]) for k, (up, _) in enumerate(Hasher.powers)]
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def of(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of 64 bits for each stretch, which are told apart by what either sum has."""
         one, two = ((s[end] - s[start]) * down[start] for s, (_, down) in zip(self.sums, Hasher.powers, strict=True))
-        return mix(mix(one) + two * _B + (end - start).astype(np.uint64) * _C)
+        size = (end - start).astype(np.uint64) * _C
+        return mix(mix(one) + two * _B + size), mix(mix(two ^ size) + one * _A)
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (row_key, text, places): arrays of (first, last, chain, stretch), one item per anchor."""
+    """From (row_key, text, places): arrays of (first, last, chain, stretch, check), one item per anchor."""
     seen: set[int] = set()
     for b in batches:
         keys: list[int] = []
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for key, text, places in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), strict=True):
             if key in seen:  # a repeated row is the same document
                 continue
@@ -178,21 +180,22 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = np.searchsorted(at, places["at"])
             ok = first[i] <= end
             i, chain = i[ok], places["rank"][ok]
-            stretch = Hasher(raw).of(first[i], last[i] + LENGTH)
+            stretch, check = Hasher(raw).of(first[i], last[i] + LENGTH)
             keys.append(key)
-            for x, y in zip(out, (first[i].astype(np.int32), last[i].astype(np.int32), chain, stretch.view(np.int64)), strict=True):
+            for x, y in zip(out, (first[i].astype(np.int32), last[i].astype(np.int32), chain, stretch.view(np.int64), check.view(np.int64)), strict=True):
                 x.append(y)
         if keys:
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out[0]])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["row_key", "first", "last", "chain", "stretch"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *lists], names=["row_key", "first", "last", "chain", "stretch", "check"])
 
 
 def _edge_windows(b: pa.RecordBatch) -> Iterator[tuple]:
     for (key, order, text), edges in zip(_rows(b), b.column(3).to_pylist(), strict=True):
         raw = (text.as_py() or "").encode()
         x = np.unique(np.concatenate([np.arange(e["first"], e["last"] + 1) for e in edges]))
-        yield key, order, Hasher(raw).of(x, x + LENGTH), x.astype(np.int32), None
+        h, check = Hasher(raw).of(x, x + LENGTH)
+        yield key, order, h, x.astype(np.int32), None, (check >> np.uint64(32)).astype(np.uint32)
 
 
 def removed(size: int, whole: list[dict] | None, starts: bytes | None) -> np.ndarray:
@@ -246,15 +249,15 @@ def _marked(scan: DataFrame, steps: Scratch) -> DataFrame:
     """(row_key, whole, edges): stretches that are found twice or more, and those whose starts must be compared."""
     chains = _chains(scan, steps)
     held = scan.join(chains.hint("shuffle_hash"), "row_key").select("row_key", "text", "places")
-    packed = steps.keep(held.mapInArrow(_stretches, "row_key long, first array<int>, last array<int>, chain array<long>, stretch array<long>"))
+    packed = steps.keep(held.mapInArrow(_stretches, "row_key long, first array<int>, last array<int>, chain array<long>, stretch array<long>, check array<long>"))
     steps.drop(chains)
-    found = packed.select("row_key", F.inline(F.arrays_zip("first", "last", "chain", "stretch")))
+    found = packed.select("row_key", F.inline(F.arrays_zip("first", "last", "chain", "stretch", "check")))
     # How often each stretch is found, and whether its chain has stretches that are found once.
-    counts = steps.keep(found.groupBy("chain", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "first")).alias("one")))
+    counts = steps.keep(found.groupBy("chain", "stretch", "check").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "first")).alias("one")))
     single = counts.groupBy(F.col("chain").alias("c")).agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("lone"))
     single = single.select(dealt_anew("c").alias("c"), "kinds", "lone")
-    known = counts.join(single, F.col("chain") == F.col("c")).where("n > 1 OR kinds > 1").select(dealt_anew("chain").alias("c"), dealt_anew("stretch").alias("s"), "n", "lone", "one")
-    marked = found.join(known, (F.col("chain") == F.col("c")) & (F.col("stretch") == F.col("s")))
+    known = counts.join(single, F.col("chain") == F.col("c")).where("n > 1 OR kinds > 1").select(dealt_anew("chain").alias("c"), dealt_anew("stretch").alias("s"), F.col("check").alias("t"), "n", "lone", "one")
+    marked = found.join(known, (F.col("chain") == F.col("c")) & (F.col("stretch") == F.col("s")) & (F.col("check") == F.col("t")))
     span = F.struct("first", "last")
     is_one = (F.col("one.row_key") == F.col("row_key")) & (F.col("one.first") == F.col("first"))
     out = steps.keep(
@@ -274,7 +277,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     steps = Scratch(docs.sparkSession)
     by_row = _marked(scan, steps)
     edges = scan.join(by_row.where(F.size("edges") > 0).select("row_key", "edges").hint("shuffle_hash"), "row_key")
-    starts = exchange(edges.sortWithinPartitions("order", "row_key"), _edge_windows)
+    starts = exchange(edges.sortWithinPartitions("order", "row_key"), _edge_windows, checked=True)
     starts = steps.keep(starts.groupBy(F.col("row_key").alias("k")).agg(F.max("spots").alias("starts")))
     out = by_row.join(starts, F.col("row_key") == F.col("k"), "left").select("row_key", "whole", "starts")
     found = durable(out.where(F.col("starts").isNotNull() | (F.size("whole") > 0)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terraloom.plans.session import cut as durable
 from terraloom.plans.session import shared_dir, tidy_shuffles
 
-__all__ = ["BROADCAST_BYTES", "SPACE", "Scratch", "bounded_broadcast", "bounded_sample", "dealt_anew", "durable", "let", "packed_rows", "partitions", "shared_dir", "table", "unpacked", "words"]
+__all__ = ["BROADCAST_BYTES", "SPACE", "UNIT_SQL", "Scratch", "bounded_broadcast", "bounded_sample", "dealt_anew", "durable", "let", "packed_rows", "partitions", "shared_dir", "table", "unit_hash", "unpacked", "words"]
 
 #: A word is a run of anything but these characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,6 +29,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unit_hash(*parts: Column | str) -> Column:
+    """A number above 0 and below 1 from a hash (the first 52 bits of an MD5, which SQL engines have too) of texts joined by |. A null counts as a zero byte."""
+    texts = [F.coalesce((F.lit(x) if isinstance(x, str) else x).cast("string"), F.lit("\x00")) for x in parts]
+    return (F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+#: SQL of unit_hash() of a text.
+UNIT_SQL = "(('0x' || substr(md5({}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+
+
 def packed_rows(df: DataFrame, **more: Column) -> DataFrame:
     """(row, ...): every row of df as one struct, beside columns made from it. No column of df can clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import bounded_broadcast, durable, packed_rows, unpacked, words
+from terraloom.llm.common import UNIT_SQL, bounded_broadcast, durable, packed_rows, unit_hash, unpacked, words
 
 MAX_REPETITION = 4.0
 ENTROPY_SHARE = 0.9
@@ -123,21 +123,20 @@ def mixture(docs: DataFrame, source: str = "source", text: str = "text", budget_
         "source": F.col(source),
         "id": F.col("doc_id"),
         "tokens": F.size(words(F.col(text))).cast("long"),
-        "key": F.xxhash64(F.lit("block"), F.col("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")))),
     }
     slim = durable(docs.select(*[c.alias(k) for k, c in known.items()]))
     plan = bounded_broadcast(durable(quotas(durable(_sources(slim)), budget_share, entropy_share, max_repetition, few)))
 
     def dealt(rows: DataFrame) -> DataFrame:
         """Which rows share a block depends on the row, not on the epoch; the order of blocks does on both."""
-        return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.col("key"), F.col("blocks")).cast("int"))
+        return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.floor(unit_hash(F.col("id"), "block", F.col("tokens")) * F.col("blocks")).cast("int"))
 
     by_block = dealt(slim).groupBy("of", "block").agg(F.sum("tokens").alias("n"), F.first("quota").alias("quota"), F.first("total").alias("total"), F.first("epochs").alias("epochs"))
     by_block = by_block.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
-    order = Window.partitionBy("of", "epoch").orderBy(F.xxhash64(F.lit("order"), "block", "epoch"), "block")
+    order = Window.partitionBy("of", "epoch").orderBy(unit_hash("order", F.col("block"), F.col("epoch")), "block")
     starts = by_block.withColumn("start", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") + F.col("epoch") * F.col("total"))
     starts = starts.where(F.col("start") < F.col("quota")).groupBy(F.col("of").alias("s"), F.col("block").alias("b")).agg(F.collect_list(F.struct("epoch", "start")).alias("starts"))
-    inside = Window.partitionBy("of", "block").orderBy(F.xxhash64(F.lit("row"), "id", F.col("tokens")), "id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("of", "block").orderBy(unit_hash("row", F.col("id"), F.col("tokens")), "id").rowsBetween(Window.unboundedPreceding, 0)
     rows = slim.select(F.struct(F.col("id").alias("doc_id"), F.col("source").alias(source)).alias("row"), "*") if keys_only else packed_rows(docs, **known)
     rows = dealt(rows).withColumn("before", F.sum("tokens").over(inside) - F.col("tokens"))
     drawn = rows.join(starts, F.col("of").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).withColumn("one", F.explode("starts"))
@@ -154,3 +153,26 @@ def draws(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs, each row at least once, small sources repeated up to a quarter more often."""
     return unpacked(mixture(docs, budget_share=None, entropy_share=None, max_repetition=1.25), docs.columns)
+
+
+def _bisected(name: str, holds: str) -> str:
+    """SQL of the exponent nearest to 0 for which a condition on x, z and zl holds: the sums over sources of share ** x, and of that times log(share)."""
+    return f"""{name}(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL SELECT i + 1, CASE WHEN {holds} THEN lo ELSE mid END, CASE WHEN {holds} THEN mid ELSE hi END
+  FROM (SELECT i, lo, hi, mid, x, any_value(least) AS least, any_value(total) AS total, any_value(n) AS n, sum(pow(tokens / total, x)) AS z, sum(pow(tokens / total, x) * ln(tokens / total)) AS zl
+    FROM (SELECT *, (lo + hi) / 2 AS mid, {'1 - ' if name == 'flat' else ''}(lo + hi) / 2 AS x FROM {name} WHERE i < 70) f, t, s WHERE tokens > 0 GROUP BY i, lo, hi, mid, x))"""
+
+
+#: SQL of draws().
+ORACLE = f"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), chr(0)) AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
+s AS (SELECT source, count(*) AS n_docs, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY source),
+t AS (SELECT sum(tokens) AS total, min(CASE WHEN tokens > 0 THEN tokens END) AS least, count(CASE WHEN tokens > 0 THEN 1 END) AS n FROM s),
+{_bisected("fit", f"pow(least / total, x - 1) <= {MAX_REPETITION} * z * (1 + 1e-12)")},
+{_bisected("flat", f"ln(z) - x * zl / z >= {ENTROPY_SHARE} * ln(n) - 1e-12")},
+x AS (SELECT greatest((SELECT hi FROM fit WHERE i = 70), 1 - (SELECT hi FROM flat WHERE i = 70)) AS x),
+z AS (SELECT x, sum(pow(tokens / total, x)) AS z FROM s, t, x WHERE tokens > 0 GROUP BY x),
+plan AS (SELECT source, tokens AS all_tokens, CASE WHEN tokens > 0 THEN pow(tokens / total, x) / z ELSE 0 END AS weight, CASE WHEN tokens > 0 THEN pow(tokens / total, x) / z * total ELSE 1 END AS quota, CAST(ceil(n_docs / {BLOCK_ROWS}) AS INT) AS blocks FROM s, t, z),
+dealt AS (SELECT doc_id, d.source, key, tokens, weight, quota, all_tokens, CASE WHEN all_tokens > 0 THEN greatest(0, CAST(ceil(quota / all_tokens - 1e-9) AS INT) - 1) ELSE 0 END AS epochs, CAST(floor({UNIT_SQL.format("key || '|block|' || tokens")} * blocks) AS INT) AS block FROM d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source),
+b AS (SELECT source, block, n, quota, all_tokens, unnest(range(epochs + 1)) AS epoch FROM (SELECT source, block, sum(tokens) AS n, any_value(quota) AS quota, any_value(all_tokens) AS all_tokens, any_value(epochs) AS epochs FROM dealt GROUP BY source, block)),
+starts AS (SELECT source, block, epoch, sum(n) OVER (PARTITION BY source, epoch ORDER BY {UNIT_SQL.format("'order|' || block || '|' || epoch")}, block ROWS UNBOUNDED PRECEDING) - n + epoch * all_tokens AS start FROM b),
+inside AS (SELECT *, sum(tokens) OVER (PARTITION BY source, block ORDER BY {UNIT_SQL.format("'row|' || key || '|' || tokens")}, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS before FROM dealt)
+SELECT doc_id, i.source AS source, tokens, round(weight, 9) AS weight, CAST(epoch AS INT) AS epoch, i.block AS block, CAST(start + before AS BIGINT) AS "at" FROM inside i JOIN starts b ON i.source IS NOT DISTINCT FROM b.source AND i.block = b.block WHERE start + before < quota AND start < quota"""

@@ -28,8 +28,8 @@ from terraloom.llm.common import partitions
 CHUNK = 1 << 21
 ENTRIES = 64
 
-#: From a batch of rows to (key, order, hashes, positions, flags) for each: positions rise.
-Extract = Callable[[pa.RecordBatch], Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]]]
+#: From a batch of rows to (key, order, hashes, positions, flags[, checks]) for each: positions rise; checks are 32 bits more of the hashes.
+Extract = Callable[[pa.RecordBatch], Iterator[tuple]]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,7 +80,7 @@ def _gaps(rising: np.ndarray) -> np.ndarray:
     return d.astype(np.uint16 if not len(d) or d.max() < 65536 else np.uint32)
 
 
-def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values: bool):
+def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values: bool, checked: bool):
     keys_of = bucket_keys(buckets)
     most = min(8 * CHUNK, max(CHUNK, ENTRIES * buckets))
 
@@ -92,6 +92,7 @@ def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values
         hashes = np.concatenate([r[2] for r in rows])
         at = np.concatenate([r[3].astype(np.int64) + b for r, b in zip(rows, base, strict=True)])
         flags = None if rows[0][4] is None else np.concatenate([r[4] for r in rows])
+        checks = np.concatenate([r[5] for r in rows]) if checked else None
         order = np.argsort(hashes, kind="stable")
         ordered = hashes[order]
         first = np.ones(len(order), dtype=bool)
@@ -115,13 +116,14 @@ def _packing(extract: Extract, buckets: int, key_bytes: int, later: bool, values
         dest, kind, data = [int(keys_of[chunk % buckets])], [0], [_pack(ids, base, at[settled], *([hashes[settled]] if values else []))]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             m, k, where = many[a:b], keys[a:b], at[sent[a:b]]
+            c = checks[sent[a:b]] if checked else None
             if later:
                 row = np.searchsorted(base, where, side="right") - 1
                 there, row = np.unique(row, return_inverse=True)
-                data.append(_pack(k, _gaps(where), orders[there], ids[there], base[there]))
+                data.append(_pack(k, _gaps(where), orders[there], ids[there], base[there], *([c] if checked else [])))
             else:
                 f = None if raised is None else raised[a:b].astype(np.uint8)
-                data.append(_pack(k[~m], _gaps(where[~m]), k[m], *(() if f is None else (np.packbits(f[~m]), np.packbits(f[m])))))
+                data.append(_pack(k[~m], _gaps(where[~m]), k[m], *(() if f is None else (np.packbits(f[~m]), np.packbits(f[m]))), *([c[~m], c[m]] if checked else [])))
             dest.append(int(keys_of[bucket[a]]))
             kind.append(1)
         return pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array(kind, pa.int32()), pa.array([chunk] * len(dest), pa.int64()), pa.array(data, pa.binary())], names=["dest", "kind", "chunk", "data"])
@@ -160,7 +162,17 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tu
         yield now
 
 
-def _comparing(later: bool, values: bool, flagged: bool):
+def _comparing(later: bool, values: bool, flagged: bool, checked: bool):
+    def changes(keys: np.ndarray, checks: np.ndarray | None, by: np.ndarray) -> np.ndarray:
+        """Where in an order another key begins."""
+        first = np.ones(len(by), dtype=bool)
+        k = keys[by]
+        first[1:] = k[1:] != k[:-1]
+        if checks is not None:
+            c = checks[by]
+            first[1:] |= c[1:] != c[:-1]
+        return first
+
     def replies(blobs: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         parts = [_unpack(d) for _, d in blobs]
         if later:
@@ -169,10 +181,10 @@ def _comparing(later: bool, values: bool, flagged: bool):
             rows = [np.searchsorted(p[4], w, side="right") - 1 for p, w in zip(parts, where, strict=True)]
             keys = np.concatenate([p[0] for p in parts])
             order, ident, pos = (np.concatenate(x) for x in zip(*((p[2][r], p[3][r], w - p[4][r]) for p, w, r in zip(parts, where, rows, strict=True)), strict=True))
-            by = np.lexsort((pos, ident, order, keys))
-            k, o, i, at = keys[by], order[by], ident[by], pos[by]
-            first = np.ones(len(by), dtype=bool)
-            first[1:] = k[1:] != k[:-1]
+            checks = np.concatenate([p[5] for p in parts]) if checked else None
+            by = np.lexsort((pos, ident, order, *([checks] if checked else []), keys))
+            o, i, at = order[by], ident[by], pos[by]
+            first = changes(keys, checks, by)
             head = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
             same = (o == o[head]) & (i == i[head]) & (at == at[head])
             hit = np.zeros(len(by), dtype=bool)
@@ -182,11 +194,9 @@ def _comparing(later: bool, values: bool, flagged: bool):
             m = [len(p[2]) for p in parts]
             where = [np.cumsum(p[1], dtype=np.int64) for p in parts]
             keys = np.concatenate([p[0] for p in parts] + [p[2] for p in parts])
-            by = np.argsort(keys)
-            k = keys[by]
-            first = np.ones(len(by), dtype=bool)
-            first[1:] = k[1:] != k[:-1]
-            starts = np.flatnonzero(first)
+            checks = np.concatenate([p[-2] for p in parts] + [p[-1] for p in parts]) if checked else None
+            by = np.lexsort((checks, keys)) if checked else np.argsort(keys)
+            starts = np.flatnonzero(changes(keys, checks, by))
             count = np.diff(np.append(starts, len(by)))
             weight = np.ones(len(keys), dtype=np.int64)
             weight[sum(n) :] = 2
@@ -247,18 +257,19 @@ def _unpacking(values: bool):
     return run
 
 
-def exchange(rows: DataFrame, extract: Extract, *, later: bool = False, key_bytes: int = 8, values: bool = False, flagged: bool = False) -> DataFrame:
+def exchange(rows: DataFrame, extract: Extract, *, later: bool = False, key_bytes: int = 8, values: bool = False, flagged: bool = False, checked: bool = False) -> DataFrame:
     """(row_key, spots[, names]): the positions (int32, packed) whose hash is found elsewhere too.
 
     rows has row_key and doc_id first, and is sorted by them in each partition. later: all but
     the first place of a hash, by (doc_id, row_key, position), instead of all places. flagged:
     only hashes that have the flag at some place, or repeat within a chunk. values: names are
-    the hashes (uint64, packed). With key_bytes=4 a few positions more may be found. A row_key
+    the hashes (uint64, packed). checked: keys count as equal only if their checks are equal too,
+    which makes 96 bits. With key_bytes=4 a few positions more may be found. A row_key
     that lies in several partitions may have several result rows.
     """
     n = partitions(rows)
-    blobs = rows.mapInArrow(_packing(extract, n, key_bytes, later, values), "dest long, kind int, chunk long, data binary")
+    blobs = rows.mapInArrow(_packing(extract, n, key_bytes, later, values, checked), "dest long, kind int, chunk long, data binary")
     dealt = blobs.repartition(n, "dest").sortWithinPartitions("dest", "kind")
-    back = dealt.mapInArrow(_comparing(later, values, flagged), "chunk long, kind int, data binary")
+    back = dealt.mapInArrow(_comparing(later, values, flagged, checked), "chunk long, kind int, data binary")
     home = back.repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
     return home.mapInArrow(_unpacking(values), f"row_key long, spots binary{', names binary' * values}")

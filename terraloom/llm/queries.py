@@ -43,7 +43,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.draws(table(spark, sf_dir, "documents"))
+    return mixing.draws(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.ORACLE, "op4_fixed_block_dedup": word_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+    return {"op3_sharding": sharding.ORACLE, "op4_fixed_block_dedup": word_dedup.ORACLE, "op7_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.ORACLE}

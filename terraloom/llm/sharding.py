@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import durable, let
+from terraloom.llm.common import UNIT_SQL, durable, let, unit_hash
 
 SHARDS = 40
 RACK_SHARDS = 4
@@ -49,15 +49,9 @@ def _children(parents: list[list[tuple[int, float]]]) -> Column:
     return F.array(*[F.array(*[F.struct(F.lit(i).alias("id"), F.lit(w).alias("w")) for i, w in x]) for x in parents])
 
 
-def _unit(*parts: Column) -> Column:
-    """A number above 0 and below 1 from a hash (the first 52 bits of an MD5, which SQL engines have too) of texts."""
-    digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
-
-
 def _draw(key: Column, level: int, child: Column) -> Column:
     """An exponential variate of rate child.w, from a hash of key, level and child.id."""
-    return -F.log(_unit(key, F.lit(str(level)), child["id"].cast("string"))) / child["w"]
+    return -F.log(unit_hash(key, str(level), child["id"])) / child["w"]
 
 
 def place(key: Column, tree: Tree) -> Column:
@@ -95,7 +89,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     )
     rows = durable(rows)
     blocks = max(1, -(-rows.count() // (len(tree.weights) * BLOCK_ROWS)))
-    rows = rows.withColumn("block", F.floor(_unit(F.coalesce(F.col("id").cast("string"), F.lit("\x00")), F.lit("block"), F.col("text_crc32").cast("string")) * blocks).cast("int"))
+    rows = rows.withColumn("block", F.floor(unit_hash(F.col("id"), "block", F.col("text_crc32")) * blocks).cast("int"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "text_crc32", "size")) - 1)
     starts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     starts = starts.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("start"))
@@ -113,7 +107,8 @@ def oracle(shards: int = SHARDS) -> str:
     def descend(name: str, tree: Tree) -> str:
         steps, above = [], "(SELECT n, key, 0 AS spot FROM d)"
         for level, table in enumerate(children(tree)):
-            draw = f"-ln((('0x' || substr(md5(key || '|{level}|' || id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0) / w"
+            hashed = UNIT_SQL.format(f"key || '|{level}|' || id")
+            draw = f"-ln({hashed}) / w"
             steps.append(f"{name}{level} AS (SELECT n, key, arg_min(id, {draw}) AS spot FROM {above} JOIN {table} ON parent = spot GROUP BY n, key)")
             above = f"{name}{level}"
         return ", ".join(steps)
@@ -125,7 +120,7 @@ sums AS (SELECT n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transfo
 {descend("old", Tree.even(shards))}, {descend("new", Tree.even(shards + 1))},
 total AS (SELECT greatest(1, CAST(ceil(count(*) / ({shards} * {BLOCK_ROWS})) AS BIGINT)) AS blocks FROM d),
 placed AS (SELECT doc_id, d.key, strlen(t) + 16 AS size, text_crc32, old2.spot AS shard, new2.spot AS grown_shard FROM d JOIN sums USING (n) JOIN old2 USING (n) JOIN new2 USING (n)),
-dealt AS (SELECT *, floor((('0x' || substr(md5(key || '|block|' || text_crc32), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 * blocks) AS block FROM placed, total)
+dealt AS (SELECT *, floor({UNIT_SQL.format("key || '|block|' || text_crc32")} * blocks) AS block FROM placed, total)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INT) AS shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INT) AS grown_shard FROM dealt"""
 
 

@@ -11,7 +11,7 @@ lists that are long all the same are dealt out once more, by two further bytes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -334,7 +334,7 @@ def _across(posts: DataFrame, roots: DataFrame, least: float, steps: Scratch) ->
     return one.join(two, (F.col("t") == F.col("u")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may).select("a", "b").distinct()
 
 
-def similar_pairs(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+def similar_pairs(docs: DataFrame, least: float = SIMILAR, read: Callable[[], None] | None = None) -> DataFrame:
     """Edges (a, b) of doc_ids whose texts share at least `least` of their five-word shingles.
 
     They are enough for every component: no two texts that are so alike are in two of them.
@@ -343,7 +343,7 @@ def similar_pairs(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     Each posting list is tied to six of its documents; then all pairs that this leaves in two
     components are compared, by lists that span several. Pairs are verified by the exact
     similarity, where shingles are equal if their 64-bit hashes are. doc_ids must be unique and
-    not null.
+    not null. read is called when docs isn't read any more.
     """
     steps = Scratch(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("order"), F.col("text").cast("string").alias("text"))
@@ -351,6 +351,8 @@ def similar_pairs(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     held = slim.select("row_key", "text").join(hits.hint("shuffle_hash"), F.col("row_key") == F.col("k")).select("row_key", "text", "hits")
     sets = steps.keep(held.mapInArrow(_sets(least), "doc long, n int, names binary"))
     steps.drop(hits)
+    if read is not None:
+        read()
     posts = steps.keep(_rare(sets, least))
     near = durable(_verified(steps.keep(_to_heads(posts)), sets, least))
     rest = durable(_verified(steps.keep(_across(posts, components(near), least, steps)), sets, least))
@@ -374,7 +376,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, max_bits: int = MAX_BITS,
     if least is not None:
         first = docs.select("doc_id", "text", known.alias("known")).where("doc_id IS NOT NULL").join(keep.hint("shuffle_hash"), F.col("known") == F.col("keep"), "left_semi")
         first = steps.keep(first.dropDuplicates(["known"]).select("doc_id", "text"))
-        later = components(similar_pairs(first, least)).select(F.col("node").cast("string").alias("node"))
+        later = components(similar_pairs(first, least, lambda: steps.drop(first))).select(F.col("node").cast("string").alias("node"))
         keep = durable(keep.join(later, F.col("keep") == F.col("node"), "left_anti"))
     steps.close()
     rows = packed_rows(docs, known=known, text=F.xxhash64(F.coalesce("text", F.lit(""))))

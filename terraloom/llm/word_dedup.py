@@ -2,7 +2,7 @@
 
 Documents are cut into reference blocks of 10 words that don't overlap; every rolling window of
 10 words probes them. A window of 20 words holds a whole block, so both places of any repeat
-have a hit. Around hits, windows of 20 words are compared by 64-bit hashes, and consecutive
+have a hit. Around hits, windows of 20 words are compared by 96 bits of two hashes, and consecutive
 repeated ones are the maximal exact repeats; of equal windows the first place stays. Pairs of
 places are never made: a passage that a third of all documents share costs an entry a chunk.
 """
@@ -76,13 +76,14 @@ def _windows():
     def extract(b: pa.RecordBatch) -> Iterator[tuple]:
         known = extract.known
         for key, order, text, spots in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-            h = rolling(word_hashes((text.as_py() or "").encode().split(), known), WINDOW)
+            w = word_hashes((text.as_py() or "").encode().split(), known)
+            h = rolling(w, WINDOW)
             hits = np.frombuffer(spots, dtype=np.int32)
             edge = np.zeros(len(h) + 1, dtype=np.int64)
             np.add.at(edge, np.clip(hits - (WINDOW - BLOCK), 0, len(h)), 1)
             np.add.at(edge, np.clip(hits + 1, 0, len(h)), -1)
             at = np.flatnonzero(np.cumsum(edge[:-1]) > 0).astype(np.int32)
-            yield key, order, h[at], at, None
+            yield key, order, h[at], at, None, (rolling(mix(w), WINDOW)[at] >> np.uint64(32)).astype(np.uint32)
 
     extract.known = WordHashes()
     return extract
@@ -114,7 +115,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     anchors = exchange(scan.sortWithinPartitions("order", "row_key"), _blocks(), key_bytes=4, flagged=True)
     hits = steps.keep(anchors.groupBy("row_key").agg(F.max("spots").alias("spots")))
     near = keyed.join(hits.hint("shuffle_hash"), "row_key").select("row_key", "order", "text", "spots")
-    starts = exchange(near.sortWithinPartitions("order", "row_key"), _windows(), later=True)
+    starts = exchange(near.sortWithinPartitions("order", "row_key"), _windows(), later=True, checked=True)
     found = durable(starts.select("row_key", F.col("spots").alias("starts")))
     steps.close()
     return keyed, found

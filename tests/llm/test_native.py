@@ -189,6 +189,22 @@ def test_many_sources_are_mixed_by_spark_alike(make):
     assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k]) for k in one)
 
 
+def test_mixture_in_sql_too(make):
+    """Skewed sources, so that the exponent falls below 1 and small sources are drawn several times."""
+    import duckdb
+
+    rows = [(i, prose(i, 30 + i % 9), "big") for i in range(400)] + [(1000 + i, prose(i, 20), f"small{i % 4}") for i in range(40)] + [(2000, None, "none"), (2001, "a b c", None), (None, prose(5, 9), "small1")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    found = db.execute(mixing.ORACLE)
+    names = [d[0] for d in found.description]
+    key = lambda r: tuple((v is None, str(v)) for v in r)
+    want = sorted((tuple(r) for r in found.fetchall()), key=key)
+    got = mixing.draws(make(rows)).withColumn("weight", quality_rules.F.round("weight", 9)).select(*names).collect()
+    assert sorted((tuple(r) for r in got), key=key) == want and max(r["epoch"] for r in got) > 0
+
+
 def test_mixture_of_nothing(make, odd):
     assert mixing.draws(make([])).count() == 0
     assert {r["doc_id"] for r in mixing.mixed_documents(make(odd)).collect()} == {r[0] for r in odd}
@@ -339,3 +355,19 @@ def test_mixture_against_brute_force(make, monkeypatch):
                 blocks.append(r["block"])
             assert len([b for b, c in zip(blocks, [None, *blocks], strict=False) if b != c]) == len(set(blocks))
         assert before >= quota or before % tokens == 0
+
+
+def test_steps_leave_nothing_behind(spark, tmp_path):
+    import os
+
+    from terraloom.llm.common import Scratch
+
+    steps = Scratch(spark)
+    folder = steps.at.removeprefix("file:")
+    one = steps.keep(spark.range(10))
+    two = steps.keep(one.where("id > 3"))
+    assert (one.count(), two.count()) == (10, 6) and sorted(x for x in os.listdir(folder) if x[0] != ".") == ["1", "2"]
+    steps.drop(one)
+    assert [x for x in os.listdir(folder) if x[0] != "."] == ["2"] and two.count() == 6
+    steps.close()
+    assert not os.path.exists(folder)
