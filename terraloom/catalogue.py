@@ -372,6 +372,29 @@ def build_cog_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic.untile(pyramid.where("level = 2"), 16).select("row", "col", "value")
 
 
+def _smoothed(kernel: str, reach: int) -> str:
+    """SQL of overviews at a third of the raster, by a kernel of x."""
+    at = lambda one, many: kernel.replace("x", f"abs(({one} + 0.5) / 3 - ({many} + 0.5))")
+    return f"""WITH {DEM}, spread AS (SELECT r, c, v, CAST(r // 3 + i AS INT) AS row, CAST(c // 3 + j AS INT) AS col FROM cells, range(-{reach}, {reach + 1}) AS di(i), range(-{reach}, {reach + 1}) AS dj(j)),
+weighed AS (SELECT *, {at('r', 'row')} * {at('c', 'col')} AS w FROM spread)
+SELECT row, col, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END), 4) AS value FROM weighed WHERE w <> 0 GROUP BY row, col HAVING bool_or(row = r // 3 AND col = c // 3)"""
+
+
+@query("build_cog_bilinear", _smoothed("greatest(0, 1 - x)", 1))
+def build_cog_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _ = dem(spark, sf_dir)
+    return _value(mosaic.overview(cells, 3, "bilinear"), 4)
+
+
+_CUBIC = "(CASE WHEN x <= 1 THEN 1.5e0 * x ** 3 - 2.5e0 * x ** 2 + 1 WHEN x < 2 THEN -0.5e0 * x ** 3 + 2.5e0 * x ** 2 - 4 * x + 2 ELSE 0 END)"
+
+
+@query("build_cog_cubic", _smoothed(_CUBIC, 2))
+def build_cog_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _ = dem(spark, sf_dir)
+    return _value(mosaic.overview(cells, 3, "cubic"), 4)
+
+
 @query(
     "build_cog_mode",
     f"""WITH {DEM}, m AS (SELECT CAST(floor(r / 4) AS INT) AS row, CAST(floor(c / 4) AS INT) AS col, floor(v / 100000) AS v, count(*) AS n FROM cells WHERE v IS NOT NULL GROUP BY 1, 2, 3)
@@ -432,13 +455,10 @@ def reproject_raster_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warp.reproject_raster(cells, at, "EPSG:3857", "nearest")[0].select("row", "col", "value")
 
 
-_KEYS = "(CASE WHEN x <= 1 THEN 1.5 * x ** 3 - 2.5 * x ** 2 + 1 WHEN x < 2 THEN -0.5 * x ** 3 + 2.5 * x ** 2 - 4 * x + 2 ELSE 0 END)"
-
-
 @query(
     "reproject_raster_cubic",
     f"""WITH {_WARPED}, near AS (SELECT row, col, sr, sc, CAST(floor(sr - 0.5) AS INT) + i AS r, CAST(floor(sc - 0.5) AS INT) + j AS c FROM places, (VALUES (-1), (0), (1), (2)) AS di(i), (VALUES (-1), (0), (1), (2)) AS dj(j)),
-weighed AS (SELECT row, col, v, {_KEYS.replace('x', 'abs(r + 0.5 - sr)')} * {_KEYS.replace('x', 'abs(c + 0.5 - sc)')} AS w, r = floor(sr) AND c = floor(sc) AS own FROM near JOIN cells USING (r, c)),
+weighed AS (SELECT row, col, v, {_CUBIC.replace('x', 'abs(r + 0.5 - sr)')} * {_CUBIC.replace('x', 'abs(c + 0.5 - sc)')} AS w, r = floor(sr) AND c = floor(sc) AS own FROM near JOIN cells USING (r, c)),
 found AS (SELECT row, col, sum(v * w) / sum(w) AS value FROM weighed GROUP BY row, col HAVING bool_or(own) AND abs(sum(w)) > 1e-12)
 SELECT row, col, round(value, 4) AS value FROM grid LEFT JOIN found USING (row, col)""",
 )

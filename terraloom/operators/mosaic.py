@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.raster import Grid, valid, with_neighbours
+from terraloom.operators.warp import REACH, kernel
 from terraloom.plans.session import cut
 
 FILL_LIMIT = 1e20
@@ -124,24 +125,28 @@ def overview_factors(height: int, width: int, blocksize: int) -> list[int]:
 def overview(cells: DataFrame, factor: int, resampling: str = "nearest") -> DataFrame:
     """Cells at a coarser level: the first (north-west) cell, the mean, or the most common value (least of ties).
 
-    bilinear and cubic are means weighted by a triangle or a bell over the block.
+    bilinear and cubic are means weighted by the kernel, stretched by the factor: cells up to one
+    or two coarser cells away from a coarser cell's centre count, those that have a value.
     """
     if resampling not in RESAMPLING:
         raise ValueError(f"resampling must be one of {RESAMPLING}")
-    v, keys = F.col("value"), ["raster_id", "band", F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")]
-    if resampling == "nearest":
-        out = F.min_by("value", F.struct("_r", "_c"))
-    elif resampling == "average":
-        out = F.avg(v)
-    elif resampling == "mode":
-        counted = cells.where(v.isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-        return counted.groupBy("raster_id", "band", "row", "col").agg(F.min_by("value", F.struct(-F.col("_n"), "value")).alias("value"))
-    else:
-        at = lambda c: 1 - F.abs((F.col(c) % factor + 0.5) / factor * 2 - 1)
-        weight = at("_r") * at("_c")
-        weight = weight if resampling == "bilinear" else weight * weight * (3 - 2 * F.sqrt(weight))
-        out = F.sum(F.when(v.isNotNull(), v * weight)) / F.sum(F.when(v.isNotNull(), weight))
-    return cells.withColumn("_r", F.col("row")).withColumn("_c", F.col("col")).groupBy(*keys).agg(out.alias("value"))
+    v, down = F.col("value"), lambda c: F.floor(F.col(c) / factor).cast("int")
+    keys = ["raster_id", "band", down("row").alias("row"), down("col").alias("col")]
+    if resampling == "mode":
+        counted = cells.where(v.isNotNull()).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy("raster_id", "band", "row", "col").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("value"))
+    if resampling in ("nearest", "average"):
+        out = F.min_by("value", F.struct("at_row", "at_col")) if resampling == "nearest" else F.avg(v)
+        return cells.withColumn("at_row", F.col("row")).withColumn("at_col", F.col("col")).groupBy(*keys).agg(out.alias("value"))
+    reach = REACH[resampling]
+    spread = cells.select("raster_id", "band", "value", F.col("row").alias("r"), F.col("col").alias("c"))
+    for name, at in (("row", "r"), ("col", "c")):
+        spread = spread.withColumn(name, F.explode(F.sequence(down(at) - reach, down(at) + reach)))
+    weight = kernel(resampling, (F.col("r") + 0.5) / factor - (F.col("row") + 0.5)) * kernel(resampling, (F.col("c") + 0.5) / factor - (F.col("col") + 0.5))
+    # Coarser cells are those that hold a cell; a place beyond the edge gets weight but is none of them.
+    own = F.max((F.col("row") == down("r")) & (F.col("col") == down("c")))
+    sums = spread.withColumn("w", weight).where("w != 0").groupBy("raster_id", "band", "row", "col").agg(F.sum(v * F.col("w")).alias("total"), F.sum(F.when(v.isNotNull(), F.col("w"))).alias("weights"), own.alias("own"))
+    return sums.where("own").select("raster_id", "band", "row", "col", F.when(F.abs("weights") > 1e-12, F.col("total") / F.col("weights")).alias("value"))
 
 
 def tiles(cells: DataFrame, blocksize: int = 256) -> DataFrame:

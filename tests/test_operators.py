@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import crs as C
 from terraloom.functions import geometry as G
+from terraloom.functions import projections as P
 from terraloom.functions.raster import Grid
 from terraloom.operators import hydrology, mosaic, spatial, terrain, warp
 
@@ -303,7 +304,7 @@ def test_utm_along_the_central_meridian(spark):
 
 def test_other_crs_is_an_error():
     with pytest.raises(ValueError):
-        C.transform(F.lit(1.0), F.lit(1.0), "EPSG:4326", "EPSG:2154")
+        C.transform(F.lit(1.0), F.lit(1.0), "EPSG:4326", "EPSG:2056")
     assert C.epsg("urn:ogc:def:crs:EPSG::32610") == 32610 and C.supported("EPSG:3857") and not C.supported("EPSG:32661")
 
 
@@ -471,3 +472,35 @@ def test_flows_through_many_tiles(spark):
     ring = np.array([[0.0, 0, 0, 2], [6, 8, 8, 2], [6, 8, 8, 2], [6, 4, 4, 4]])
     with pytest.raises(ValueError, match="circle"):
         hydrology.flow_accumulation(cells(spark, ring), grid(ring), tile=2).collect()
+
+
+CLARKE = P.Ellipsoid(6378206.4, 1 / 294.97870)
+FOOT = 1200 / 3937
+# Worked examples of the projections' published definitions: (projection, longitude, latitude, x, y, tolerance).
+EXAMPLES = [
+    (P.lambert_conic(28 + 23 / 60, 30 + 17 / 60, 27 + 50 / 60, -99, 2000000 * FOOT, 0, CLARKE), -96, 28.5, 2963503.91 * FOOT, 254759.80 * FOOT, 0.02),
+    (P.KNOWN[3035], 5, 50, 3962799.45, 2999718.85, 0.02),
+    (P.polar_stereographic(-71, 70, 6000000, 6000000), 120, -75, 7255380.79, 7053389.56, 0.02),
+    (P.albers(42.122774, 49.01518, 45.568977, -84.455955, 1000000, 1000000), -78.75, 42.75, 1466493.492, 702903.006, 0.02),
+]
+
+
+@pytest.mark.parametrize("k", range(len(EXAMPLES)))
+def test_projections_against_worked_examples(spark, k):
+    projection, lon, lat, x, y, tolerance = EXAMPLES[k]
+    got = spark.range(1).select(*projection.forward(F.lit(float(lon)), F.lit(float(lat)))).collect()[0]
+    assert got[0] == pytest.approx(x, abs=tolerance) and got[1] == pytest.approx(y, abs=tolerance)
+    back = spark.range(1).select(*projection.back(F.lit(float(x)), F.lit(float(y)))).collect()[0]
+    assert back[0] == pytest.approx(lon, abs=1e-6) and back[1] == pytest.approx(lat, abs=1e-6)
+
+
+@pytest.mark.parametrize("code", [*sorted(P.KNOWN), 25832, 26910])
+def test_projections_there_and_back(spark, code):
+    places = {2154: (3, 46), 3034: (10, 52), 3347: (-92, 60), 3035: (10, 52), 5070: (-96, 40), 3577: (134, -25), 3031: (0, -80), 3413: (-45, 75), 3976: (10, -75), 3995: (20, 78), 25832: (9, 50), 26910: (-123, 45)}
+    lon0, lat0 = places[code]
+    rows = [(lon0 + i * 3.7, lat0 + j * 2.9) for i in (-1, 0, 0.4, 1) for j in (-1, 0, 0.3, 1)]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in rows], "lon double, lat double")
+    x, y = C.transform(F.col("lon"), F.col("lat"), "EPSG:4326", f"EPSG:{code}")
+    a, b = C.transform(F.col("x"), F.col("y"), f"EPSG:{code}", "EPSG:4326")
+    for r in df.select("lon", "lat", x.alias("x"), y.alias("y")).select("lon", "lat", a.alias("a"), b.alias("b")).collect():
+        assert r["a"] == pytest.approx(r["lon"], abs=1e-7) and r["b"] == pytest.approx(r["lat"], abs=1e-7)
