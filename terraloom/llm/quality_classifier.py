@@ -100,7 +100,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     Labels come only from rows that are not held out; without any, every score is 0.5. The
-    score of a text depends on the text and the trees alone.
+    score of a text depends on the text and the trees alone: repeated rows have the same, each its
+    own row; null texts are scored as empty ones, and texts of any length as a whole, one at a time.
+    A null doc_id is held out as the empty text is. Other columns don't matter; empty tables give none.
     """
     stats = durable(statistics(docs))
     return stats.mapInArrow(_scored(train(stats, labels)), "doc_id long, held_out boolean, score double, predicted int")

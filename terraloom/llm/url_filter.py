@@ -148,7 +148,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[t
     The longest rule that fits decides, else the trees: block at a score of 0.5 or more. A url
     that is null or has no :// has an empty host and path, no rule, and is allowed. labelled:
     (url, label), label 1 for the unwanted; without, those of pages are labelled by the words in
-    their hosts. An empty table of labels blocks nothing. Repeated rows are judged each by itself.
+    their hosts. An empty table of labels blocks nothing. Repeated rows are judged each by itself,
+    urls of any length as a whole; other columns don't matter; an empty table gives an empty result.
     """
     slim = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"))
     labelled = durable(labelled_by_words(slim) if labelled is None else labelled.select("url", "label"))

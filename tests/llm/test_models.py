@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -20,6 +21,76 @@ def test_trees_learn_and_are_stable():
     assert gbt.auc(np.array([0, 1, 1]), np.array([0.5, 0.5, 0.9])) == 0.75
 
 
+def brute_features(text):
+    """The statistics of a text by the plainest means, by name."""
+    raw = (text or "").encode()
+    w, k = raw.split(), max(1, len(raw.split()))
+    size, lines = max(1, len(raw)), [x for x in raw.split(b"\n") if x.strip()]
+    pairs = list(zip(w, w[1:], strict=False))
+    lens = [len(x) for x in w] or [0]
+    mean = sum(lens) / len(lens)
+    share = lambda test, of, n: sum(bool(test(x)) for x in of) / n
+    out = {
+        "log_words": math.log(1 + len(w)), "log_chars": math.log(1 + len(raw)), "mean_word": mean, "std_word": math.sqrt(sum((x - mean) ** 2 for x in lens) / len(lens)), "longest_word": max(lens),
+        "unique_share": len(set(w)) / k, "next_repeat_share": sum(a == b for a, b in pairs) / k, "top_word_share": max([w.count(x) for x in set(w)] or [0]) / k, "bigram_repeat_share": 1 - len(set(pairs)) / max(1, len(w) - 1) if len(w) > 1 else 0,
+        "lines_per_word": len(lines) / k, "dup_line_share": 1 - len(set(lines)) / max(1, len(lines)), "upper_share": share(lambda c: 65 <= c <= 90, raw, size), "digit_share": share(lambda c: 48 <= c <= 57, raw, size),
+        "space_share": share(lambda c: c == 32 or 9 <= c <= 13, raw, size), "high_byte_share": share(lambda c: c >= 128, raw, size), "all_upper_words": share(lambda x: x.isupper(), w, k), "title_words": share(lambda x: x.istitle(), w, k),
+        "no_letter_words": share(lambda x: not x.isalpha(), w, k), "ends_with_mark": share(lambda x: x[-1:] in (b".", b"!", b"?"), lines, max(1, len(lines))), "stop_lines": len(lines) / (raw.count(b"\n") + 1),
+    }
+    return out | {f"mark_{chr(c)}": raw.count(bytes([c])) / k for c in quality_classifier.MARKS}
+
+
+@pytest.mark.parametrize("text", [None, "", " \n\t", "One", "A b a b a b.\nA b a b a b.\n\nEND 12 % |", "é ü ß É\n" * 5, prose(1, 300), "x" * 50_000, "Same same same! # # # $1,000 (a) [b] {c}?"])
+def test_statistics_against_brute_force(text):
+    want = brute_features(text)
+    assert list(want) == list(quality_classifier.FEATURES)
+    assert quality_classifier.features(text).tolist() == pytest.approx(list(want.values()), rel=1e-5, abs=1e-6)
+
+
+def brute_stump(x, y, rate, ridge, least):
+    """The best single split of logistic loss over every value of every column, and what either side then adds."""
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + ridge)
+    best = None
+    for j in range(x.shape[1]):
+        for cut in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= cut
+            if h[left].sum() >= least and h[~left].sum() >= least:
+                found = gain(left) + gain(~left)
+                if best is None or found > best[0] + 1e-12:
+                    best = found, j, left
+    _, j, left = best
+    value = lambda m: -rate * g[m].sum() / (h[m].sum() + ridge)
+    return j, np.log(p / (1 - p)) + np.where(left, value(left), value(~left))
+
+
+def test_a_tree_against_brute_force():
+    r = np.random.default_rng(7)
+    x = r.integers(0, 12, size=(400, 4)).astype(float)  # few values: every one is a bin
+    y = (x[:, 2] + r.normal(size=400) > 6).astype(float)
+    model = gbt.fit(x, y, trees=1, depth=1, rate=0.3, bins=400)
+    j, margin = brute_stump(x, y, 0.3, 1.0, 1.0)
+    assert model.feature[0, 0] == j == 2 and model.margin(x) == pytest.approx(margin)
+
+
+def test_rows_go_down_flattened_trees_as_down_nested_ones():
+    r = np.random.default_rng(9)
+    x, y = r.normal(size=(300, 5)), r.integers(0, 2, 300).astype(float)
+    model = gbt.fit(x, y, trees=7, depth=3)
+
+    def walk(row):
+        out = model.base
+        for f, t, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            at = 0
+            while at < len(f):
+                at = 2 * at + 1 + (f[at] >= 0 and row[f[at]] > t[at])
+            out += leaf[at - len(f)]
+        return out
+
+    assert model.margin(x) == pytest.approx([walk(row) for row in x])
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
