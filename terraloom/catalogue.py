@@ -6,6 +6,7 @@ expressions stand in the SQL, which is plain and runs without a spatial extensio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -373,17 +374,17 @@ def build_cog_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _smoothed(kernel: str, reach: int) -> str:
-    """SQL of overviews at a third of the raster, by a kernel of x; a seventh of the value, so that none lies between two roundings."""
+    """SQL of overviews at a third of the raster, by a kernel of x; over pi, so that none lies between two roundings."""
     at = lambda one, many: kernel.replace("x", f"abs(({one} + 0.5) / 3 - ({many} + 0.5))")
     return f"""WITH {DEM}, spread AS (SELECT r, c, v, CAST(r // 3 + i AS INT) AS row, CAST(c // 3 + j AS INT) AS col FROM cells, range(-{reach}, {reach + 1}) AS di(i), range(-{reach}, {reach + 1}) AS dj(j)),
 weighed AS (SELECT *, {at('r', 'row')} * {at('c', 'col')} AS w FROM spread)
-SELECT row, col, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END) / 7, 4) AS value FROM weighed WHERE w <> 0 GROUP BY row, col HAVING bool_or(row = r // 3 AND col = c // 3)"""
+SELECT row, col, round(sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w END) / pi(), 4) AS value FROM weighed WHERE w <> 0 GROUP BY row, col HAVING bool_or(row = r // 3 AND col = c // 3)"""
 
 
 @query("build_cog_bilinear", _smoothed("greatest(0, 1 - x)", 1))
 def build_cog_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, _ = dem(spark, sf_dir)
-    return _value(mosaic.overview(cells, 3, "bilinear").withColumn("value", F.col("value") / 7), 4)
+    return _value(mosaic.overview(cells, 3, "bilinear").withColumn("value", F.col("value") / math.pi), 4)
 
 
 _CUBIC = "(CASE WHEN x <= 1 THEN 1.5e0 * x ** 3 - 2.5e0 * x ** 2 + 1 WHEN x < 2 THEN -0.5e0 * x ** 3 + 2.5e0 * x ** 2 - 4 * x + 2 ELSE 0 END)"
@@ -392,7 +393,7 @@ _CUBIC = "(CASE WHEN x <= 1 THEN 1.5e0 * x ** 3 - 2.5e0 * x ** 2 + 1 WHEN x < 2
 @query("build_cog_cubic", _smoothed(_CUBIC, 2))
 def build_cog_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, _ = dem(spark, sf_dir)
-    return _value(mosaic.overview(cells, 3, "cubic").withColumn("value", F.col("value") / 7), 4)
+    return _value(mosaic.overview(cells, 3, "cubic").withColumn("value", F.col("value") / math.pi), 4)
 
 
 @query(
