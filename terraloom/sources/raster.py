@@ -8,13 +8,15 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions.raster import Grid
+from terraloom.plans.session import cut
 from terraloom.sources import hdf5
 from terraloom.sources.vector import opened, quoted, split
 
@@ -26,37 +28,89 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SUBFILE, SAMPLE_FORMAT = 322,
 PIXEL_SCALE, TIEPOINT, TRANSFORM, GEO_KEYS, NODATA = 33550, 33922, 34264, 34735, 42113
 
 
-def _values(data: bytes, order: str, kind: int, count: int, at: int) -> tuple | str:
+#: Files over this are read tile by tile, by ranges, where the store can be opened; smaller ones as a whole.
+WHOLE_BYTES = 64 << 20
+#: So many neighbouring blocks go to a task, more where there would be too many tasks.
+BLOCKS_TOGETHER, MOST_TASKS = 16, 20_000
+
+
+class Ranges:
+    """A file of which only the parts that are asked for are read; data[a:b] as of bytes."""
+
+    BLOCK = 1 << 16
+
+    def __init__(self, file: object, size: int) -> None:
+        self.file, self.size, self.held = file, size, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop, _ = part.indices(self.size)
+        if stop - start > self.BLOCK:
+            return self.file.read_at(stop - start, start)
+        out = b""
+        for k in range(start // self.BLOCK, -(-stop // self.BLOCK)):
+            if k not in self.held:
+                if len(self.held) > 64:
+                    self.held.clear()
+                self.held[k] = self.file.read_at(min(self.BLOCK, self.size - k * self.BLOCK), k * self.BLOCK)
+            out += self.held[k]
+        first = start - start // self.BLOCK * self.BLOCK
+        return out[first : first + stop - start]
+
+
+def ranged(path: str) -> Ranges | None:
+    """A file for reading by ranges, on a mounted folder or a store that Arrow knows; None where it can't be opened."""
+    from pyarrow import ArrowException, fs
+
+    try:
+        scheme, sep, rest = path.partition(":")
+        if not sep or scheme == "file":
+            store, at = fs.LocalFileSystem(), re.sub(r"^/+", "/", rest) if sep else path
+        else:
+            store, at = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+        file = store.open_input_file(at)
+        return Ranges(file, file.size())
+    except (ArrowException, OSError, ValueError, ImportError):
+        return None
+
+
+def _unpacked(form: str, data: bytes | Ranges, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def _values(data: bytes | Ranges, order: str, kind: int, count: int, at: int) -> tuple | str:
     letter, size = TIFF_TYPES[kind]
     if letter == "s":
         return data[at : at + count].split(b"\0")[0].decode("latin-1")
-    return struct.unpack_from(f"{order}{count * len(letter)}{letter[0]}", data, at)
+    return _unpacked(f"{order}{count * len(letter)}{letter[0]}", data, at)
 
 
-def tiff_directories(data: bytes) -> tuple[str, list[dict]]:
+def tiff_directories(data: bytes | Ranges) -> tuple[str, list[dict]]:
     """(byte order, tags of each image); classic and big files."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None:
         raise ValueError("not a TIFF file")
-    (magic,) = struct.unpack_from(f"{order}H", data, 2)
+    (magic,) = _unpacked(f"{order}H", data, 2)
     big = magic == 43
-    (at,) = struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, 8 if big else 4)
+    (at,) = _unpacked(f"{order}{'Q' if big else 'I'}", data, 8 if big else 4)
     found = []
     while at:
-        (n,) = struct.unpack_from(f"{order}{'Q' if big else 'H'}", data, at)
+        (n,) = _unpacked(f"{order}{'Q' if big else 'H'}", data, at)
         at += 8 if big else 2
         tags = {}
         for _ in range(n):
-            tag, kind = struct.unpack_from(f"{order}2H", data, at)
-            (count,) = struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, at + 4)
+            tag, kind = _unpacked(f"{order}2H", data, at)
+            (count,) = _unpacked(f"{order}{'Q' if big else 'I'}", data, at + 4)
             inline, width = at + (12 if big else 8), 8 if big else 4
             if kind in TIFF_TYPES:
                 size = count * TIFF_TYPES[kind][1]
-                where = inline if size <= width else struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, inline)[0]
+                where = inline if size <= width else _unpacked(f"{order}{'Q' if big else 'I'}", data, inline)[0]
                 tags[tag] = _values(data, order, kind, count, where)
             at += 20 if big else 12
         found.append(tags)
-        (at,) = struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, at)
+        (at,) = _unpacked(f"{order}{'Q' if big else 'I'}", data, at)
     return order, found
 
 
@@ -116,38 +170,64 @@ def _packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def tiff_bands(data: bytes, level: int = 0) -> tuple[Grid, np.ndarray]:
+@dataclass(frozen=True)
+class Blocks:
+    """How an image is cut into strips or tiles, and how each is packed."""
+
+    grid: Grid
+    dtype: np.dtype
+    tiled: bool
+    height: int
+    width: int
+    compression: int
+    predictor: int
+    planar: int
+    offsets: tuple[int, ...]
+    sizes: tuple[int, ...]
+
+    @classmethod
+    def of(cls, order: str, t: dict) -> Blocks:
+        grid, tiled = tiff_grid(t), TILE_OFFSETS in t
+        bits, form = t.get(BITS, (1,))[0], t.get(SAMPLE_FORMAT, (1,))[0]
+        compression, predictor = t.get(COMPRESSION, (1,))[0], t.get(PREDICTOR, (1,))[0]
+        if compression not in UNPACK:
+            raise ValueError(f"compression {compression} isn't read")
+        if predictor not in (1, 2):
+            raise ValueError(f"predictor {predictor} isn't read")
+        offsets, sizes = (t[TILE_OFFSETS], t[TILE_BYTES]) if tiled else (t[STRIP_OFFSETS], t[STRIP_BYTES])
+        height, width = (t[TILE_HEIGHT][0], t[TILE_WIDTH][0]) if tiled else (min(t.get(ROWS_PER_STRIP, (grid.height,))[0], grid.height), grid.width)
+        return cls(grid, np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[form] }{bits // 8}"), tiled, height, width, compression, predictor, t.get(PLANAR, (1,))[0], offsets, sizes)
+
+    def block(self, data: bytes | Ranges, i: int) -> tuple[int, int, int, np.ndarray] | None:
+        """(first band, first row, first column, bands x rows x columns) of block i; None if it holds nothing."""
+        across, down = -(-self.grid.width // self.width), -(-self.grid.height // self.height)
+        plane, k = divmod(i, across * down)
+        r, c = k // across * self.height, k % across * self.width
+        rows = self.height if self.tiled else min(self.height, self.grid.height - r)
+        each = self.grid.bands if self.planar == 1 else 1
+        if not self.sizes[i]:
+            return None
+        raw = UNPACK[self.compression](data[self.offsets[i] : self.offsets[i] + self.sizes[i]])
+        a = np.frombuffer(raw, dtype=self.dtype, count=rows * self.width * each).reshape(rows, self.width, each)
+        if self.predictor == 2:
+            a = a.cumsum(axis=1, dtype=self.dtype.newbyteorder("="))
+        return plane if self.planar == 2 else 0, r, c, a[: self.grid.height - r, : self.grid.width - c].transpose(2, 0, 1)
+
+
+#: How packed blocks are unpacked, by the number of the compression.
+UNPACK: dict[int, Callable[[bytes], bytes]] = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
+
+
+def tiff_bands(data: bytes | Ranges, level: int = 0) -> tuple[Grid, np.ndarray]:
     """(grid, bands x rows x columns): uncompressed, deflate, LZW or PackBits, in strips or tiles."""
     order, found = tiff_directories(data)
-    t = found[level]
-    grid = tiff_grid(t)
-    bits, form, samples = t.get(BITS, (1,))[0], t.get(SAMPLE_FORMAT, (1,))[0], grid.bands
-    dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[form] }{bits // 8}")
-    planar, predictor = t.get(PLANAR, (1,))[0], t.get(PREDICTOR, (1,))[0]
-    tiled = TILE_OFFSETS in t
-    offsets, sizes = (t[TILE_OFFSETS], t[TILE_BYTES]) if tiled else (t[STRIP_OFFSETS], t[STRIP_BYTES])
-    bh, bw = (t[TILE_HEIGHT][0], t[TILE_WIDTH][0]) if tiled else (min(t.get(ROWS_PER_STRIP, (grid.height,))[0], grid.height), grid.width)
-    unpack = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _packbits}
-    comp = t.get(COMPRESSION, (1,))[0]
-    if comp not in unpack:
-        raise ValueError(f"compression {comp} isn't read")
-    out = np.zeros((samples, grid.height, grid.width), dtype=dtype.newbyteorder("="))
-    across, down = -(-grid.width // bw), -(-grid.height // bh)
-    each = samples if planar == 1 else 1
-    for i, (at, n) in enumerate(zip(offsets, sizes, strict=True)):
-        plane, k = divmod(i, across * down)
-        r, c = k // across * bh, k % across * bw
-        rows = bh if tiled else min(bh, grid.height - r)
-        if not n:
-            continue
-        block = np.frombuffer(unpack[comp](data[at : at + n]), dtype=dtype, count=rows * bw * each).reshape(rows, bw, each)
-        if predictor == 2:
-            block = block.cumsum(axis=1, dtype=dtype.newbyteorder("="))
-        elif predictor != 1:
-            raise ValueError(f"predictor {predictor} isn't read")
-        part = block[: grid.height - r, : grid.width - c].transpose(2, 0, 1)
-        first = plane if planar == 2 else 0
-        out[first : first + each, r : r + part.shape[1], c : c + part.shape[2]] = part
+    blocks = Blocks.of(order, found[level])
+    grid = blocks.grid
+    out = np.zeros((grid.bands, grid.height, grid.width), dtype=blocks.dtype.newbyteorder("="))
+    for i in range(len(blocks.offsets)):
+        if (got := blocks.block(data, i)) is not None:
+            first, r, c, part = got
+            out[first : first + part.shape[0], r : r + part.shape[1], c : c + part.shape[2]] = part
     return grid, out
 
 
@@ -202,15 +282,15 @@ def write_tiff(grid: Grid, bands: np.ndarray, blocksize: int = 0) -> bytes:
     return b"II" + struct.pack("<HI", 42, start) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
 
 
-def cell_frames(name: str, bands: np.ndarray, nodata: float | None, rows: int = 64) -> Iterator[pd.DataFrame]:
-    """Cells of an array, some rows at a time; no data and not-a-number become null."""
+def cell_frames(name: str, bands: np.ndarray, nodata: float | None, rows: int = 64, at: tuple[int, int, int] = (0, 0, 0)) -> Iterator[pd.DataFrame]:
+    """Cells of an array, some rows at a time; no data and not-a-number become null. at: the first band, row and column."""
     n, h, w = bands.shape
     for k in range(n):
         for r in range(0, h, rows):
             part = bands[k, r : r + rows].astype(float)
             gone = np.isnan(part) | (part == nodata if nodata is not None else False)
             i, j = np.indices(part.shape)
-            yield pd.DataFrame({"raster_id": name, "band": np.int32(k + 1), "row": (i.ravel() + r).astype(np.int32), "col": j.ravel().astype(np.int32), "value": np.where(gone, np.nan, part).ravel()})
+            yield pd.DataFrame({"raster_id": name, "band": np.int32(k + 1 + at[0]), "row": (i.ravel() + r + at[1]).astype(np.int32), "col": (j.ravel() + at[2]).astype(np.int32), "value": np.where(gone, np.nan, part).ravel()})
 
 
 def _null(df: DataFrame) -> DataFrame:
@@ -230,9 +310,10 @@ def first_said(files: DataFrame, of: Callable[[bytes], object]) -> object:
     return pickle.loads(bytes(found[0][0]))
 
 
-def _cells_of(spark: SparkSession, path: str, bands_of: Callable[[bytes], tuple[Grid, np.ndarray]], grid_of: Callable[[bytes], Grid] | None = None) -> tuple[DataFrame, Grid]:
-    """(cells, grid) of files of one grid, each read where it is; raster_id is the path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def _cells_of(spark: SparkSession, path: str, bands_of: Callable[[bytes], tuple[Grid, np.ndarray]], grid_of: Callable[[bytes], Grid | None] | None = None, which: Column | None = None) -> tuple[DataFrame, Grid | None]:
+    """(cells, grid) of files of one grid, each read where it is; raster_id is the path. which: only such files; then there is no grid."""
+    files = spark.read.format("binaryFile").load(path)
+    files = (files if which is None else files.where(which)).select("path", "content")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -240,15 +321,57 @@ def _cells_of(spark: SparkSession, path: str, bands_of: Callable[[bytes], tuple[
                 g, bands = bands_of(bytes(content))
                 yield from cell_frames(name, bands, g.nodata)
 
-    return _null(files.mapInPandas(run, CELLS)), first_said(files, grid_of or (lambda data: bands_of(data)[0]))
+    return _null(files.mapInPandas(run, CELLS)), first_said(files, grid_of or (lambda data: bands_of(data)[0])) if which is None else None
+
 
+def read_geotiff(spark: SparkSession, ref: str, strict_cog: bool = False, whole_bytes: int = WHOLE_BYTES) -> tuple[DataFrame, Grid]:
+    """(cells, grid) of one or many GeoTIFF files of one grid; raster_id is the path.
 
-def read_geotiff(spark: SparkSession, ref: str, strict_cog: bool = False) -> tuple[DataFrame, Grid]:
-    """(cells, grid) of one or many GeoTIFF files of one grid; raster_id is the path."""
+    Files over whole_bytes are dealt out strip by strip or tile by tile, and each task reads the ranges that it
+    needs, if the driver can open the store for that; others are read by Spark, each by one task.
+    """
     path = split(ref)[0]
-    if strict_cog and not first_said(spark.read.format("binaryFile").load(path), is_cog):
+    files = spark.read.format("binaryFile").load(path)
+    large = files.where(F.col("length") > whole_bytes).select("path")
+    one = large.take(1)
+    head = ranged(one[0]["path"]) if one else None
+    if head is None:
+        if strict_cog and not first_said(files, is_cog):
+            raise ValueError("not a cloud-optimised GeoTIFF")
+        return _cells_of(spark, path, tiff_bands, lambda data: tiff_grid(tiff_directories(data)[1][0]))
+    if strict_cog and not is_cog(head):
         raise ValueError("not a cloud-optimised GeoTIFF")
-    return _cells_of(spark, path, tiff_bands, lambda data: tiff_grid(tiff_directories(data)[1][0]))
+    small, _ = _cells_of(spark, path, tiff_bands, which=F.col("length") <= whole_bytes)
+    return small.unionByName(_null(_by_blocks(large))), tiff_grid(tiff_directories(head)[1][0])
+
+
+def _by_blocks(large: DataFrame) -> DataFrame:
+    """The cells of files (path), each block read by the task that it was dealt to."""
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name in f["path"]:
+                order, found = tiff_directories(ranged(name))
+                yield pd.DataFrame({"path": name, "block": np.arange(len(Blocks.of(order, found[0]).offsets))})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: tuple[str, Ranges, Blocks] | None = None
+        for f in frames:
+            for name, i in zip(f["path"], f["block"], strict=True):
+                if known is None or known[0] != name:
+                    data = ranged(name)
+                    order, found = tiff_directories(data)
+                    known = name, data, Blocks.of(order, found[0])
+                _, data, blocks = known
+                if (got := blocks.block(data, int(i))) is not None:
+                    first, r, c, part = got
+                    yield from cell_frames(name, part, blocks.grid.nodata, at=(first, r, c))
+
+    blocks = cut(large.mapInPandas(listed, "path string, block long"))
+    # Neighbouring blocks stay together: they are read side by side. The number is given, since rows are small and tasks aren't.
+    together = max(1, -(-blocks.count() // MOST_TASKS), BLOCKS_TOGETHER)
+    dealt = blocks.repartition(max(1, -(-blocks.count() // together)), F.col("path"), F.floor(F.col("block") / together)).sortWithinPartitions("path", "block")
+    return dealt.mapInPandas(run, CELLS)
 
 
 def collect_bands(cells: DataFrame, grid: Grid, dtype: str = "float64") -> np.ndarray:

@@ -203,6 +203,33 @@ def test_geotiff(spark, tmp_path, dtype, block):
         raster.read_geotiff(spark, str(tmp_path / "t.tif"), strict_cog=True)
 
 
+@pytest.mark.parametrize("block", [0, 16])
+def test_large_geotiffs_are_read_by_ranges(spark, tmp_path, block, monkeypatch):
+    """Blocks read one by one give what whole files do; files that can't be opened for ranges are read as a whole."""
+    g = Grid.from_bounds(0, 0, 70, 45, 70, 45, crs="EPSG:32610", nodata=5.0, bands=2)
+    for k in range(3):
+        a = (np.arange(2 * 45 * 70).reshape(2, 45, 70) * (k + 1) % 211).astype("float32")
+        (tmp_path / f"{k}.tif").write_bytes(raster.write_tiff(g, a, block if k < 2 else 16))
+    sizes = sorted((tmp_path / f"{k}.tif").stat().st_size for k in range(3))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    whole, grid = raster.read_geotiff(spark, str(tmp_path))
+    want = rows(whole)
+    assert len(want) == 3 * 2 * 45 * 70
+    for most in (0, sizes[1], sizes[1] - 1):
+        cells, got = raster.read_geotiff(spark, str(tmp_path), whole_bytes=most)
+        assert got == grid == g and rows(cells) == want
+    monkeypatch.setattr(raster, "ranged", lambda path: None)
+    assert rows(raster.read_geotiff(spark, str(tmp_path), whole_bytes=0)[0]) == want
+
+
+def test_ranges(tmp_path):
+    data = bytes(range(256)) * 1000
+    (tmp_path / "f").write_bytes(data)
+    got = raster.ranged(f"file:{tmp_path / 'f'}")
+    assert len(got) == len(data) and all(got[a:b] == data[a:b] for a, b in ((0, 2), (65530, 65540), (5, 70000), (200000, 256000), (255990, 300000), (7, 7)))
+    assert raster.ranged(str(tmp_path / "none")) is None and raster.ranged("nowhere://x/y") is None
+
+
 def test_tiff_compressions():
     def lzw(data):
         bits, table, width, now = "", {bytes([i]): i for i in range(256)}, 9, b""
