@@ -1,4 +1,4 @@
-"""Command line: route references, run operators, look into the registry."""
+"""Command line: route references, discover sources, run operators, look into the registry."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from terraloom.model import State
-from terraloom.plans.executor import Executor, build_params, exit_code, get_operator, hydrology_run, materialize
+from terraloom.plans.executor import Executor, build_params, coerce, exit_code, get_operator, hydrology_run, materialize
 from terraloom.plans.registry import Registry, Run
 from terraloom.plans.route import SourceRef, default_router
+from terraloom.sources.services import Access, discover_duckdb, discover_files, discover_layers
 
 
 def _spark() -> SparkSession:
@@ -38,14 +39,27 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("lineage").add_argument("id")
     sub.add_parser("stats")
     sub.add_parser("route").add_argument("ref")
+    sub.add_parser("discover").add_argument("where", help="a folder, file.duckdb, wms::url or wfs::url")
     x = sub.add_parser("run")
     x.add_argument("operator", help="an operator, or hydrology")
     x.add_argument("inputs", nargs="+")
     x.add_argument("-p", "--param", action="append", default=[], metavar="NAME=VALUE")
+    x.add_argument("-s", "--service", action="append", default=[], metavar="NAME=VALUE", help="endpoint, bbox, width, height, crs, max_features or base, for inputs that services send")
     x.add_argument("-o", "--output", help="where to write the rows, as Parquet")
     return p
 
 
+#: Options of services that aren't text.
+SERVICE_OPTIONS = {"bbox": tuple[float, float, float, float], "width": int, "height": int, "max_features": int}
+
+
+def discover(spark: SparkSession, where: str) -> DataFrame:
+    """What there is at a place: files of a folder, tables of a DuckDB file, layers of a service."""
+    if where.lower().startswith(("wms::", "wfs::")):
+        return discover_layers(spark, Access(), where)
+    return discover_duckdb(spark, where) if where.lower().endswith((".duckdb", ".db")) else discover_files(spark, where)
+
+
 def _show(df: DataFrame, as_json: bool) -> int:
     rows = [r.asDict(recursive=True) for r in df.collect()]
     if as_json:
@@ -69,6 +83,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print(json.dumps({"ref": args.ref, "kind": ref.kind, "readers": found}) if args.json else f"{ref.kind}: {', '.join(found) or 'none'}")
         return 0 if found else 2
     spark = spark or _spark()
+    if args.command == "discover":
+        return _show(discover(spark, args.where), args.json)
     registry = Registry(spark, args.registry)
     if args.command == "datasets":
         df = registry.datasets(args.kind, args.limit) if args.action == "list" else registry.table("datasets").where(f"id = '{args.id}'")
@@ -88,14 +104,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     executor = Executor(registry)
     try:
         texts = dict(p.split("=", 1) for p in args.param)
-        inputs = [materialize(spark, x) for x in args.inputs]
+        given = {k: coerce(v, SERVICE_OPTIONS.get(k, str)) for k, v in (x.split("=", 1) for x in args.service)}
+        inputs = [materialize(spark, x, **given) for x in args.inputs]
         if args.operator == "hydrology":
             runs = hydrology_run(executor, inputs[0], **{k: float(v) for k, v in texts.items()})
         else:
             for d in inputs:
                 registry.save_dataset(d)
             runs = [executor.submit(args.operator, inputs, build_params(get_operator(args.operator), texts))]
-    except (KeyError, ValueError, LookupError, OSError) as e:
+    except (KeyError, ValueError, LookupError, OSError, RuntimeError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
     last = runs[-1]

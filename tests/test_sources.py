@@ -603,6 +603,21 @@ def test_services(spark, service):
     assert total(tile) == 66 and "secret" not in repr(tile.row()) and "secret" not in repr(access)
 
 
+def test_services_on_the_command_line(spark, service, tmp_path, capsys):
+    from terraloom import cli
+
+    base, asked = service
+    common = ["--registry", str(tmp_path / "r"), "--json"]
+    assert cli.main([*common, "discover", f"wms::{base}/ows"], spark) == 0 and json.loads(capsys.readouterr().out) == [{"name": "l", "title": "L"}]
+    assert cli.main([*common, "run", "slope", f"wms::{base}/ows::l", "-s", "bbox=0,0,4,3", "-s", "width=4", "-s", "height=3", "-o", str(tmp_path / "out")], spark) == 0
+    assert asked[-1]["WIDTH"] == "4" and spark.read.parquet(str(tmp_path / "out")).count() == 12
+    assert cli.main([*common, "run", "slope", "c/none", "-s", f"endpoint={base}"], spark) == 1
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.tif").write_bytes(b"x")
+    capsys.readouterr()
+    assert cli.main([*common, "discover", str(tmp_path / "d")], spark) == 0 and json.loads(capsys.readouterr().out)[0]["reader"] == "cog"
+
+
 def test_discovery(spark, tmp_path):
     import duckdb
 
