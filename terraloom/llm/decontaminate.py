@@ -19,8 +19,8 @@ from terraloom.llm.common import bounded_broadcast, durable, packed_rows, unpack
 
 MIN_MATCH = 0.8
 MIN_WORDS = 8
-#: Windows of the benchmark that may be broadcast: 16 bytes or so each.
-BROADCAST_WINDOWS = 500_000
+#: So many windows of the benchmark are looked up by their rarest words, and broadcast if they take no more than so many bytes.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 # Words for units of measure.
 UNITS = "mm cm km kg mg ml lb oz ft mph kmh usd eur gbp percent meters metres miles grams liters litres hours minutes seconds days weeks months years dollars euros pounds degrees"
@@ -113,7 +113,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     begin = (F.col("_at") - F.col("item_at")).alias("begin")
     if n <= BROADCAST_WINDOWS:
         # Only words are exploded, and only those that are some window's anchor look at the words around them.
-        keys = F.broadcast(durable(_anchored(probes)))
+        keys = bounded_broadcast(durable(_anchored(probes)), BROADCAST_BYTES)
         # The outer form: of the plain one Spark infers a filter, for which all templates would be made once more.
         spots = hashed.select("_doc", "_text", "_t", F.posexplode_outer("_t").alias("_spot", "_word")).withColumn("_h", F.xxhash64("_word"))
         near = spots.join(keys, (F.col("_h") == F.col("anchor")) & (F.col("_spot") >= F.col("offset"))).withColumn("_at", F.col("_spot") - F.col("offset"))
