@@ -174,7 +174,7 @@ def source_geoparquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, _put(spark, "n.parquet", out.getvalue()), "name")
 
 
-@query("SELECT CAST(n_nationkey * 3 - 20 AS DOUBLE) AS x, CAST(n_nationkey * 2 - 10 AS DOUBLE) AS y, CAST(n_nationkey / 4.0 AS DOUBLE) AS z, n_regionkey AS intensity FROM nation")
+@query("SELECT CAST(n_nationkey * 3 - 20 AS DOUBLE) AS x, CAST(n_nationkey * 2 - 10 AS DOUBLE) AS y, CAST(n_nationkey / 4.0 AS DOUBLE) AS z, CAST(n_regionkey AS BIGINT) AS intensity FROM nation")
 def source_las(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
     at = _put(spark, "n.las", samples.las([(k * 3.0 - 20, k * 2.0 - 10, k / 4, r) for k, r in rows]))
@@ -248,7 +248,7 @@ def source_fof_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where("value IS NOT NULL").select("band", "row", "col", "value")
 
 
-@query("SELECT n_nationkey AS ordinal, CAST(n_nationkey * 3 - 20 AS DOUBLE) AS longitude, CAST(n_nationkey * 2 - 10 AS DOUBLE) AS latitude, CAST(n_regionkey * 1.5 AS DOUBLE) AS height FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS ordinal, CAST(n_nationkey * 3 - 20 AS DOUBLE) AS longitude, CAST(n_nationkey * 2 - 10 AS DOUBLE) AS latitude, CAST(n_regionkey * 1.5 AS DOUBLE) AS height FROM nation")
 def source_pixc(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = np.array(sorted(tuple(r) for r in read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()), dtype=float)
     k, r = keys.T
@@ -262,7 +262,7 @@ def source_hgt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _known(spark, _put(spark, "N37W122.hgt", np.where(i % 100 == 3, -32768, i * 7 % 1000).astype(">i2").tobytes()))
 
 
-@query("SELECT r_regionkey AS k, r_name AS name FROM region")
+@query("SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region")
 def source_duckdb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file must lie where DuckDB can open it: a folder that is mounted everywhere."""
     import duckdb
