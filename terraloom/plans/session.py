@@ -46,4 +46,5 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, so that plans stay short and lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     with tidy_shuffles(df.sparkSession):
-        return df.checkpoint()
+        # Whether a query is tidy is settled when its DataFrame is made.
+        return df.select("*").checkpoint()
