@@ -34,6 +34,7 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 LISTED = frozenset("li dt dd td th tr option ul ol dl table select".split())
 FENCES = frozenset("ul ol dl table select".split())
+PARAGRAPHS, HEADS = frozenset("p pre h1 h2 h3 blockquote".split()), frozenset("h1 main".split())
 # Parts of a class or id that mark what isn't the main text, and those that only say how a page is laid out.
 NOISE = re.compile(r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|comment\w*|repl(?:y|ies)|disqus\w*|respond|discussion|sidebar|side|widget\w*|share|sharing|social\w*|related|recommend\w*|nav\w*|menu\w*|breadcrumb\w*|footer\w*|masthead|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login|pagination|pager|toolbar|skip|tags)")
 NOISE_PAIRS = frozenset(("site header", "byline links"))
@@ -41,6 +42,8 @@ LAYOUT = frozenset("has with without no not layout open opened closed collapsed
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.A)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Text, or a tag without a < inside: most of a page. It gives up at the next <, so it can't be slow.
+PLAIN = re.compile(r"([^<]+)|<(/?)([a-zA-Z][^\s/><\"']*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>")
 STOP = re.compile(r"[>\"']")
 END_OF = {tag: re.compile(rf"</{tag}", re.I | re.A) for tag in RAW}
 CONTENT = re.compile(r"article|content|post|entry|story|main")
@@ -59,28 +62,30 @@ def is_noise(name: str) -> bool:
 class Node:
     """An element: tag, class, children (nodes and strings), where it stands, and what it weighs.
 
-    mark is a hash of the generalised path; block and listed are the nearest elements, itself
-    included, that are blocks and that list items close up to. noise can be lifted, skip can't.
+    block and listed are the nearest elements, itself included, that are blocks and that list
+    items close up to. noise can be lifted, skip can't.
     """
 
-    __slots__ = ("tag", "name", "kids", "parent", "skip", "noise", "depth", "mark", "block", "listed", "chars", "links", "paras", "heads")
+    __slots__ = ("tag", "name", "kids", "parent", "skip", "noise", "depth", "block", "listed", "chars", "links", "paras", "heads")
 
     def __init__(self, tag: str, name: str, parent: Node | None, skip: bool, noise: bool = False) -> None:
         self.tag, self.name, self.parent, self.skip, self.noise = tag, name, parent, skip, noise
         self.kids: list[Node | str] = []
         self.chars = self.links = self.paras = self.heads = 0
         self.depth = parent.depth + 1 if parent is not None else 0
-        self.mark = marked(parent.mark, step(self)) if parent is not None else 0
         self.block = self if tag in BLOCK or parent is None else parent.block
         self.listed = self if tag in LISTED or parent is None else parent.listed
 
 
+@cache(maxsize=65536)
+def _step(tag: str, name: str) -> str:
+    first = re.sub(r"\d+", "#", name.split()[0]).replace("/", "|") if name else ""
+    return f"{tag}.{first}" if first else tag
+
+
 def step(node: Node) -> str:
     """A node's part of a path: its tag and the first word of its class, digits left out; empty for what all pages have."""
-    if node.tag in ("html", "body", "#root"):
-        return ""
-    first = re.sub(r"\d+", "#", node.name.split()[0]).replace("/", "|") if node.name else ""
-    return f"{node.tag}.{first}" if first else node.tag
+    return "" if node.tag in ("html", "body", "#root") else _step(node.tag, node.name)
 
 
 def marked(above: int, part: str) -> int:
@@ -130,33 +135,34 @@ def parse(page: str) -> Node:
         return to
 
     while pos < n:
-        start = page.find("<", pos)
-        if start != pos:
-            at.kids.append(page[pos : start if start >= 0 else n])
-            if start < 0:
-                break
-            pos = start
-        if page.startswith("<!--", pos):
-            end = page.find("-->", pos + 4)
-            pos = n if end < 0 else end + 3
-            continue
-        if page.startswith("<![CDATA[", pos) and pos < last_cdata:
-            end = page.find("]]>", pos)
-            at.kids.append(page[pos + 9 : end])
-            pos = end + 3
-            continue
-        m = TAG.match(page, pos)
-        other = m is None and page[pos + 1 : pos + 2] in ("!", "?")
-        end = (page.find(">", pos) if other else tags.end(m.end())) if pos < tags.last and (m or other) else -1
-        if end < 0:  # a < that begins no tag, or one that never ends
-            at.kids.append("<")
-            pos += 1
-            continue
-        pos = end + 1
-        if other:
-            continue
-        tag, rest = m[2].lower(), page[m.end() : end]
-        if m[1]:
+        if m := PLAIN.match(page, pos):
+            pos = m.end()
+            if m[1] is not None:
+                at.kids.append(m[1])
+                continue
+            closing, tag, rest = m[2], m[3].lower(), m[4]
+        else:
+            if page.startswith("<!--", pos):
+                end = page.find("-->", pos + 4)
+                pos = n if end < 0 else end + 3
+                continue
+            if page.startswith("<![CDATA[", pos) and pos < last_cdata:
+                end = page.find("]]>", pos)
+                at.kids.append(page[pos + 9 : end])
+                pos = end + 3
+                continue
+            m = TAG.match(page, pos)
+            other = m is None and page[pos + 1 : pos + 2] in ("!", "?")
+            end = (page.find(">", pos) if other else tags.end(m.end())) if pos < tags.last and (m or other) else -1
+            if end < 0:  # a < that begins no tag, or one that never ends
+                at.kids.append("<")
+                pos += 1
+                continue
+            pos = end + 1
+            if other:
+                continue
+            closing, tag, rest = m[1], m[2].lower(), page[m.end() : end]
+        if closing:
             if open_tags[tag] > 0:
                 up = at
                 while up.tag != tag:
@@ -213,11 +219,15 @@ def _inside(root: Node) -> list[Node]:
 
 def _weigh(order: list[Node]) -> None:
     for node in reversed(order):
-        kids = [k for k in node.kids if isinstance(k, Node) and not k.skip]
-        node.chars = sum(len(k.strip()) for k in node.kids if isinstance(k, str)) + sum(k.chars for k in kids)
-        node.links = node.chars if node.tag == "a" else sum(k.links for k in kids)
-        node.paras = (node.chars - node.links if node.tag in ("p", "pre", "h1", "h2", "h3", "blockquote") else 0) or sum(k.paras for k in kids)
-        node.heads = (node.tag in ("h1", "main")) + sum(k.heads for k in kids)
+        chars = links = paras = heads = 0
+        for k in node.kids:
+            if isinstance(k, str):
+                chars += len(k.strip())
+            elif not k.skip:
+                chars, links, paras, heads = chars + k.chars, links + k.links, paras + k.paras, heads + k.heads
+        node.chars, node.links = chars, chars if node.tag == "a" else links
+        node.paras = (node.chars - node.links if node.tag in PARAGRAPHS else 0) or paras
+        node.heads = (node.tag in HEADS) + heads
 
 
 def _settle_noise(root: Node) -> None:
@@ -300,14 +310,16 @@ def extract(page: str | None, path: str | None) -> str:
         return ""
     root = parse(page)
     if path is not None:
+        # Paths are compared by hashes that are carried down, so that deep pages cost no more than long ones.
         goal = reduce(marked, path.split("/") if path else (), 0)
-        found, stack = [], [root]
+        found: list[Node] = []
+        stack = [(root, 0)]
         while stack:
-            node = stack.pop()
-            if node.tag in CONTAINER and node.mark == goal and generalised(node) == path:
+            node, mark = stack.pop()
+            if node.tag in CONTAINER and mark == goal and generalised(node) == path:
                 found.append(node)
                 continue
-            stack.extend(k for k in reversed(node.kids) if isinstance(k, Node) and not k.skip)
+            stack.extend((k, marked(mark, step(k))) for k in reversed(node.kids) if isinstance(k, Node) and not k.skip)
         texts = [t for t in map(text_of, found) if t]
         if texts:
             return " ".join(texts)
