@@ -8,8 +8,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Spark deletes a query's shuffle files when it has ended, where this is set.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What our own queries run with: Spark deletes a query's shuffle files when it has ended, and what goes to Python goes
+#: in batches of so many bytes, so that very long texts don't meet in one.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> bool:
@@ -29,22 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries that end in here take their shuffle files with them; the session's setting comes back."""
-    before = spark.conf.get(TIDY, None)
-    spark.conf.set(TIDY, "true")
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and end in here run with TIDY; the session's own settings come back."""
+    before = {k: spark.conf.get(k, None) for k in TIDY}
     try:
+        for k, v in TIDY.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        if before is None:
-            spark.conf.unset(TIDY)
-        else:
-            spark.conf.set(TIDY, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder, so that plans stay short and lost executors cost nothing."""
     ensure_checkpoint_dir(df.sparkSession)
-    with tidy_shuffles(df.sparkSession):
+    with tidy(df.sparkSession):
         # Whether a query is tidy is settled when its DataFrame is made.
         return df.select("*").checkpoint()

@@ -10,7 +10,7 @@ from terraloom.model import FILE, Dataset, Kind, State, Verdict, overall
 from terraloom.plans.executor import OPERATORS, Executor, build_params, coerce, exit_code, get_operator, hydrology_run, materialize, raster_dataset
 from terraloom.plans.registry import Registry, Run, ancestry
 from terraloom.plans.route import NoRouteError, Reader, RefKind, Router, SourceRef, default_router
-from terraloom.plans.session import cut, ensure_checkpoint_dir, shared_dir, tidy_shuffles
+from terraloom.plans.session import TIDY, cut, ensure_checkpoint_dir, shared_dir, tidy
 from terraloom.sources.raster import write_tiff
 from tests.test_operators import cells, grid, zones
 
@@ -203,10 +203,9 @@ def test_a_cluster_needs_a_shared_folder(master):
     assert shared_dir(_Somewhere(master, "hdfs://h/c")) == "hdfs://h/c"
 
 
-def test_shuffles_go_with_their_query(spark):
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    with tidy_shuffles(spark):
-        assert spark.conf.get(key) == "true"
-    assert spark.conf.get(key, None) == before
-    assert cut(spark.range(100).repartition(7)).count() == 100 and spark.conf.get(key, None) == before
+def test_own_queries_are_tidy(spark):
+    before = {k: spark.conf.get(k, None) for k in TIDY}
+    with tidy(spark):
+        assert {k: spark.conf.get(k) for k in TIDY} == TIDY
+    assert {k: spark.conf.get(k, None) for k in TIDY} == before
+    assert cut(spark.range(100).repartition(7)).count() == 100 and {k: spark.conf.get(k, None) for k in TIDY} == before
