@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.plans.session import cut as durable
-from terraloom.plans.session import shared_dir, tidy_shuffles
+from terraloom.plans.session import shared_dir, tidy
 
 __all__ = ["BROADCAST_BYTES", "SPACE", "UNIT_SQL", "Scratch", "bounded_broadcast", "bounded_sample", "dealt_anew", "durable", "let", "packed_rows", "partitions", "shared_dir", "table", "unit_hash", "unpacked", "words"]
 
@@ -61,7 +61,7 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        with tidy_shuffles(self.spark):
+        with tidy(self.spark):
             df.write.parquet(f"{self.at}/{self.n}")
         kept = self.spark.read.schema(df.schema).parquet(f"{self.at}/{self.n}")
         kept._steps_path = f"{self.at}/{self.n}"
