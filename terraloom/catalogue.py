@@ -581,7 +581,7 @@ def scatter_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "geocode_slc",
-    f"""WITH {PART}, ends AS (SELECT h, 4.0 / 111320 AS res, -122 - 8.0 / 111320 AS west, -122 + 0.0002 * {PW - 1} + 0.00003 * (h - 1) + 8.0 / 111320 AS east, 37 - 0.0002 * (h - 1) - 8.0 / 111320 AS south, 37 + 0.00002 * {PW - 1} + 8.0 / 111320 AS north FROM size),
+    f"""WITH {PART}, ends AS (SELECT h, 15.0 / 111320 AS res, -122 - 30.0 / 111320 AS west, -122 + 0.0002 * {PW - 1} + 0.00003 * (h - 1) + 30.0 / 111320 AS east, 37 - 0.0002 * (h - 1) - 30.0 / 111320 AS south, 37 + 0.00002 * {PW - 1} + 30.0 / 111320 AS north FROM size),
 sized AS (SELECT *, CAST(ceil((east - west) / res) AS BIGINT) AS tw, CAST(ceil((north - south) / res) AS BIGINT) AS th FROM ends),
 grid AS (SELECT CAST(i AS INT) AS row, CAST(j AS INT) AS col, h, west + (j + 0.5) * (east - west) / tw + 122 AS x, north - (i + 0.5) * (north - south) / th - 37 AS y FROM (SELECT *, unnest(range(th)) AS i FROM (SELECT *, unnest(range(tw)) AS j FROM sized))),
 places AS (SELECT * FROM (SELECT row, col, h, (0.00002 * x - 0.0002 * y) / (0.0002 * 0.0002 + 0.00003 * 0.00002) + 0.5 AS sr, (0.0002 * x + 0.00003 * y) / (0.0002 * 0.0002 + 0.00003 * 0.00002) + 0.5 AS sc FROM grid) WHERE sr >= 0 AND sr < h AND sc >= 0 AND sc < {PW}),
@@ -592,7 +592,7 @@ def geocode_slc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part raster as a radar raster, geocoded by a slanted net of control points. Polynomials through a net without bends are straight."""
     cells, grid = small_dem(spark, sf_dir)
     points = [(r * (grid.height - 1) / 4, c * (grid.width - 1) / 4, -122 + 0.0002 * c * (grid.width - 1) / 4 + 0.00003 * r * (grid.height - 1) / 4, 37 - 0.0002 * r * (grid.height - 1) / 4 + 0.00002 * c * (grid.width - 1) / 4) for r in range(5) for c in range(5)]
-    return _value(warp.geocode(cells, grid, points, 4.0)[0], 3)
+    return _value(warp.geocode(cells, grid, points, 15.0)[0], 3)
 
 
 def queries() -> dict[str, Query]:
