@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import Scratch, dealt_anew, durable, packed_rows, partitions, unpacked
+from terraloom.llm.common import Scratch, dealt_anew, durable, lean, packed_rows, partitions, unpacked
 from terraloom.llm.components import components
 from terraloom.llm.packed import exchange
 from terraloom.llm.word_dedup import WordHashes, rolling, word_hashes
@@ -201,6 +201,12 @@ def fingerprint_text(fp) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+class FewHashes(WordHashes):
+    """Half a million words would hold tens of megabytes in each worker, beside a full heap."""
+
+    most = 1 << 16
+
+
 def _need(n: int, least: float) -> int:
     """How many of its n shingles a text must share with any text that is at least so like it."""
     return max(1, math.ceil(least * n - 1e-9))
@@ -227,7 +233,7 @@ def _prefixes(least: float):
                 h = h[: len(h) - _need(len(h), least) + 1 + _spare(len(h))]
                 yield key, order, h, np.arange(len(h), dtype=np.int32), None
 
-    extract.known = WordHashes()
+    extract.known = FewHashes()
     return extract
 
 
@@ -235,7 +241,7 @@ def _sets(least: float):
     """From (doc, text, hits): the shingles of texts that share enough of their prefix with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = FewHashes()
         for b in batches:
             rows = []
             for doc, text, hits in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
@@ -292,7 +298,7 @@ def _alike(least: float):
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     one, two = (sets.select(dealt_anew("doc").alias(k), F.col("names").alias(f"s{k}")) for k in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lean(_alike(least)), "a long, b long")
 
 
 def _rare(sets: DataFrame, least: float) -> DataFrame:
@@ -302,7 +308,7 @@ def _rare(sets: DataFrame, least: float) -> DataFrame:
     longer than what a text needn't share; two alike texts have a shingle in both prefixes. Those
     that one text alone has come first and aren't given, nor are texts that have too many of them.
     """
-    tokens = sets.mapInArrow(_tokens, "doc long, n int, token long")
+    tokens = sets.mapInArrow(lean(_tokens), "doc long, n int, token long")
     known = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(dealt_anew("token").alias("t"), "c")
     held = tokens.join(known, F.col("token") == F.col("t")).groupBy("doc", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"), F.sum("c").alias("s"))
     alone = F.col("n") - F.size("held")
@@ -349,7 +355,7 @@ def similar_pairs(docs: DataFrame, least: float = SIMILAR, read: Callable[[], No
     slim = docs.select(F.col("doc_id").cast("long").alias("row_key"), F.col("doc_id").cast("long").alias("order"), F.col("text").cast("string").alias("text"))
     hits = steps.keep(exchange(slim.sortWithinPartitions("order", "row_key"), _prefixes(least), key_bytes=4).select(F.col("row_key").alias("k"), (F.length("spots") / 4).cast("int").alias("hits")))
     held = slim.select("row_key", "text").join(hits.hint("shuffle_hash"), F.col("row_key") == F.col("k")).select("row_key", "text", "hits")
-    sets = steps.keep(held.mapInArrow(_sets(least), "doc long, n int, names binary"))
+    sets = steps.keep(held.mapInArrow(lean(_sets(least)), "doc long, n int, names binary"))
     steps.drop(hits)
     if read is not None:
         read()

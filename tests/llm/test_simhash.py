@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from terraloom.llm import simhash
+from terraloom.llm import simhash, word_dedup
 from terraloom.llm.components import components
 from tests.llm.conftest import prose
 
@@ -197,3 +199,19 @@ def test_short_texts_with_one_edit(make):
     want = brute_kept(rows)
     assert 160 <= len(want) < 250
     assert linked(make, rows) == want
+
+
+def test_what_a_worker_holds_of_words_is_bounded():
+    """Texts of very many different words don't stay in a worker's memory, neither while nor after it reads them."""
+    texts = [" ".join(f"{i}x{k}" for k in range(1000)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts), pa.array([10**6] * 300, pa.int32())], names=["doc", "text", "hits"])
+    run = simhash.lean(simhash._sets(0.8))
+    tracemalloc.start()
+    try:
+        found = [b.num_rows for b in run(iter([batch]))]
+        left, most = tracemalloc.get_traced_memory()
+        assert found == [300] and most < 25e6 and left < 1e6
+        # Hashes that were forgotten come back the same.
+        assert list(simhash._prefixes(0.8)(batch.select(["doc", "doc", "text"])))[-1][2].tolist() == simhash._shingle_set(texts[-1], word_dedup.WordHashes())[: 996 - 797 + 1 + 996 // 5].tolist()
+    finally:
+        tracemalloc.stop()
