@@ -29,8 +29,8 @@ _NAMES = ("e", "se", "s", "sw", "w", "nw", "n", "ne")
 
 KEYS = ("raster_id", "band", "row", "col")
 TILES = ("raster_id", "band", "_tr", "_tc")
-#: So many pits of a raster are swept in one task; more are dealt by the regions that they form.
-PITS_TOGETHER = 200_000
+#: So many pits of a raster that have a neighbour of their height are swept in one task; more are solved tile by tile.
+PITS_TOGETHER = 20_000
 
 
 def _tile_of(c: Column | str, tile: int) -> Column:
@@ -145,14 +145,14 @@ def _graded(cells: DataFrame, grid: Grid, epsilon: float, tile: int, one: bool)
     return done.select("raster_id", "band", "row", "col", F.when(_number("value"), F.when(F.col("dist") < math.inf, F.col("value") + F.col("dist") * epsilon).otherwise(F.col("value"))).alias("value"))
 
 
-def d8_flow_direction(cells: DataFrame, grid: Grid, nodata: float | None = None, pits_together: int = PITS_TOGETHER) -> DataFrame:
+def d8_flow_direction(cells: DataFrame, grid: Grid, nodata: float | None = None, pits_together: int = PITS_TOGETHER, tile: int = TILE) -> DataFrame:
     """Codes: 0 east, then clockwise to 7 north-east; 8 outlet, 9 pit, -1 no data.
 
     The steepest drop wins, the lower code of equals, with diagonals over the root of two and
     the cell size left out. Cells without a lower neighbour are outlets on the grid's edge,
     else pits; then pits take, row by row until nothing changes, the first neighbour that is
-    not higher and has a direction. That order matters among pits that touch, so a region of them
-    is swept in one task, or all of a raster where they are few; all else is column expressions.
+    not higher and has a direction. Where pits with a neighbour of their height are few, those of a
+    raster are swept in one task; else the sweep that takes each is found tile by tile.
     """
     nodata = grid.nodata if nodata is None else nodata
     z = F.when(valid(F.col("value"), nodata), F.col("value"))
@@ -164,24 +164,76 @@ def d8_flow_direction(cells: DataFrame, grid: Grid, nodata: float | None = None,
         code = F.when(F.coalesce(d == most, F.lit(False)), F.lit(i)).otherwise(code)
     edge = (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == grid.height - 1) | (F.col("col") == grid.width - 1)
     first = F.when(F.col("z").isNull(), NODATA).when(most > 0, code).when(edge, OUTLET).otherwise(PIT)
-    coded = cut(near.select("raster_id", "band", "row", "col", "z", first.cast("int").alias("code")))
-    pits = coded.where(F.col("code") == PIT)
-    if not pits.take(1):
-        return coded.select("raster_id", "band", "row", "col", F.col("code").cast("double").alias("value"))
-    ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    wanted = pits.select("raster_id", "band", "row", "col", F.inline(ring)).select("raster_id", "band", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).distinct()
+    # A pit has no lower neighbour, so only one of its own height can take it.
+    level = F.greatest(*[F.coalesce(F.col(n) == F.col("z"), F.lit(False)) for n in _NAMES])
+    coded = cut(near.select(*KEYS, "z", first.cast("int").alias("code"), level.alias("level")))
+    pits = coded.where((F.col("code") == PIT) & F.col("level")).select(*KEYS)
     keys = list(KEYS)
-    schema = "raster_id string, band int, row int, col int, new int"
-    if pits.groupBy("raster_id", "band").count().agg(F.max("count")).collect()[0][0] <= pits_together:
-        solved = coded.join(wanted, keys).groupBy("raster_id", "band").applyInPandas(_resolve_pits, schema)
+    most_pits = pits.groupBy("raster_id", "band").count().agg(F.max("count")).collect()[0][0]
+    if most_pits is None:
+        return coded.select(*keys, F.col("code").cast("double").alias("value"))
+    if most_pits <= pits_together:
+        ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        wanted = pits.select("raster_id", "band", "row", "col", F.inline(ring)).select("raster_id", "band", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).distinct()
+        solved = coded.drop("level").join(wanted, keys).groupBy("raster_id", "band").applyInPandas(_resolve_pits, "raster_id string, band int, row int, col int, new int")
     else:
-        # Pits that don't touch don't matter to each other: each region is swept with the cells around it.
-        held = _regions(pits).select(*keys, "region")
-        around = held.select("raster_id", "band", "region", "row", "col", F.inline(ring)).select("raster_id", "band", "region", (F.col("row") + F.col("i")).alias("row"), (F.col("col") + F.col("j")).alias("col")).distinct()
-        solved = coded.join(around, keys).groupBy("raster_id", "band", "region").applyInPandas(_resolve_pits, schema)
+        solved = _swept(coded.where("level").drop("level"), tile, grid.width <= tile and grid.height <= tile)
     return coded.join(solved, keys, "left").select(*keys, F.coalesce("new", "code").cast("double").alias("value"))
 
 
+def _swept(level: DataFrame, tile: int, one: bool) -> DataFrame:
+    """The pits that get a direction, as column new; level: the cells (z, code) that have a neighbour of their height.
+
+    A pit is taken in the sweep of its first neighbour that has a direction by then: the same sweep if that one lies
+    before it, the next if it lies behind. So the number of the sweep is a shortest way, which tiles can find in any order,
+    and the direction follows from the numbers of the neighbours.
+    """
+    has = F.col("code").between(0, OUTLET)
+    start = level.where(has | (F.col("code") == PIT)).select(*KEYS, "z", F.when(F.col("code") == PIT, 1.0).otherwise(0.0).alias("open"), F.when(has, 0.0).otherwise(math.inf).alias("sweep"))
+    done = _settle(start, _sweeps, ("z", "open", "sweep"), "sweep", tile, one)
+    taken = _by_tile(done.withColumn("new", F.lit(-1.0)), _taken, ("z", "open", "sweep", "new"), "new", tile)
+    return taken.where("new >= 0").select(*KEYS, F.col("new").cast("int").alias("new"))
+
+
+def _taken(a: dict[str, np.ndarray]) -> np.ndarray:
+    """For pits, the first neighbour of their height that has a direction when they are swept, or -1."""
+    h, w = a["z"].shape
+    z, s = (np.pad(a[n], 1, constant_values=np.nan) for n in ("z", "sweep"))
+    pit = (a["open"] == 1) & np.isfinite(a["sweep"])
+    out = np.full((h, w), -1.0)
+    for d, (i, j) in reversed(list(enumerate(STEPS))):
+        of = (slice(1 + i, h + 1 + i), slice(1 + j, w + 1 + j))
+        there = s[of] <= a["sweep"] if (i, j) < (0, 0) else s[of] < a["sweep"]
+        out[pit & (z[of] == a["z"]) & there] = d
+    return out
+
+
+def _sweeps(a: dict[str, np.ndarray]) -> np.ndarray:
+    """Dijkstra over cells of one height: from a cell before a pit in the order of rows at no cost, from one behind it at one; no pit is taken before sweep 1."""
+    h, w = a["z"].shape
+    frame = lambda x: np.pad(x, 1, constant_values=np.nan)
+    zs, pit, sweeps = frame(a["z"]), np.nan_to_num(frame(a["open"])) == 1, np.nan_to_num(frame(a["sweep"]), nan=math.inf, posinf=math.inf)
+    beside = np.zeros_like(pit)
+    for i, j in STEPS:
+        beside[1:-1, 1:-1] |= pit[1 + i : h + 1 + i, 1 + j : w + 1 + j]
+    seeds = np.flatnonzero((beside & np.isfinite(sweeps)).ravel())
+    z, open_, s = zs.ravel().tolist(), pit.ravel().tolist(), sweeps.ravel().tolist()
+    heap = [(s[k], int(k)) for k in seeds]
+    heapq.heapify(heap)
+    steps = [i * (w + 2) + j for i, j in STEPS]
+    while heap:
+        v, k = heapq.heappop(heap)
+        if v > s[k]:
+            continue
+        for d in steps:
+            to = k + d
+            new = max(1.0, v if d > 0 else v + 1)
+            if open_[to] and new < s[to] and z[to] == z[k]:
+                s[to] = new
+                heapq.heappush(heap, (new, to))
+    return np.array(s).reshape(h + 2, w + 2)[1:-1, 1:-1]
+
+
 def _regions(pits: DataFrame) -> DataFrame:
     """pits with region: the least place of all pits that are joined to one side by side or corner to corner.
 

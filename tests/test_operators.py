@@ -452,6 +452,15 @@ def test_pits_by_region_are_pits_together(spark):
     assert one == two and any(v < 8 for v in one.values())
 
 
+def test_pits_that_nothing_can_take_are_left_alone(spark, monkeypatch):
+    """Without neighbours of one height no pit is dealt out, however many there are."""
+    z = np.random.default_rng(5).permutation(15 * 18).reshape(15, 18).astype(float)
+    for name in ("_regions", "_resolve_pits", "_settle"):
+        monkeypatch.setattr(hydrology, name, None)
+    got = array(hydrology.d8_flow_direction(cells(spark, z), grid(z), pits_together=0), z.shape)
+    assert (got == 9).sum() > 10 and got.min() >= 0
+
+
 def test_regions(spark):
     at = [(0, 0), (1, 1), (2, 2), (5, 5), (5, 6), (9, 0), (3, 1), (8, 9)]
     pits = spark.createDataFrame([("r", 1, i, j) for i, j in at], "raster_id string, band int, row int, col int")
