@@ -461,6 +461,35 @@ def test_pits_that_nothing_can_take_are_left_alone(spark, monkeypatch):
     assert (got == 9).sum() > 10 and got.min() >= 0
 
 
+def swept(z):
+    """Directions as d8_flow_direction says, cell by cell."""
+    h, w = z.shape
+    near = lambda i, j: [(d, (i + a, j + b)) for d, (a, b) in enumerate(hydrology.STEPS) if 0 <= i + a < h and 0 <= j + b < w]
+    code = {}
+    for i, j in np.ndindex(h, w):
+        drops = [((z[i, j] - z[n]) / (math.sqrt(2) if d % 2 else 1), -d) for d, n in near(i, j)]
+        most = max(drops)
+        code[i, j] = -most[1] if most[0] > 0 else 8 if i in (0, h - 1) or j in (0, w - 1) else 9
+    changed = True
+    while changed:
+        changed = False
+        for k in np.ndindex(h, w):
+            if code[k] == 9 and (ways := [d for d, n in near(*k) if code[n] <= 8 and z[n] <= z[k]]):
+                code[k], changed = ways[0], True
+    return code
+
+
+@pytest.mark.parametrize(("heights", "together"), [(2, 0), (3, 0), (3, 10**6), (50, 0)])
+def test_pits_by_tiles_are_swept_in_order(spark, heights, together, monkeypatch):
+    """Flats that reach through many tiles; none is dealt out by region, of which a large raster has too many."""
+    z = np.floor(np.random.default_rng(heights).random((21, 17)) * heights)
+    z[4:15, 3:13] = heights
+    z[8, 12] = 0
+    monkeypatch.setattr(hydrology, "_regions", None)
+    got = {(r["row"], r["col"]): r["value"] for r in hydrology.d8_flow_direction(cells(spark, z), grid(z), pits_together=together, tile=5).collect()}
+    assert got == swept(z)
+
+
 def test_regions(spark):
     at = [(0, 0), (1, 1), (2, 2), (5, 5), (5, 6), (9, 0), (3, 1), (8, 9)]
     pits = spark.createDataFrame([("r", 1, i, j) for i, j in at], "raster_id string, band int, row int, col int")
