@@ -319,6 +319,29 @@ def test_reprojected_plane(spark, method):
     assert np.nanmin(np.diff(np.nanmedian(inner, axis=0))) >= 0 and abs(np.nanmean(b) - a.mean()) < 3
 
 
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic"])
+def test_resampling_by_blocks(spark, method):
+    """Against sums cell by cell, with holes, over many blocks; no target cell is shuffled."""
+    rng = np.random.default_rng(7)
+    a = np.where(rng.random((19, 13)) < 0.2, np.nan, rng.random((19, 13)))
+    to = Grid(31, 23)
+    place = lambda df: df.withColumns({"_sr": F.col("row") * 0.83 + F.col("col") * 0.11 - 1.03, "_sc": F.col("col") * 0.47 - F.col("row") * 0.07 + 0.21})
+    out = warp.warped(cells(spark, a), grid(a), to, place, method, block=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any("Join" in x and "row#" in x for x in plan.splitlines())
+    got = {(r["row"], r["col"]): r["value"] for r in out.collect()}
+    assert len(got) == 31 * 23
+    x3 = lambda x: 1.5 * x**3 - 2.5 * x**2 + 1 if x <= 1 else -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+    weight, k = {"nearest": (lambda x: 1.0, 0), "bilinear": (lambda x: max(0.0, 1 - x), 1), "cubic": (x3, 2)}[method]
+    for (r, c), v in got.items():
+        sr, sc = r * 0.83 + c * 0.11 - 1.03, c * 0.47 - r * 0.07 + 0.21
+        i, j = math.floor(sr), math.floor(sc)
+        near = [(weight(abs(y + 0.5 - sr)) * weight(abs(x + 0.5 - sc)), a[y, x]) for y in range(i - k, i + k + 1) for x in range(j - k, j + k + 1) if 0 <= y < 19 and 0 <= x < 13 and not math.isnan(a[y, x])]
+        own = 0 <= i < 19 and 0 <= j < 13 and not math.isnan(a[i, j])
+        want = sum(w * z for w, z in near) / sum(w for w, _ in near) if own and abs(sum(w for w, _ in near)) > 1e-12 else None
+        assert v == (want if want is None else pytest.approx(want, rel=1e-9, abs=1e-9))
+
+
 def test_average_of_blocks(spark):
     a = np.fromfunction(lambda r, c: r * 10 + c, (4, 6))
     got = array(mosaic.overview(cells(spark, a), 2, "average"), (2, 3))
