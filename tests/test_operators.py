@@ -207,6 +207,13 @@ def test_zonal(spark):
     assert all(math.isnan(got["z3"][s]) for s in spatial.STATISTICS)
 
 
+def test_boxes_are_tested_before_geometries(spark):
+    """A zone whose box doesn't hold a cell's centre costs one comparison, not a walk round its edge."""
+    z = zones(spark, [(0, 0, 2, 3), (1, 0, 4, 2)])
+    found = spatial.cells_in(cells(spark, RAMP), z.select("fid", "geom"), grid(RAMP))
+    assert "_box" in found._jdf.queryExecution().analyzed().toString() and "_box" not in found.columns
+
+
 def test_zonal_without_valid_cells(spark):
     a = np.array([[1.0] * 4, [-9999.0] * 4])
     got = spatial.zonal_stats(cells(spark, a), zones(spark, [(0, 0, 4, 1)]), grid(a, nodata=-9999.0)).collect()[0]
