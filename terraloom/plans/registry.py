@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraloom.model import RECORD, Dataset, State, Verdict, now, to_json
+from terraloom.operators.spatial import small
 from terraloom.plans.session import cut
 
 SCHEMAS = {
@@ -171,7 +172,7 @@ class Registry:
 
     def full_lineage(self, dataset_id: str) -> DataFrame:
         """(parent, child, operation, depth): every edge above a dataset once, at its least depth."""
-        return ancestry(self.lineage(), dataset_id)
+        return ancestry(self.table("lineage"), dataset_id)
 
     def counts(self) -> DataFrame:
         """(what, of, n): datasets by kind, runs by status, verdicts by state, edges by operation."""
@@ -191,13 +192,14 @@ def ancestry(edges: DataFrame, node: object) -> DataFrame:
 
     Level by level, to the last however deep; each node is visited once. A level's edges are written
     to the checkpoint folder, so plans don't grow from level to level and nothing is kept in memory.
+    Edges are read once a level and not sorted or shuffled while a level's nodes are few; equal ones are made one in a level.
     """
     spark = edges.sparkSession
-    edges = cut(edges.select("parent", "child", "operation").distinct())
+    edges = edges.select("parent", "child", "operation")
     frontier = spark.createDataFrame([(node,)], f"node {dict(edges.dtypes)['child']}")
     seen, levels = frontier, []
     while True:
-        step = cut(edges.join(frontier, F.col("child") == F.col("node"), "left_semi").withColumn("depth", F.lit(len(levels) + 1)))
+        step = cut(edges.join(small(frontier), F.col("child") == F.col("node"), "left_semi").distinct().withColumn("depth", F.lit(len(levels) + 1)))
         if not step.take(1):
             break
         levels.append(step)

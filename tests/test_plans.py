@@ -105,6 +105,17 @@ def test_a_save_that_fails_leaves_nothing(registry, monkeypatch):
     assert registry.datasets().count() == 1
 
 
+def test_ancestry_does_not_sort_all_edges(spark, tmp_path, monkeypatch):
+    """Edges saved twice count once, and the table of all edges is neither ranked nor shuffled."""
+    held = Registry(spark, str(tmp_path / "r"))
+    rows = spark.createDataFrame([("a", "b", "x"), ("b", "c", "x"), ("q", "z", "x")], "parent string, child string, operation string")
+    held.save_frames(lineage=rows)
+    held.save_frames(lineage=rows)
+    monkeypatch.setattr(Registry, "lineage", None)
+    got = sorted(tuple(r) for r in held.full_lineage("c").collect())
+    assert got == [("a", "b", "x", 2), ("b", "c", "x", 1)]
+
+
 def test_ancestry_of_circles(spark):
     e = spark.createDataFrame([("a", "b", "o"), ("b", "c", "o"), ("c", "a", "o"), ("x", "c", "o"), ("q", "r", "o")], "parent string, child string, operation string")
     got = {(r["parent"], r["child"]): r["depth"] for r in ancestry(e, "c").collect()}
